@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clarion.llm import decontaminate, quality, sharding, simhash, toxicity
+from clarion.llm import decontaminate, quality, secrets, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op8_quality]
+_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op6_secrets, op8_quality]
 
 
 def queries() -> dict:
