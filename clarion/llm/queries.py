@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clarion.llm import decontaminate, quality, secrets, sharding, simhash, toxicity
+from clarion.llm import decontaminate, packing, quality, secrets, sharding, simhash, tokenfiles, toxicity
+
+
+#: Where the public tokenizers' files are, by name.
+TOKENIZERS = public_tokenizers.path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +37,19 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.tokenized(_read(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), TOKENIZERS("word_bpe_49k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op6_secrets, op8_quality]
+_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op5_token_files, op6_secrets, op7_packing, op8_quality]
 
 
 def queries() -> dict:
