@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clarion.llm import chunkprints, decontaminate, packing, quality, secrets, sharding, simhash, tokenfiles, toxicity
+from clarion.llm import chunkprints, decontaminate, packing, quality, repeats, secrets, sharding, simhash, tokenfiles, toxicity
 
 
 #: Where the public tokenizers' files are, by name.
@@ -49,11 +49,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkprints.compare(_read(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op5_token_files, op6_secrets, op7_packing, op8_quality, op10_chunk_fingerprints]
+_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op5_token_files, op6_secrets, op7_packing, op8_quality, op9_repeats, op10_chunk_fingerprints]
 
 
 def queries() -> dict:
