@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,8 +61,12 @@ def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op5_token_files, op6_secrets, op7_packing, op8_quality, op9_repeats, op10_chunk_fingerprints]
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in [*_ALL, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:

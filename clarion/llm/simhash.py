@@ -183,7 +183,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are their class's least doc_id; of repeated rows of that id, one stays."""
-    keep = classes(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(doc_id).cast("bigint") == F.col("_keep"), "left_semi")
-    return kept
+    """The rows of ``docs`` that have their class's least doc_id; of rows that repeat an id, one stays.
+
+    Rows with a null id belong to no class by name and all stay.
+    """
+    keep = classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(keep, F.col(doc_id).cast("bigint") == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
