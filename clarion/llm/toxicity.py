@@ -122,40 +122,40 @@ def _entries(rows: list[tuple[list[str], int]]) -> dict[str, float]:
     pos = _unlike([w for w, y in rows if y], Counter(w for words, _ in rows for w in words), len(rows))
     rows = [(w, 1) for w in pos] + [r for r in rows if not r[1]]
     n_pos, n_neg = len(pos), len(rows) - len(pos)
-    neg = Counter(w for words, y in rows if not y for w in words)
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(pos):
-        for w in words:
-            where[f" {w} "].add(i)
-    stems_neg: Counter = Counter()
-    for w, n in neg.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                stems_neg[w[:k]] += n
-    stems: dict[str, set[int]] = defaultdict(set)
-    for w, at in list(where.items()):
-        for k in PREFIXES:
-            if len(w) - 2 > k:
-                stems[f" {w[1 : k + 1]}"] |= at
-    where |= stems
+
+    def of(words: list[str]) -> set[str]:
+        return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
+
+    own = Counter()
+    for words in pos:
+        own.update(of(words))
+    own = {e: n for e, n in own.items() if n >= MIN_ROWS}
+    other = Counter()
+    for words, y in rows:
+        if not y:
+            other.update(of(words) & own.keys())
 
     def weight(e: str) -> float:
-        n, own = neg[e[1:-1]] if e[-1] == " " else stems_neg[e[1:]] + neg[e[1:]], len(where[e])
-        w = math.log((own + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
-        return w if w >= MIN_ERRORS * math.sqrt(1 / (own + 0.5) + 1 / (n + 0.5)) else 0.0
+        n, m = other[e], own[e]
+        w = math.log((m + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
+        return w if w >= MIN_ERRORS * math.sqrt(1 / (m + 0.5) + 1 / (n + 0.5)) else 0.0
 
-    weights = {e: w for e in where if len(where[e]) >= MIN_ROWS and (w := weight(e)) >= MIN_WEIGHT}
+    weights = {e: w for e in own if (w := weight(e)) >= MIN_WEIGHT}
+    where: dict[str, set[int]] = defaultdict(set)
+    for i, words in enumerate(pos):
+        for e in of(words) & weights.keys():
+            where[e].add(i)
     # Greedy cover; of entries that explain the same rows the longer, more specific one comes first.
     heap = [(-len(where[e]) * w, -len(e), e) for e, w in weights.items()]
     heapq.heapify(heap)
     left, out, times = set(range(n_pos)), {}, Counter()
     while heap:
         gain, _, e = heapq.heappop(heap)
-        own = len(where[e] & left)
-        if own < MIN_ROWS:
+        gained = len(where[e] & left)
+        if gained < MIN_ROWS:
             continue
-        if own * weights[e] < -gain - 1e-9:
-            heapq.heappush(heap, (-own * weights[e], -len(e), e))
+        if gained * weights[e] < -gain - 1e-9:
+            heapq.heappush(heap, (-gained * weights[e], -len(e), e))
             continue
         out[e] = weights[e]
         times.update(where[e])
