@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -21,6 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Writes inside drop their shuffle files when they end, not whenever the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free_name(stem: str, *taken: list[str]) -> str:
+    """``stem``, with underscores after it until no column of ``taken`` has that name in any case."""
+    used = {c.lower() for columns in taken for c in columns}
+    while stem.lower() in used:
+        stem += "_"
+    return stem
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder of the shared directory and read it back.
 
@@ -29,7 +51,8 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with tidy(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
