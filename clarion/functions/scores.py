@@ -75,10 +75,12 @@ def upper_median(values: Column) -> Column:
 
 
 def symmetric(direct: Column, negated: Column, tau: float) -> Column:
-    """Decision that both the claim and its negation must not be entailed."""
-    return F.when((direct >= tau) & (negated >= tau), "veto").when(direct >= tau, "supports").when(negated >= tau, "refutes").otherwise("neutral")
+    """The first likeliest label of ``direct`` (entailment, neutral, contradiction), but neutral where the
+    claim and its negation (``negated``, its entailment) are both entailed at ``tau``."""
+    names = F.array(*[F.lit(x) for x in LABELS])
+    return F.when((direct[0] >= tau) & (negated >= tau), "neutral").otherwise(F.element_at(names, argmax(direct) + 1))
 
 
 def differential(direct: Column, negated: Column, delta: float) -> Column:
     """Decision on the difference of a claim's and its negation's entailment."""
-    return F.when(direct - negated >= delta, "supports").when(negated - direct >= delta, "refutes").otherwise("neutral")
+    return F.when(direct - negated > delta, "entailment").when(negated - direct > delta, "contradiction").otherwise("neutral")

@@ -10,7 +10,12 @@ TERM = r"[\p{L}\p{N}]+(?:[.,]\d+)?"
 NAME = r"(?U)\b\p{Lu}[\p{L}\p{N}]+\b"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
-# Words that change what a sentence claims.
+# Words that searches leave out, and words that change what a sentence claims.
+STOP_WORDS = (
+    "a", "o", "as", "os", "de", "da", "do", "das", "dos", "em", "no", "na", "nos", "nas", "para", "por", "com", "sem", "sobre",
+    "e", "ou", "que", "se", "um", "uma", "uns", "umas", "ao", "aos", "à", "às", "é", "foi", "ser", "sua", "seu", "suas", "seus",
+    "após", "última", "último", "novo", "nova",
+)
 QUALIFIERS = (
     "nao", "nunca", "jamais", "sem", "diz", "disse", "afirma", "afirmou", "alega", "alegou", "pode", "podem", "poderia",
     "comprovou", "provou", "todos", "todas", "nenhum", "nenhuma", "apenas",
@@ -94,9 +99,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
-def keywords(text: Column, stop_words: list[str], limit: int = 8) -> Column:
-    """The first ``limit`` words that are no stop words, joined by spaces."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(*stop_words))
+def keywords(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, limit: int = 8) -> Column:
+    """The first ``limit`` words that are no stop words (full stops and commas at their ends aside), joined by spaces."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~F.btrim(F.lower(w), F.lit(".,")).isin(*stop_words))
     return F.array_join(F.slice(words, 1, limit), " ")
 
 

@@ -98,3 +98,22 @@ def profile(domain: Column) -> Column:
 def search_domains(kind: Column) -> Column:
     """Domains a search is restricted to: the fact-check ones, or all, sorted."""
     return F.when(kind == "factCheck", F.array(*[F.lit(d) for d in FACT_CHECK])).otherwise(F.array(*[F.lit(d) for d in sorted(ALLOWLIST)]))
+
+
+def matched_domain(value: Column, entries: tuple[str, ...] = ALLOWLIST) -> Column:
+    """The longest entry that a host equals or ends with after a dot, as written; null without one.
+
+    One leading ``www.`` doesn't count on either side. The entries are a short fixed list,
+    so they are literals of the plan; a table of entries is joined by ``operators.domains``.
+    """
+    known = {}
+    for e in entries:
+        known.setdefault(e.lower().rstrip(".").removeprefix("www."), e)
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
+    found = F.filter(suffixes(canonical_host(value)), lambda s: F.map_contains_key(table, s))
+    return F.try_element_at(table, F.try_element_at(found, F.lit(1)))
+
+
+def allowed(url: Column, entries: tuple[str, ...] = ALLOWLIST) -> Column:
+    """HTTPS, no user information, and a host under an entry; false for invalid URLs."""
+    return F.coalesce(secure(url) & matched_domain(host(url), entries).isNotNull(), F.lit(False))
