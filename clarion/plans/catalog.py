@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from clarion.plans import evaluation_queries, evidence_queries, text_queries
+
+_MODULES = (evidence_queries, text_queries, evaluation_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
