@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from clarion.functions.lineage import extended, stored
+from clarion.functions.lineage import extended, free_name, stored
 
 WINDOW = 10
 #: Characters of training text in one suffix array.
@@ -200,21 +200,29 @@ def matches(
     return out
 
 
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without its text, with n_words, n_hit, n_items, items_sha256, contaminated and longest.
 
     items_sha256 is of the matched ids, sorted as strings, comma-joined (of the empty
     string where there are none); longest is the length of the longest match in words.
+    Columns of ``docs`` that bear a result's name in any case give way to it.
     """
-    m = F.col("_matches")
-    return matches(docs, benchmark, text, into="_matches", **options).select(
-        *[c for c in docs.columns if c != text],
-        m.n_words.alias("n_words"), m.n_hit.alias("n_hit"), F.size(m["items"]).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(m["items"], ","), 256).alias("items_sha256"), (m.n_hit > 0).alias("contaminated"),
-        F.coalesce(F.array_max(m.spans.length), F.lit(0)).alias("longest"),
+    docs = docs.select(text, *[c for c in docs.columns if c != text and c.lower() not in RESULTS])
+    name = free_name("_matches", docs.columns)
+    m = F.col(name)
+    values = (
+        m.n_words, m.n_hit, F.size(m["items"]).cast("bigint"), F.sha2(F.array_join(m["items"], ","), 256), m.n_hit > 0,
+        F.coalesce(F.array_max(m.spans.length), F.lit(0)),
     )
+    found = matches(docs, benchmark, text, into=name, **options)
+    return found.select(*[c for c in docs.columns if c != text], *[v.alias(k) for k, v in zip(RESULTS, values)])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose text shares no window with the benchmark; columns as they were."""
-    return matches(docs, benchmark, text, into="_matches", **options).where("_matches.n_hit = 0").drop("_matches")
+    name = free_name("_matches", docs.columns)
+    found = matches(docs, benchmark, text, into=name, **options)
+    return found.where(F.col(name).n_hit == 0).drop(name)

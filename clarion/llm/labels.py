@@ -28,5 +28,5 @@ def training_rows(
     for k in (0, 1):
         own = y.where(F.col("y") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picks = own if picks is None else picks.unionByName(own)
-    rows = docs.join(F.broadcast(picks), F.col(doc_id) == F.col("_id")).where(F.octet_length(text) <= max_bytes)
-    return rows.select(F.col(text).alias("text"), "y"), totals
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes)
+    return own.join(F.broadcast(picks), F.col("_doc") == F.col("_id")).select("text", "y"), totals

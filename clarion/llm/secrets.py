@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clarion.functions.lineage import stored
+from clarion.functions.lineage import free_name, stored
 
 # The patterns of the base kinds, the least lengths of what they must find, in the order of kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -110,8 +110,9 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark:
     Rows meet their spans by id and text, so rows that repeat both get the same text.
     """
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    keyed = docs.select(F.struct(F.col(doc_id).alias("id"), digest.alias("digest")).alias("_id"), *[c for c in docs.columns])
-    found = scan(keyed, "_id", text, **options).where(F.size("added") > 0).select("doc_id", "added").dropDuplicates(["doc_id"])
+    name = free_name("_id", docs.columns)
+    keyed = docs.select(F.struct(F.col(doc_id).alias("id"), digest.alias("digest")).alias(name), *[c for c in docs.columns])
+    found = scan(keyed, name, text, **options).where(F.size("added") > 0).select("doc_id", "added").dropDuplicates(["doc_id"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.col(text)
 
@@ -122,5 +123,5 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark:
         return F.struct(F.greatest(acc.at, x.end).alias("at"), F.concat(acc.out, F.when(fresh, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out"))
 
     new = F.aggregate(found["added"], start, add, lambda acc: F.concat(acc.out, whole.substr(acc.at + 1, F.length(whole))))
-    joined = keyed.join(found, keyed["_id"].eqNullSafe(found["doc_id"]), "left")
+    joined = keyed.join(found, keyed[name].eqNullSafe(found["doc_id"]), "left")
     return joined.select(*[F.when(found["added"].isNull(), keyed[c]).otherwise(new).alias(c) if c == text else keyed[c] for c in docs.columns])

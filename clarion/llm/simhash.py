@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clarion.functions.lineage import extended, stored
+from clarion.functions.lineage import extended, free_name, stored
 from clarion.operators.graph import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -187,6 +187,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
     Rows with a null id belong to no class by name and all stay.
     """
-    keep = classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(doc_id).cast("bigint") == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
+    name = free_name("_keep", docs.columns)
+    keep = classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(keep, F.col(doc_id).cast("bigint") == F.col(name), "left_semi").dropDuplicates([doc_id])
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))

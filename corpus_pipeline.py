@@ -7,9 +7,9 @@ Every stage but the last returns the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clarion.functions.lineage import stored
+from clarion.functions.lineage import free_name, stored
 from clarion.llm import decontaminate, packing, secrets, simhash, toxicity
 
 
@@ -17,7 +17,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier takes for toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs.select("doc_id", "text"), labels)
-    return toxicity.scores(docs, model, into="_score").where("_score < 0.5").drop("_score")
+    score = free_name("_score", docs.columns)
+    return toxicity.scores(docs, model, into=score).where(F.col(score) < 0.5).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
