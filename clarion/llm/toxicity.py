@@ -29,9 +29,9 @@ from clarion.llm.labels import fold_of, training_rows
 
 FOLDS, HELD = 5, 0
 #: Labelled rows of each class that the lexicon is learned from, and the longest of them.
-PER_CLASS, MAX_TRAIN_BYTES = 6000, 60_000
-#: An entry is in that many toxic rows, with at least that weight, that many standard errors above zero.
-MIN_ROWS, MIN_WEIGHT, MIN_ERRORS, PREFIXES = 5, 1.0, 4.0, range(4, 9)
+PER_CLASS, MAX_TRAIN_BYTES = 6000, 20_000
+#: An entry is in that many toxic rows, with at least that weight and that likelihood ratio (chance gives 16 about once in 15,000 words).
+MIN_ROWS, MIN_WEIGHT, MIN_RATIO, PREFIXES = 4, 1.0, 16.0, range(4, 9)
 #: Entries that explain a toxic row, at most, before it no longer counts.
 COVER = 3
 
@@ -114,6 +114,13 @@ def _unlike(rows: list[list[str]], common: Counter, n: int) -> list[list[str]]:
     return list(out.values())
 
 
+def _ratio(m: int, n_pos: int, n: int, n_neg: int) -> float:
+    """Likelihood ratio (G) of a word in ``m`` of the toxic and ``n`` of the harmless rows against equal shares."""
+    p = (m + n) / (n_pos + n_neg)
+    cells = ((m, n_pos * p), (n_pos - m, n_pos * (1 - p)), (n, n_neg * p), (n_neg - n, n_neg * (1 - p)))
+    return 2 * sum(k * math.log(k / e) for k, e in cells if k)
+
+
 def _entries(rows: list[tuple[list[str], int]]) -> dict[str, float]:
     """Entries and weights (log ratio of the shares of toxic and harmless rows that have them).
 
@@ -138,7 +145,7 @@ def _entries(rows: list[tuple[list[str], int]]) -> dict[str, float]:
     def weight(e: str) -> float:
         n, m = other[e], own[e]
         w = math.log((m + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
-        return w if w >= MIN_ERRORS * math.sqrt(1 / (m + 0.5) + 1 / (n + 0.5)) else 0.0
+        return w if _ratio(m, n_pos, n, n_neg) >= MIN_RATIO else 0.0
 
     weights = {e: w for e in own if (w := weight(e)) >= MIN_WEIGHT}
     where: dict[str, set[int]] = defaultdict(set)
@@ -149,15 +156,20 @@ def _entries(rows: list[tuple[list[str], int]]) -> dict[str, float]:
     heap = [(-len(where[e]) * w, -len(e), e) for e, w in weights.items()]
     heapq.heapify(heap)
     left, out, times = set(range(n_pos)), {}, Counter()
+    stems: dict[str, list[str]] = defaultdict(list)
     while heap:
         gain, _, e = heapq.heappop(heap)
-        gained = len(where[e] & left)
+        # A form of a word that has an entry is of use only in other rows.
+        word = e.strip()
+        kin = [f for f in stems[word[: PREFIXES[0]]] if f.strip().startswith(word) or word.startswith(f.strip())]
+        gained = len((where[e] & left).difference(*(where[f] for f in kin)))
         if gained < MIN_ROWS:
             continue
         if gained * weights[e] < -gain - 1e-9:
             heapq.heappush(heap, (-gained * weights[e], -len(e), e))
             continue
         out[e] = weights[e]
+        stems[word[: PREFIXES[0]]].append(e)
         times.update(where[e])
         left -= {i for i in where[e] if times[i] >= COVER}
     return out
