@@ -190,7 +190,9 @@ def gate_errors(r: Column) -> Column:
     """What keeps a release report (a struct) from promotion, as an array of messages; empty promotes."""
     value = lambda side, name: F.coalesce(r[side][name], F.lit(0.0))
     no = lambda name: ~F.coalesce(r[name], F.lit(False))
-    devices = F.coalesce(r["devices"], F.array().cast("array<struct<name:string,peak_ram_mb:double,p95_seconds:double,free_storage_mb:double,repeated:boolean>>"))
+    fields = ("name", "peak_ram_mb", "p95_seconds", "free_storage_mb", "repeated")
+    none = F.array().cast("array<struct<name:string,peak_ram_mb:double,p95_seconds:double,free_storage_mb:double,repeated:boolean>>")
+    devices = F.coalesce(F.transform(r["devices"], lambda d: F.struct(*[d[k].alias(k) for k in fields])), none)
     number = lambda d: F.coalesce(F.regexp_extract(d["name"], r"iPhone\s+(\d+)", 1).try_cast("int"), F.lit(0))
     heavy = F.exists(devices, lambda d: (F.coalesce(d["peak_ram_mb"], F.lit(float("inf"))) >= 1000) | (F.coalesce(d["p95_seconds"], F.lit(float("inf"))) > 15))
     bare = F.exists(devices, lambda d: (F.coalesce(d["free_storage_mb"], F.lit(0.0)) == 0) | ~F.coalesce(d["repeated"], F.lit(False)))
