@@ -239,3 +239,21 @@ def label_order(probes: DataFrame, logits: str = "logits", expected: str = "expe
 def best_epoch(epochs: DataFrame, epoch: str = "epoch", f1: str = "f1", loss: str = "loss") -> DataFrame:
     """(epoch, f1, loss) of greatest F1 to twelve digits, then least loss, then the first."""
     return epochs.orderBy(F.desc(F.round(f1, 12)), F.asc(loss), F.asc(epoch)).limit(1).select(epoch, f1, loss)
+
+
+def training_pairs(records: DataFrame) -> DataFrame:
+    """(id, premise, hypothesis, label) of the pairs of reviewed train and calibration records; no other split takes part."""
+    rows = records.where(F.col("split").isin("train", "calibration") & (F.col("review_status") == "reviewed"))
+    return rows.select("id", F.explode("pairs").alias("p")).select("id", "p.premise", "p.hypothesis", "p.label").where(F.col("label").isin(*LABELS))
+
+
+def missing_labels(pairs: DataFrame) -> DataFrame:
+    """(label) of the three that no pair has; a training set must have none."""
+    all_ = pairs.sparkSession.createDataFrame([(x,) for x in LABELS], "label string")
+    return all_.join(pairs.select("label").distinct(), "label", "left_anti")
+
+
+def negation_coverage(claims: DataFrame, negations: DataFrame, key: str = "claim_id") -> DataFrame:
+    """(claims, skipped): how many claims have no automatic negation."""
+    both = claims.select(key).join(negations.select(key).distinct().withColumn("_has", F.lit(True)), key, "left")
+    return both.agg(F.count("*").alias("claims"), F.count_if(F.col("_has").isNull()).alias("skipped"))
