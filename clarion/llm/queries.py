@@ -69,5 +69,22 @@ def queries() -> dict:
     return {f.__name__: f for f in [*_ALL, pipeline]}
 
 
+_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+DECONTAMINATE_SQL = f"""with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+i as (select item_id, w, least(10, len(w)) as n from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+q as (select item_id, n, j, array_to_string(w[j:j + n - 1], ' ') as g from (select item_id, n, w, unnest(range(1, len(w) - n + 2)) as j from i)),
+g as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from q) where len(w) >= n)),
+m as (select doc_id, item_id, n, p, j from g join q using (n, g)),
+h as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(p, p + n)) as k from m) group by doc_id),
+s as (select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) as digest from m group by doc_id),
+r as (select doc_id, item_id, n, p - j as diagonal, p - row_number() over (partition by doc_id, item_id, p - j order by p) as island from m),
+l as (select doc_id, max(k) as longest from (select doc_id, count(*) + n - 1 as k from r group by doc_id, item_id, diagonal, island, n) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(digest, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(longest, 0)::int as longest from d left join h using (doc_id) left join s using (doc_id) left join l using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others use hashes, tokenizers, learned models or schedules that SQL lacks; tests hold them against brute force."""
+    return {"op1_decontaminate": DECONTAMINATE_SQL}
