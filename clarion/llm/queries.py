@@ -85,6 +85,30 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
   coalesce(longest, 0)::int as longest from d left join h using (doc_id) left join s using (doc_id) left join l using (doc_id)"""
 
 
+
+def _found_sql(kind: int, pattern: str, group: int = 0) -> str:
+    """Matches of one pattern with their number; places add up from the pieces between matches and the matches."""
+    p = pattern.replace("'", "''")
+    return f"""select doc_id, owner, {kind} as kind, gaps, found, vals, unnest(range(1, len(found) + 1)) as k from (
+  select doc_id, owner, regexp_split_to_array(text, '{p}') as gaps, regexp_extract_all(text, '{p}') as found, regexp_extract_all(text, '{p}', {group}) as vals from t)"""
+
+
+SECRETS_SQL = f"""with t as (select doc_id, coalesce(source, '') as owner, coalesce(text, '') as text from documents),
+f as ({_found_sql(0, secrets.ASSIGN, 2)} union all {_found_sql(1, secrets.ACCESS)} union all {_found_sql(2, secrets.HEX)} union all {_found_sql(4, secrets.TOKEN)}),
+m as (select doc_id, owner, kind, vals[k] as val, coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k], lambda x: length(x))), 0) as stop, length(found[k]) as n from f),
+c as (select doc_id, owner, kind, val, (stop - n)::bigint as start, stop::bigint as stop, (stop - length(val))::bigint as vstart from m
+  where (kind <> 0 or length(val) >= {secrets.ASSIGN_VALUE}) and (kind <> 1 or length(val) >= {secrets.ACCESS_LENGTH})),
+b as (select doc_id, kind, start, stop from c where kind < 4),
+l as (select * from c where {secrets.LIVE_SQL.format(v="val")} and (kind < 4 or not exists (select 1 from b where b.doc_id = c.doc_id and b.start < c.stop and c.start < b.stop))),
+r as (select val from l group by val having count(distinct owner) <= {secrets.MAX_OWNERS}),
+a as (select distinct doc_id, case when kind < 4 then 3 else 4 end as kind, vstart as start, stop from l where val in (select val from r)),
+s as (select *, {list(secrets.KINDS)!r}[kind + 1] || ':' || start || ':' || stop as s from (select * from b union all select doc_id, kind, start, stop from a)),
+g as (select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind > 2) as n_live,
+  string_agg(s, ',' order by start, kind, stop) as spans, string_agg(s, ',' order by start, kind, stop) filter (kind < 3) as base from s group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+from t left join g using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others use hashes, tokenizers, learned models or schedules that SQL lacks; tests hold them against brute force."""
-    return {"op1_decontaminate": DECONTAMINATE_SQL}
+    return {"op1_decontaminate": DECONTAMINATE_SQL, "op6_secrets": SECRETS_SQL}
