@@ -10,13 +10,14 @@ chunk bytes that another text has too measures how far the one is contained in t
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clarion.functions.lineage import extended
 
@@ -114,6 +115,13 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint")
     return docs.mapInArrow(scan, extended(docs.schema, f"`{into}` string"))
 
 
+def _rank(x: Column, edges: list[int]) -> Column:
+    """How many of the sorted ``edges`` are at most ``x``, by binary search in one constant; 0 for null."""
+    bounds = F.from_json(F.lit(json.dumps(edges)), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) <= x, at + s).otherwise(at))
+
+
 def with_neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(part, after, doc_id, text) dealt and sorted so that rows of a part follow each other in id order.
 
@@ -126,8 +134,7 @@ def with_neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * n
     edges = sorted(set(own.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))))
-    bounds = F.array(*[F.lit(int(e)) for e in edges]).cast("array<bigint>")
-    rows = own.select(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))).alias("part"), F.lit(0).alias("after"), "doc_id", "text")
+    rows = own.select(_rank(F.col("doc_id"), [int(e) for e in edges]).alias("part"), F.lit(0).alias("after"), "doc_id", "text")
     heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("h"))
     order = Window.orderBy("part")  # as many rows as parts
     last = F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

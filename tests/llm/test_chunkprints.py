@@ -51,3 +51,13 @@ def test_odd_tables(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     same = chunkprints.compare(docs(spark, ["a text", "a text", None, None], [3, 3, None, 4])).collect()
     assert len(same) == 4 and len({r.fingerprint for r in same}) == 2
+
+
+def test_parts_by_binary_search(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        edges = list(range(5, 5 + 3 * n, 3))
+        df = spark.createDataFrame([(x,) for x in [None, *range(0, 320)]], "x bigint")
+        got = df.select("x", chunkprints._rank(F.col("x"), edges).alias("k")).collect()
+        assert all(r.k == sum(r.x is not None and e <= r.x for e in edges) for r in got)
