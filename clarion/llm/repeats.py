@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clarion.functions.lineage import extended, shared_dir
+from clarion.functions.lineage import extended, shared_dir, stored, tidy
 from clarion.llm.decontaminate import shards
 
 LENGTH, GRAM, BATCHES, FAN = 200, 16, 4, 2
@@ -170,7 +170,8 @@ class LogIndex:
 
     def _write(self, entries: DataFrame) -> str:
         path = f"{shared_dir(self.spark)}/level-{uuid.uuid4().hex}"
-        entries.sortWithinPartitions("h", "g").write.option("compression", "zstd").parquet(path)
+        with tidy(self.spark):
+            entries.sortWithinPartitions("h", "g").write.option("compression", "zstd").parquet(path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -323,13 +324,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     spans = spans.unionByName(found.where("h is not null").join(twice, ["h", "g"]).select("doc_id", "d", "pos", "n"))
     # Anchors with several stretches of which one at least has a single place.
     mixed = entries.groupBy("h").agg(F.count("*").alias("m"), F.count_if(F.col("c") == 1).alias("singles")).where("m > 1 and singles > 0").select("h", "m")
-    asked = entries.join(mixed, "h").select("place.*", "h", (F.col("c") == 1).alias("single"), "m")
+    asked = stored(entries.join(mixed, "h").select("place.*", "h", (F.col("c") == 1).alias("single"), "m"))
     spans = spans.unionByName(_settle(_regions(docs, asked.where(F.col("m") <= cell), length, False), length))
     if not asked.where(F.col("m") > cell).isEmpty():
         wide = _regions(docs, asked.where(F.col("m") > cell), length, True)
         equal = wide.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
         spans = spans.unionByName(wide.where("single").join(equal, ["w1", "w2"]).select("doc_id", "d", "pos", F.lit(1).cast("bigint").alias("n")))
-    return spans.groupBy("doc_id", "d").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    return stored(spans.groupBy("doc_id", "d").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int]:
