@@ -28,8 +28,8 @@ from clarion.functions.lineage import extended, shared_dir, stored, tidy
 from clarion.llm.decontaminate import shards
 
 LENGTH, GRAM, BATCHES, FAN = 200, 16, 4, 2
-#: Stretches under one anchor that one task compares.
-CELL = 2000
+#: Stretches under one anchor that one task compares; a stretch has at most 2 * LENGTH bytes, so that is 3 MB at most.
+CELL = 8192
 #: Bytes of text hashed at once.
 SLICE = 1_500_000
 
