@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clarion.functions.text import fold, terms
+from clarion.functions.text import terms
 from clarion.functions.urls import allowed, canonical_online, host, matched_domain, profile
 
 K1, B = 1.2, 0.75
@@ -122,5 +122,7 @@ def needs_more(hits: DataFrame, claim_id: str = "claim_id", origin: str = "origi
     return agg.withColumn("expand", (F.col("origins") < 2) | (F.col("hits") < 4))
 
 
-def contains_folded(text: Column, part: Column) -> Column:
-    return fold(text).contains(fold(part))
+def consecutive(df: DataFrame, keys: list[str], order: list[Column], size: int, into: str = "batch") -> DataFrame:
+    """``df`` with the number of each row's run of ``size`` rows of its key, in order."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return df.withColumn(into, F.floor(n / size).cast("bigint"))

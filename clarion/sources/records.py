@@ -37,12 +37,26 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("errorifexists").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_state(df: DataFrame, path: str) -> None:
+    """Replaces the saved state (a game, a chosen question) by ``df``."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The saved state; no rows where nothing was saved."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """Reviewed entries (a JSON array) with their positions; a missing or broken file is an empty catalog."""
     columns = "id string, position bigint, claim string, entities array<string>, event_year int, verdict string, url string, title string, excerpt string, published_at string, status string, reviewer_ids array<string>"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([], columns)
     whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{', '.join(f'{a}:{b}' for a, b in (x.strip().split(' ', 1) for x in CATALOG.split(', ')))}>>")).alias("position", "e"))

@@ -1,7 +1,10 @@
+import tempfile
+
 from pyspark.sql import functions as F
 
 from clarion.functions import encoding, notes
-from clarion.operators import evaluation
+from clarion.operators import evaluation, retrieval
+from clarion.sources import records
 
 
 def test_special_tokens_survive_truncation(spark):
@@ -32,3 +35,13 @@ def test_training_guard(spark):
     assert {r.label for r in evaluation.missing_labels(pairs).collect()} == {"entailment", "contradiction"}
     claims = spark.range(3).withColumnRenamed("id", "claim_id")
     assert tuple(evaluation.negation_coverage(claims, claims.where("claim_id < 2")).first()) == (3, 1)
+
+
+def test_state_and_runs(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/state"
+    assert records.load_state(spark, path, "hits int").count() == 0
+    for n in (1, 2):
+        records.save_state(spark.createDataFrame([(n,)], "hits int"), path)
+    assert [r.hits for r in records.load_state(spark, path, "hits int").collect()] == [2]
+    rows = retrieval.consecutive(spark.range(10).withColumn("k", F.lit(0)), ["k"], [F.col("id")], 4)
+    assert [r.batch for r in rows.orderBy("id").collect()] == [0] * 4 + [1] * 4 + [2] * 2
