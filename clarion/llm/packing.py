@@ -131,11 +131,11 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     last = int(end).to_bytes(4, "little")
 
     def scan(batches):
-        encode = tokens.encoder(path, split).encode
+        encode = tokens.encoder(path, split).encode_all
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = encode(t) + last
+            for i, ids in enumerate(encode(batch.column(1).to_pylist())):
+                ids += last
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
                     row.append(i)

@@ -44,10 +44,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     last = int(end).to_bytes(4, "little")
 
     def scan(batches):
-        encode = tokens.encoder(tokenizer, split).encode
+        encode = tokens.encoder(tokenizer, split).encode_all
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encode(t) + last for t in batch.column(1).to_pylist()]
+            ids = [x + last for x in encode(batch.column(1).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))

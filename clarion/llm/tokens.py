@@ -7,10 +7,10 @@ from functools import cache
 
 import numpy as np
 
-#: Pieces of text whose ids are remembered in a Python worker, at most.
-REMEMBERED = 200_000
-#: Bytes of text encoded in one call.
-SLICE = 4_000_000
+#: Pieces of text whose ids are remembered in a Python worker, at most; about 200 bytes each.
+REMEMBERED = 1_000_000
+#: Characters of text whose pieces are looked up at once, and of new pieces encoded in one call.
+SLICE, CALL = 4_000_000, 200_000
 
 # Places where a tokenizer's own splitting always cuts, so pieces can be encoded one by one:
 #: byte-level BPE with a space in front of words: a space that a non-space follows, and runs of spaces.
@@ -25,7 +25,9 @@ class Encoder:
     """Ids of whole texts, the same as from one call of the tokenizer for each text.
 
     The tokenizers cut a text at white space before they merge bytes. Distinct pieces are
-    encoded once and remembered; texts where the cut could differ are encoded whole.
+    encoded once and remembered; texts where the cut could differ are encoded whole. New
+    pieces go to the tokenizer many at a time, with a special token between them: it splits
+    there first, and no piece can yield that token's id.
     """
 
     def __init__(self, path: str, pieces: str | None):
@@ -34,38 +36,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = re.compile(pieces) if pieces else None
         self.known: dict[str, bytes] = {}
+        self.separator = next((t for t in ("<|endoftext|>",) if self.tokenizer.token_to_id(t) is not None), None)
+        self.mark = self.tokenizer.token_to_id(self.separator) if self.separator else None
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        if not text:
-            return b""
-        if self.pieces is None or _UNSAFE.search(text):
-            return self._encode([text])[0]
-        out = []
-        # A very long text is taken in parts that end between pieces.
-        part: list[str] = []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text; pieces that are new are gathered over a slice of the texts."""
+        out: list[bytes] = []
+        held: list[list[str] | bytes] = []
         size = 0
-        for piece in self.pieces.findall(text):
-            part.append(piece)
-            size += len(piece)
+        for text in texts:
+            if not text:
+                held.append(b"")
+            elif self.pieces is None or self.separator is None or _UNSAFE.search(text):
+                held.append(self._ids(text).tobytes())
+            else:
+                held.append(self.pieces.findall(text))
+                size += len(text)
             if size > SLICE:
-                out.append(self._joined(part))
-                part, size = [], 0
-        out.append(self._joined(part))
-        return b"".join(out)
+                out += self._joined(held)
+                held, size = [], 0
+        return out + self._joined(held)
 
-    def _joined(self, part: list[str]) -> bytes:
+    def _joined(self, held: list[list[str] | bytes]) -> list[bytes]:
         known = self.known
-        new = list(set(part) - known.keys())
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(part))
-            known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, part))
+        new = [x for x in set().union(*(p for p in held if not isinstance(p, bytes))) if x not in known]
+        self._learn(new)
+        get = known.__getitem__
+        out = [p if isinstance(p, bytes) else b"".join(map(get, p)) for p in held]
+        # The pieces met first are mostly the frequent ones: when full, later ones are forgotten again.
+        for x in new[max(0, REMEMBERED - len(known) + len(new)) :]:
+            del known[x]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        part: list[str] = []
+        size = 0
+        for x in [*new, None]:
+            if x is None or size > CALL:
+                if part:
+                    ids = self._ids(self.separator.join(part))
+                    ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                    raw = ids.tobytes()
+                    self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True))
+                part, size = [], 0
+            if x is not None:
+                part.append(x)
+                size += len(x)
 
 
 @cache
