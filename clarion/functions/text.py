@@ -77,21 +77,34 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).when(cut == "", head).otherwise(cut)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside a function over an array it would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(words: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` words; of fewer words, the distinct words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.array_distinct(F.when(F.size(words) >= size, runs).otherwise(words))
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.array_distinct(F.when(F.size(w) >= size, made).otherwise(w))
+
+    return let(words, runs)
 
 
 def protected(words: Column) -> Column:
     """Sorted qualifiers and numbers with their neighbours: two texts that differ here are no duplicates."""
-    marked = F.transform(
-        words,
-        lambda w, i: F.when(w.isin(*QUALIFIERS), w).when(
-            w.rlike(r"\p{N}"), F.array_join(F.slice(words, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
-        ),
-    )
-    return F.array_sort(F.filter(marked, lambda w: w.isNotNull()))
+
+    def marked(words: Column) -> Column:
+        each = F.transform(
+            words,
+            lambda w, i: F.when(w.isin(*QUALIFIERS), w).when(
+                w.rlike(r"\p{N}"), F.array_join(F.slice(words, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
+            ),
+        )
+        return F.array_sort(F.filter(each, lambda w: w.isNotNull()))
+
+    return let(words, marked)
 
 
 def jaccard(a: Column, b: Column) -> Column:
