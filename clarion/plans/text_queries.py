@@ -150,7 +150,7 @@ def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn")
     quoted = F.to_json(F.struct(F.substring("text", 1, 150).alias("query")))
     body = (
-        F.when(t % 7 == 1, F.substring(quoted, 1, 40)).when(t % 7 == 2, F.lit('{"q": 1}')).when(t % 7 == 3, F.lit('{"query": 5}'))
+        F.when(t % 7 == 1, F.concat(F.lit("{"), quoted)).when(t % 7 == 2, F.lit('{"q": 1}')).when(t % 7 == 3, F.lit('{"query": 5}'))
         .when(t % 7 == 4, F.to_json(F.struct(F.repeat(F.lit("x"), F.lit(201)).alias("query")))).when(t % 7 == 5, F.to_json(F.struct(F.repeat(F.lit("y"), F.lit(9000)).alias("query")))).otherwise(quoted)
     )
     status = quota.request_status(F.when(F.col("conv_id") % 5 == 0, "GET").otherwise("POST"), F.when(F.col("conv_id") % 7 == 0, "text/plain").otherwise("application/json; charset=utf-8"), body.cast("binary"))
