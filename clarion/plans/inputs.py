@@ -104,17 +104,18 @@ DOMAINS = ("g1.globo.com", "www.bbc.com", "saude.gov.br", "oglobo.globo.com", "a
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search hits of benchmark items: a document per hit, at addresses of seven domains, some of them repeated."""
+    """Search hits of all benchmark items: a whole document per hit, at addresses of seven domains, some of them repeated."""
     d = F.col("doc_id")
+    items = F.broadcast(read(spark, sf_dir, "benchmark").agg(F.count("*").alias("_items")))
     domain = F.element_at(F.array(*[F.lit(x) for x in DOMAINS]), (d % 7 + 1).cast("int"))
-    return read(spark, sf_dir, "documents").select(
-        (d % 40).alias("claim_id"), d.alias("ix"), F.concat(F.lit("https://"), domain, F.lit("/noticia/"), (d % 45).cast("string"), F.when(d % 3 == 0, "?utm_source=x").otherwise("/")).alias("url"),
-        F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 1500).alias("content"), ((d % 10) / 10.0).alias("score"),
+    return read(spark, sf_dir, "documents").crossJoin(items).select(
+        (d % F.col("_items")).alias("claim_id"), d.alias("ix"), F.concat(F.lit("https://"), domain, F.lit("/noticia/"), (d % 45).cast("string"), F.when(d % 3 == 0, "?utm_source=x").otherwise("/")).alias("url"),
+        F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), ((d % 10) / 10.0).alias("score"),
     )
 
 
 def hit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("claim_id"), "text")
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
 
 
 HITS_SQL = """hits as (
