@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by patterns. Their values' hashes are counted over the whole corpus
-by distinct repositories and owners: a value that many owners share is a copied example,
-one that few owners have and that looks random is taken for a live credential.
+by distinct repositories and owners: a value of more than ``MAX_OWNERS`` owners or more than
+``MAX_REPOSITORIES`` repositories is a copied example, any other that looks random is
+taken for a live credential.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "live", "token")
 #: A value with more owners than this is a copied example.
 MAX_OWNERS = 2
+#: So is one in more repositories than this, whoever owns them.
+MAX_REPOSITORIES = 10
 #: A value that looks random: letters and digits, eight characters or more.
 LIVE = r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z]).{8,}$"
 LIVE_SQL = "regexp_matches({v}, '[0-9].*[0-9]') and regexp_matches({v}, '[A-Za-z]') and length({v}) >= 8"
@@ -58,11 +61,12 @@ def candidates(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, _matches(text, HEX, 2), _matches(text, TOKEN, 4)))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, base, added) per row of ``docs``: arrays of (start, kind, end), kinds as places in ``KINDS``.
 
     base: assign, access and hex spans. added: the value of each base candidate that is
     owner-specific and looks random (live), and such runs outside base spans (token).
+    A value is owner-specific with at most ``max_owners`` owners and ``max_repositories`` repositories.
     A null owner or repository counts as one more owner or repository. Repeated rows each
     get a result; they add to no count, being of one repository.
     """
@@ -81,7 +85,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
         live.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("x")).groupBy("hash", "owner").agg(F.count("*").alias("n"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     )
-    rare = counts.where(F.col("owners") <= max_owners).select("hash")
+    rare = counts.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
     kind = F.when(F.col("kind") < 4, 3).otherwise(4)
     added = live.join(rare, "hash").groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("vstart").alias("start"), kind.alias("kind"), "end"))).alias("added"))
     short = F.transform(base, lambda x: F.struct(x.start, x.kind, x.end))

@@ -3,6 +3,7 @@ import random
 import re
 
 from helpers import CLASHES, ODD, docs, words
+from pyspark.sql import functions as F
 
 from clarion.llm import secrets
 
@@ -51,3 +52,13 @@ def test_odd_tables(spark):
     twice = docs(spark, ["secret = kY7s92Lq0zPd"] * 2, [1, 1])
     assert [r.n_assign for r in secrets.report(twice).collect()] == [1, 1]
     assert [r.text for r in secrets.redacted(twice).collect()] == ["secret = [SECRET]"] * 2
+
+
+def test_a_value_in_many_documents_of_one_source_is_an_example(spark):
+    copied, own = "secret = kY7s92Lq0zPd", "secret = Zq81mN04xTbc"
+    n = secrets.MAX_REPOSITORIES
+    df = docs(spark, [f"{copied} {k}" for k in range(n + 1)] + [f"{own} {k}" for k in range(n)]).withColumn("source", F.lit("hot"))
+    live = {r.doc_id: r.n_live for r in secrets.report(df).collect()}
+    assert live == {k: int(k > n) for k in range(2 * n + 1)}
+    got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert got == {k: f"{copied} {k}" if k <= n else f"secret = [SECRET] {k - n - 1}" for k in range(2 * n + 1)}
