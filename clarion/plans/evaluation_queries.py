@@ -203,7 +203,7 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pairs: the role is the hypothesis; labels are given by number, a tenth of them unknown."""
     t = F.col("turn") + F.col("conv_id")
     label = F.when(t % 10 == 9, "?").when(t % 3 == 0, "entailment").when(t % 3 == 1, "neutral").otherwise("contradiction")
-    return audits.pair_audit(inputs.read(spark, sf_dir, "conversations").select(F.substring("text", 1, 20).alias("sentence1"), "role", label.alias("gold_label")), hypothesis="role")
+    return audits.pair_audit(inputs.read(spark, sf_dir, "conversations").select(F.col("text").alias("sentence1"), "role", label.alias("gold_label")), hypothesis="role")
 
 
 AUDIT_SQL = """with p as (select trim(substr(text, 1, 20)) as a, trim(role) as b, case when (turn + conv_id) % 10 = 9 then '?' when (turn + conv_id) % 3 = 0 then 'entailment' when (turn + conv_id) % 3 = 1 then 'neutral' else 'contradiction' end as l from conversations)

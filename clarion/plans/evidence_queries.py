@@ -197,9 +197,9 @@ select source, doc_id, ix from r where best <= 48 or (ix % step = 0 and ix // st
 
 
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as windows: every third one grows by its neighbours within 300 tokens."""
+    """Turns of conversations as windows: every one grows by its neighbours within 300 tokens."""
     w = inputs.read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ix"), "text")
-    chosen = w.where("ix % 3 = 0").withColumn("position", F.col("ix"))
+    chosen = w.withColumn("position", F.col("ix"))
     out = retrieval.expanded(w, chosen, ["conv_id"], F.lit(300), token_estimate)
     return out.select("conv_id", "ix", F.md5("expanded").alias("expanded_md5"), F.length("expanded").alias("n_chars"))
 

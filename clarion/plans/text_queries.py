@@ -61,7 +61,7 @@ select ix, domain, case domain when 'g1.globo.com' then 'G1' when 'bbc.com' then
 
 
 def claim_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = claim_ops.validity(F.substring("text", 1, 1200))
+    v = claim_ops.validity(F.col("text"))
     return inputs.read(spark, sf_dir, "documents").select("doc_id", v.status.alias("status"), v.delta.alias("delta"))
 
 
@@ -148,7 +148,7 @@ LONGEST_SQL = """select source, doc_id, length(text)::int as n, (row_number() ov
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests made of conversation turns: broken JSON, missing queries, long ones and wrong methods among them."""
     t = F.col("turn")
-    quoted = F.to_json(F.struct(F.substring("text", 1, 150).alias("query")))
+    quoted = F.to_json(F.struct(F.col("text").alias("query")))
     body = (
         F.when(t % 7 == 1, F.concat(F.lit("{"), quoted)).when(t % 7 == 2, F.lit('{"q": 1}')).when(t % 7 == 3, F.lit('{"query": 5}'))
         .when(t % 7 == 4, F.to_json(F.struct(F.repeat(F.lit("x"), F.lit(201)).alias("query")))).when(t % 7 == 5, F.to_json(F.struct(F.repeat(F.lit("y"), F.lit(9000)).alias("query")))).otherwise(quoted)

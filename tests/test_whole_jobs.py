@@ -45,3 +45,30 @@ def test_every_item_is_ranked_over_whole_texts(spark, items):
     ranked = catalog.queries()["origin_diversity_rank"](spark, folder)
     assert {r.claim_id for r in ranked.select("claim_id").distinct().collect()} == set(range(50))
     assert inputs.hit_claims(spark, folder).count() == 50
+
+
+def test_excess_of_whole_claims(spark, sf_dir):
+    same(spark, sf_dir, oracle.connection(sf_dir), "claim_validity", ("trim(substr(text, 1, 1200))", "trim(text)"))
+
+
+@pytest.fixture(scope="module")
+def turns(sf_dir, tmp_path_factory):
+    """A folder with conversations, two turns of which have one opening and role, and DuckDB over it."""
+    folder, c = tmp_path_factory.mktemp("turns"), duckdb.connect()
+    opening = "the same opening of two turns"
+    c.execute(f"copy (select conv_id, turn, role, text from '{sf_dir}/conversations.parquet' union all select 9001, k, 'user', '{opening} ' || k from range(2) t(k)) to '{folder}/conversations.parquet'")
+    c.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    return str(folder), c
+
+
+def test_turns_with_one_opening_are_different_pairs(spark, turns):
+    same(spark, *turns, "audit_counts", ("trim(substr(text, 1, 20))", "trim(text)"))
+
+
+def test_real_texts_meet_the_200_character_rule(spark, turns):
+    got = same(spark, *turns, "request_status", ("length(trim(substr(text, 1, 150))) < 1", "length(trim(text)) not between 1 and 200"))
+    assert got
+
+
+def test_every_turn_is_expanded(spark, turns):
+    same(spark, *turns, "neighbour_expansion", (" where ix % 3 = 0", ""))
