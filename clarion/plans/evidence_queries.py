@@ -252,9 +252,11 @@ MEMBERS_SQL = f"with t as (select doc_id, {_TERMS.format('text')} as w from docu
 
 
 def leader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a claim in order of number: exact copies follow their leader; whole texts, eight articles a claim."""
-    d = inputs.read(spark, sf_dir, "documents").select(
-        F.pmod(F.length("text"), F.lit(97)).cast("bigint").alias("claim_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), (F.col("doc_id") % 50).cast("string")).alias("url"),
+    """A claim for every eight documents of similar length in order of text, so that copies meet; a fifth of the URLs repeat."""
+    d = inputs.read(spark, sf_dir, "documents").withColumn("size", F.floor(F.length("text") / 64).cast("bigint"))
+    page = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("l"), F.col("size").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    d = retrieval.consecutive(d, ["size"], [F.col("text"), F.col("doc_id")], duplicates.ARTICLES).select(
+        (F.col("size") * (1 << 32) + F.col("batch")).alias("claim_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), page).alias("url"),
         "text", (F.col("doc_id") % 11 == 0).alias("is_partial"),
     )
     return duplicates.leaders(d)
@@ -289,14 +291,12 @@ qualify row_number() over (partition by user_id, kind order by event_id) <= case
 
 
 def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over benchmark items as claims, with documents as articles; logits stand in by a rule."""
-    claims = inputs.hit_claims(spark, sf_dir).withColumn("reference_ts", F.lit("2024-02-01 12:00:00").cast("timestamp"))
-    hits = inputs.hits(spark, sf_dir)
-    docs = inputs.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ix"), "text")
-    articles = hits.join(docs, "ix").select(
-        "url", "text", F.lit("articleBody").alias("provenance"), (F.col("ix") % 9 == 0).alias("is_partial"), F.lit("2024-01-20").cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("original_source"), "ix"
+    """The whole pipeline over a claim for every eight documents, each an article; logits stand in by a rule."""
+    claims = inputs.article_claims(spark, sf_dir).withColumn("reference_ts", F.lit("2024-02-01 12:00:00").cast("timestamp"))
+    hits = inputs.article_hits(spark, sf_dir)
+    articles = hits.select(
+        "url", F.col("content").alias("text"), F.lit("articleBody").alias("provenance"), (F.floor(F.col("ix") / 2) % 9 == 0).alias("is_partial"), F.lit("2024-01-20").cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("original_source")
     )
-    articles = claim_ops.keep_first(articles, ["url"], [F.col("ix")]).drop("ix")
 
     def infer(pairs: DataFrame) -> DataFrame:
         h = lambda k: F.crc32(F.concat(F.lit(k), "premise", "hypothesis").cast("binary")) % 97 / 20.0

@@ -118,6 +118,25 @@ def hit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
 
 
+def article_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a claim for every eight documents: each at a URL of its own, every tenth found once more under another spelling."""
+    d = F.col("doc_id")
+    domain = F.element_at(F.array(*[F.lit(x) for x in DOMAINS[:6]]), (d % 6 + 1).cast("int"))
+    again = F.explode(F.when(d % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    return read(spark, sf_dir, "documents").select("doc_id", "text", again).select(
+        F.floor(d / 8).cast("bigint").alias("claim_id"), (d * 2 + F.col("again")).alias("ix"), F.concat(F.lit("https://"), domain, F.lit("/noticia/"), d.cast("string"), F.when(F.col("again") == 1, "?utm_source=x").otherwise("/")).alias("url"),
+        F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), ((d % 10) / 10.0).alias("score"),
+    )
+
+
+def article_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of ``article_hits``, worded by the benchmark items in turn."""
+    items = read(spark, sf_dir, "benchmark")
+    n = F.broadcast(items.agg(F.count("*").alias("_items")))
+    own = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).cast("bigint").alias("claim_id")).distinct().crossJoin(n)
+    return own.join(items, F.col("claim_id") % F.col("_items") == F.col("item_id")).select("claim_id", "text")
+
+
 HITS_SQL = """hits as (
   select doc_id % 40 as claim_id, doc_id as ix, 'https://' || d || '/noticia/' || doc_id % 45 || case when doc_id % 3 = 0 then '?utm_source=x' else '/' end as url,
     'https://' || case when d = 'www.bbc.com' then 'bbc.com' else d end || '/noticia/' || doc_id % 45 as canonical, d,

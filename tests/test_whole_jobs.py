@@ -72,3 +72,20 @@ def test_real_texts_meet_the_200_character_rule(spark, turns):
 
 def test_every_turn_is_expanded(spark, turns):
     same(spark, *turns, "neighbour_expansion", (" where ix % 3 = 0", ""))
+
+
+def test_every_document_is_compared_with_its_leaders(spark, sf_dir):
+    run = "row_number() over (partition by length(text) // 64 order by text, doc_id)"
+    duck = oracle.connection(sf_dir)
+    got = same(
+        spark, sf_dir, duck, "leader_dedup", ("select length(text) % 97 as claim_id", f"select (length(text) // 64) * 4294967296 + ({run} - 1) // 8 as claim_id"),
+        ("doc_id % 50 as url", "case when doc_id % 5 = 0 then 'l' || length(text) // 64 else doc_id::varchar end as url"), ("qualify row_number() over (partition by length(text) % 97 order by doc_id) <= 8", ""),
+    )
+    assert len(got) == duck.execute("select count(*) from documents").fetchone()[0]
+
+
+def test_every_document_is_an_article_of_a_claim(spark, sf_dir):
+    n = oracle.connection(sf_dir).execute("select count(*) from documents").fetchone()[0]
+    got = catalog.queries()["verify_claims"](spark, sf_dir).collect()
+    assert len(got) == -(-n // 8)
+    assert (sum(r.found for r in got), sum(r.read for r in got)) == (n, n)
