@@ -172,6 +172,11 @@ def policy_grid(gold: DataFrame, records: DataFrame, temperature: float = 1.0, s
     both = records.join(gold.select("id", F.col("verdict").alias("expected")), "id").withColumn("g", F.explode(F.array(*grid)))
     at = lambda k: F.lit(0.5) + F.col(f"g.{k}") * STEP
     both = both.select(F.col("g.i").alias("i"), F.col("g.j").alias("j"), "expected", offline_verdict(at("i"), at("j"), temperature).alias("actual"))
+    return _grid_report(both)
+
+
+def _grid_report(both: DataFrame) -> DataFrame:
+    """The measures of judged cases (i, j, expected, actual) at every grid point."""
     directional, resolvable, right = F.col("actual").isin(*DIRECTIONAL), F.col("expected").isin(*DIRECTIONAL), F.col("actual") == F.col("expected")
     zero = lambda a, b: F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(0.0))
     return both.groupBy("i", "j").agg(
@@ -179,6 +184,40 @@ def policy_grid(gold: DataFrame, records: DataFrame, temperature: float = 1.0, s
     ).select("i", "j", (F.lit(0.5) + F.col("i") * STEP).alias("minimum"), (F.lit(0.5) + F.col("j") * STEP).alias("single"), "macro_f1", "accuracy", "coverage", "precision")
 
 
+def strongest_votes(passages: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(id, origin_group, label, score): the greatest score of each claim, origin and label; a maximum combines before the shuffle.
+
+    passages: id, origin_group, is_partial, provenance, temporal_alignment, duplicate_of, logits. Unusable and neutral ones cast no vote.
+    """
+    usable = ~F.coalesce("is_partial", F.lit(False)) & (F.coalesce("provenance", F.lit("")) != "searchSnippet") & (F.coalesce("temporal_alignment", F.lit("")) == "compatible") & F.col("duplicate_of").isNull()
+    own = passages.where(usable).select("id", "origin_group", softmax(F.col("logits"), temperature).alias("p")).withColumn("score", F.array_max("p"))
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("p", F.col("score")).cast("int"))
+    return own.withColumn("label", label).where("label <> 'neutral'").groupBy("id", "origin_group", "label").agg(F.max("score").alias("score"))
+
+
+def policy_grid_of_votes(gold: DataFrame, claims: DataFrame, votes: DataFrame, steps: int = STEPS) -> DataFrame:
+    """``policy_grid`` from ``strongest_votes``: no record is gathered, however many passages a claim has.
+
+    claims: id, found_articles, error. Whether all votes at a minimum have one origin, and the greatest
+    score of either label there, decide every grid point of that minimum.
+    """
+    level = lambda k: F.lit(0.5) + F.col(k) * STEP
+    cast = votes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).where(F.col("score") >= level("i"))
+    origin = F.struct(F.col("origin_group").isNull().alias("none"), F.coalesce("origin_group", F.lit("")).alias("name"))
+    best = lambda k: F.max(F.when(F.col("label") == k, F.col("score")))
+    per = cast.groupBy("id", "i").agg((F.min(origin) == F.max(origin)).alias("one"), best("entailment").alias("_yes"), best("contradiction").alias("_no"))
+    grid = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(steps) for j in range(i, steps)]
+    cases = claims.join(gold.select("id", F.col("verdict").alias("expected")), "id").withColumn("g", F.explode(F.array(*grid)))
+    both = cases.select("id", "found_articles", "error", "expected", F.col("g.i").alias("i"), F.col("g.j").alias("j")).join(per, ["id", "i"], "left")
+    bound = F.when(F.col("one"), level("j")).otherwise(level("i"))
+    yes, no = (F.coalesce(F.col(k) >= bound, F.lit(False)) for k in ("_yes", "_no"))
+    actual = (
+        F.when(F.coalesce("error", F.lit("")) != "", "ERROR").when(F.coalesce("found_articles", F.lit(0)) == 0, "NAO_ENCONTRADO").when(yes & no, "DIVERGENTE")
+        .when(yes, "CONFIRMADO").when(no, "CONTRADITO").otherwise("SEM_INFORMACAO")
+    )
+    return _grid_report(both.select("i", "j", "expected", actual.alias("actual")))
+
+
 def selected_policy(grid: DataFrame, precision: float = 0.9, coverage: float = 0.7) -> DataFrame:
     """The best grid point that meets both targets: macro F1, accuracy, coverage, precision, then the first; no row if none does."""
     ok = grid.where((F.col("precision") >= precision) & (F.col("coverage") >= coverage))

@@ -81,21 +81,17 @@ l as (select position, temperature, avg(-ln(greatest(1e-15, exp((z - greatest(z1
 select round(arg_min(temperature, (round(loss, 12), position)), 9) as temperature, round(min(case when temperature = 1.0 then loss end), 8) as loss_before, round(min(loss), 8) as loss_after from l"""
 
 
-def policy_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = inputs.passages(spark, sf_dir)
-    source = F.struct(
-        F.col("origin").alias("origin_group"), "provenance", "is_partial", F.col("alignment").alias("temporal_alignment"), F.lit(None).cast("string").alias("duplicate_of"),
-        F.array(F.struct("logits")).alias("passages"),
-    )
-    # At most ten thousand passages a claim lie in one record: a record is what a replay of one claim writes.
-    r = p.groupBy("claim_id").agg(F.collect_list(source).alias("sources"), F.count("*").cast("int").alias("found_articles")).select(F.col("claim_id").alias("id"), "sources", "found_articles", F.when(F.col("claim_id") % 41 == 0, "timeout").alias("error"))
+def policy_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gold, claims, votes) of the passages."""
+    p = inputs.passages(spark, sf_dir).withColumn("id", F.col("claim_id"))
+    votes = evaluation.strongest_votes(p.select("id", F.col("origin").alias("origin_group"), "provenance", "is_partial", F.col("alignment").alias("temporal_alignment"), F.lit(None).cast("string").alias("duplicate_of"), "logits"))
+    claims = p.groupBy("id").agg(F.count("*").alias("found_articles")).withColumn("error", F.when(F.col("id") % 41 == 0, "timeout"))
     gold = spark.range(0, 97).select("id", F.when(F.col("id") % 3 == 0, "CONFIRMADO").when(F.col("id") % 3 == 1, "CONTRADITO").otherwise("DIVERGENTE").alias("verdict"))
-    return gold, r
+    return gold, claims, votes
 
 
 def policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, r = policy_records(spark, sf_dir)
-    g = evaluation.policy_grid(gold, r, steps=8)
+    g = evaluation.policy_grid_of_votes(*policy_votes(spark, sf_dir))
     return g.select("i", "j", *[F.round(c, 9).alias(c) for c in ("minimum", "single", "macro_f1", "accuracy", "coverage", "precision")])
 
 

@@ -4,10 +4,14 @@ The registered SQL of some queries still cuts what the queries no longer cut; he
 cuts are lifted from it, each of which must be there to be lifted.
 """
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import oracle
+from clarion.operators import evaluation
 from clarion.plans import catalog, inputs
 
 
@@ -89,3 +93,22 @@ def test_every_document_is_an_article_of_a_claim(spark, sf_dir):
     got = catalog.queries()["verify_claims"](spark, sf_dir).collect()
     assert len(got) == -(-n // 8)
     assert (sum(r.found for r in got), sum(r.read for r in got)) == (n, n)
+
+
+def test_all_steps_of_the_policy_grid(spark, sf_dir):
+    got = same(spark, sf_dir, oracle.connection(sf_dir), "policy_grid", ("range(8) a, range(8) b", "range(19) a, range(19) b"))
+    assert len(got) == 190
+    plan = catalog.queries()["policy_grid"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_votes_decide_like_whole_records(spark):
+    """Null origins, single origins, neutral, unusable and empty claims, against records that hold all passages."""
+    rng = random.Random(5)
+    rows = [(k % 12, rng.choice([None, "", "a", "b"]) if k % 12 > 3 else "a", rng.random() < 0.2, "articleBody", "compatible", None, [rng.uniform(0, 3) for _ in range(3)]) for k in range(90)]
+    p = spark.createDataFrame(rows, "id long, origin_group string, is_partial boolean, provenance string, temporal_alignment string, duplicate_of string, logits array<double>")
+    gold = spark.range(13).select("id", F.when(F.col("id") % 2 == 0, "CONFIRMADO").otherwise("DIVERGENTE").alias("verdict"))
+    none = spark.createDataFrame([(12, 0, "", [])], p.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.lit("").alias("error"), F.collect_list(F.struct("origin_group", "is_partial", "provenance", "temporal_alignment", "duplicate_of", F.array(F.struct("logits")).alias("passages"))).alias("sources")).schema)
+    records = p.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.when(F.col("id") == 7, "timeout").otherwise("").alias("error"), F.collect_list(F.struct("origin_group", "is_partial", "provenance", "temporal_alignment", "duplicate_of", F.array(F.struct("logits")).alias("passages"))).alias("sources")).unionByName(none).withColumnRenamed("n", "found_articles")
+    want = oracle.of_spark(evaluation.policy_grid(gold, records))
+    assert oracle.of_spark(evaluation.policy_grid_of_votes(gold, records.drop("sources"), evaluation.strongest_votes(p))) == want
