@@ -49,16 +49,25 @@ def embedded(df: DataFrame, embed: Provider, text: str, into: str) -> DataFrame:
     return df.join(distinct, text)
 
 
-def verify(claims: DataFrame, hits: DataFrame, articles: DataFrame, infer: Provider, embed: Provider = hashed_embedding, policy: dict | None = None, tokens: Callable[[Column], Column] = token_estimate) -> tuple[DataFrame, DataFrame]:
+def verify(claims: DataFrame, hits: DataFrame, articles: DataFrame, infer: Provider, embed: Provider = hashed_embedding, policy: dict | None = None, tokens: Callable[[Column], Column] = token_estimate, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, sources).
 
     claims: claim_id, text, reference_ts. hits: claim_id, ix, url, title, content, score.
     articles: url, text, provenance, is_partial, published_at, original_source.
     results: claim_id, verdict, error, sources, found, read, used, independent_origins. A claim whose hits
-    could not be read at all has the error readingIncomplete and no verdict.
+    could not be read at all has the error readingIncomplete and no verdict. A claim that a reviewed entry
+    of ``catalog`` settles has that entry's verdict; it is neither searched nor voted on and has no sources.
     """
     policy = policy or verdicts.BASELINE
     c = claims.withColumn("context", claim_ops.context(F.col("text"), F.col("reference_ts")))
+    if catalog is not None:
+        matches = claim_ops.catalog_matches(c.select("claim_id", "text", "context.kind", "context.start"), catalog)
+        settled = stored(matches.join(catalog.select(F.col("id").alias("entry_id"), "verdict"), "entry_id").select("claim_id", "verdict"))
+        rest = lambda df: df.join(settled, "claim_id", "left_anti")
+        results, sources = verify(rest(claims), rest(hits), articles, infer, embed, policy, tokens)
+        none = {k: F.lit(0).cast(results.schema[k].dataType) for k in ("sources", "found", "read", "used", "independent_origins")}
+        done = settled.withColumns({"error": F.lit(None).cast("string")} | none)
+        return results.unionByName(done), sources
     ranked = stored(retrieval.ranked_articles(hits, claims.select("claim_id", "text")))
     chosen = ranked.where(F.col("position") <= READ).select("claim_id", "url", F.col("position").alias("rank"), "origin")
     read = stored(chosen.join(articles.where("text is not null"), "url"))

@@ -4,6 +4,7 @@ The registered SQL of some queries still cuts what the queries no longer cut; he
 cuts are lifted from it, each of which must be there to be lifted.
 """
 
+import datetime as dt
 import random
 
 import duckdb
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import oracle
 from clarion.operators import evaluation
-from clarion.plans import catalog, inputs
+from clarion.plans import catalog, inputs, verification
 
 
 def lifted(name, *cuts):
@@ -112,3 +113,18 @@ def test_votes_decide_like_whole_records(spark):
     records = p.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.when(F.col("id") == 7, "timeout").otherwise("").alias("error"), F.collect_list(F.struct("origin_group", "is_partial", "provenance", "temporal_alignment", "duplicate_of", F.array(F.struct("logits")).alias("passages"))).alias("sources")).unionByName(none).withColumnRenamed("n", "found_articles")
     want = oracle.of_spark(evaluation.policy_grid(gold, records))
     assert oracle.of_spark(evaluation.policy_grid_of_votes(gold, records.drop("sources"), evaluation.strongest_votes(p))) == want
+
+
+def test_a_reviewed_entry_settles_its_claim(spark):
+    day = dt.datetime(2026, 1, 1)
+    text = "A lei foi aprovada em 10/05/2023 segundo o governo"
+    claims_ = spark.createDataFrame([(1, text, day), (2, "O hospital da cidade foi aberto ao público", day)], "claim_id long, text string, reference_ts timestamp")
+    hits = spark.createDataFrame([(k, k, f"https://bbc.com/{k}", "notícia", "texto", 0.5) for k in (1, 2)], "claim_id long, ix int, url string, title string, content string, score double")
+    articles = spark.createDataFrame([(f"https://bbc.com/{k}", "O hospital da cidade e a lei que foi aprovada segundo o governo nesta semana. " * 4, "articleBody", False, None, None) for k in (1, 2)], "url string, text string, provenance string, is_partial boolean, published_at timestamp, original_source string")
+    entry = ("e", text, [], 2023, "CONTRADITO", "https://bbc.com/lei", "o trecho", "reviewed", ["a", "b"], 0)
+    catalog_ = spark.createDataFrame([entry], "id string, claim string, entities array<string>, event_year int, verdict string, url string, excerpt string, status string, reviewer_ids array<string>, position int")
+    infer = lambda p: p.withColumn("logits", F.array(F.lit(5.0), F.lit(0.0), F.lit(0.0)))
+    results, sources = verification.verify(claims_, hits, articles, infer, catalog=catalog_)
+    got = {r.claim_id: (r.verdict, r.error, r.found, r.sources) for r in results.collect()}
+    assert set(got) == {1, 2} and got[1] == ("CONTRADITO", None, 0, 0) and got[2][2] == 1
+    assert {r.claim_id for r in sources.collect()} == {2}
