@@ -27,11 +27,10 @@ def bm25(docs: DataFrame, queries: DataFrame, group: list[str], doc: str, text:
         stats = own.groupBy(*group).agg(F.count("*").alias("_docs"), F.greatest(F.lit(1.0), F.avg("_n")).alias("_mean"))
     else:
         stats = own.agg(F.count("*").alias("_docs"), F.greatest(F.lit(1.0), F.coalesce(F.avg("_n"), F.lit(1.0))).alias("_mean"))
-    # Term counts per document are narrow: sort the document's terms and count each distinct one.
-    counted = own.select(*group, "_d", "_n", "_w", F.explode(F.array_distinct("_w")).alias("_t"))
+    # One narrow row per word: a document's words would go through the shuffle once per distinct one where the queries are too many to broadcast.
     known = asked.select(*group, "_t").distinct()
-    counted = counted.join(known, [*group, "_t"], "left_semi")
-    counted = counted.select(*group, "_d", "_n", "_t", F.size(F.filter("_w", lambda x: x == F.col("_t"))).alias("_tf"))
+    counted = own.select(*group, "_d", "_n", F.explode("_w").alias("_t")).join(known, [*group, "_t"], "left_semi")
+    counted = counted.groupBy(*group, "_d", "_n", "_t").agg(F.count("*").cast("int").alias("_tf"))
     df = counted.groupBy(*group, "_t").agg(F.count("*").alias("_df"))
     joined = counted.join(df, [*group, "_t"]).join(asked, [*group, "_t"])
     joined = joined.join(stats, group) if group else joined.join(F.broadcast(stats))  # one row
