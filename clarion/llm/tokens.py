@@ -18,7 +18,10 @@ SPACED = r" ?\S+|\s+(?!\S)|\s+"
 #: BPE that drops white space.
 WORDS = r"\S+"
 #: Characters that Python takes for white space and the tokenizers don't, and the beginning of special tokens.
-_UNSAFE = re.compile(r"[\x1c-\x1f]|<\|")
+_UNSAFE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: White space besides spaces and line ends, and pairs of those two.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n" and c not in _UNSAFE]
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
 class Encoder:
@@ -27,7 +30,7 @@ class Encoder:
     The tokenizers cut a text at white space before they merge bytes. Distinct pieces are
     encoded once and remembered; texts where the cut could differ are encoded whole. New
     pieces go to the tokenizer many at a time, with a special token between them: it splits
-    there first, and no piece can yield that token's id.
+    there first, and no piece can yield that token's id. Equal texts of a call are cut once.
     """
 
     def __init__(self, path: str, pieces: str | None):
@@ -35,6 +38,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = re.compile(pieces) if pieces else None
+        self.split = pieces
         self.known: dict[str, bytes] = {}
         self.separator = next((t for t in ("<|endoftext|>",) if self.tokenizer.token_to_id(t) is not None), None)
         self.mark = self.tokenizer.token_to_id(self.separator) if self.separator else None
@@ -51,18 +55,28 @@ class Encoder:
         out: list[bytes] = []
         held: list[list[str] | bytes] = []
         size = 0
-        for text in texts:
+        distinct = dict.fromkeys(texts)
+        for text in distinct:
             if not text:
                 held.append(b"")
-            elif self.pieces is None or self.separator is None or _UNSAFE.search(text):
+            elif self.pieces is None or self.separator is None or any(c in text for c in _UNSAFE):
                 held.append(self._ids(text).tobytes())
             else:
-                held.append(self.pieces.findall(text))
+                held.append(self._cut(text))
                 size += len(text)
             if size > SLICE:
                 out += self._joined(held)
                 held, size = [], 0
-        return out + self._joined(held)
+        out += self._joined(held)
+        return [*map(dict(zip(distinct, out)).__getitem__, texts)] if len(distinct) < len(texts) else out
+
+    def _cut(self, text: str) -> list[str]:
+        """All matches of the pieces' pattern; by plain splits where no two white-space characters stand together."""
+        if self.split == WORDS:
+            return text.split()
+        if self.split == SPACED and not any(c in text for c in _OTHER) and not any(c in text for c in _PAIRS) and text[0] not in " \n" and text[-1] not in " \n":
+            return text.replace(" ", "\x1c ").replace("\n", "\x1c\n\x1c").split("\x1c")
+        return self.pieces.findall(text)
 
     def _joined(self, held: list[list[str] | bytes]) -> list[bytes]:
         known = self.known
