@@ -100,7 +100,7 @@ c as (select doc_id, owner, kind, val, (stop - n)::bigint as start, stop::bigint
   where (kind <> 0 or length(val) >= {secrets.ASSIGN_VALUE}) and (kind <> 1 or length(val) >= {secrets.ACCESS_LENGTH})),
 b as (select doc_id, kind, start, stop from c where kind < 4),
 l as (select * from c where {secrets.LIVE_SQL.format(v="val")} and (kind < 4 or not exists (select 1 from b where b.doc_id = c.doc_id and b.start < c.stop and c.start < b.stop))),
-r as (select val from l group by val having count(distinct owner) <= {secrets.MAX_OWNERS}),
+r as (select val from l group by val having count(distinct owner) <= {secrets.MAX_OWNERS} and count(distinct doc_id) <= {secrets.MAX_REPOSITORIES}),
 a as (select distinct doc_id, case when kind < 4 then 3 else 4 end as kind, vstart as start, stop from l where val in (select val from r)),
 s as (select *, {list(secrets.KINDS)!r}[kind + 1] || ':' || start || ':' || stop as s from (select * from b union all select doc_id, kind, start, stop from a)),
 g as (select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind > 2) as n_live,

@@ -62,3 +62,21 @@ def test_a_value_in_many_documents_of_one_source_is_an_example(spark):
     assert live == {k: int(k > n) for k in range(2 * n + 1)}
     got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
     assert got == {k: f"{copied} {k}" if k <= n else f"secret = [SECRET] {k - n - 1}" for k in range(2 * n + 1)}
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of spans of all kinds in one document, with base spans over, inside and beside the others."""
+    rng = random.Random(3)
+    h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    text = "\n".join(f"{h(32)}  {h(5)}.txt token={h(30)}G/{k} Zx{h(24)}Q{k} kY{k:04d}s92Lq0zPdQ9mVb{k}" for k in range(2500))
+    (r,) = secrets.report(docs(spark, [text])).collect()
+    want = base(text)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+    covered = bytearray(len(text))
+    for a, _, b in want:
+        covered[a:b] = b"\1" * (b - a)
+    free = {(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if not any(covered[m.start() : m.end()])}
+    got = {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("token:")}
+    assert got == {(a, b) for a, b in free if re.search("[0-9].*[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])}
+    (left,) = secrets.redacted(docs(spark, [text])).collect()
+    assert left.text.count("[SECRET]") > 2500 and not re.search(r"kY\d{4}s92", left.text)
