@@ -19,8 +19,8 @@ from clarion.functions.lineage import extended
 from clarion.llm.labels import fold_of, training_rows
 
 FOLDS, HELD = 3, 1
-#: Labelled rows of each class that the model is fitted on, and the longest of them.
-PER_CLASS, MAX_TRAIN_BYTES = 5000, 200_000
+#: Labelled rows of each class that the model is fitted on, at most; each is taken whole.
+PER_CLASS = 5000
 BINS, ROUNDS, RATE, PAIRS, PAIR_ROUNDS, PAIR_BINS = 32, 150, 0.15, 6, 60, 8
 
 FEATURES = (
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     Their features are computed in tasks; twice ``per_class`` short rows come to the driver.
     """
-    rows, totals = training_rows(docs, labels, "quality", FOLDS, HELD, per_class, MAX_TRAIN_BYTES)
+    rows, totals = training_rows(docs, labels, "quality", FOLDS, HELD, per_class)
 
     def measure(batches):
         for batch in batches:
@@ -199,7 +199,12 @@ def scores(docs: DataFrame, model: Model, text: str = "text", into: str = "score
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); its other columns don't matter.
+
+    Null, empty and blank texts get a score like any other; equal texts get equal scores, and
+    repeated rows and ids a result each. A null id is in fold 0. No rows give no result;
+    without labels of both kinds every score is the share of good ones.
+    """
     own = docs.select("doc_id", "text")
     return scores(own, learn(own, labels, per_class)).select(
         "doc_id", (fold_of("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon and an Aho-Corasick automaton.
 
-Texts are folded first: case, diacritics, look-alike letters of other scripts and digits
-that stand for letters. The lexicon (whole words and word beginnings) is learned from
+Texts are folded first: compatibility forms, case, marks and zero-width characters of all
+scripts, look-alike letters and digits that stand for letters. The lexicon (whole words and word beginnings) is learned from
 labelled rows: entries are taken greedily by how many toxic rows they explain that no
 earlier entry does, so the other words of copied toxic texts do not get in. Exception
 phrases (an entry with a neighbour, or a longer word under a beginning) cancel the match
@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from clarion.functions.lineage import extended
+from clarion.functions.lineage import extended, stored
 from clarion.llm.labels import fold_of, training_rows
 
 FOLDS, HELD = 5, 0
-#: Labelled rows of each class that the lexicon is learned from, and the longest of them.
-PER_CLASS, MAX_TRAIN_BYTES = 6000, 20_000
+#: Labelled rows of each class that the lexicon is learned from, at most; each is taken whole.
+PER_CLASS = 6000
 #: An entry is in that many toxic rows, with at least that weight and that likelihood ratio (chance gives 16 about once in 15,000 words).
 MIN_ROWS, MIN_WEIGHT, MIN_RATIO, PREFIXES = 4, 1.0, 16.0, range(4, 9)
 #: Entries that explain a toxic row, at most, before it no longer counts.
@@ -40,26 +41,29 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαοερτικνυ", "a
 SUBSTITUTES = dict(zip("01345789@$", "oieastbgas"))
 
 
-def _table() -> dict[int, str]:
-    out = {}
-    for c in range(128):
-        ch = chr(c).lower()
-        out[c] = ch if ch.isalnum() else " "
-    for c in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(c).lower())[0]
-        out[c] = base if base.isalnum() else chr(c).lower()
-    for a, b in (HOMOGLYPHS | SUBSTITUTES).items():
-        out[ord(a)] = out[ord(a.upper())] = b
-    out.update({c: " " for c in (0xA0, 0xD7, 0xF7, 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026)})
-    return out
+class _Fold(dict):
+    """What a lower-case, decomposed character becomes: letters and digits stay, marks and invisible characters go, others part words."""
+
+    def __missing__(self, code: int):
+        ch = chr(code)
+        category = unicodedata.category(ch)
+        self[code] = None if category in ("Mn", "Me", "Cf") else ch if ch.isalnum() or category == "Mc" else " "
+        return self[code]
 
 
-FOLD = _table()
+FOLD = _Fold({ord(a): b for a, b in (HOMOGLYPHS | SUBSTITUTES | {"ς": "σ"}).items()})
 
 
 def fold(text: str | None) -> str:
-    """Folded words, a space before and after each; of a text without words one space."""
-    words = (text or "").translate(FOLD).split()
+    """Folded words, a space before and after each; of a text without words one space.
+
+    Compatibility forms (full width, ligatures) and accented letters are decomposed, then
+    case, marks and zero-width characters go in every script; look-alikes and digits last.
+    """
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    words = text.lower().translate(FOLD).split()
     return f" {' '.join(words)} " if words else " "
 
 
@@ -105,13 +109,15 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
 
-def _unlike(rows: list[list[str]], common: Counter, n: int) -> list[list[str]]:
-    """One of the word lists that share two min-hashes over words of at most a quarter of ``n`` rows."""
-    out = {}
-    for words in rows:
-        own = [w.encode() for w in words if common[w] * 4 <= n] or [w.encode() for w in words]
-        out.setdefault(tuple(min((zlib.crc32(w, seed) for w in own), default=0) for seed in (1, 2)), words)
-    return list(out.values())
+def _signature(words: list[str], frequent: set[str]) -> list[int]:
+    """Two min-hashes over words that are not frequent; near copies mostly share both."""
+    own = [w.encode() for w in words if w not in frequent] or [w.encode() for w in words]
+    return [min((zlib.crc32(w, seed) for w in own), default=0) for seed in (1, 2)]
+
+
+def _of(words: list[str]) -> set[str]:
+    """The entries that a row of these words could have: whole words and word beginnings."""
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
 
 
 def _ratio(m: int, n_pos: int, n: int, n_neg: int) -> float:
@@ -121,41 +127,17 @@ def _ratio(m: int, n_pos: int, n: int, n_neg: int) -> float:
     return 2 * sum(k * math.log(k / e) for k, e in cells if k)
 
 
-def _entries(rows: list[tuple[list[str], int]]) -> dict[str, float]:
-    """Entries and weights (log ratio of the shares of toxic and harmless rows that have them).
+def _weight(m: int, n_pos: int, n: int, n_neg: int) -> float:
+    """Log ratio of the shares of toxic and harmless rows that have an entry; 0 where chance could explain it."""
+    w = math.log((m + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
+    return w if _ratio(m, n_pos, n, n_neg) >= MIN_RATIO else 0.0
 
-    Near copies among the toxic rows count once, else the other words of a copied text would look toxic.
-    """
-    pos = _unlike([w for w, y in rows if y], Counter(w for words, _ in rows for w in words), len(rows))
-    rows = [(w, 1) for w in pos] + [r for r in rows if not r[1]]
-    n_pos, n_neg = len(pos), len(rows) - len(pos)
-
-    def of(words: list[str]) -> set[str]:
-        return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
-
-    own = Counter()
-    for words in pos:
-        own.update(of(words))
-    own = {e: n for e, n in own.items() if n >= MIN_ROWS}
-    other = Counter()
-    for words, y in rows:
-        if not y:
-            other.update(of(words) & own.keys())
-
-    def weight(e: str) -> float:
-        n, m = other[e], own[e]
-        w = math.log((m + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
-        return w if _ratio(m, n_pos, n, n_neg) >= MIN_RATIO else 0.0
-
-    weights = {e: w for e in own if (w := weight(e)) >= MIN_WEIGHT}
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(pos):
-        for e in of(words) & weights.keys():
-            where[e].add(i)
-    # Greedy cover; of entries that explain the same rows the longer, more specific one comes first.
+
+def _cover(weights: dict[str, float], where: dict[str, set[int]], rows: set[int]) -> dict[str, float]:
+    """Greedy cover of the toxic rows; of entries that explain the same rows the longer, more specific one comes first."""
     heap = [(-len(where[e]) * w, -len(e), e) for e, w in weights.items()]
     heapq.heapify(heap)
-    left, out, times = set(range(n_pos)), {}, Counter()
+    left, out, times = set(rows), {}, Counter()
     stems: dict[str, list[str]] = defaultdict(list)
     while heap:
         gain, _, e = heapq.heappop(heap)
@@ -175,21 +157,65 @@ def _entries(rows: list[tuple[list[str], int]]) -> dict[str, float]:
     return out
 
 
-def _exceptions(lexicon: Lexicon, texts: list[tuple[str, int]]) -> list[str]:
+def _emit(rows: DataFrame, of, schema: str) -> DataFrame:
+    """What ``of`` yields for each row, a tuple of values; of a row of nothing, nothing."""
+    names = list(StructType.fromDDL(schema).fieldNames())
+    types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.float64() if f.dataType.simpleString() == "double" else pa.string() for f in StructType.fromDDL(schema)]
+
+    def scan(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 64):
+                out = [x for r in batch.slice(start, 64).to_pylist() for x in of(r)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
+
+    return rows.mapInArrow(scan, schema)
+
+
+def _entries(rows: DataFrame) -> dict[str, float]:
+    """Entries and weights from rows (id, text, y): counted in tasks, chosen on the driver.
+
+    Near copies among the toxic rows count once, else the other words of a copied text would
+    look toxic. The driver gets words of over a quarter of the rows, and the entries that
+    pass with their toxic rows; both are bounded by the sample.
+    """
+    n = rows.count()
+    words = lambda r: sorted(set(fold(r["text"]).split()))
+    counted = _emit(rows, lambda r: [(w,) for w in words(r)], "word string").groupBy("word").count()
+    frequent = {r["word"] for r in counted.where(F.col("count") * 4 > n).collect()}
+    signs = _emit(rows.where("y = 1"), lambda r: [(r["id"], *_signature(words(r), frequent))], "id bigint, a bigint, b bigint")
+    pos = {r["id"] for r in signs.groupBy("a", "b").agg(F.min("id").alias("id")).collect()}  # at most a number per toxic row of the sample
+    n_pos, n_neg = len(pos), n - rows.where("y = 1").count()
+    each = _emit(rows, lambda r: [(e, r["id"], r["y"]) for e in _of(words(r))] if not r["y"] or r["id"] in pos else [], "entry string, id bigint, y bigint")
+    each = stored(each)
+    counts = each.groupBy("entry").agg(F.sum("y").alias("m"), F.count_if(F.col("y") == 0).alias("n")).where(F.col("m") >= MIN_ROWS)
+    # A weight of MIN_WEIGHT asks for a share among the toxic rows that is well above that among the others.
+    counts = counts.where((F.col("m") + 0.5) / (n_pos + 1) > (F.col("n") + 0.5) / (n_neg + 1) * math.exp(MIN_WEIGHT) * 0.999)
+    weights = {r["entry"]: w for r in counts.collect() if (w := _weight(r["m"], n_pos, r["n"], n_neg)) >= MIN_WEIGHT}
+    passed = rows.sparkSession.createDataFrame([(e,) for e in weights], "entry string")
+    where = each.where("y = 1").join(F.broadcast(passed), "entry").groupBy("entry").agg(F.collect_list("id").alias("ids")).collect()
+    return _cover(weights, {r["entry"]: set(r["ids"]) for r in where}, pos)
+
+
+def _phrases(lexicon: Lexicon, text: str) -> set[str]:
+    """The words under an entry in a text, and their pairs with a neighbour."""
+    folded = fold(text)
+    out = set()
+    for k in lexicon.found(folded):
+        end = folded.index(" ", k + 1)
+        out.add(folded[k : end + 1])
+        if end + 1 < len(folded):
+            out.add(folded[k : folded.index(" ", end + 1) + 1])
+        if k:
+            out.add(folded[folded.rindex(" ", 0, k) : end + 1])
+    return out
+
+
+def _exceptions(entries: dict[str, float], rows: DataFrame) -> list[str]:
     """Words under an entry, and pairs with a neighbour, that harmless rows have and toxic ones hardly do."""
-    seen = (Counter(), Counter())
-    for text, y in texts:
-        folded = fold(text)
-        phrases = set()
-        for k in lexicon.found(folded):
-            end = folded.index(" ", k + 1)
-            phrases.add(folded[k : end + 1])
-            if end + 1 < len(folded):
-                phrases.add(folded[k : folded.index(" ", end + 1) + 1])
-            if k:
-                phrases.add(folded[folded.rindex(" ", 0, k) : end + 1])
-        seen[y].update(phrases)
-    return [p for p, n in seen[0].items() if n >= 3 and n > 4 * seen[1][p]]
+    sent = rows.sparkSession.sparkContext.broadcast((entries, [], []))
+    each = _emit(rows, lambda r: [(p, r["y"]) for p in _phrases(_lexicon(sent), r["text"])], "phrase string, y bigint")
+    counts = each.groupBy("phrase").agg(F.sum("y").alias("m"), F.count_if(F.col("y") == 0).alias("n"))
+    return sorted(r["phrase"] for r in counts.where("n >= 3 and n > 4 * m").collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -211,19 +237,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> tuple[dict, list, list]:
     """(entries, exceptions, coefficients) from at most ``per_class`` rows of each label outside the held-out fold.
 
-    Without toxic or without harmless rows the lexicon is empty and every score is the share of toxic labels.
+    Without toxic or without harmless rows the lexicon is empty and every score is the share
+    of toxic labels. Texts are folded, counted and measured in tasks; the driver gets words,
+    numbers of rows and figures. See ``training_rows`` for nulls, conflicts and repeated ids.
     """
-    rows, totals = training_rows(docs, labels, "toxic", FOLDS, HELD, per_class, MAX_TRAIN_BYTES, doc_id, text)
-    texts = [(r["text"], r["y"]) for r in rows.collect()]
+    rows, totals = training_rows(docs, labels, "toxic", FOLDS, HELD, per_class, doc_id, text)
     share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     prior = math.log(share / (1 - share))
-    if len({y for _, y in texts}) < 2:
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("id"), "text", F.col("y").cast("bigint").alias("y")))
+    if rows.select("y").distinct().count() < 2:
         return {}, [], [prior, 0.0, 0.0]
-    entries = _entries([(sorted(set(fold(t).split())), y) for t, y in texts])
-    exceptions = _exceptions(Lexicon(entries, [], []), texts)
-    lexicon = Lexicon(entries, exceptions, [])
-    y = np.array([y for _, y in texts], dtype=float)
-    a, b, c = _logistic(np.array([lexicon.features(t) for t, _ in texts]), y)
+    entries = _entries(rows)
+    exceptions = _exceptions(entries, rows) if entries else []
+    sent = docs.sparkSession.sparkContext.broadcast((entries, exceptions, []))
+    measured = _emit(rows, lambda r: [(*_lexicon(sent).features(r["text"]), r["y"])], "x double, z double, y bigint")
+    # Two figures and a label a row; sorted, so that the fit doesn't depend on how tasks ended.
+    got = np.array(sorted(tuple(r) for r in measured.collect()), dtype=float)
+    y = got[:, 2]
+    a, b, c = _logistic(got[:, :2], y)
     # The sample has another share of toxic rows than the labels; the intercept is moved to theirs.
     a += prior - math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     return entries, exceptions, [a, b, c]
@@ -252,7 +283,12 @@ def scores(docs: DataFrame, model: tuple[dict, list, list], text: str = "text",
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); its other columns don't matter.
+
+    Null, empty and blank texts get the score of a text without matches; equal texts get equal
+    scores, and repeated rows and ids a result each. A null id is in the held-out fold. No
+    rows give no result; without labels of both kinds every score is the share of toxic ones.
+    """
     own = docs.select("doc_id", "text")
     return scores(own, learn(own, labels, per_class)).select(
         "doc_id", (fold_of("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
