@@ -43,19 +43,28 @@ def free_name(stem: str, *taken: list[str]) -> str:
     return stem
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
+def stored(df: DataFrame, paths: list[str] | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder of the shared directory and read it back.
 
     Like ``checkpoint()`` it cuts the lineage and survives lost executors, but the
     file is columnar and compressed, so later reads take only the columns they use.
+    The folder is appended to ``paths``, for a caller that removes it in the end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with tidy(spark):
         df.write.options(**options).parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared directory that no DataFrame still in use reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """``schema`` followed by the fields of ``ddl``; the given one stays as it is."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
