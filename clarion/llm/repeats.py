@@ -4,19 +4,22 @@ A string of ``length`` bytes that occurs twice is found through one suffix. Of t
 k-grams in each window of ``length`` bytes the one with the least hash is the window's
 anchor; equal windows have their anchor at the same place, and neighbouring windows
 mostly share one, so about one suffix in a hundred is kept. A batch's suffix array is
-the table of its anchored suffixes ordered by (hash of the k-gram, digest of the whole
-stretch of windows that share the anchor). New batches are merge-scanned against the
-existing levels for stretches that are equal, and levels of equal size merge
-geometrically. Equal stretches settle almost all windows without a look at the texts;
-anchors that stand in different stretches, at the edges of repeats, are compared window
-by window. Anchors in more stretches than ``CELL`` go by counted window digests instead,
-so no task holds a hot passage.
+the table of its anchored suffixes in the order of their bytes: the first 16 bytes from
+the anchor, then a 128-bit digest (BLAKE2) of the whole stretch of windows that share it.
+A new batch is merge-scanned against the existing levels: stretches that a level has too,
+or that the batch has twice, are repeated, and their places are reported; in the same pass
+the batch merges with the levels of its own size, which therefore grow geometrically.
+Equal stretches settle almost all windows without a look at the texts; anchors that stand
+in different stretches, at the edges of repeats, are neighbours in the merged array and are
+compared window by window, in bytes. Anchors in more stretches than ``CELL`` go by counted
+digests of windows instead, so no task holds a hot passage.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clarion.functions.lineage import extended, shared_dir, stored, tidy
+from clarion.functions.lineage import extended, remove, shared_dir, stored, tidy
 from clarion.llm.decontaminate import shards
 
 LENGTH, GRAM, BATCHES, FAN = 200, 16, 4, 2
@@ -69,15 +72,17 @@ class Hashed:
         return _mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def stretches(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, hash of the anchor, digest) of each stretch in ``data``.
+def stretches(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, bytes from the anchor, digest) of each stretch in ``data``.
 
-    ``ends`` are the ends of the texts that ``data`` strings together; windows lie within one text.
+    ``ends`` are the ends of the texts that ``data`` strings together; windows lie within one
+    text. Bytes from the anchor are two integers in the order of the bytes, 16 bytes or the
+    k-gram if that is shorter; digests are two integers.
     """
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.reshape(0, 2), none.reshape(0, 2)
     hashed = Hashed(data)
     grams = hashed.grams(gram)
     # The hash's upper 40 bits and the place in one number: the least is the leftmost of the least.
@@ -98,18 +103,26 @@ def stretches(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np
     last = np.concatenate([first[1:], [n]])
     keep = inside[first]
     first, last = first[keep], last[keep]
-    digest = hashed.of(first, last + length - 1) ^ _mix((last - first).astype(np.uint64))
-    return first, last - first, grams[anchor[first]], digest
+    head = np.zeros((len(first), 16), np.uint8)
+    head[:, : min(gram, 16)] = np.frombuffer(data, np.uint8)[anchor[first][:, None] + np.arange(min(gram, 16))]
+    suffix = (head.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    blake = hashlib.blake2b
+    digest = b"".join([blake(data[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), (last + length - 1).tolist())])
+    return first, last - first, suffix, np.frombuffer(digest, "<i8").reshape(-1, 2)
+
+
+#: An entry's place in the suffix order.
+KEY = ["s1", "s2", "g1", "g2"]
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The anchored suffixes of (doc_id, text): (h, g, c, doc_id, d, pos, n).
+    """The anchored suffixes of (doc_id, text): (s1, s2, g1, g2, c, doc_id, d, pos, n).
 
     d is xxhash64 of the text; pos counts bytes, n windows. A stretch that a slice of the
-    input holds twice is entered once with c = 2, and its places follow with a null h.
+    input holds twice is entered once with c = 2, and its places follow with null keys.
     """
     own = docs.select("doc_id", F.col("text"))
-    names = ["h", "g", "c", "doc_id", "d", "pos", "n"]
+    names = [*KEY, "c", "doc_id", "d", "pos", "n"]
 
     def scan(batches):
         for batch in batches:
@@ -126,13 +139,13 @@ def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 digest = np.array([xxhash.xxh64_intdigest(t, 42) for t in part], dtype=np.uint64).view(np.int64)
                 for group in groups:
                     ends = np.cumsum([len(t) for _, _, t in group])
-                    first, n, h, g = stretches(b"".join(t for _, _, t in group), ends, length, gram)
+                    first, n, suffix, g = stretches(b"".join(t for _, _, t in group), ends, length, gram)
                     if not len(first):
                         continue
                     slot = np.searchsorted(ends, first, "right")
                     row = np.array([i for i, _, _ in group])[slot]
                     pos = first - np.concatenate([[0], ends[:-1]])[slot] + np.array([a for _, a, _ in group])[slot]
-                    _, one, back, times = np.unique(g ^ _mix(h), return_index=True, return_inverse=True, return_counts=True)
+                    _, one, back, times = np.unique(g[:, 0], return_index=True, return_inverse=True, return_counts=True)
                     c = np.minimum(times, 2)
                     again = np.flatnonzero(times[back] > 1)
                     # Places of repeated stretches, joined where they follow each other in a text.
@@ -143,75 +156,92 @@ def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     m = np.add.reduceat(m, heads) if len(heads) else m
                     r, p = r[heads], p[heads]
                     none = pa.nulls(len(r), pa.int64())
-                    for rows, columns in (
-                        (row[one], [pa.array(h[one].view(np.int64)), pa.array(g[one].view(np.int64)), pa.array(c), pos[one], n[one]]),
-                        (r, [none, none, pa.array(np.full(len(r), 2)), p, m]),
-                    ):
+                    keys = [pa.array(np.ascontiguousarray(x[one, k])) for x in (suffix, g) for k in (0, 1)]
+                    for rows, columns in ((row[one], [*keys, pa.array(c), pos[one], n[one]]), (r, [none] * 4 + [pa.array(np.full(len(r), 2)), p, m])):
                         yield pa.RecordBatch.from_arrays(
-                            [*columns[:3], ids.take(pa.array(at + rows)), pa.array(digest[rows]), pa.array(columns[3]), pa.array(columns[4])], names=names
+                            [*columns[:5], ids.take(pa.array(at + rows)), pa.array(digest[rows]), pa.array(columns[5]), pa.array(columns[6])], names=names
                         )
                 at += len(part)
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    head = own.sparkSession.createDataFrame([], "h bigint, g bigint, c bigint").schema
+    head = own.sparkSession.createDataFrame([], "s1 bigint, s2 bigint, g1 bigint, g2 bigint, c bigint").schema
     return own.mapInArrow(scan, extended(head, f"doc_id {kind}, d bigint, pos bigint, n bigint"))
 
 
 class LogIndex:
-    """Suffix arrays in levels; level k holds about FAN ** k batches.
+    """Suffix arrays in levels under ``path``; level k holds about FAN ** k batches, and a later run can open them again.
 
-    An entry is a stretch (h, g) with the number of its places, two at most being counted
-    apart, and one place. Every level is a table in the shared folder, ordered by (h, g).
+    An entry is a stretch (``KEY``) with the number of its places, of which two at most are
+    counted, and one place. Every level is a table whose files are in suffix order.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
+        self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         self.levels: list[tuple[int, str]] = []
-
-    def _write(self, entries: DataFrame) -> str:
-        path = f"{shared_dir(self.spark)}/level-{uuid.uuid4().hex}"
-        with tidy(self.spark):
-            entries.sortWithinPartitions("h", "g").write.option("compression", "zstd").parquet(path)
-        return path
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(at):
+            # A level counts once its table is complete and no later one took its entries in.
+            found = {x.getPath().getName(): x.getPath().toString() for x in files.listStatus(at)}
+            whole = {k: v for k, v in found.items() if k.startswith("level-") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{v}/_SUCCESS"))}
+            gone = {part for k in whole for part in k.split("-")[3:]}
+            self.levels = [(int(k.split("-")[1]), v) for k, v in sorted(whole.items()) if k.split("-")[2] not in gone]
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths)
+        return self.spark.read.parquet(*paths).select(*KEY, "c", "place")
 
     @staticmethod
-    def merged(entries: DataFrame) -> DataFrame:
-        """Entries of several arrays as one: equal stretches meet, and their places add up."""
-        return entries.groupBy("h", "g").agg(F.least(F.sum("c"), F.lit(2)).alias("c"), F.min("place").alias("place"))
-
-    def scan(self, entries: DataFrame) -> DataFrame:
-        """(h, g) of the stretches of ``entries`` that an existing level has too, by merge joins."""
-        if not self.levels:
-            return entries.select("h", "g").limit(0)
-        return entries.join(self._read([p for _, p in self.levels]).select("h", "g").distinct(), ["h", "g"], "left_semi").select("h", "g")
-
-    def add(self, batch: DataFrame) -> None:
-        """Enters a batch's suffixes; while FAN levels are equal, they merge into one of the next."""
-        size, paths = 0, []
-        entries = self.merged(batch.select("h", "g", "c", F.struct("doc_id", "d", "pos", "n").alias("place")))
-        while len(same := [p for s, p in self.levels if s == size]) >= FAN - 1:
-            # The merge-scan of the new array with its equals is the merge itself.
-            paths += same
-            self.levels = [x for x in self.levels if x[0] != size]
+    def array(places: DataFrame) -> DataFrame:
+        """The suffix array of a batch's places: equal stretches meet, and their places add up."""
+        return places.select(*KEY, "c", F.struct("doc_id", "d", "pos", "n").alias("place"))
+
+    def add(self, places: DataFrame) -> DataFrame:
+        """Enters a batch's suffixes; returns (doc_id, d, pos, n) of its stretches, and of those in the levels, that are now known twice.
+
+        One merge-scan over the new array and all levels finds the matches and writes the
+        new array, merged with FAN - 1 levels of its size if there are so many, and so on.
+        """
+        size, merging = 0, []
+        left = list(self.levels)
+        while len(same := [x for x in left if x[0] == size]) >= FAN - 1:
+            merging += same
+            left = [x for x in left if x[0] != size]
             size += 1
-        if paths:
-            entries = self.merged(entries.unionByName(self._read(paths)))
-        self.levels.append((size, self._write(entries)))
-        for p in paths:
-            self._delete(p)
+        parts = [self.array(places).withColumn("source", F.lit(0))]
+        for source, levels in ((1, merging), (2, left)):
+            if levels:
+                parts.append(self._read([p for _, p in levels]).withColumn("source", F.lit(source)))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        new, old, own = F.col("source") == 0, F.col("source") > 0, F.col("source") < 2
+        # Counts stop at two and one place stands for the stretch, so a hot stretch combines before the shuffle.
+        met = every.groupBy(*KEY).agg(
+            F.sum("c").alias("total"), F.max(new).alias("new"), F.sum(F.when(own, F.col("c"))).alias("own"),
+            F.min(F.when(old & (F.col("c") == 1), F.col("place"))).alias("single"), F.min(F.when(own, F.col("place"))).alias("place"),
+        )
+        met = met.where("own > 0").select(
+            *KEY, F.least(F.when(F.col("new"), F.col("total")).otherwise(F.col("own")), F.lit(2)).alias("c"), "place",
+            (F.col("new") & (F.col("total") > 1)).alias("matched"), F.when(F.col("new"), F.col("single")).alias("single"),
+        )
+        names = "".join(f"-{p.rstrip('/').rsplit('/', 1)[1].split('-')[2]}" for _, p in merging)
+        path = f"{self.path}/level-{size}-{uuid.uuid4().hex}{names}"
+        with tidy(self.spark):
+            met.sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(path)
+        self.levels = [*left, (size, path)]
+        for _, p in merging:
+            remove(self.spark, p)
+        written = self.spark.read.parquet(path)
+        hits = places.join(written.where("matched").select(*KEY), KEY, "left_semi").select("doc_id", "d", "pos", "n")
+        return hits.unionByName(written.where("single is not null").select("single.*"))
 
     def entries(self) -> DataFrame:
-        """All levels as one array."""
+        """All levels as one array: KEY, c, place."""
         out = self._read([p for _, p in self.levels])
-        return out if len(self.levels) == 1 else self.merged(out)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        if len(self.levels) == 1:
+            return out
+        return out.groupBy(*KEY).agg(F.least(F.sum("c"), F.lit(2)).alias("c"), F.min("place").alias("place"))
 
 
 def _regions(docs: DataFrame, requests: DataFrame, length: int, windows: bool) -> DataFrame:
@@ -255,6 +285,22 @@ def _joined(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return docs.join(other, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("d") == F.col("_d")), how)
 
 
+def _verified(data: bytes, start: np.ndarray, hit: np.ndarray, one: np.ndarray, times: np.ndarray, length: int) -> np.ndarray:
+    """Which windows ``hit`` have a twin in bytes. ``one`` is the first window of the same hash, ``times`` how many there are."""
+    if not len(hit):
+        return np.zeros(0, bool)
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
+    same = np.concatenate([(view[start[hit[k : k + 8192]]] == view[start[one[k : k + 8192]]]).all(axis=1) for k in range(0, len(hit), 8192)])
+    # Where a hash stands for different bytes, or the first window is compared with itself alone, count the bytes.
+    odd = set(one[~same].tolist())
+    if odd:
+        doubt = np.array([o in odd for o in one.tolist()])
+        of = [data[start[h] : start[h] + length] for h in np.concatenate([hit[doubt], np.array(sorted(odd))])]
+        twice = {x for x, k in Counter(of).items() if k > 1}
+        same[doubt] = [x in twice for x in of[: int(doubt.sum())]]
+    return same
+
+
 def _settle(regions: DataFrame, length: int) -> DataFrame:
     """(doc_id, d, pos, n) of the windows of single stretches that another stretch of their anchor has too."""
     kind = regions.schema["doc_id"].dataType.simpleString()
@@ -269,9 +315,10 @@ def _settle(regions: DataFrame, length: int) -> DataFrame:
         local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = begin[row] + local
         key = Hashed(b"".join(data)).of(start, start + length) ^ _mix(table.column("h").to_numpy().view(np.uint64))[row]
-        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+        _, one, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         single = table.column("single").to_numpy()
         hit = np.flatnonzero((times[back] > 1) & single[row])
+        hit = hit[_verified(b"".join(data), start, hit, one[back[hit]], times[back[hit]], length)]
         if not len(hit):
             return None
         r, p = row[hit], local[hit]
@@ -316,21 +363,26 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     made.write.partitionBy("batch").option("compression", "zstd").parquet(path)
     found = spark.read.schema(made.schema).parquet(path)
     index = LogIndex(spark)
+    used = [path, index.path]
+    parts = [found.where("s1 is null").select("doc_id", "d", "pos", "n")]
     for b in range(batches):
-        index.add(found.where((F.col("batch") == b) & F.col("h").isNotNull()))
-    entries = index.entries()
-    twice = entries.where("c > 1").select("h", "g")
-    spans = found.where("h is null").select("doc_id", "d", "pos", "n")
-    spans = spans.unionByName(found.where("h is not null").join(twice, ["h", "g"]).select("doc_id", "d", "pos", "n"))
+        parts.append(stored(index.add(found.where((F.col("batch") == b) & F.col("s1").isNotNull())), used))
+    entries = index.entries().withColumn("h", F.xxhash64("s1", "s2"))
     # Anchors with several stretches of which one at least has a single place.
     mixed = entries.groupBy("h").agg(F.count("*").alias("m"), F.count_if(F.col("c") == 1).alias("singles")).where("m > 1 and singles > 0").select("h", "m")
-    asked = stored(entries.join(mixed, "h").select("place.*", "h", (F.col("c") == 1).alias("single"), "m"))
-    spans = spans.unionByName(_settle(_regions(docs, asked.where(F.col("m") <= cell), length, False), length))
+    asked = stored(entries.join(mixed, "h").select("place.*", "h", (F.col("c") == 1).alias("single"), "m"), used)
+    parts.append(stored(_settle(_regions(docs, asked.where(F.col("m") <= cell), length, False), length), used))
     if not asked.where(F.col("m") > cell).isEmpty():
         wide = _regions(docs, asked.where(F.col("m") > cell), length, True)
         equal = wide.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-        spans = spans.unionByName(wide.where("single").join(equal, ["w1", "w2"]).select("doc_id", "d", "pos", F.lit(1).cast("bigint").alias("n")))
-    return stored(spans.groupBy("doc_id", "d").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
+        parts.append(wide.where("single").join(equal, ["w1", "w2"]).select("doc_id", "d", "pos", F.lit(1).cast("bigint").alias("n")))
+    spans = parts[0]
+    for p in parts[1:]:
+        spans = spans.unionByName(p)
+    out = stored(spans.groupBy("doc_id", "d").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
+    for x in used:
+        remove(spark, x)
+    return out
 
 
 def cut(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int]:
@@ -351,7 +403,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``.
 
     kept is what is left, as bytes. Null texts count as empty; texts shorter than
-    ``length`` stay; repeated rows and copies lose all that repeats, each of them.
+    ``length`` stay; repeated rows and copies lose all that repeats, each of them. Other
+    columns, of whatever name, don't matter; no rows give no result.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("d", F.xxhash64("text"))
     rows = _joined(own, repeated(own, length, **options), "left").select("doc_id", "text", "spans")

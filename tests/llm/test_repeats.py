@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import CLASHES, ODD, docs, words
 
@@ -46,18 +47,64 @@ def test_small_alphabets(spark, seed, cell):
     check(spark, texts, length=12, gram=4, cell=cell)
 
 
-def test_levels_merge_geometrically(spark):
-    index = repeats.LogIndex(spark)
+def places(spark, texts, first):
+    own = docs(spark, texts, range(first, first + len(texts))).selectExpr("doc_id", "text", "xxhash64(text) as d")
+    return repeats.suffixes(own).where("s1 is not null")
+
+
+def test_batches_meet_the_levels_of_earlier_runs(spark):
+    """Every batch is scanned against all levels, also by an index that a later run opens; levels merge geometrically."""
     rng = random.Random(3)
     passage = words(rng, 80, 9999)
-    found = []
-    for k in range(4):
-        own = docs(spark, [words(rng, 200, 9999), passage + words(rng, 20, 9999)], [2 * k, 2 * k + 1]).selectExpr("doc_id", "text", "xxhash64(text) as d")
-        made = repeats.suffixes(own).where("h is not null")
-        found.append(index.scan(made).count() > 0)
-        index.add(made)
-    assert found == [False, True, True, True]
-    assert [size for size, _ in index.levels] == [2]
+    index, found, sizes = repeats.LogIndex(spark), [], []
+    for k in range(7):
+        hits = index.add(places(spark, [words(rng, 200, 9999), passage + words(rng, 20, 9999)], 2 * k)).collect()
+        found.append({r.doc_id for r in hits})
+        sizes.append(sorted(size for size, _ in index.levels))
+        index = repeats.LogIndex(spark, index.path)
+    assert found[0] == set() and found[1] == {1, 3} and all(2 * k + 1 in f and not any(i % 2 == 0 for i in f) for k, f in enumerate(found[1:], 1))
+    assert sizes == [[0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2]]
+    once = index.entries().where("c = 1").count()
+    assert index.entries().count() > once > 0
+
+
+def test_levels_are_in_the_order_of_the_bytes(spark):
+    rng = random.Random(4)
+    texts = [words(rng, 300, 9999) for _ in range(6)]
+    index = repeats.LogIndex(spark)
+    index.add(places(spark, texts, 0))
+    seen = 0
+    for f in index.entries().inputFiles():
+        keys = [tuple(r[k] for k in repeats.KEY) for r in spark.read.parquet(f).collect()]
+        assert keys == sorted(keys)
+        heads = [b"".join(((x + (1 << 63)) % (1 << 64)).to_bytes(8, "big") for x in k[:2]) for k in keys]
+        assert heads == sorted(heads) and all(any(h in t.encode() for t in texts) for h in heads)
+        seen += len(keys)
+    assert seen > 50
+
+
+def test_equal_hashes_of_different_bytes_are_no_repeats(monkeypatch, spark):
+    """With hashes of windows that all collide, the bytes decide."""
+    monkeypatch.setattr(repeats.Hashed, "of", lambda self, start, end: start * 0)
+    data, n = b"abcabdabcxyz", 3
+    start = np.arange(len(data) - n + 1)
+    same = repeats._verified(data, start, start, start * 0, start * 0 + len(start), n)
+    assert [data[k : k + n] for k in np.flatnonzero(same)] == [b"abc", b"abc"]
+
+
+def test_texts_beyond_a_slice(spark):
+    """A text of over 3 MB is taken in overlapping slices; repeats within it, over their edges and in others are found."""
+    rng = random.Random(9)
+    raw = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=2 * repeats.SLICE + 400_000))
+    far = raw[5_000:5_600]
+    edge = raw[repeats.SLICE - 300 : repeats.SLICE + 300]
+    text = raw + "Q" + far
+    other = "Q" * 50 + edge + "Z" * 50
+    got = {r.doc_id: r for r in repeats.deduplicate(docs(spark, [text, other, far[:199]])).collect()}
+    assert (got[0].n_bytes, got[0].n_removed, got[0].n_spans) == (len(text), 3 * 600, 3)
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (600, 1, hashlib.sha256(b"Q" * 50 + b"Z" * 50).hexdigest())
+    left = raw[:5_000] + raw[5_600 : repeats.SLICE - 300] + raw[repeats.SLICE + 300 :] + "Q"
+    assert got[0].kept_sha256 == hashlib.sha256(left.encode()).hexdigest() and got[2].n_removed == 0
 
 
 def test_odd_tables(spark):
