@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clarion.functions.lineage import stored
+from clarion.functions.lineage import remove, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,17 +32,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Self loops, repeated and reversed edges and null ends are allowed (null ends are
     dropped). Nodes without edges do not appear: their component is their own id.
     The number of rounds grows with the logarithm of the graph; every round is written
-    to the shared folder, and only two counters come back to the driver.
+    to the shared folder, the one before it goes, and only two counters come back to the driver.
     """
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    e = stored(e.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    rounds: list[str] = []
+    e = stored(e.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), rounds)
     before = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-        e = stored(_star(_star(e, large=True), large=False))
+        e = stored(_star(_star(e, large=True), large=False), rounds)
+        remove(e.sparkSession, rounds.pop(0))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
