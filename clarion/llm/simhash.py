@@ -28,6 +28,8 @@ from clarion.operators.graph import connected_components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints of a bucket, or of a piece of a bucket, in one comparison.
 CELL = 2048
+#: Rows that go, of which the ids are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
 #: Reference fingerprints: bit j of pivot i is the parity of i & j (Walsh functions, 32 bits apart).
 PIVOTS = [sum((bin(i & j).count("1") & 1) << j for j in range(64)) for i in range(16)]
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -166,28 +168,53 @@ def links(fps: DataFrame, fp: str = "fp", node: str = "node", max_bits: int = MA
     return groups.mapInArrow(compare, "src bigint, dst bigint").distinct()
 
 
+def _components(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component_id): of every fingerprint of ``fps`` (fp, doc_id) the least id reachable over links."""
+    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Fingerprints are the nodes: rows that repeat an id with another text stay apart.
+    named = reps.join(connected_components(links(reps.where("least is not null"), node="fp", max_bits=max_bits)), reps.fp == F.col("id"), "left")
+    named = stored(named.select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id. Ids must be integers.
 
     component_id is the least doc_id reachable over links of at most ``max_bits``
     differing bits, the row's own included. Texts without words share fingerprint zero.
     Rows with a null doc_id keep a fingerprint and link to nothing: component_id null
-    unless equal fingerprints have an id. Repeated rows are repeated in the result.
+    unless equal fingerprints have an id. Repeated rows are repeated in the result; other
+    columns, of whatever name, don't matter, and no rows give no result.
     """
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     fps = stored(fingerprints(own, "text", "fp", shingle))
-    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    components = connected_components(links(reps.where("node is not null"), max_bits=max_bits))
-    named = reps.join(components, reps.node == components.id, "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = _components(fps, max_bits).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that have their class's least doc_id; of rows that repeat an id, one stays.
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` per class: the one of the least doc_id, and of the least hash of its text where that id repeats.
 
-    Rows with a null id belong to no class by name and all stay.
+    Rows are told apart by id and text, so an id on two different texts loses neither; of
+    rows that repeat both, one stays. Rows with a null id belong to no class and all stay.
+    Which rows go is settled over narrow rows. They are counted, and broadcast up to
+    ``BROADCAST_ROWS`` of them; more meet the texts in a shuffle.
     """
-    name = free_name("_keep", docs.columns)
-    keep = classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(keep, F.col(doc_id).cast("bigint") == F.col(name), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), digest.alias("d"), F.col(text).alias("text"))
+    fps = stored(fingerprints(own, "text", "fp", shingle))
+    named = _components(fps, max_bits).select("fp", "component")
+    rows = stored(fps.groupBy("fp", "doc_id", "d").agg(F.count("*").alias("n")).join(named, "fp"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "d")).alias("first"))
+    judged = rows.join(first, "component").withColumn("stays", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("d") == F.col("first.d")))
+    a, b = (free_name(x, docs.columns) for x in ("_doc", "_text"))
+    settled = stored(judged.where("not stays or n > 1").select(F.col("doc_id").alias(a), F.col("d").alias(b), "stays"))
+    few = (lambda x: F.broadcast(x)) if settled.count() <= BROADCAST_ROWS else (lambda x: x)
+    same = lambda x: (F.col(doc_id).cast("bigint") == x[a]) & (digest == x[b])
+    kept = docs.join(few(settled), same(settled), "left_anti")
+    twice = settled.where("stays")
+    if not twice.isEmpty():
+        key = free_name("_digest", docs.columns)
+        kept = kept.unionByName(docs.join(few(twice), same(twice), "left_semi").withColumn(key, digest).dropDuplicates([doc_id, key]).drop(key))
+    return kept

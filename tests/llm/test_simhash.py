@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from helpers import CLASHES, ODD, docs, words
 
@@ -74,3 +75,14 @@ def test_one_document_of_each_class_stays(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 2), (False, 7), (False, 9), (True, None)]
     assert simhash.classes(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [simhash.BROADCAST_ROWS, 0])
+def test_rows_not_ids_are_told_apart(spark, monkeypatch, limit):
+    """One id on two texts loses neither; copies and rows that repeat both leave one; null ids stay."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+    a, b = "the quick brown fox jumps over the lazy dog again", "entirely other words stand in this second text here"
+    df = docs(spark, [a, b, b, b, a, a, None], [1, 1, 1, 2, 3, None, None], extra=CLASHES)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in simhash.deduplicated(df).collect())
+    assert got == sorted([(-1, ""), (-1, a), (1, a), (1, b)])
+    assert simhash.deduplicated(df).columns == df.columns
