@@ -12,13 +12,15 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one that the session set, or in local mode a temporary one.
+
+    On a cluster a temporary folder would be another one on every machine, so that is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
-        at = tempfile.mkdtemp(prefix="clarion-")
-        spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clarion-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
