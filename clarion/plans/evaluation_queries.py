@@ -100,7 +100,7 @@ POLICY_SQL = f"""with p as (
     1 / (exp(z1 - m) + exp(z2 - m) + exp(z3 - m)) as score from (
       select doc_id, source as origin, ((doc_id * 37) % 101) / 25.0 as z1, ((doc_id * 53) % 103) / 25.0 as z2, ((doc_id * 71) % 107) / 25.0 as z3, greatest(z1, z2, z3) as m, doc_id % 11 = 0 as is_partial,
         case when doc_id % 13 = 0 then 'searchSnippet' else 'articleBody' end as provenance, case when doc_id % 7 = 0 then 'unknown' when doc_id % 7 = 1 then 'incompatible' else 'compatible' end as alignment from documents)),
-g as (select a.range as i, b.range as j from range(8) a, range(8) b where a.range <= b.range),
+g as (select a.range as i, b.range as j from range(19) a, range(19) b where a.range <= b.range),
 r as (select distinct id from p),
 v as (select i, j, id, count(distinct origin) = 1 as one, bool_or(label = 'e') as e, bool_or(label = 'c') as c, coalesce(bool_or(label = 'e' and score >= 0.5 + j * 0.025), false) as e1, coalesce(bool_or(label = 'c' and score >= 0.5 + j * 0.025), false) as c1
   from g, p where label <> 'n' and score >= 0.5 + i * 0.025 group by all),
@@ -202,7 +202,7 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.pair_audit(inputs.read(spark, sf_dir, "conversations").select(F.col("text").alias("sentence1"), "role", label.alias("gold_label")), hypothesis="role")
 
 
-AUDIT_SQL = """with p as (select trim(substr(text, 1, 20)) as a, trim(role) as b, case when (turn + conv_id) % 10 = 9 then '?' when (turn + conv_id) % 3 = 0 then 'entailment' when (turn + conv_id) % 3 = 1 then 'neutral' else 'contradiction' end as l from conversations)
+AUDIT_SQL = """with p as (select trim(text) as a, trim(role) as b, case when (turn + conv_id) % 10 = 9 then '?' when (turn + conv_id) % 3 = 0 then 'entailment' when (turn + conv_id) % 3 = 1 then 'neutral' else 'contradiction' end as l from conversations)
 select count(*) as rows, count(*) filter (l = 'entailment') as entailment, count(*) filter (l = 'neutral') as neutral, count(*) filter (l = 'contradiction') as contradiction, count(*) filter (l = '?') as invalid,
   count(*) filter (a = '') as empty_premise, count(*) filter (b = '') as empty_hypothesis, count(distinct (a, b)) as unique_pairs, count(*) - count(distinct (a, b)) as duplicate_pairs from p"""
 

@@ -207,7 +207,7 @@ def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = "greatest(ceil(length({0}) / 3.0), len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')))"
 EXPANSION_SQL = f"""with w as (select conv_id, turn as ix, text, lead(text) over (partition by conv_id order by turn) as nxt, lag(text) over (partition by conv_id order by turn) as bef from conversations),
 f as (select conv_id, text, arg_min(struct_pack(nxt, bef), ix) as near from w group by conv_id, text),
-c as (select w.conv_id, w.ix, w.text, near.nxt as nxt, near.bef as bef from w join f on w.conv_id = f.conv_id and w.text = f.text where ix % 3 = 0),
+c as (select w.conv_id, w.ix, w.text, near.nxt as nxt, near.bef as bef from w join f on w.conv_id = f.conv_id and w.text = f.text),
 o as (select *, case when nxt is not null and {_TOKENS.format("(text || ' ' || nxt)")} <= 300 then text || ' ' || nxt else text end as one from c),
 e as (select *, case when bef is not null and {_TOKENS.format("(bef || ' ' || one)")} <= 300 then bef || ' ' || one else one end as expanded from o)
 select conv_id, ix, md5(expanded) as expanded_md5, length(expanded)::int as n_chars from e qualify row_number() over (partition by conv_id, expanded order by ix) = 1"""
@@ -263,8 +263,8 @@ def leader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEADERS_SQL = f"""with recursive t as (
-  select length(text) % 97 as claim_id, doc_id as rank, 'https://' || source || '.example.org/' || doc_id % 50 as url, doc_id % 11 = 0 as is_partial, text, {_TERMS.format("text")} as w from documents
-  qualify row_number() over (partition by length(text) % 97 order by doc_id) <= 8),
+  select (length(text) // 64) * 4294967296 + (row_number() over (partition by length(text) // 64 order by text, doc_id) - 1) // 8 as claim_id, doc_id as rank,
+    'https://' || source || '.example.org/' || case when doc_id % 5 = 0 then 'l' || length(text) // 64 else doc_id::varchar end as url, doc_id % 11 = 0 as is_partial, text, {_TERMS.format("text")} as w from documents),
 g as (select *, {_PROTECTED} as p, {_NAMES.format("text")} as nm, {_SHINGLES} as s, row_number() over (partition by claim_id order by is_partial, rank) as k from t),
 near as (select b.claim_id, b.k, list(a.k order by a.k) as like_ from g a join g b on a.claim_id = b.claim_id and a.k < b.k and (a.url = b.url or a.w = b.w or (a.p = b.p and a.nm = b.nm
     and len(list_intersect(a.s, b.s)) >= 0.85 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) and len(a.s) > 0)) group by all),

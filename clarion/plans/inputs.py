@@ -138,13 +138,13 @@ def article_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HITS_SQL = """hits as (
-  select doc_id % 40 as claim_id, doc_id as ix, 'https://' || d || '/noticia/' || doc_id % 45 || case when doc_id % 3 = 0 then '?utm_source=x' else '/' end as url,
+  select doc_id % (select count(*) from benchmark) as claim_id, doc_id as ix, 'https://' || d || '/noticia/' || doc_id % 45 || case when doc_id % 3 = 0 then '?utm_source=x' else '/' end as url,
     'https://' || case when d = 'www.bbc.com' then 'bbc.com' else d end || '/noticia/' || doc_id % 45 as canonical, d,
-    substr(text, 1, 60) as title, substr(text, 1, 1500) as content, (doc_id % 10) / 10.0 as score,
+    substr(text, 1, 60) as title, text as content, (doc_id % 10) / 10.0 as score,
     case d when 'g1.globo.com' then 'grupo-globo' when 'oglobo.globo.com' then 'grupo-globo' when 'www.bbc.com' then 'bbc.com' when 'saude.gov.br' then 'gov.br'
       when 'agenciabrasil.ebc.com.br' then 'ebc' else d end as origin
   from (select *, ['g1.globo.com', 'www.bbc.com', 'saude.gov.br', 'oglobo.globo.com', 'aosfatos.org', 'agenciabrasil.ebc.com.br', 'not-allowed.example.com'][doc_id % 7 + 1] as d from documents)),
-hit_claims as (select item_id as claim_id, text from benchmark where item_id < 40)"""
+hit_claims as (select item_id as claim_id, text from benchmark)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

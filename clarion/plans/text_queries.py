@@ -65,7 +65,7 @@ def claim_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.read(spark, sf_dir, "documents").select("doc_id", v.status.alias("status"), v.delta.alias("delta"))
 
 
-VALIDITY_SQL = """with t as (select doc_id, length(trim(substr(text, 1, 1200))) as n from documents)
+VALIDITY_SQL = """with t as (select doc_id, length(trim(text)) as n from documents)
 select doc_id, case when n = 0 then 'empty' when n < 15 then 'tooShort' when n > 1000 then 'tooLong' else 'valid' end as status,
   case when n = 0 then 0 when n < 15 then 15 - n when n > 1000 then n - 1000 else 0 end::int as delta from t"""
 
@@ -157,8 +157,8 @@ def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.read(spark, sf_dir, "conversations").select("conv_id", "turn", status.status.alias("status"), F.coalesce(status.code, F.lit("")).alias("code"))
 
 
-REQUEST_SQL = """select conv_id, turn, case when conv_id % 5 = 0 then 405 when conv_id % 7 = 0 then 400 when turn % 7 = 5 then 413 when turn % 7 in (1, 2, 3, 4) then 400 when length(trim(substr(text, 1, 150))) < 1 then 400 else 200 end as status,
-  case when conv_id % 5 = 0 then 'method_not_allowed' when conv_id % 7 = 0 then 'invalid_body' when turn % 7 in (1, 5) then 'invalid_body' when turn % 7 in (2, 3, 4) then 'invalid_query' when length(trim(substr(text, 1, 150))) < 1 then 'invalid_query' else '' end as code from conversations"""
+REQUEST_SQL = """select conv_id, turn, case when conv_id % 5 = 0 then 405 when conv_id % 7 = 0 then 400 when turn % 7 = 5 then 413 when turn % 7 in (1, 2, 3, 4) then 400 when length(trim(text)) not between 1 and 200 then 400 else 200 end as status,
+  case when conv_id % 5 = 0 then 'method_not_allowed' when conv_id % 7 = 0 then 'invalid_body' when turn % 7 in (1, 5) then 'invalid_body' when turn % 7 in (2, 3, 4) then 'invalid_query' when length(trim(text)) not between 1 and 200 then 'invalid_query' else '' end as code from conversations"""
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
