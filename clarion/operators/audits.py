@@ -52,6 +52,11 @@ def gate_summary(lines: DataFrame, variant: str = "variant", stage: str = "stage
     )
 
 
+def by_length(lines: DataFrame, variant: str, tokens: str, value: str, lengths: tuple[int, ...]) -> DataFrame:
+    """(variant, t<length>…): the greatest ``value`` of each variant at each length in tokens; null where none was measured."""
+    return lines.groupBy(variant).agg(*[F.max(F.when(F.col(tokens) == n, F.col(value))).alias(f"t{n}") for n in lengths])
+
+
 def manifest_errors(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, problem): manifest entries (path, sha256) without a file or with other content. ``files``: path, content."""
     seen = files.select("path", F.sha2("content", 256).alias("found"))
