@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from clarion.functions.text import collapse, fold, word_count
 
-# Phrases of navigation and footers, patterns of bylines, dates, times and credits, least sizes.
+# Phrases of navigation and footers, patterns of bylines, dates, times, credits, paywalls, noise, blocked pages and article links, least sizes.
 NAVIGATION = (
     "navegue direto pelo app", "mais lidas", "leia também", "leia mais", "veja também", "continua depois da publicidade",
     "compartilhe", "últimas notícias", "pular para o conteúdo", "todos os direitos reservados", "receba as principais notícias",
@@ -23,12 +23,12 @@ CHROME = (
 EDGES = " —–-•|,;:"
 LEAST_CHARACTERS, LEAST_WORDS = 40, 5
 PAYWALL = (
-    r"(?i)(assine (já|agora|para continuar)|conteúdo exclusivo para assinantes|para continuar lendo|acesso ilimitado|"
+    r"(?iu)(assine (já|agora|para continuar)|conteúdo exclusivo para assinantes|para continuar lendo|acesso ilimitado|"
     r"subscribe to continue|subscriber(s)? only|register to continue|paywall|you('| a)ve reached your (free )?(article )?limit|"
     r"crie sua conta gratuita|faça login para continuar)"
 )
 NOISE = (
-    r"(?i)(leia também|leia mais|veja também|matérias relacionadas|compartilhe|compartilhar no|newsletter|assine a newsletter|"
+    r"(?iu)(leia também|leia mais|veja também|matérias relacionadas|compartilhe|compartilhar no|newsletter|assine a newsletter|"
     r"todos os direitos reservados|política de privacidade|termos de uso|siga (o|a) .* no (instagram|twitter|facebook)|"
     r"menu principal|pular para o conteúdo)"
 )
@@ -37,7 +37,7 @@ BLOCK_MARKERS = (
     "unusual traffic", "captcha", "verify you are a human", "are you a robot", "automated queries", "anomaly", "blocked",
     "access denied", "rate limit",
 )
-FIXTURE_MARKS = r"(?i)^(Por|Foto|Leia também|Compartilhe|Publicado em)\b"
+FIXTURE_MARKS = r"(?iu)^(Por|Foto|Leia também|Compartilhe|Publicado em)\b"
 NO_ARTICLE = (
     r"(?i)(/tag/|/tags/|/busca|/search|/login|/assine|/assinatura|/newsletter|/video/|/videos/|/podcast|/ao-vivo|/live|#|"
     r"javascript:|/sobre|/politica-de-privacidade|/termos|/contato|mailto:|\.pdf$|\.jpg$|\.png$)"

@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
+# What a term and a name are, where a sentence ends.
 TERM = r"[\p{L}\p{N}]+(?:[.,]\d+)?"
 NAME = r"(?U)\b\p{Lu}[\p{L}\p{N}]+\b"
 SENTENCE_END = r"(?<=[.!?])\s+"

@@ -22,6 +22,7 @@ DATE = r"\b(\d{1,2})/(\d{1,2})/(20\d{2}|19\d{2})\b"
 YEAR = r"\b((?:19|20)\d{2})\b"
 CURRENT = r"\b(atualmente|atual|agora|e presidente|preside|ocupa o cargo|esta no cargo)\b"
 RECENT = r"\b(recentemente|nesta semana|esta semana|ultimos dias|acabou de)\b"
+NEGATIONS = ("não", "nunca", "jamais", "nem")
 MONTHS = (
     "janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro",
 )
@@ -126,6 +127,19 @@ def planned(text: Column, kind: Column, start: Column, reference: Column) -> Col
     return F.filter(made, lambda q, i: (q.text != "") & (F.array_position(texts, q.text) == i + 1))
 
 
+def negated(text: Column, verb: Column) -> Column:
+    """The claim's negation: its first negating word taken out, else one set before the first verb, else null.
+
+    ``verb`` is a tagger's place of the first verb among the words, from 0; null where it is unknown.
+    """
+    words = F.split(text, r"\s+")
+    at = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*NEGATIONS)), True)
+    without = F.concat(F.slice(words, F.lit(1), (at - 1).cast("int")), F.slice(words, (at + 1).cast("int"), F.size(words)))
+    inside = verb.between(0, F.size(words) - 1)
+    with_ = F.concat(F.slice(words, F.lit(1), F.greatest(verb, F.lit(0))), F.array(F.lit(NEGATIONS[0])), F.slice(words, F.greatest(verb, F.lit(0)) + 1, F.size(words)))
+    return F.array_join(F.when(at > 0, without).when(inside, with_), " ")
+
+
 def query_plan(claims: DataFrame, claim_id: str = "claim_id", text: str = "text", reference: str = "reference_ts") -> DataFrame:
     """(claim_id, ordinal, kind, text, domains): the searches of each claim. All narrow: no shuffle."""
     c = claims.select(F.col(claim_id).alias("claim_id"), F.col(text).alias("text"), F.col(reference).alias("reference_ts"))

@@ -226,29 +226,32 @@ def selected_policy(grid: DataFrame, precision: float = 0.9, coverage: float = 0
 
 
 def gate_errors(r: Column) -> Column:
-    """What keeps a release report (a struct) from promotion, as an array of messages; empty promotes."""
+    """What keeps a release report (a struct) from promotion, as an array of codes; empty promotes.
+
+    budget: and measure: are followed by the name of each device over its budget, or without storage or repeated runs.
+    """
     value = lambda side, name: F.coalesce(r[side][name], F.lit(0.0))
     no = lambda name: ~F.coalesce(r[name], F.lit(False))
     fields = ("name", "peak_ram_mb", "p95_seconds", "free_storage_mb", "repeated")
     none = F.array().cast("array<struct<name:string,peak_ram_mb:double,p95_seconds:double,free_storage_mb:double,repeated:boolean>>")
     devices = F.coalesce(F.transform(r["devices"], lambda d: F.struct(*[d[k].alias(k) for k in fields])), none)
     number = lambda d: F.coalesce(F.regexp_extract(d["name"], r"iPhone\s+(\d+)", 1).try_cast("int"), F.lit(0))
-    heavy = F.exists(devices, lambda d: (F.coalesce(d["peak_ram_mb"], F.lit(float("inf"))) >= 1000) | (F.coalesce(d["p95_seconds"], F.lit(float("inf"))) > 15))
-    bare = F.exists(devices, lambda d: (F.coalesce(d["free_storage_mb"], F.lit(0.0)) == 0) | ~F.coalesce(d["repeated"], F.lit(False)))
+    over = lambda d: (F.coalesce(d["peak_ram_mb"], F.lit(float("inf"))) >= 1000) | (F.coalesce(d["p95_seconds"], F.lit(float("inf"))) > 15)
+    bare = lambda d: (F.coalesce(d["free_storage_mb"], F.lit(0.0)) == 0) | ~F.coalesce(d["repeated"], F.lit(False))
+    named = lambda code, bad: F.transform(F.filter(devices, bad), lambda d: F.concat(F.lit(code + ":"), F.coalesce(d["name"], F.lit("?"))))
     rules = [
-        ((F.coalesce(r["blind_test_claims"], F.lit(0)) < 300) | (F.coalesce(r["blind_test_sha256"], F.lit("")) == ""), "blind test incomplete"),
-        (value("candidate", "directional_precision") < 0.90, "directional precision below target"),
-        (value("candidate", "resolvable_coverage") < 0.70, "resolvable coverage below target"),
-        (value("candidate", "accuracy") <= value("baseline", "accuracy"), "no improvement end to end"),
-        (value("candidate", "total_coverage") < value("baseline", "total_coverage") - 0.03, "coverage regression"),
-        (no("tokenizer_parity") | no("model_parity"), "parity missing"),
-        (no("critical_regressions"), "critical regressions failed"),
-        (~F.exists(devices, lambda d: d["name"] == "iPhone 13") | ~F.exists(devices, lambda d: number(d) > 13), "devices missing"),
-        (heavy, "memory or latency over budget"),
-        (bare, "storage or repeated runs missing"),
-        ((F.coalesce(r["model_sha256"], F.lit("")) == "") | (F.coalesce(r["policy_version"], F.lit("")) == ""), "versions missing"),
+        ((F.coalesce(r["blind_test_claims"], F.lit(0)) < 300) | (F.coalesce(r["blind_test_sha256"], F.lit("")) == ""), "blindTest"),
+        (value("candidate", "directional_precision") < 0.90, "precision"),
+        (value("candidate", "resolvable_coverage") < 0.70, "coverage"),
+        (value("candidate", "accuracy") <= value("baseline", "accuracy"), "noGain"),
+        (value("candidate", "total_coverage") < value("baseline", "total_coverage") - 0.03, "coverageLoss"),
+        (no("tokenizer_parity") | no("model_parity"), "parity"),
+        (no("critical_regressions"), "regressions"),
+        (~F.exists(devices, lambda d: d["name"] == "iPhone 13") | ~F.exists(devices, lambda d: number(d) > 13), "devices"),
     ]
-    return F.filter(F.array(*[F.when(bad, said) for bad, said in rules]), lambda x: x.isNotNull())
+    last = [((F.coalesce(r["model_sha256"], F.lit("")) == "") | (F.coalesce(r["policy_version"], F.lit("")) == ""), "versions")]
+    codes = lambda some: F.array(*[F.when(bad, code) for bad, code in some])
+    return F.filter(F.concat(codes(rules), named("budget", over), named("measure", bare), codes(last)), lambda x: x.isNotNull())
 
 
 def stability(pairs: DataFrame, group: str = "grupo", predicted: str = "predicted", allowed: str = "correct") -> DataFrame:
@@ -296,3 +299,31 @@ def negation_coverage(claims: DataFrame, negations: DataFrame, key: str = "claim
     """(claims, skipped): how many claims have no automatic negation."""
     both = claims.select(key).join(negations.select(key).distinct().withColumn("_has", F.lit(True)), key, "left")
     return both.agg(F.count("*").alias("claims"), F.count_if(F.col("_has").isNull()).alias("skipped"))
+
+
+def tagged(parts: dict[str, DataFrame], into: str = "part") -> DataFrame:
+    """The rows of all ``parts``, which have the same columns, with the name of each row's part."""
+    out = None
+    for name, df in parts.items():
+        own = df.withColumn(into, F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def same_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(only_left, only_right): how many distinct keys one side alone has; both 0 where the sets are equal."""
+    seen = tagged({"l": left.select(key), "r": right.select(key)}).groupBy(key).agg(F.bool_or(F.col("part") == "l").alias("l"), F.bool_or(F.col("part") == "r").alias("r"))
+    return seen.agg(F.count_if(~F.col("r")).alias("only_left"), F.count_if(~F.col("l")).alias("only_right"))
+
+
+def class_summary(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(n, accuracy, macro_f1, weighted_loss) of rows (truth, predicted, p by the order of LABELS); nulls where there are none.
+
+    The loss of a row is the logarithm of its true label's probability, weighted by the label.
+    """
+    names = F.array(*[F.lit(x) for x in LABELS])
+    own = F.element_at("p", F.array_position(names, F.col("truth")).cast("int"))
+    w = F.coalesce(*[F.when(F.col("truth") == k, F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
+    of = lambda x: F.try_divide(2.0 * F.count_if((F.col("truth") == x) & (F.col("predicted") == x)), F.count_if(F.col("truth") == x) + F.count_if(F.col("predicted") == x))
+    f1 = sum((F.coalesce(of(x), F.lit(0.0)) for x in LABELS[1:]), F.coalesce(of(LABELS[0]), F.lit(0.0))) / len(LABELS)
+    return rows.agg(F.count("*").alias("n"), F.try_divide(F.count_if(F.col("truth") == F.col("predicted")).cast("double"), F.count("*")).alias("accuracy"), f1.alias("macro_f1"), F.try_divide(F.sum(-F.log(F.greatest(F.lit(1e-15), own)) * w), F.sum(w)).alias("weighted_loss"))

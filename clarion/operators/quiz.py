@@ -40,18 +40,18 @@ def daily(questions: DataFrame, days: DataFrame, question_id: str = "question_id
     Questions are numbered in the order of a hash; a day draws a number, so days join by
     equality. Numbers are dealt in parts by the hash's range, no single task sees all.
     """
-    part = F.shiftrightunsigned(F.xxhash64(question_id), 54)  # 1024 ranges of the hash, as unsigned numbers
-    own = questions.select(F.col(question_id), part.alias("_p"))
+    key = F.md5(F.col(question_id).cast("string"))
+    own = questions.select(F.col(question_id), key.alias("_h"), F.substring(key, 1, 3).alias("_p"))  # 4096 ranges of the hash
     sizes = own.groupBy("_p").agg(F.count("*").alias("_c"))
-    first = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_first"))  # 1024 rows at most
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.xxhash64(question_id), question_id)) - 1
+    first = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_first"))  # 4096 rows at most
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", question_id)) - 1
     numbered = own.withColumn("_k", place).join(first, "_p").select(question_id, (F.col("_first") + F.col("_k")).alias("_n"))
     total = questions.agg(F.count("*").alias("_total"))
     drawn = days.select(day).distinct().join(F.broadcast(total)).where("_total > 0")  # one row
-    drawn = drawn.select(day, F.pmod(F.xxhash64(F.col(day).cast("string")), F.col("_total")).alias("_n"))
-    return drawn.join(numbered, "_n").select(day, question_id)
+    number = F.conv(F.substring(F.md5(F.col(day).cast("string")), 1, 12), 16, 10).cast("bigint")
+    return drawn.select(day, (number % F.col("_total")).alias("_n")).join(numbered, "_n").select(day, question_id)
 
 
 def round_of(facts: DataFrame, seed: int, n: int = 10, fact_id: str = "fact_id") -> DataFrame:
     """``n`` facts in an order drawn by ``seed``; a top-n, so only n rows of each partition are kept."""
-    return facts.orderBy(F.xxhash64(F.lit(seed), F.col(fact_id)), fact_id).limit(n)
+    return facts.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(fact_id).cast("string"))), fact_id).limit(n)

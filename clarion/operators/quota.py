@@ -49,6 +49,11 @@ def request_status(method: Column, content_type: Column, body: Column, configure
     )
 
 
+def key_matches(given: Column, secret: Column) -> Column:
+    """Whether a request's key is the server's, compared by digests; false where the server has none."""
+    return F.coalesce((F.sha2(given, 256) == F.sha2(secret, 256)) & (secret != ""), F.lit(False))
+
+
 def search_body(body: Column, domains: Column) -> Column:
     """What is sent on for a valid request: its query and the server's own parameters; dates only if they exist."""
     v = F.try_parse_json(body)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clarion.plans import evaluation_queries, evidence_queries, source_queries, text_queries
+from clarion.plans import evaluation_queries, evidence_queries, rule_queries, source_queries, text_queries
 
-_MODULES = (evidence_queries, text_queries, evaluation_queries, source_queries)
+_MODULES = (evidence_queries, text_queries, evaluation_queries, source_queries, rule_queries)
 
 
 def queries() -> dict:

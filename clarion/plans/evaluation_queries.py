@@ -132,9 +132,9 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.record_errors(inputs.records(spark, sf_dir)).select("id", F.coalesce("error", F.lit("")).alias("error"))
 
 
-RECORD_SQL = """select cast(doc_id as varchar) as id, case when doc_id % 101 = 0 or substr(text, 1, 80) = '' then 'claim, event and family required' when doc_id % 4 = 0 then ''
-  when doc_id % 29 = 0 then 'verdict or reference date missing' when doc_id % 19 = 0 then 'reference date must be ISO 8601' when doc_id % 23 = 0 then 'independent review required'
-  when doc_id % 31 = 0 then 'sufficient evidence required' when doc_id % 17 = 0 or text = '' then 'evidence URL or text missing' when doc_id % 37 = 0 then 'invalid pair' else '' end as error from documents"""
+RECORD_SQL = """select cast(doc_id as varchar) as id, case when doc_id % 101 = 0 or substr(text, 1, 80) = '' then 'grouping' when doc_id % 4 = 0 then ''
+  when doc_id % 29 = 0 then 'verdict' when doc_id % 19 = 0 then 'date' when doc_id % 23 = 0 then 'review'
+  when doc_id % 31 = 0 then 'sufficiency' when doc_id % 17 = 0 or text = '' then 'evidence' when doc_id % 37 = 0 then 'pair' else '' end as error from documents"""
 
 _KEYS_SQL = """keys as (select distinct * from (
   select doc_id, ['train', 'calibration', 'test'][doc_id % 3 + 1] as split, 'event:ev' || doc_id % 400 as key from documents
@@ -252,8 +252,12 @@ def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiz.daily(q, inputs.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day")))
 
 
+DAILY_SQL = """with q as (select doc_id as question_id, row_number() over (order by md5(cast(doc_id as varchar)), doc_id) - 1 as n, count(*) over () as total from documents),
+d as (select distinct ts::date as day from events)
+select day, question_id from d join q on n = ('0x' || substr(md5(cast(day as varchar)), 1, 12))::bigint % total"""
+
 SQL = {
-    "confusion_matrix": CONFUSION_SQL, "evaluation_report": REPORT_SQL, "class_metrics": CLASS_SQL, "calibration_losses": LOSS_SQL, "calibration_temperature": TEMPERATURE_SQL,
+    "daily_pick": DAILY_SQL, "confusion_matrix": CONFUSION_SQL, "evaluation_report": REPORT_SQL, "class_metrics": CLASS_SQL, "calibration_losses": LOSS_SQL, "calibration_temperature": TEMPERATURE_SQL,
     "policy_grid": POLICY_SQL, "verified_evidence": EVIDENCE_SQL, "record_errors": RECORD_SQL, "split_leakage": LEAK_SQL, "split_components": COMPONENT_SQL, "split_packing": PACKING_SQL,
     "threshold_sweep": SWEEP_SQL, "stable_families": STABLE_SQL, "audit_counts": AUDIT_SQL, "search_leak_audit": LEAKAUDIT_SQL,
     "usable_domains": "select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as domain, count(*) as urls, bool_or(length(html) > 3000) as usable from pages group by 1",

@@ -127,11 +127,13 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The same patterns for DuckDB, where a flag for letters of all scripts is not needed.
+_NOISE, _PAYWALL = (p.replace("(?iu)", "(?i)").replace("'", "''") for p in (rules.NOISE, rules.PAYWALL))
 SIGNAL_SQL = rf"""with p as (select page_id, html, regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g') as a, regexp_replace(html, '<[^>]+>', ' ', 'g') as b,
   list_sum(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: length(x))) as n from pages),
-s as (select *, len(regexp_extract_all(html, '{rules.NOISE}')) as noise, len(regexp_extract_all(a, '{rules.NOISE}')) as na, len(regexp_extract_all(b, '{rules.NOISE}')) as nb from p)
+s as (select *, len(regexp_extract_all(html, '{_NOISE}')) as noise, len(regexp_extract_all(a, '{_NOISE}')) as na, len(regexp_extract_all(b, '{_NOISE}')) as nb from p)
 select page_id, length(html) < 3000 or regexp_matches(html, '{rules.EMPTY_ROOT}') or (coalesce(n, 0) < 150 and length(html) > 20000) as needs_scripts, noise::int as noise,
-  regexp_matches(a, '{rules.PAYWALL.replace("'", "''")}') or (length(a) < 200 and regexp_matches(html, '{rules.PAYWALL.replace("'", "''")}')) as paywalled,
+  regexp_matches(a, '{_PAYWALL}') or (length(a) < 200 and regexp_matches(html, '{_PAYWALL}')) as paywalled,
   case when length(a) < 200 and length(b) < 200 then 'none' when length(a) >= 200 and (length(b) < 200 or (-na, length(a)) > (-nb, length(b))) then 'a'
     when length(b) >= 200 and (length(a) < 200 or (-nb, length(b)) > (-na, length(a))) then 'b' else 'tie' end as winner,
   case when page_id % 10 = 0 then 'status:403' when {" when ".join(f"contains(lower(html), '{m}') then 'marker:{m}'" for m in rules.BLOCK_MARKERS)} when length(html) < 1500 then 'short' else '' end as blocked from s"""

@@ -279,7 +279,7 @@ def test_gate_and_label_order(spark):
     Path(path).write_text(json.dumps(good) + "\n" + json.dumps(bad) + "\n")
     rows = spark.read.json(path)
     got = [r[0] for r in rows.select(evaluation.gate_errors(F.struct(*rows.columns))).collect()]
-    assert got == [[], ["blind test incomplete", "devices missing", "memory or latency over budget"]]
+    assert got == [[], ["blindTest", "devices", "budget:iPhone 13"]]
     probes = spark.createDataFrame([([9.0, 1.0, 0.0], "neutral"), ([0.0, 5.0, 1.0], "contradiction")], "logits array<double>, expected string")
     assert [r.order for r in evaluation.label_order(probes).collect()] == ["neutral,contradiction,entailment"]
     epochs = spark.createDataFrame([(1, 0.8, 0.5), (2, 0.8, 0.4), (3, 0.7, 0.1)], "epoch int, f1 double, loss double")
