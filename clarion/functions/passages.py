@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from clarion.functions.text import collapse, fold, word_count
+from clarion.functions.text import collapse, fold, folded_text, let, word_count
 
 # Phrases of navigation and footers, patterns of bylines, dates, times, credits, paywalls, noise, blocked pages and article links, least sizes.
 NAVIGATION = (
@@ -45,17 +47,22 @@ NO_ARTICLE = (
 ARTICLE_HINT = r"(-.*-.*-)|(\d{5,})|(/20\d{2}[/-]\d{1,2}[/-])"
 
 
+def _phrases(folded: Column) -> Column:
+    """Whether any phrase of navigation is in a folded text: one pass over it."""
+    return folded.rlike("|".join(re.escape(folded_text(p)) for p in NAVIGATION))
+
+
+def _title(text: Column, folded: Column) -> Column:
+    return folded.startswith("title:") | (text.contains(" | ") & ~F.rtrim(text).rlike(r"[.!?…]$"))
+
+
 def page_title(text: Column) -> Column:
     """A bar between parts and no closing punctuation, or an explicit mark."""
-    return fold(text).startswith("title:") | (text.contains(" | ") & ~F.rtrim(text).rlike(r"[.!?…]$"))
+    return _title(text, fold(text))
 
 
 def navigation(text: Column) -> Column:
-    folded = fold(text)
-    found = F.lit(False)
-    for phrase in NAVIGATION:
-        found = found | folded.contains(fold(F.lit(phrase)))
-    return found
+    return _phrases(fold(text))
 
 
 def structural(paragraph: Column) -> Column:
@@ -75,14 +82,12 @@ def rejection(passage: Column, has_verb: Column | None = None) -> Column:
     """Why a passage is no evidence, the first rule that holds; null keeps it.
 
     ``has_verb`` is a nullable boolean of a tagger; unknown (the default) rejects nothing.
+    Each step's text is computed once, and the patterns run only over what is long enough.
     """
-    text = collapse(passage)
-    body = without_chrome(text)
     verb = F.lit(None).cast("boolean") if has_verb is None else has_verb
-    return (
-        F.when(page_title(text), "pageTitle").when(navigation(text), "navigation")
-        .when((F.length(body) < LEAST_CHARACTERS) | (word_count(body) < LEAST_WORDS), "tooShort").when(~verb, "noVerb")
-    )
+    too_short = lambda t: (F.length(t) < LEAST_CHARACTERS) | let(without_chrome(t), lambda b: (F.length(b) < LEAST_CHARACTERS) | (word_count(b) < LEAST_WORDS))
+    why = lambda t, f: F.when(_title(t, f), "pageTitle").when(_phrases(f), "navigation").when(too_short(t), "tooShort")
+    return F.coalesce(let(collapse(passage), lambda t: let(fold(t), lambda f: why(t, f))), F.when(~verb, "noVerb"))
 
 
 def short_or_marked(line: Column) -> Column:

@@ -42,6 +42,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), *ACCENTS)
 
 
+def folded_text(text: str) -> str:
+    """``fold`` of a constant."""
+    return text.lower().translate(str.maketrans(*ACCENTS))
+
+
 def terms(text: Column) -> Column:
     """Folded words and numbers; a decimal part stays with its number."""
     return F.regexp_extract_all(fold(text), F.lit(TERM), F.lit(0))

@@ -22,16 +22,45 @@ def _sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in _SENTENCE.split(text)) if s]
 
 
-def _filled(units: list[str], fits: Callable[[str], bool], overlap: bool) -> list[str]:
+class _Piece:
+    """Units joined by spaces and whether one more fits; the default estimate is kept as running counts."""
+
+    def __init__(self, budget: int, tokens: Callable[[str], int]):
+        self.budget, self.tokens, self.running = budget, tokens, tokens is estimate
+
+    def start(self, units: list[str]) -> None:
+        self.units = units
+        if self.running:
+            self.chars, self.words = sum(map(len, units)) + max(0, len(units) - 1), sum(len(u.split()) for u in units)
+
+    def fits(self, unit: str) -> bool:
+        if not self.running:
+            return self.tokens(" ".join([*self.units, unit])) <= self.budget
+        return max(-(-(self.chars + 1 + len(unit)) // 3), self.words + len(unit.split())) <= self.budget
+
+    def add(self, unit: str) -> None:
+        self.units.append(unit)
+        if self.running:
+            self.chars += 1 + len(unit)
+            self.words += len(unit.split())
+
+
+def _filled(units: list[str], budget: int, tokens: Callable[[str], int], overlap: bool) -> list[str]:
     """Units gathered greedily while they fit; with ``overlap`` a piece begins with the last unit of the one before if both fit."""
-    pieces, current = [], []
+    pieces: list[str] = []
+    piece = _Piece(budget, tokens)
+    piece.start([])
     for unit in units:
-        if not current or fits(" ".join([*current, unit])):
-            current.append(unit)
+        if piece.units and piece.fits(unit):
+            piece.add(unit)
             continue
-        pieces.append(" ".join(current))
-        current = [current[-1], unit] if overlap and fits(f"{current[-1]} {unit}") else [unit]
-    return [*pieces, " ".join(current)] if current else pieces
+        if piece.units:
+            pieces.append(" ".join(piece.units))
+            last = piece.units[-1]
+            piece.start([last, unit] if overlap and tokens(f"{last} {unit}") <= budget else [unit])
+        else:
+            piece.start([unit])
+    return [*pieces, " ".join(piece.units)] if piece.units else pieces
 
 
 def _halves(word: str, fits: Callable[[str], bool]) -> Iterator[str]:
@@ -44,8 +73,9 @@ def _halves(word: str, fits: Callable[[str], bool]) -> Iterator[str]:
         word = word[n:]
 
 
-def _words(text: str, fits: Callable[[str], bool]) -> list[str]:
-    return _filled([u for w in text.split() for u in ([w] if fits(w) else _halves(w, fits))], fits, overlap=False)
+def _words(text: str, budget: int, tokens: Callable[[str], int]) -> list[str]:
+    fits = lambda t: tokens(t) <= budget
+    return _filled([u for w in text.split() for u in ([w] if fits(w) else _halves(w, fits))], budget, tokens, overlap=False)
 
 
 def passages(paragraphs: list[str], budget: int, tokens: Callable[[str], int] = estimate) -> list[str]:
@@ -59,9 +89,9 @@ def passages(paragraphs: list[str], budget: int, tokens: Callable[[str], int] =
         if fits(body):
             made = [body]
         elif len(found) > 1:
-            made = _filled([u for s in found for u in ([s] if fits(s) else _words(s, fits))], fits, overlap=True)
+            made = _filled([u for s in found for u in ([s] if fits(s) else _words(s, budget, tokens))], budget, tokens, overlap=True)
         else:
-            made = _words(body, fits)
+            made = _words(body, budget, tokens)
         if made:
             out += made
             overlap = (_sentences(made[-1]) or [""])[-1]
@@ -70,7 +100,7 @@ def passages(paragraphs: list[str], budget: int, tokens: Callable[[str], int] =
 
 def paragraphs(text: Column) -> Column:
     """Trimmed lines that are neither empty, page titles nor navigation. Runs in the JVM."""
-    return F.filter(F.transform(F.split(text, r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]+"), F.btrim), lambda p: (p != "") & ~structural(p))
+    return F.filter(F.transform(F.split(text, r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]+"), lambda x: F.btrim(x)), lambda p: (p != "") & ~structural(p))
 
 
 def chunked(docs: DataFrame, text: str = "text", budget: int = 512, tokens: Callable[[str], int] = estimate, budgets: str | None = None, into: str = "passage") -> DataFrame:

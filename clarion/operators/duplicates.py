@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clarion.functions.lineage import stored
 from clarion.functions.text import jaccard, names, protected, shingles, terms
 
 LEAST = 0.85
@@ -19,14 +20,14 @@ def guards(text: Column, words: Column) -> Column:
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(membership, distinct texts): texts of equal term sequences are one, named after its least id.
 
-    membership: (doc_id, representative). distinct: (representative, guard, shingles).
+    membership: (doc_id, representative). distinct: (representative, guard, shingles), the shingles as 64-bit hashes.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("words", terms(F.col("text")))
     own = own.withColumn("same", F.sha2(F.array_join("words", " "), 256))
     first = own.groupBy("same").agg(F.min("doc_id").alias("representative"))
     membership = own.select("doc_id", "same").join(first, "same").select("doc_id", "representative")
     kept = own.join(first, (own.same == first.same) & (own.doc_id == first.representative), "left_semi").dropDuplicates(["doc_id"])
-    distinct = kept.select(F.col("doc_id").alias("representative"), guards(F.col("text"), F.col("words")).alias("guard"), shingles(F.col("words")).alias("shingles"))
+    distinct = kept.select(F.col("doc_id").alias("representative"), guards(F.col("text"), F.col("words")).alias("guard"), F.array_distinct(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("shingles"))
     return membership, distinct
 
 
@@ -35,8 +36,10 @@ def near_pairs(distinct: DataFrame, least: float = LEAST) -> DataFrame:
 
     Guards block the join. Within a block, sets of n elements at ``least`` must share one of
     their first n - ceil(least * n) + 1 elements in any common order; rarest first, so that
-    phrases that many texts share join nothing. Candidates are then verified exactly.
+    phrases that many texts share join nothing. Candidates are then verified on their whole
+    sets. ``distinct`` is written once, as it is read three times.
     """
+    distinct = stored(distinct)
     each = distinct.select("representative", "guard", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     seen = each.groupBy("guard", "s").agg(F.count("*").alias("f"))
     # An element that one text alone has joins nothing.

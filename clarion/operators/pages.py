@@ -279,7 +279,7 @@ def articles(pages: DataFrame, url: str = "url", html: str = "html", snippet: st
 def links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", n: int = 3) -> DataFrame:
     """(page_id, position, link): the first ``n`` distinct links of a page that look like articles of its own family."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    each = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("u"), F.posexplode(F.transform(hrefs, F.btrim)).alias("i", "h"))
+    each = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("u"), F.posexplode(F.transform(hrefs, lambda h: F.btrim(h))).alias("i", "h"))
     each = each.where((F.col("h") != "") & ~F.col("h").rlike(NO_ARTICLE))
     root = F.concat(part(F.col("u"), "PROTOCOL"), F.lit("://"), part(F.col("u"), "AUTHORITY"))
     folder = F.regexp_replace(F.coalesce(part(F.col("u"), "PATH"), F.lit("/")), "[^/]*$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clarion.functions.passages import rejection
 from clarion.functions.scores import cosine
-from clarion.functions.text import token_estimate
+from clarion.functions.text import QUALIFIERS, token_estimate
 from clarion.operators import claims as claim_ops, duplicates, quota, retrieval, verdicts
 from clarion.plans import inputs, verification
 
@@ -230,25 +230,36 @@ def keep_first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST_SQL = f"with {inputs.HITS_SQL} select claim_id, ix, canonical from hits qualify row_number() over (partition by claim_id, canonical order by ix) = 1"
 
 
+def _republished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and of every tenth of them a version with a word more and one with a word less, under negative ids."""
+    d = inputs.read(spark, sf_dir, "documents").select("doc_id", "text")
+    more = d.where("doc_id % 10 = 3").select((-1 - F.col("doc_id")).alias("doc_id"), F.concat("text", F.lit(" outra")).alias("text"))
+    less = d.where("doc_id % 10 = 7").select((-1 - F.col("doc_id")).alias("doc_id"), F.regexp_replace("text", r"^\S+\s+", "").alias("text"))
+    return d.unionByName(more).unionByName(less)
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.near_duplicates(inputs.read(spark, sf_dir, "documents"))[1]
+    """Links between different texts of the documents and planted republications."""
+    return duplicates.near_duplicates(_republished(spark, sf_dir))[1]
 
 
 def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.representatives(inputs.read(spark, sf_dir, "documents"))[0]
+    return duplicates.representatives(_republished(spark, sf_dir))[0]
 
 
 _NAMES = r"list_sort(list_distinct(list_transform(regexp_extract_all({0}, '(?:^|[^\p{{L}}\p{{N}}_])\p{{Lu}}[\p{{L}}\p{{N}}]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}_]', ''))))"
-_QUALIFIERS = "['nao','nunca','jamais','sem','diz','disse','afirma','afirmou','alega','alegou','pode','podem','poderia','comprovou','provou','todos','todas','nenhum','nenhuma','apenas']"
+_QUALIFIERS = repr(list(QUALIFIERS))
 _PROTECTED = f"""list_sort(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains({_QUALIFIERS}, w[i]) then w[i]
     when regexp_matches(w[i], '\\p{{N}}') then array_to_string(w[greatest(i - 1, 1):least(i + 1, len(w))], ' ') end), lambda x: x is not null))"""
 _SHINGLES = "list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else w end)"
-DUPLICATES_SQL = f"""with t as (select doc_id, text, {_TERMS.format("text")} as w from documents),
+_REPUBLISHED = r"""docs as (select doc_id, text from documents union all select -1 - doc_id, text || ' outra' from documents where doc_id % 10 = 3
+  union all select -1 - doc_id, regexp_replace(text, '^\S+\s+', '') from documents where doc_id % 10 = 7)"""
+DUPLICATES_SQL = f"""with {_REPUBLISHED}, t as (select doc_id, text, {_TERMS.format("text")} as w from docs),
 r as (select * from t qualify row_number() over (partition by w order by doc_id) = 1),
 g as (select doc_id, {_PROTECTED} as p, {_NAMES.format("text")} as n, {_SHINGLES} as s from r),
 c as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.s, b.s)) as x, len(a.s) + len(b.s) as y from g a join g b on a.p = b.p and a.n = b.n and a.doc_id < b.doc_id)
 select a, b, round(x / (y - x), 6) as similarity from c where x / (y - x) >= 0.85"""
-MEMBERS_SQL = f"with t as (select doc_id, {_TERMS.format('text')} as w from documents) select doc_id, min(doc_id) over (partition by w) as representative from t"
+MEMBERS_SQL = f"with {_REPUBLISHED}, t as (select doc_id, {_TERMS.format('text')} as w from docs) select doc_id, min(doc_id) over (partition by w) as representative from t"
 
 
 def leader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,13 +179,26 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.links(inputs.read(spark, sf_dir, "pages"))
+    """Pages with links planted by number: articles of the own family and of others, sections, repeats and relative ones."""
+    k = F.col("page_id").cast("string")
+    href = lambda at: F.concat(F.lit('<a class="x" href="'), at, F.lit('">l</a>'))
+    own = F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0), F.lit("/"))
+    planted = F.concat(
+        href(F.lit("/tag/one-two-three-four")), href(F.concat(F.lit("/noticia/um-dois-tres-quatro-"), k)), href(F.lit("mailto:a@example.org")), href(F.concat(F.lit("https://elsewhere.test/a-long-slug-here-"), k)),
+        href(F.concat(F.lit(" /noticia/um-dois-tres-quatro-"), k, F.lit(" "))), href(F.concat(own, F.lit("x/2024/05/materia-"), k)), href(F.lit("/curta")), href(F.concat(F.lit("/id/1234500"), k)), href(F.concat(F.lit("/a-b-c-d-e-f/"), k)),
+    )
+    p = inputs.read(spark, sf_dir, "pages").select("page_id", "url", F.concat(planted, F.regexp_replace("html", "(?i)<a[^>]*>", "")).alias("html"))
+    return pages.links(p)
+
+
+LINKS_SQL = r"""with p as (select page_id as k, regexp_extract(url, '^[a-z]+://[^/?#]+') as root from pages)
+select k as page_id, 1::int as position, root || '/noticia/um-dois-tres-quatro-' || k as link from p union all select k, 2, root || '/x/2024/05/materia-' || k from p union all select k, 3, root || '/id/1234500' || k from p"""
 
 
 SQL = {
     "url_canonical": URL_SQL, "allowlist_match": ALLOWLIST_SQL, "allowed_pages": ALLOWED_SQL, "domain_profiles": PROFILE_SQL, "claim_validity": VALIDITY_SQL,
     "sentence_stats": SENTENCE_SQL, "keyword_queries": KEYWORD_SQL, "doc_terms_df": TERM_SQL, "protected_terms": PROTECTED_SQL, "page_signals": SIGNAL_SQL,
-    "longest_per_source": LONGEST_SQL, "request_status": REQUEST_SQL,
+    "longest_per_source": LONGEST_SQL, "page_links": LINKS_SQL, "request_status": REQUEST_SQL,
 }
 QUERIES = [
     url_canonical, allowlist_match, allowed_pages, domain_profiles, claim_validity, sentence_stats, keyword_queries, doc_terms_df, protected_terms,
