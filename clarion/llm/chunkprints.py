@@ -146,7 +146,8 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row of ``docs``.
 
     The next document is the one after in ascending id, of the last one the first; a single
-    document follows itself. Null texts count as empty; repeated rows follow each other.
+    document follows itself. Null texts count as empty; repeated rows follow each other. Ids
+    must be integers; other columns, of whatever name, don't matter. No rows give no result.
     """
     rows = with_neighbours(docs, doc_id, text)
 

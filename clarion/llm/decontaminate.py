@@ -42,13 +42,18 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 class Queries:
-    """The benchmark's suffixes as fixed-width keys for binary search."""
+    """The benchmark's suffixes as fixed-width keys for binary search; items of equal words are one, named after the first of their ids."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        ids = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)] for _, t in items]
-        self.names = [str(i) for i, _ in items]
+        rows: dict[tuple[int, ...], list[str]] = {}
+        for i, t in sorted((str(i), t) for i, t in items):
+            rows.setdefault(tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)), []).append(i)
+        ids = [list(row) for row in rows]
+        self.names = [same[0] for same in rows.values()]
+        #: All ids that a name stands for.
+        self.same = {same[0]: same for same in rows.values()}
         lows, highs, where, lengths, heads = [], [], [], [], set()
         self.single: set[int] = set()
         for k, row in enumerate(ids):
@@ -157,7 +162,7 @@ def matches(
 
     The column holds n_words, n_hit (words inside any match, each once), items (ids as
     strings, sorted, distinct) and spans: start and length in words of the document, the
-    item's id as a string, and the item's word where it begins. Items of fewer words than
+    item's id as a string (of items of equal words the first), and the item's word where it begins. Items of fewer words than
     ``window`` match whole; null and wordless items never match; null and empty texts
     have no words and no matches. Repeated documents and items are each matched for
     themselves. Further columns pass through.
@@ -189,14 +194,17 @@ def matches(
                     words = [words_of(t) for t in texts]
                     for own, found in zip(words, q.search(words)):
                         spans = [dict(zip(("start", "length", "item", "item_start"), m)) for m in found]
+                        ids = {i for x in spans for i in q.same[x["item"]]}
                         if before:
                             spans = before[len(cells)]["spans"] + spans
-                        cells.append({"n_words": len(own), "n_hit": _covered(spans), "items": sorted({x["item"] for x in spans}), "spans": spans})
+                            ids |= set(before[len(cells)]["items"])
+                        cells.append({"n_words": len(own), "n_hit": _covered(spans), "items": sorted(ids), "spans": spans})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(cells, kind)], names=names)
 
         out = out.mapInArrow(scan, schema)
         if b + 1 < blocks:
             out = stored(out)
+            block.unpersist()
     return out
 
 

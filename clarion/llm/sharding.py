@@ -51,7 +51,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, units: int = UNITS, d
 
     Size is the text's UTF-8 bytes plus 16; a null text counts as an empty one, in the same
     group. Equal texts share a shard. Slots number a shard's rows from 0 without gaps, by a
-    hash of the id, then by id; repeated rows get slots of their own. No rows: no result.
+    hash of the id, then by id; repeated rows get slots of their own. Other columns, of
+    whatever name, don't matter. No rows: no result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = stored(docs.select(

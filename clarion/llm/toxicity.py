@@ -35,6 +35,8 @@ PER_CLASS = 6000
 MIN_ROWS, MIN_WEIGHT, MIN_RATIO, PREFIXES = 4, 1.0, 16.0, range(4, 9)
 #: Entries that explain a toxic row, at most, before it no longer counts.
 COVER = 3
+#: Rows that a task gathers before it hands them on.
+EMITTED = 20_000
 
 # Letters of other scripts that look like Latin ones, and digits or signs used for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαοερτικνυ", "aeopcyxijsdhkmtbhaoeptiknu"))
@@ -158,15 +160,20 @@ def _cover(weights: dict[str, float], where: dict[str, set[int]], rows: set[int]
 
 
 def _emit(rows: DataFrame, of, schema: str) -> DataFrame:
-    """What ``of`` yields for each row, a tuple of values; of a row of nothing, nothing."""
-    names = list(StructType.fromDDL(schema).fieldNames())
-    types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.float64() if f.dataType.simpleString() == "double" else pa.string() for f in StructType.fromDDL(schema)]
+    """What ``of`` yields for each row, a tuple of values; of a row of nothing, nothing. At most EMITTED rows and one text's are held."""
+    fields = StructType.fromDDL(schema).fields
+    types = [{"bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string()) for f in fields]
 
     def scan(batches):
+        flushed = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=[f.name for f in fields])
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                out = [x for r in batch.slice(start, 64).to_pylist() for x in of(r)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
+            out = []
+            for i in range(len(batch)):
+                out += of({name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)})
+                if len(out) >= EMITTED:
+                    yield flushed(out)
+                    out = []
+            yield flushed(out)
 
     return rows.mapInArrow(scan, schema)
 
