@@ -292,6 +292,19 @@ def quota_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "period", "lane", "accepted", "reason")
 
 
+#: The fold in order of arrival, one request a step; the state is the counts of both lanes and of the minute.
+QUOTA_SQL = """with recursive t as (select event_id as request_id, make_timestamp(epoch_us(ts) // 40) as w, case when event_type = 'error' then 'evaluation' else 'production' end as lane from events),
+q as (select *, strftime(w, '%Y-%m') as period, epoch_us(w) // 60000000 as minute, row_number() over (partition by strftime(w, '%Y-%m') order by w, request_id) as k from t),
+f(period, k, request_id, lane, p, e, minute, n, reason) as (
+  select period, 0::bigint, null::bigint, null::varchar, 0, 0, -1::bigint, 0, null::varchar from (select distinct period from q)
+  union all
+  select period, k, request_id, lane, p + (ok and lane = 'production')::int, e + (ok and lane = 'evaluation')::int, case when ok then m else old end, case when not ok then n when m = old then n + 1 else 1 end,
+    case when ok then null when not room then 'quota_exceeded' else 'rate_limited' end
+  from (select *, room and (m <> old or n < 3) as ok from (
+    select q.period, q.k, q.request_id, q.lane, f.p, f.e, f.n, f.minute as old, q.minute as m, case when q.lane = 'production' then f.p < 300 else f.e < 40 end as room from f join q on q.period = f.period and q.k = f.k + 1)))
+select request_id, period, lane, reason is null as accepted, reason from f where k > 0"""
+
+
 def session_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = inputs.read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", "search").otherwise("pair").alias("kind"), "event_id")
     return quota.session_caps(e, "user_id", "kind", [F.col("event_id")]).select("user_id", "kind", "event_id")
@@ -354,6 +367,7 @@ SQL = {
     "near_duplicate_members": MEMBERS_SQL,
     "leader_dedup": LEADERS_SQL,
     "session_budget": SESSION_SQL,
+    "quota_fold": QUOTA_SQL,
     "paragraph_quality": QUALITY_SQL,
 }
 QUERIES = [
