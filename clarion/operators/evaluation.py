@@ -120,8 +120,12 @@ def losses(observations: DataFrame, candidates: list[float] | None = None, logit
     ts = temperatures() if candidates is None else candidates
     grid = F.posexplode(F.array(*[F.lit(float(t)) for t in ts])).alias("position", "temperature")
     right = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col(label)).cast("int")
-    rows = observations.where(right > 0).select(F.col(logits).alias("z"), right.alias("k"), grid)
-    p = F.element_at(softmax(F.col("z"), F.col("temperature")), F.col("k"))
+    z = F.col(logits)
+    # Differences to the greatest logit, once per record: what is left per candidate are plain numbers.
+    gaps = [(z[i] - F.array_max(z)).alias(f"z{i}") for i in range(len(LABELS))]
+    rows = observations.where(right > 0).select(*gaps, (z[right - 1] - F.array_max(z)).alias("own")).select("z0", "z1", "z2", "own", grid)
+    t = F.col("temperature")
+    p = F.exp(F.col("own") / t) / (F.exp(F.col("z0") / t) + F.exp(F.col("z1") / t) + F.exp(F.col("z2") / t))
     return rows.groupBy("position", "temperature").agg(F.avg(-F.log(F.greatest(F.lit(1e-15), p))).alias("loss"))
 
 

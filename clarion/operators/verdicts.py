@@ -33,7 +33,7 @@ def article_labels(passages: DataFrame, keys: list[str], ix: str = "ix", minimum
     ties; without one it is neutral and shows its most similar passage.
     """
     directional = (F.col("label") != "neutral") & (F.col("confidence") >= minimum)
-    pick = F.struct("label", "confidence", "similarity", "text")
+    pick = F.struct("label", "confidence", "similarity", clip(F.col("text")).alias("text"))
     best = F.max_by(F.when(directional, pick), F.when(directional, F.struct(F.col("confidence"), (-F.col(ix)).alias("_i"))))
     most = F.max_by(pick, F.struct(F.col("similarity"), (-F.col(ix)).alias("_i")))
     agg = passages.groupBy(*keys).agg(
@@ -45,7 +45,7 @@ def article_labels(passages: DataFrame, keys: list[str], ix: str = "ix", minimum
     stance = F.when(F.col("s") & F.col("r"), "mixed").when(F.col("s"), "supports").when(F.col("r"), "refutes").otherwise("insufficient")
     return agg.select(
         *keys, F.coalesce("b.label", F.lit("neutral")).alias("label"), shown.confidence.alias("confidence"), shown.similarity.alias("similarity"),
-        clip(shown["text"]).alias("excerpt"), stance.alias("stance"), "passages",
+        shown["text"].alias("excerpt"), stance.alias("stance"), "passages",
     )
 
 

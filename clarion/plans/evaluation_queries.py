@@ -10,7 +10,8 @@ from clarion.operators import audits, evaluation, quiz, splits
 from clarion.operators.verdicts import VERDICTS
 from clarion.plans import inputs
 
-TEMPERATURES = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
+#: All 602 candidates.
+TEMPERATURES = evaluation.temperatures()
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.record_errors(inputs.records(spark, sf_dir)).select("id", F.coalesce("error", F.lit("")).alias("error"))
 
 
-RECORD_SQL = """select cast(doc_id as varchar) as id, case when doc_id % 101 = 0 or substr(text, 1, 80) = '' then 'grouping' when doc_id % 4 = 0 then ''
+RECORD_SQL = """select cast(doc_id as varchar) as id, case when doc_id % 101 = 0 or text = '' then 'grouping' when doc_id % 4 = 0 then ''
   when doc_id % 29 = 0 then 'verdict' when doc_id % 19 = 0 then 'date' when doc_id % 23 = 0 then 'review'
   when doc_id % 31 = 0 then 'sufficiency' when doc_id % 17 = 0 or text = '' then 'evidence' when doc_id % 37 = 0 then 'pair' else '' end as error from documents"""
 

@@ -22,7 +22,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (d % 97).alias("claim_id"), F.floor(d / 291).cast("bigint").alias("rank"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), d.cast("string")).alias("url"),
         F.col("source").alias("origin"), F.array(*[((d * a) % b) / 25.0 for a, b in ((37, 101), (53, 103), (71, 107))]).alias("logits"),
         (((d * 29) % 100) / 100.0).alias("similarity"), (d % 11 == 0).alias("is_partial"), F.when(d % 13 == 0, "searchSnippet").otherwise("articleBody").alias("provenance"),
-        F.when(d % 7 == 0, "unknown").when(d % 7 == 1, "incompatible").otherwise("compatible").alias("alignment"), F.substring("text", 1, 400).alias("text"),
+        F.when(d % 7 == 0, "unknown").when(d % 7 == 1, "incompatible").otherwise("compatible").alias("alignment"), "text",
     )
 
 
@@ -34,7 +34,7 @@ JUDGED_SQL = """judged as (
       select doc_id, doc_id % 97 as claim_id, doc_id // 291 as rank, 'https://' || source || '.example.org/' || doc_id as url, source as origin,
         ((doc_id * 37) % 101) / 25.0 as z1, ((doc_id * 53) % 103) / 25.0 as z2, ((doc_id * 71) % 107) / 25.0 as z3, greatest(z1, z2, z3) as m,
         ((doc_id * 29) % 100) / 100.0 as similarity, doc_id % 11 = 0 as is_partial, case when doc_id % 13 = 0 then 'searchSnippet' else 'articleBody' end as provenance,
-        case when doc_id % 7 = 0 then 'unknown' when doc_id % 7 = 1 then 'incompatible' else 'compatible' end as alignment, substr(text, 1, 400) as text
+        case when doc_id % 7 = 0 then 'unknown' when doc_id % 7 = 1 then 'incompatible' else 'compatible' end as alignment, text
       from documents))))"""
 
 
@@ -179,9 +179,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     s = d.cast("string")
     reviewed = d % 4 != 0
-    evidence = F.array(F.struct(F.concat(F.lit("e"), s).alias("id"), F.concat(F.when(d % 17 == 0, "http").otherwise("https"), F.lit("://www."), F.col("source"), F.lit(".example.org/a"), (d % 300).cast("string"), F.lit("/?x=1")).alias("url"), F.substring("text", 1, 50).alias("text")))
+    evidence = F.array(F.struct(F.concat(F.lit("e"), s).alias("id"), F.concat(F.when(d % 17 == 0, "http").otherwise("https"), F.lit("://www."), F.col("source"), F.lit(".example.org/a"), (d % 300).cast("string"), F.lit("/?x=1")).alias("url"), F.col("text").alias("text")))
     return read(spark, sf_dir, "documents").select(
-        s.alias("id"), F.when(d % 101 == 0, "").otherwise(F.substring("text", 1, 80)).alias("claim"), F.concat(F.lit("ev"), (d % 400).cast("string")).alias("event_id"), F.sha2("text", 256).alias("family_id"),
+        s.alias("id"), F.when(d % 101 == 0, "").otherwise(F.col("text")).alias("claim"), F.concat(F.lit("ev"), (d % 400).cast("string")).alias("event_id"), F.sha2("text", 256).alias("family_id"),
         F.when(d % 19 == 0, "soon").otherwise("2024-05-01T00:00:00Z").alias("reference_date"), F.when(reviewed, "reviewed").otherwise("pending").alias("review_status"),
         F.when(d % 23 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("reviewers"), F.when(d % 29 == 0, "TALVEZ").otherwise("CONFIRMADO").alias("verdict"),
         F.element_at(F.array(F.lit("train"), F.lit("calibration"), F.lit("test")), (d % 3 + 1).cast("int")).alias("split"), F.lit(None).cast("string").alias("source_url"), evidence.alias("evidence"),

@@ -78,9 +78,9 @@ def gold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-GOLD_SQL = """select cast(doc_id as varchar) as id, md5(case when doc_id % 101 = 0 then '' else substr(text, 1, 80) end) as claim_md5, 'ev' || doc_id % 400 as event_id, case when doc_id % 4 <> 0 then 'reviewed' else 'pending' end as review_status,
+GOLD_SQL = """select cast(doc_id as varchar) as id, md5(case when doc_id % 101 = 0 then '' else text end) as claim_md5, 'ev' || doc_id % 400 as event_id, case when doc_id % 4 <> 0 then 'reviewed' else 'pending' end as review_status,
   case when doc_id % 23 = 0 then 'a' else 'a,b' end as reviewers, ['train', 'calibration', 'test'][doc_id % 3 + 1] as split, true as no_source,
-  case when doc_id % 17 = 0 then 'http' else 'https' end || '://www.' || source || '.example.org/a' || doc_id % 300 || '/?x=1' as url, md5(substr(text, 1, 50)) as evidence_md5,
+  case when doc_id % 17 = 0 then 'http' else 'https' end || '://www.' || source || '.example.org/a' || doc_id % 300 || '/?x=1' as url, md5(text) as evidence_md5,
   case when doc_id % 31 = 0 then 'zz' else 'e' || doc_id end as needed, case when doc_id % 37 = 0 then 'maybe' else 'neutral' end as label from documents"""
 
 
