@@ -20,8 +20,8 @@ from clarion.functions.lineage import extended, stored
 from clarion.llm import tokens
 
 SIZE, END = 4096, 1
-#: Splits of the rest beside a pattern's longest piece that are tried, and steps of the fit.
-SPLITS, STEPS = 8, 300
+#: Splits of the rest beside a pattern's longest piece that are tried, steps of the fit, documents of a pattern at most.
+SPLITS, STEPS, DOCUMENTS = 8, 300, 8
 #: Rows numbered in one window partition.
 RANK_ROWS = 200_000
 
@@ -29,7 +29,8 @@ Pattern = tuple[int, list[tuple[int, int]]]  # repeats, [(length, how many in on
 
 
 def patterns(counts: np.ndarray) -> list[tuple[int, ...]]:
-    """Two or three lengths that fill a sequence exactly, all present in the histogram."""
+    """Few documents that fill a sequence exactly, their lengths all present in the histogram: two or three
+    lengths, or a short one several times with one or two that fill what is left."""
     size = len(counts) - 1
     present = np.flatnonzero(counts)
     out = set()
@@ -44,6 +45,18 @@ def patterns(counts: np.ndarray) -> list[tuple[int, ...]]:
         second = second[counts[rest - second] > 0]
         for b in second[np.linspace(0, len(second) - 1, min(SPLITS, len(second))).astype(int)] if len(second) else ():
             out.add((int(a), int(b), rest - int(b)))
+    for b in present[present * 3 <= size]:
+        most = min(DOCUMENTS - 2, (size - 1) // int(b))
+        for k in np.unique(np.linspace(2, most, min(SPLITS, most - 1)).astype(int)) if most >= 2 else ():
+            rest = size - int(k) * int(b)
+            if counts[rest]:
+                out.add(tuple(sorted((rest, *[int(b)] * int(k)), reverse=True)))
+            other = present[(present * 2 >= rest) & (present < rest)]
+            other = other[counts[rest - other] > 0]
+            if len(other):
+                # Another place among the fitting ones for each length and number, so that patterns differ.
+                a = int(other[(int(b) * 7 + int(k)) % len(other)])
+                out.add(tuple(sorted((a, rest - a, *[int(b)] * int(k)), reverse=True)))
     return sorted(out, reverse=True)
 
 
