@@ -238,6 +238,23 @@ def decoded(content: Column) -> Column:
     return F.when(F.octet_length(content) <= MOST_BYTES, F.coalesce(utf8, F.decode(content, "ISO-8859-1")))
 
 
+def fetched(answers: DataFrame, attempts: int = 2) -> DataFrame:
+    """(url, final_url, text, problem) of stored answers (url, final_url, statuses, content), the first problem that holds.
+
+    The address must be allowed before the request and again after redirects; a timeout or
+    server error is tried again, ``attempts`` times in all; bodies over MOST_BYTES are no text.
+    """
+    tried = F.slice("statuses", F.lit(1), F.lit(attempts))
+    final = F.filter(tried, lambda s: ~((s == 408) | (s >= 500)))
+    status = F.coalesce(F.try_element_at(final, F.lit(1)), F.try_element_at(tried, F.lit(-1)))
+    text = decoded(F.col("content"))
+    problem = (
+        F.when(~allowed(F.col("url")), "disallowedURL").when(status.isNull() | (status == 408) | (status >= 500), "unreachable").when(~status.between(200, 299), F.concat(F.lit("status:"), status.cast("string")))
+        .when(~allowed(F.col("final_url")), "disallowedRedirect").when(text.isNull(), "tooLarge")
+    )
+    return answers.select("url", "final_url", F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
+
+
 def parsed_date(text: Column) -> Column:
     """ISO 8601 with zone, with or without fractions, or a date at midnight UTC; null otherwise. For a session in UTC."""
     iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"

@@ -134,6 +134,19 @@ def session_caps(calls: DataFrame, session: str, kind: str, order: list[Column],
     return calls.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 
+def session_deadlines(calls: DataFrame, session: str, kind: str, order: list[Column], at: Column, network: float = 11.0, total: float = 15.0, reserve: float = 0.15) -> DataFrame:
+    """``calls`` with ``refused``: why a session's call is not made, null for those that are.
+
+    ``at`` is the call's seconds since the session began. Searches end with the network's time,
+    all else with the total less a reserve; of the calls in time ``session_caps`` counts the first.
+    """
+    late = F.when(F.col(kind) == "search", at >= network).otherwise(at >= total - reserve)
+    own = calls.withColumn("_late", F.coalesce(late, F.lit(True)))
+    n = F.sum(F.when(~F.col("_late"), 1).otherwise(0)).over(Window.partitionBy(session, kind).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    most = F.when(F.col(kind) == "search", 3).otherwise(24)
+    return own.withColumn("refused", F.when(F.col("_late"), "deadlineExceeded").when(n > most, F.concat(F.col(kind), F.lit("BudgetExceeded")))).drop("_late")
+
+
 def fold_batches(batches: Iterator[pd.DataFrame], state: tuple[int, int, int, int], limits: dict[str, int], burst: int) -> tuple[pd.DataFrame, tuple[int, int, int, int]]:
     """One step of the streaming form: decisions for a month's new requests, and the state after them."""
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")

@@ -121,6 +121,17 @@ def needs_more(hits: DataFrame, claim_id: str = "claim_id", origin: str = "origi
     return agg.withColumn("expand", (F.col("origins") < 2) | (F.col("hits") < 4))
 
 
+def needs_more_after_reading(hits: DataFrame, reads: DataFrame, claim_id: str = "claim_id", origin: str = "origin") -> DataFrame:
+    """(claim_id, hits, origins, read, expand): as ``needs_more``, and also where an article read is unreadable, partial or of another period.
+
+    reads: claim_id, readable, is_partial, alignment; one combinable aggregation on each side.
+    """
+    usable = F.coalesce(F.col("readable") & ~F.col("is_partial") & (F.col("alignment") == "compatible"), F.lit(False))
+    seen = reads.groupBy(claim_id).agg(F.count("*").alias("read"), F.bool_or(~usable).alias("_bad"))
+    out = needs_more(hits, claim_id, origin).join(seen, claim_id, "left")
+    return out.select(claim_id, "hits", "origins", F.coalesce("read", F.lit(0)).alias("read"), (F.col("expand") | F.coalesce("_bad", F.lit(False))).alias("expand"))
+
+
 def consecutive(df: DataFrame, keys: list[str], order: list[Column], size: int, into: str = "batch") -> DataFrame:
     """``df`` with the number of each row's run of ``size`` rows of its key, in order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

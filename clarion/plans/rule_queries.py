@@ -404,10 +404,50 @@ def domain_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARITY_SQL = r"""with p as (select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as domain from pages)
 select k::int as part, (select count(distinct domain) from p where domain not in (select domain from p where page_id % 40 = k)) as only_left, 0::bigint as only_right from (values (0), (1)) t(k)"""
 
+def expansion_after_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that ask further searches, given what was read of their articles: every third was not readable."""
+    p = inputs.passages(spark, sf_dir).withColumn("claim_id", F.floor(F.col("doc_id") / 6).cast("bigint"))
+    reads = p.where("doc_id % 5 < 3").select("claim_id", (F.col("doc_id") % 3 != 0).alias("readable"), "is_partial", "alignment")
+    return retrieval.needs_more_after_reading(p, reads)
+
+
+EXPAND_SQL = """with p as (select doc_id // 6 as claim_id, doc_id as d, source from documents)
+select claim_id, count(*) as hits, count(distinct source) as origins, count(*) filter (d % 5 < 3) as read, count(distinct source) < 2 or count(*) < 4
+  or coalesce(bool_or(d % 3 = 0 or d % 11 = 0 or d % 7 < 2) filter (d % 5 < 3), false) as expand from p group by 1"""
+
+
+def session_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of sessions, the events of a user: which come too late and which are over the session's budget."""
+    e = inputs.read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", "search").otherwise("inference").alias("kind"), "event_id", (F.col("event_id") * 31 % 1600 / 100.0).alias("at"))
+    return quota.session_deadlines(e, "user_id", "kind", [F.col("event_id")], F.col("at")).select("user_id", "event_id", F.coalesce("refused", F.lit("")).alias("refused"))
+
+
+DEADLINE_SQL = """with e as (select user_id, event_id, case when event_type = 'error' then 'search' else 'inference' end as kind, (event_id * 31 % 1600) / 100.0::double as at_ from events),
+l as (select *, case when kind = 'search' then at_ >= 11.0 else at_ >= 14.85::double end as late from e),
+n as (select *, count(*) filter (not late) over (partition by user_id, kind order by event_id) as n from l)
+select user_id, event_id, case when late then 'deadlineExceeded' when n > case when kind = 'search' then 3 else 24 end then kind || 'BudgetExceeded' else '' end as refused from n"""
+
+
+def fetched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored answers for addresses of allowed and other domains: failures, second attempts, redirects and bodies too large among them."""
+    k = F.col("page_id")
+    path = F.concat(F.lit("/n/"), k.cast("string"))
+    url = F.concat(_pick(k, ("https://g1.globo.com", "http://g1.globo.com", "https://www.bbc.com", "https://elsewhere.test", "https://saude.gov.br")), path)
+    statuses = F.when(k % 7 == 1, F.array(F.lit(503), F.lit(200))).when(k % 7 == 2, F.array(F.lit(408), F.lit(500), F.lit(200))).when(k % 7 == 3, F.array(F.lit(404), F.lit(200))).when(k % 7 == 4, F.array().cast("array<int>")).otherwise(F.array(F.lit(200)))
+    final = F.when(k % 6 == 0, F.concat(F.lit("https://elsewhere.test"), path)).otherwise(url)
+    body = F.when(k % 25 == 10, F.repeat(F.lit("x"), F.lit(3 * 1024 * 1024 + 1))).otherwise(F.col("html")).cast("binary")
+    out = page_ops.fetched(inputs.read(spark, sf_dir, "pages").select(url.alias("url"), final.alias("final_url"), statuses.alias("statuses"), body.alias("content")))
+    return out.select("url", F.md5("text").alias("text_md5"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
+FETCHED_SQL = """with p as (select page_id as k, html, ['https://g1.globo.com', 'http://g1.globo.com', 'https://www.bbc.com', 'https://elsewhere.test', 'https://saude.gov.br'][page_id % 5 + 1] || '/n/' || page_id as url from pages),
+q as (select *, case when k % 5 in (1, 3) then 'disallowedURL' when k % 7 in (2, 4) then 'unreachable' when k % 7 = 3 then 'status:404' when k % 6 = 0 then 'disallowedRedirect' when k % 25 = 10 then 'tooLarge' else '' end as problem from p)
+select url, case when problem = '' then md5(html) end as text_md5, problem from q"""
+
 TAGGED_SQL = evidence_queries.QUALITY_SQL.replace("then 'tooShort' else 'kept' end as reason", "then 'tooShort' when ix % 3 = 0 then 'noVerb' else 'kept' end as reason")
 
 SQL = {
-    "tagged_paragraphs": TAGGED_SQL, "policy_checks": POLICY_CHECK_SQL, "search_bodies": BODY_SQL, "error_codes": ERROR_SQL, "key_status": KEY_SQL, "host_families": FAMILY_SQL, "model_triage": TRIAGE_SQL, "quiz_answers": ANSWER_SQL,
+    "expansion_after_reading": EXPAND_SQL, "session_deadlines": DEADLINE_SQL, "fetched_articles": FETCHED_SQL, "tagged_paragraphs": TAGGED_SQL, "policy_checks": POLICY_CHECK_SQL, "search_bodies": BODY_SQL, "error_codes": ERROR_SQL, "key_status": KEY_SQL, "host_families": FAMILY_SQL, "model_triage": TRIAGE_SQL, "quiz_answers": ANSWER_SQL,
     "source_notes": NOTE_SQL, "error_retries": RETRY_SQL, "training_records": TRAINING_SQL, "missing_labels": "select unnest(['entailment', 'contradiction']) as label", "fixture_lines": FIXTURE_SQL,
     "coverage_errors": COVERAGE_SQL, "sufficient_sets": "select doc_id, doc_id % 5 <> 0 and doc_id % 3 <> 1 as sufficient from labels", "unscheduled_hits": UNSCHEDULED_SQL,
     "label_probabilities": PROBABILITY_SQL, "negated_claims": NEGATED_SQL, "negation_coverage": NEGATION_SQL,
@@ -422,4 +462,5 @@ QUERIES = [
     policy_checks, search_bodies, error_codes, key_status, host_families, model_triage, quiz_answers, source_notes, error_retries, training_records, missing_labels, fixture_lines, coverage_errors, sufficient_sets,
     unscheduled_hits, label_probabilities, negated_claims, negation_coverage, split_sizes, split_fingerprints, release_gate, label_permutations, best_epoch, training_audit, length_batches, consecutive_turns, quiz_round,
     dated_texts, tagged_paragraphs, encoded_pairs, encoded_texts, pooled_vectors, allowed_labels, selected_policy, tagged_sets, class_summary, domain_parity,
+    expansion_after_reading, session_deadlines, fetched_articles,
 ]
