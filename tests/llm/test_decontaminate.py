@@ -63,3 +63,17 @@ def test_empty_tables_and_clashing_columns(spark):
     assert {r.doc_id: r.n_words for r in got.select("doc_id", F.col("n_words")).collect()} == {0: 10, 1: 1, 2: 0}
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     assert decontaminate.decontaminated(full, bench.limit(0)).count() == 3
+
+
+def test_items_of_equal_words_are_searched_once(spark):
+    """Every id of equal items is reported, also over several blocks; the window is stored once."""
+    window = " ".join(f"w{k}" for k in range(12))
+    items = spark.createDataFrame([(k, window if k % 2 else f"{window} und more {k}") for k in range(30)] + [(99, None)], "item_id bigint, text string")
+    df = docs(spark, [f"a {window} b", "none of it", None, f"{window} " * 50])
+    for block in (16_000_000, 300):
+        got = {r.doc_id: r for r in decontaminate.contamination(df, items, block_bytes=block).collect()}
+        ids = ",".join(sorted(map(str, range(30))))
+        assert [got[k].n_items for k in range(4)] == [30, 0, 0, 30]
+        assert got[0].items_sha256 == hashlib.sha256(ids.encode()).hexdigest() and got[0].n_hit == 12
+    q = decontaminate.Queries([(k, window.encode()) for k in range(1000)], 10)
+    assert len(q.low) == 3 and len(q.search([decontaminate.words_of(window)])[0]) == 1

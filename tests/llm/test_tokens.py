@@ -127,3 +127,40 @@ def test_fit_is_non_negative_least_squares():
             a[n, p] += 1
     slope = a.T @ (a @ x - counts)
     assert (x >= 0).all() and (slope > -1e-3).all() and np.abs(slope[x > 1e-6]).max() < 1e-3
+
+
+@pytest.mark.parametrize("path, pieces", [(BYTE, tokens.SPACED), (WORD, tokens.WORDS)])
+def test_long_texts_go_through_in_slices(monkeypatch, path, pieces):
+    """Texts beyond a slice, pieces beyond a call, and a memory that is full give the same ids."""
+    monkeypatch.setattr(tokens, "SLICE", 500)
+    monkeypatch.setattr(tokens, "CALL", 40)
+    monkeypatch.setattr(tokens, "REMEMBERED", 25)
+    rng = random.Random(5)
+    texts = [words(rng, n, 300) for n in (3, 2000, 40, 40, 700)] + HARD + ["x" * 3000, None, "one\n\ntwo \n three  four"]
+    texts += texts[:4]
+    t = Tokenizer.from_file(path)
+    mine = tokens.Encoder(path, pieces)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in mine.encode_all(texts)]
+        assert got == [t.encode(x, add_special_tokens=False).ids if x else [] for x in texts]
+        assert len(mine.known) <= 25
+
+
+def test_fitted_patterns_place_most_pieces():
+    """On a histogram of many pieces the fit does the work, sequences are full, and every piece has one place."""
+    rng = np.random.default_rng(2)
+    lengths = np.clip(rng.lognormal(6.3, 0.8, 40_000).astype(int), 1, 4096)
+    counts = np.bincount(lengths, minlength=4097)
+    choices = packing.patterns(counts)
+    assert all(sum(c) == 4096 and all(counts[n] for n in c) and len(c) <= packing.DOCUMENTS for c in choices)
+    assert any(len(c) > 3 for c in choices)
+    x = np.rint(packing.fit(choices, counts))
+    assert sum(len(c) * k for c, k in zip(choices, x)) > 0.5 * len(lengths)
+    made = packing.plan(counts)
+    used = np.zeros(4097, np.int64)
+    for repeats, parts in made:
+        assert sum(n * k for n, k in parts) <= 4096
+        for n, k in parts:
+            used[n] += repeats * k
+    assert (used == counts).all()
+    assert sum(r for r, _ in made) <= -(-int(lengths.sum()) // 4096) + 1
