@@ -16,7 +16,7 @@ import math
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from functools import cache
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -178,28 +178,48 @@ def _emit(rows: DataFrame, of, schema: str) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
+def _counted(rows: DataFrame, of) -> DataFrame:
+    """(entry, n): in how many rows each entry of the set that ``of`` gives is. Tasks hand on sums over at most EMITTED entries and one text's."""
+
+    def scan(batches):
+        counts = Counter()
+        flushed = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+        for batch in batches:
+            for i in range(len(batch)):
+                counts.update(of({name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}))
+                if len(counts) >= EMITTED:
+                    yield flushed()
+                    counts.clear()
+        yield flushed()
+
+    return rows.mapInArrow(scan, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
+
+
 def _entries(rows: DataFrame) -> dict[str, float]:
     """Entries and weights from rows (id, text, y): counted in tasks, chosen on the driver.
 
     Near copies among the toxic rows count once, else the other words of a copied text would
-    look toxic. The driver gets words of over a quarter of the rows, and the entries that
-    pass with their toxic rows; both are bounded by the sample.
+    look toxic. The driver gets words of over a quarter of the rows, entries of MIN_ROWS
+    toxic rows or more, and the rows of those that pass; all are bounded by the sample.
     """
     n = rows.count()
     words = lambda r: sorted(set(fold(r["text"]).split()))
-    counted = _emit(rows, lambda r: [(w,) for w in words(r)], "word string").groupBy("word").count()
-    frequent = {r["word"] for r in counted.where(F.col("count") * 4 > n).collect()}
+    frequent = {r["entry"] for r in _counted(rows, words).where(F.col("n") * 4 > n).collect()}
     signs = _emit(rows.where("y = 1"), lambda r: [(r["id"], *_signature(words(r), frequent))], "id bigint, a bigint, b bigint")
     pos = {r["id"] for r in signs.groupBy("a", "b").agg(F.min("id").alias("id")).collect()}  # at most a number per toxic row of the sample
     n_pos, n_neg = len(pos), n - rows.where("y = 1").count()
-    each = _emit(rows, lambda r: [(e, r["id"], r["y"]) for e in _of(words(r))] if not r["y"] or r["id"] in pos else [], "entry string, id bigint, y bigint")
-    each = stored(each)
-    counts = each.groupBy("entry").agg(F.sum("y").alias("m"), F.count_if(F.col("y") == 0).alias("n")).where(F.col("m") >= MIN_ROWS)
-    # A weight of MIN_WEIGHT asks for a share among the toxic rows that is well above that among the others.
-    counts = counts.where((F.col("m") + 0.5) / (n_pos + 1) > (F.col("n") + 0.5) / (n_neg + 1) * math.exp(MIN_WEIGHT) * 0.999)
-    weights = {r["entry"]: w for r in counts.collect() if (w := _weight(r["m"], n_pos, r["n"], n_neg)) >= MIN_WEIGHT}
-    passed = rows.sparkSession.createDataFrame([(e,) for e in weights], "entry string")
-    where = each.where("y = 1").join(F.broadcast(passed), "entry").groupBy("entry").agg(F.collect_list("id").alias("ids")).collect()
+    toxic, harmless = rows.where("y = 1"), rows.where("y = 0")
+    own = _emit(toxic, lambda r: [(e,) for e in _of(words(r))] if r["id"] in pos else [], "entry string").groupBy("entry").agg(F.count("*").alias("m")).where(F.col("m") >= MIN_ROWS)
+    own = {r["entry"]: r["m"] for r in own.collect()}  # each is in MIN_ROWS toxic rows of the sample at least
+    sent = rows.sparkSession.sparkContext.broadcast(frozenset(own))
+    other = _counted(harmless, lambda r: _of(words(r)) & sent.value)
+    other = {r["entry"]: r["n"] for r in other.collect()}
+    sent.destroy()  # workers drop it with their next task
+    weights = {e: w for e, m in own.items() if (w := _weight(m, n_pos, other.get(e, 0), n_neg)) >= MIN_WEIGHT}
+    passed = rows.sparkSession.sparkContext.broadcast(frozenset(weights))
+    where = _emit(toxic, lambda r: [(e, r["id"]) for e in _of(words(r)) & passed.value] if r["id"] in pos else [], "entry string, id bigint")
+    where = where.groupBy("entry").agg(F.collect_list("id").alias("ids")).collect()
+    passed.destroy()
     return _cover(weights, {r["entry"]: set(r["ids"]) for r in where}, pos)
 
 
@@ -222,7 +242,9 @@ def _exceptions(entries: dict[str, float], rows: DataFrame) -> list[str]:
     sent = rows.sparkSession.sparkContext.broadcast((entries, [], []))
     each = _emit(rows, lambda r: [(p, r["y"]) for p in _phrases(_lexicon(sent), r["text"])], "phrase string, y bigint")
     counts = each.groupBy("phrase").agg(F.sum("y").alias("m"), F.count_if(F.col("y") == 0).alias("n"))
-    return sorted(r["phrase"] for r in counts.where("n >= 3 and n > 4 * m").collect())
+    found = sorted(r["phrase"] for r in counts.where("n >= 3 and n > 4 * m").collect())
+    sent.destroy()
+    return found
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -260,6 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
     measured = _emit(rows, lambda r: [(*_lexicon(sent).features(r["text"]), r["y"])], "x double, z double, y bigint")
     # Two figures and a label a row; sorted, so that the fit doesn't depend on how tasks ended.
     got = np.array(sorted(tuple(r) for r in measured.collect()), dtype=float)
+    sent.destroy()
     y = got[:, 2]
     a, b, c = _logistic(got[:, :2], y)
     # The sample has another share of toxic rows than the labels; the intercept is moved to theirs.
@@ -267,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
     return entries, exceptions, [a, b, c]
 
 
-@cache
+@lru_cache(maxsize=1)
 def _lexicon(model: Broadcast) -> Lexicon:
     return Lexicon(*model.value)
 
