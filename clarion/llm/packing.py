@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def scan(batches):
         encode = tokens.encoder(path, split).encode_all
-        for batch in batches:
+        for batch in tokens.parts(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode(batch.column(1).to_pylist())):
                 ids += last

@@ -46,7 +46,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     def scan(batches):
         encode = tokens.encoder(tokenizer, split).encode_all
         part, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in tokens.parts(batches):
             ids = [x + last for x in encode(batch.column(1).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

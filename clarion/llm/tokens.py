@@ -8,9 +8,11 @@ from functools import cache
 import numpy as np
 
 #: Pieces of text whose ids are remembered in a Python worker, at most; about 200 bytes each.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 #: Characters of text whose pieces are looked up at once, and of new pieces encoded in one call.
 SLICE, CALL = 4_000_000, 200_000
+#: Rows whose ids a task holds at once.
+ROWS = 2000
 
 # Places where a tokenizer's own splitting always cuts, so pieces can be encoded one by one:
 #: byte-level BPE with a space in front of words: a space that a non-space follows, and runs of spaces.
@@ -105,6 +107,13 @@ class Encoder:
                 size += len(x)
 
 
+def parts(batches):
+    """Batches of at most ROWS rows: what is held of texts and ids at once stays small."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 @cache
 def encoder(path: str, pieces: str | None) -> Encoder:
     """One encoder per Python worker."""
