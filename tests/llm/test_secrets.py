@@ -80,3 +80,11 @@ def test_many_matches_in_one_text(spark):
     assert got == {(a, b) for a, b in free if re.search("[0-9].*[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])}
     (left,) = secrets.redacted(docs(spark, [text])).collect()
     assert left.text.count("[SECRET]") > 2500 and not re.search(r"kY\d{4}s92", left.text)
+
+
+def test_many_spans_meet_their_texts_in_a_shuffle(spark, monkeypatch):
+    df = docs(spark, ["x secret = kY7s92Lq0zPd y", None, "password: Zq81mN04xTbc, password: Zq81mN04xTbc!", "clean"], extra=CLASHES)
+    few = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", -1)
+    assert {r.doc_id: r.text for r in secrets.redacted(df).collect()} == few
+    assert few == {0: "x secret = [SECRET] y", 1: None, 2: "password: [SECRET], password: [SECRET]!", 3: "clean"}
