@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clarion.llm import chunkprints, decontaminate, packing, quality, repeats, secrets, sharding, simhash, tokenfiles, toxicity
+from clarion.llm import chunkprints, conversations, decontaminate, mixture, packing, quality, repeats, secrets, sharding, simhash, tokenfiles, toxicity, vectors
 
 
 #: Where the public tokenizers' files are, by name.
@@ -58,7 +58,20 @@ def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkprints.compare(_read(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op5_token_files, op6_secrets, op7_packing, op8_quality, op9_repeats, op10_chunk_fingerprints]
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.pack_mixture(_read(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(_read(spark, sf_dir, "conversations")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compressed(_read(spark, sf_dir, "embeddings"))
+
+
+_ALL = [op1_decontaminate, op2_simhash, op3_toxicity, op4_sharding, op5_token_files, op6_secrets, op7_packing, op8_quality, op9_repeats, op10_chunk_fingerprints,
+        op11_mixture_packing, op12_conversation_repair, op13_vector_codes]
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
