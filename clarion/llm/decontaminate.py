@@ -42,7 +42,7 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 class Queries:
-    """The benchmark's suffixes as fixed-width keys for binary search; items of equal words are one, named after the first of their ids."""
+    """The benchmark's suffixes as fixed-width keys for binary search; items of equal words are one sequence with several ids."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.window = window
@@ -51,9 +51,8 @@ class Queries:
         for i, t in sorted((str(i), t) for i, t in items):
             rows.setdefault(tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)), []).append(i)
         ids = [list(row) for row in rows]
-        self.names = [same[0] for same in rows.values()]
-        #: All ids that a name stands for.
-        self.same = {same[0]: same for same in rows.values()}
+        #: The ids of each sequence, in order; one id may stand for several sequences.
+        self.names = list(rows.values())
         lows, highs, where, lengths, heads = [], [], [], [], set()
         self.single: set[int] = set()
         for k, row in enumerate(ids):
@@ -79,9 +78,9 @@ class Queries:
         """Rows of word ids as byte strings whose order is that of the ids."""
         return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.window}").ravel()
 
-    def search(self, docs: list[list[bytes]]) -> list[list[tuple[int, int, str, int]]]:
-        """For each document its longest verbatim matches: (word, number of words, item, item's word)."""
-        out: list[list[tuple[int, int, str, int]]] = [[] for _ in docs]
+    def search(self, docs: list[list[bytes]]) -> list[list[tuple[int, int, int, int]]]:
+        """For each document its longest verbatim matches: (word, number of words, sequence, its word)."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
         if not len(self.low):
             return out
         get, w = self.vocab.get, self.window
@@ -123,7 +122,7 @@ class Queries:
         doc = np.searchsorted(first, pos[heads], "right") - 1
         for k, (a, b) in enumerate(zip(heads, tails)):
             d = int(doc[k])
-            out[d].append((int(pos[a] - first[d]), int(pos[b] - pos[a] + length[b]), self.names[item[a]], int(j[a])))
+            out[d].append((int(pos[a] - first[d]), int(pos[b] - pos[a] + length[b]), int(item[a]), int(j[a])))
         return out
 
 
@@ -193,8 +192,8 @@ def matches(
                 for texts in shards(batch.column(at).cast(pa.binary()).to_pylist(), shard_bytes):
                     words = [words_of(t) for t in texts]
                     for own, found in zip(words, q.search(words)):
-                        spans = [dict(zip(("start", "length", "item", "item_start"), m)) for m in found]
-                        ids = {i for x in spans for i in q.same[x["item"]]}
+                        spans = [{"start": a, "length": n, "item": q.names[k][0], "item_start": j} for a, n, k, j in found]
+                        ids = {i for k in {m[2] for m in found} for i in q.names[k]}
                         if before:
                             spans = before[len(cells)]["spans"] + spans
                             ids |= set(before[len(cells)]["items"])

@@ -76,4 +76,23 @@ def test_items_of_equal_words_are_searched_once(spark):
         assert [got[k].n_items for k in range(4)] == [30, 0, 0, 30]
         assert got[0].items_sha256 == hashlib.sha256(ids.encode()).hexdigest() and got[0].n_hit == 12
     q = decontaminate.Queries([(k, window.encode()) for k in range(1000)], 10)
-    assert len(q.low) == 3 and len(q.search([decontaminate.words_of(window)])[0]) == 1
+    assert len(q.low) == 3 and len(q.names[0]) == 1000 and len(q.search([decontaminate.words_of(window)])[0]) == 1
+
+
+@pytest.mark.parametrize("block", [16_000_000, 40])
+def test_an_id_of_several_texts_stands_for_each(spark, block):
+    items = [(3, "x y z"), (3, "p q r"), (5, "p q r"), (3, "a b c"), (4, "x y z"), (10, "x y z")]
+    texts = ["say p q r now", "x y z", "a b c and p q r", "a b c", "none"]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contamination(docs(spark, texts), bench, block_bytes=block).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == brute(texts, items)
+    assert [r.n_items for r in got] == [2, 3, 2, 1, 0]
+
+
+def test_one_text_larger_than_a_shard(spark):
+    rng = random.Random(9)
+    items = [(1, words(rng, 12, 30)), (2, "p q r")]
+    texts = [words(rng, 3000, 30) + " p q r " + items[0][1].upper(), "p q r", None]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contamination(docs(spark, texts), bench, shard_bytes=500).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == brute(texts, items)
