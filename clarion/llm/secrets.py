@@ -87,10 +87,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     ))
     every = stored(candidates(rows))
     live = every.where(F.col("random") & ((F.col("kind") < 4) | ~F.col("inside")))
-    # Repositories lie within owners: three combinable counts, none of which gathers a hot value's rows.
+    # Owners and repositories are counted apart, as either may have several of the other; each value's own are made distinct before they are counted.
+    sides = F.explode(F.array(F.struct(F.lit("owner").alias("side"), F.col("owner").alias("name")), F.struct(F.lit("repository").alias("side"), F.col("repository").alias("name"))))
     counts = (
-        live.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("x")).groupBy("hash", "owner").agg(F.count("*").alias("n"))
-        .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+        live.select("hash", sides.alias("by")).groupBy("hash", "by").agg(F.lit(1).alias("x"))
+        .groupBy("hash").agg(F.count_if(F.col("by.side") == "owner").alias("owners"), F.count_if(F.col("by.side") == "repository").alias("repositories"))
     )
     rare = counts.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
     kind = F.when(F.col("kind") < 4, 3).otherwise(4)

@@ -88,3 +88,12 @@ def test_many_spans_meet_their_texts_in_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(secrets, "BROADCAST_ROWS", -1)
     assert {r.doc_id: r.text for r in secrets.redacted(df).collect()} == few
     assert few == {0: "x secret = [SECRET] y", 1: None, 2: "password: [SECRET], password: [SECRET]!", 3: "clean"}
+
+
+def test_repositories_of_several_owners_count_once(spark):
+    """Seven repositories with rows of two owners each are seven, not fourteen."""
+    value = "secret = kY7s92Lq0zPd"
+    df = docs(spark, [f"{value} {k}" for k in range(14)]).withColumn("source", F.concat(F.lit("o"), F.col("doc_id") % 2)).withColumn("repo", F.floor(F.col("doc_id") / 2))
+    for bound, live in ((7, 1), (6, 0)):
+        assert {r.n_live for r in secrets.report(df, repository="repo", max_repositories=bound).collect()} == {live}
+    assert {r.n_live for r in secrets.report(df, repository="repo", max_owners=1).collect()} == {0}
