@@ -197,7 +197,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """One row of ``docs`` per class: the one of the least doc_id, and of the least hash of its text where that id repeats.
 
     Rows are told apart by id and text, so an id on two different texts loses neither; of
-    rows that repeat both, one stays. Rows with a null id belong to no class and all stay.
+    rows that repeat both, the one whose JSON has the least SHA-256 stays. Rows with a null id
+    belong to no class and all stay. Ids must be integers; a null text is an empty one and
+    stays null; no rows give no result.
     Which rows go is settled over narrow rows. They are counted, and broadcast up to
     ``BROADCAST_ROWS`` of them; more meet the texts in a shuffle.
     """
@@ -216,5 +218,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     twice = settled.where("stays")
     if not twice.isEmpty():
         key = free_name("_digest", docs.columns)
-        kept = kept.unionByName(docs.join(few(twice), same(twice), "left_semi").withColumn(key, digest).dropDuplicates([doc_id, key]).drop(key))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        repeats = docs.join(few(twice), same(twice), "left_semi").groupBy(F.col(doc_id).alias(a), digest.alias(key))
+        kept = kept.unionByName(repeats.agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias(key + "_row")).select(F.col(key + "_row.*")))
     return kept

@@ -86,3 +86,20 @@ def test_rows_not_ids_are_told_apart(spark, monkeypatch, limit):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in simhash.deduplicated(df).collect())
     assert got == sorted([(-1, ""), (-1, a), (1, a), (1, b)])
     assert simhash.deduplicated(df).columns == df.columns
+
+
+def test_of_rows_that_repeat_id_and_text_a_fixed_one_stays(spark):
+    rows = [(1, "same text of some words", "en", "a", 1), (1, "same text of some words", "pt", "b", 2), (1, "same text of some words", None, "b", 2), (2, "quite another text with more of them", "en", "c", 3)]
+    kept = set()
+    for k in range(3):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+        got = simhash.deduplicated(df)
+        assert got.columns == df.columns
+        kept.add(tuple(sorted(map(repr, got.collect()))))
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
+def test_texts_beyond_one_slice_of_shingles():
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(70_000))
+    assert simhash.fingerprint(text.encode()) == plain(text)
