@@ -17,6 +17,8 @@ ROWS = 2000
 # Places where a tokenizer's own splitting always cuts, so pieces can be encoded one by one:
 #: byte-level BPE with a space in front of words: a space that a non-space follows, and runs of spaces.
 SPACED = r" ?\S+|\s+(?!\S)|\s+"
+#: How byte-level vocabularies write a space.
+SPACE_BYTE = "\u0120"
 #: BPE that drops white space.
 WORDS = r"\S+"
 #: Characters that Python takes for white space and the tokenizers don't, and the beginning of special tokens.
@@ -31,8 +33,10 @@ class Encoder:
 
     The tokenizers cut a text at white space before they merge bytes. Distinct pieces are
     encoded once and remembered; texts where the cut could differ are encoded whole. New
-    pieces go to the tokenizer many at a time, with a special token between them: it splits
-    there first, and no piece can yield that token's id. Equal texts of a call are cut once.
+    pieces go to the tokenizer many at a time. Those with one space, in front, go one after
+    the other: only a piece's first token begins with a space. Others go with a special token
+    between them: it splits there first, and no piece can yield that token's id. Equal texts
+    of a call are cut once.
     """
 
     def __init__(self, path: str, pieces: str | None):
@@ -44,6 +48,12 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.separator = next((t for t in ("<|endoftext|>",) if self.tokenizer.token_to_id(t) is not None), None)
         self.mark = self.tokenizer.token_to_id(self.separator) if self.separator else None
+        #: Ids of tokens that begin with a space, where a space in front belongs to its piece.
+        self.spaced = None
+        if pieces == SPACED:
+            vocab = self.tokenizer.get_vocab()
+            self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+            self.spaced[[k for t, k in vocab.items() if t.startswith(SPACE_BYTE)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -92,19 +102,37 @@ class Encoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        part: list[str] = []
-        size = 0
-        for x in [*new, None]:
-            if x is None or size > CALL:
-                if part:
-                    ids = self._ids(self.separator.join(part))
-                    ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-                    raw = ids.tobytes()
-                    self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True))
-                part, size = [], 0
-            if x is not None:
-                part.append(x)
-                size += len(x)
+        spaced = [x for x in new if x[0] == " " and not x.isspace()] if self.spaced is not None else []
+        rest = [x for x in new if x[0] != " " or x.isspace()] if spaced else new
+        for part in _calls(spaced):
+            ids = self._ids("".join(part))
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                self._remember(part, ids, starts, np.append(starts[1:], len(ids)))
+            else:
+                rest = rest + part
+        for part in _calls(rest):
+            ids = self._ids(self.separator.join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            self._remember(part, ids, np.append(0, ends[:-1] + 1), ends)
+
+    def _remember(self, part: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.known.update((p, raw[a:b]) for p, a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist(), strict=True))
+
+
+def _calls(pieces: list[str]):
+    """Runs of pieces with some CALL characters each."""
+    part: list[str] = []
+    size = 0
+    for x in pieces:
+        part.append(x)
+        size += len(x)
+        if size > CALL:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def parts(batches):
