@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clarion.functions.text import terms
 from clarion.functions.urls import allowed, canonical_online, host, matched_domain, profile
+from clarion.operators.ranks import ranked, ranked_in_task
 
 K1, B = 1.2, 0.75
 #: Constant of reciprocal-rank fusion, least cosine, lexical and spread candidates, passages kept.
@@ -46,29 +47,31 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def fused(df: DataFrame, keys: list[str], lexical: str = "lexical", semantic: str = "similarity", ix: str = "ix") -> DataFrame:
+def fused(df: DataFrame, keys: list[str], lexical: str = "lexical", semantic: str = "similarity", ix: str = "ix", small: bool = False) -> DataFrame:
     """``df`` with ``fused`` (reciprocal-rank fusion) and ``position`` from 1; rows that neither ranking counts go.
 
     Both ranks are over all rows of a key. The lexical one counts above 0, the semantic one
-    from LEAST_COSINE on; ties go to the smaller index.
+    from LEAST_COSINE on; ties go to the smaller index. ``small`` says that each key's rows fit in a task.
     """
-    def rank(c: str) -> Column:
-        return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), F.asc(ix)))
-
-    one = lambda r, ok: F.when(ok, 1 / (FUSION + r)).otherwise(0.0)
-    df = df.withColumn("_l", rank(lexical)).withColumn("_s", rank(semantic))
+    place = ranked_in_task if small else ranked
+    df = place(df, keys, [F.desc(lexical), F.asc(ix)], "_l")
+    df = place(df, keys, [F.desc(semantic), F.asc(ix)], "_s")
+    one = lambda r, ok: F.when(ok, 1 / (FUSION + 1 + r)).otherwise(0.0)
     df = df.withColumn("fused", F.round(one(F.col("_l"), F.col(lexical) > 0) + one(F.col("_s"), F.col(semantic) >= LEAST_COSINE), 12))
     df = df.where("fused > 0").drop("_l", "_s")
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fused"), F.asc(ix))))
+    return place(df, keys, [F.desc("fused"), F.asc(ix)], "position").withColumn("position", F.col("position") + 1)
+
 
+def candidates(df: DataFrame, keys: list[str], lexical: str = "lexical", ix: str = "ix", small: bool = False) -> DataFrame:
+    """Of each article's passages the LEXICAL best and SPREAD ones at even distance: what is worth embedding.
 
-def candidates(df: DataFrame, keys: list[str], lexical: str = "lexical", ix: str = "ix") -> DataFrame:
-    """Of each article's passages the LEXICAL best and SPREAD ones at even distance: what is worth embedding."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(lexical), F.asc(ix)))
-    df = df.withColumn("_step", F.greatest(F.lit(1), F.floor(n / SPREAD).cast("int"))).withColumn("_best", best)
+    ``small`` says that each key's rows fit in a task.
+    """
+    place = ranked_in_task if small else ranked
+    df = place(df, keys, [F.desc(lexical), F.asc(ix)], "_best", "_n")
+    df = df.withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / SPREAD).cast("int")))
     spread = (F.col(ix) % F.col("_step") == 0) & (F.col(ix) / F.col("_step") < SPREAD)
-    return df.where((F.col("_best") <= LEXICAL) | spread).drop("_step", "_best")
+    return df.where((F.col("_best") < LEXICAL) | spread).drop("_step", "_best", "_n")
 
 
 def nearest(df: DataFrame, keys: list[str], similarity: str = "similarity", ix: str = "ix", n: int = KEPT) -> DataFrame:

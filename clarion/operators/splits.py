@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clarion.functions.urls import canonical_offline
 from clarion.operators.graph import connected_components
+from clarion.operators.ranks import ranked
 from clarion.operators.verdicts import VERDICTS
 
 TARGETS = {"train": 600, "calibration": 300, "test": 300}
@@ -96,8 +97,8 @@ def packed(components: DataFrame, targets: dict[str, int] | None = None) -> Data
                 ranges.append((r["size"], first, first + n, s))
                 first += n
     plan = spark.createDataFrame(ranges, "size bigint, first bigint, last bigint, split string")
-    ranked = sizes.withColumn("rank", (F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("component"), "component")) - 1).cast("bigint"))
-    chosen = ranked.join(plan, "size").where("rank >= first and rank < last").select("component", "split")
+    dealt = ranked(sizes, ["size"], [F.xxhash64("component").asc(), F.asc("component")])
+    chosen = dealt.join(F.broadcast(plan), "size").where("rank >= first and rank < last").select("component", "split")
     return components.join(chosen, "component").select("id", "component", "split")
 
 

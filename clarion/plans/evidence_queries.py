@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clarion.functions.passages import rejection
 from clarion.functions.scores import cosine
 from clarion.functions.text import QUALIFIERS, token_estimate
-from clarion.operators import claims as claim_ops, duplicates, quota, retrieval, verdicts
+from clarion.operators import claims as claim_ops, duplicates, quota, ranks, retrieval, verdicts
 from clarion.plans import inputs, verification
 
 MINIMUM, SINGLE = 0.50, 0.65
@@ -176,7 +176,7 @@ def cosine_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieval.fused(_label_vectors(spark, sf_dir), ["label"])
-    return out.where("position <= 20").select("label", "ix", F.round("fused", 9).alias("fused"), "position")
+    return out.where("position <= 20").select("label", "ix", F.round("fused", 9).alias("fused"), F.col("position").cast("int").alias("position"))
 
 
 RRF_SQL = f"""with {_VECTORS_SQL},
@@ -187,7 +187,7 @@ select label, ix, round(fused, 9) as fused, (row_number() over (partition by lab
 
 def candidate_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = inputs.read(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1).cast("bigint").alias("doc_id"), ((F.col("doc_id") * 41) % 67 / 4.0).alias("lexical"))
-    d = d.withColumn("ix", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    d = ranks.ranked(d, ["source"], [F.asc("doc_id")], "ix").withColumn("ix", F.col("ix").cast("int"))
     return retrieval.candidates(d, ["source"]).select("source", "doc_id", "ix")
 
 

@@ -80,10 +80,10 @@ def verify(claims: DataFrame, hits: DataFrame, articles: DataFrame, infer: Provi
     lexical = retrieval.bm25(keyed.withColumn("article", F.struct("claim_id", "rank")), read.select(F.struct("claim_id", "rank").alias("article"), "claim_id").distinct().join(known, "claim_id"), ["article"], "ix", "text", "claim_id", "claim")
     lexical = lexical.select(F.col("article.claim_id").alias("claim_id"), F.col("article.rank").alias("rank"), "ix", F.col("score").alias("lexical"))
     both = cut.join(lexical, ["claim_id", "rank", "ix"], "left").na.fill(0.0, ["lexical"])
-    both = retrieval.candidates(both, ["claim_id", "rank"])
+    both = retrieval.candidates(both, ["claim_id", "rank"], small=True)
     vectors = embedded(embedded(both.join(known.select("claim_id", "claim"), "claim_id"), embed, "text", "vector"), embed, "claim", "claim_vector")
     scored = vectors.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("claim_vector")), 6)).drop("vector", "claim_vector")
-    top = retrieval.fused(scored, ["claim_id", "rank"]).where(F.col("position") <= retrieval.KEPT)
+    top = retrieval.fused(scored, ["claim_id", "rank"], small=True).where(F.col("position") <= retrieval.KEPT)
     room = F.greatest(F.lit(1), 509 - F.col("claim_tokens"))
     grown = retrieval.expanded(cut.select("claim_id", "rank", "ix", "text"), top.select("claim_id", "rank", "url", "ix", "text", "claim", "claim_tokens", "similarity", "position"), ["claim_id", "rank"], room, tokens)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clarion.functions.urls import canonical_offline
+from clarion.operators.ranks import ranked
 
 # Columns of the quiz files, in their order.
 FACT = ("id", "url", "source", "date", "reason", "summary", "title", "binary", "subject", "author")
@@ -44,16 +45,15 @@ def training_pairs(rows: DataFrame, labels: tuple[str, ...] = ("entailment", "ne
     return kept if n is None else kept.orderBy(F.xxhash64(F.lit(seed), "sentence1", "sentence2", "gold_label")).limit(n)
 
 
-def length_batches(rows: DataFrame, length: str, size: int, order: list[str], parts: int = 256) -> DataFrame:
+def length_batches(rows: DataFrame, length: str, size: int, order: list[str], parts: int = 1) -> DataFrame:
     """``rows`` with ``batch``: runs of ``size`` rows of like length, counted within ranges of the length.
 
-    Ranges of equal lengths are split by the order's hash, so no window sees all rows; only
-    the last batch of each range may be shorter.
+    Ranges may be cut into ``parts`` by the order's hash; only the last batch of each may be
+    shorter. ``order`` must tell rows of equal length apart for batches to be the same each time.
     """
     part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    w = Window.partitionBy("_bucket", "_part").orderBy(length, *order)
     own = rows.withColumn("_bucket", F.floor(F.log2(F.col(length) + 1)).cast("int")).withColumn("_part", part)
-    made = own.withColumn("_k", F.floor((F.row_number().over(w) - 1) / size))
+    made = ranked(own, ["_bucket", "_part"], [F.asc(length), *[F.asc(c) for c in order]], "_k").withColumn("_k", F.floor(F.col("_k") / size))
     return made.withColumn("batch", F.concat_ws("-", "_bucket", "_part", "_k")).drop("_bucket", "_part", "_k")
 
 
