@@ -1,15 +1,21 @@
-"""Web pages: main text, article data, links. HTML is no regular language, so a small parser runs in Arrow UDFs."""
+"""Web pages: main text, article data, links.
+
+A small scanner turns each page into its tags and texts, once. What lies in what is then a
+matter of running sums over a page's events, choices are aggregations, and JSON-LD is
+walked as VARIANT values.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import json
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clarion.functions.lineage import extended, stored
 from clarion.functions.passages import ARTICLE_HINT, NO_ARTICLE
+from clarion.functions.text import collapse
 from clarion.functions.urls import allowed, host, part, same_family, secure
 
 # Elements without content, containers, void elements, elements that a paragraph can't hold.
@@ -19,217 +25,223 @@ CONTAINERS = ("article", "main", "section", "div")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ARTICLE_TYPES = ("NewsArticle", "Article", "ReportageNewsArticle", "ClaimReview")
+PAID_CLASSES = ("paywall", "subscription-required", "article-preview")
 LEAST_PARAGRAPH, LEAST_TEXT, MOST_BYTES = 25, 200, 3 << 20
 
 
-class _Blocks(HTMLParser):
-    """One pass over a page: text per paragraph, and for each container which paragraphs and links lie in it."""
+class _Tags(HTMLParser):
+    """The tags and texts of a page in order; every element is closed, by its end tag or by what ends one around it."""
 
-    def __init__(self, dropped: frozenset[str], denied: re.Pattern | None = None):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.dropped, self.denied = dropped, denied
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number of its container or -1, whether it hides what it holds
-        self.hidden = 0
-        self.containers: list[list] = []  # tag, paragraphs, link characters, elements
-        self.open: list[int] = []
-        self.paragraphs: list[list[str]] = []
-        self.current: list[str] | None = None
-        self.link = 0
-        self.all: list[str] = []
-        self.body: list[list[str]] = []
+        self.events: list[tuple] = []  # kind (1 opens, -1 closes, 2 is void, 0 text), tag, attributes as JSON, text
+        self.open: list[str] = []
+        self.data: list[str] = []
+
+    def _flush(self) -> None:
+        if self.data:
+            self.events.append((0, None, None, "".join(self.data)))
+            self.data = []
+
+    def _close(self, until: str | None) -> None:
+        self._flush()
+        while self.open:
+            tag = self.open.pop()
+            self.events.append((-1, tag, None, None))
+            if tag == until:
+                return
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and self.current is not None:
-            self._pop("p")
-        for k in self.open:
-            self.containers[k][3] += 1
-        if tag in VOID:
-            if tag == "br":
-                self.handle_data(" ")
-            return
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-        hides = tag in self.dropped or bool(self.denied and tag not in ("html", "body", "main", "article") and self.denied.search(names))
-        self.hidden += hides
-        number = -1
-        if tag in CONTAINERS or tag == "body":
-            number = len(self.containers)
-            self.containers.append([tag, [], 0, 0])
-            self.open.append(number)
-        self.stack.append((tag, number, hides))
-        if tag == "p" and not self.hidden:
-            self.current = []
-            self.paragraphs.append(self.current)
-            for k in self.open:
-                self.containers[k][1].append(len(self.paragraphs) - 1)
-        if tag == "a":
-            self.link += 1
-
-    def _pop(self, tag: str) -> None:
-        if not any(t == tag for t, _, _ in self.stack):
-            return
-        while self.stack:
-            t, number, hides = self.stack.pop()
-            self.hidden -= hides
-            if number >= 0:
-                self.open.remove(number)
-            if t == "p":
-                self.current = None
-            if t == "a":
-                self.link = max(0, self.link - 1)
-            if t == tag:
-                return
+        self._flush()
+        if tag in CLOSES_P and "p" in self.open:
+            self._close("p")
+        self.events.append((2 if tag in VOID else 1, tag, json.dumps({k: v or "" for k, v in attrs}) if attrs else None, None))
+        if tag == "br":
+            self.data.append(" ")
+        if tag not in VOID:
+            self.open.append(tag)
 
     def handle_endtag(self, tag):
-        if tag not in VOID:
-            self._pop(tag)
+        if tag in self.open:
+            self._close(tag)
 
     def handle_data(self, data):
-        if self.hidden:
-            return
-        self.all.append(data)
-        if self.current is not None:
-            self.current.append(data)
-        if self.link:
-            n = len(" ".join(data.split()))
-            for k in self.open:
-                self.containers[k][2] += n
+        self.data.append(data)
+
+
+_EVENTS = pa.list_(pa.struct([("kind", pa.int8()), ("name", pa.string()), ("attrs", pa.string()), ("value", pa.string())]))
+
+
+def scanned(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` without ``html``, with a number ``_row`` and the page's ``_events``, written: each page is read once.
+
+    Null and empty pages have no events.
+    """
+    rest = [c for c in pages.columns if c != html]
+    own = pages.select(html, *rest, F.monotonically_increasing_id().alias("_row"))
+
+    def scan(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                tags = _Tags()
+                tags.feed(text or "")
+                tags.close()
+                tags._close(None)
+                found.append(tags.events)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, _EVENTS)], names=[*rest, "_row", "_events"])
+
+    return stored(own.mapInArrow(scan, extended(own.drop(html).schema, "_events array<struct<kind:tinyint,name:string,attrs:string,value:string>>")))
+
 
+def _attribute(name: str) -> Column:
+    return F.get_json_object("attrs", f"$['{name}']")
 
-def _flat(parts: list[str]) -> str:
-    return " ".join("".join(parts).split())
 
+def _exploded(pages: DataFrame) -> DataFrame:
+    """An event a row, all of a page in one partition from here on."""
+    return pages.select("_row", F.posexplode("_events").alias("i", "e")).select("_row", "i", "e.*").repartition("_row")
 
-def _blocks(html: str, dropped: frozenset[str], denied: re.Pattern | None = None) -> tuple[_Blocks, list[str]]:
-    b = _Blocks(dropped, denied)
-    b.feed(html)
-    b.close()
-    return b, [_flat(p) for p in b.paragraphs]
 
+def _blocks(pages: DataFrame, dropped: frozenset[str], denied: str | None = None) -> DataFrame:
+    """Visible blocks of scanned pages: each paragraph's text, each other text, each container's place and contents.
 
-def main_text(html: str | None) -> str:
-    """Paragraphs, a line each, of the container with most paragraph text and least links; else all text.
+    Columns: _row, at (place of its first event), what (container, paragraph, other), name, raw
+    and text (of paragraphs and others), and of containers end, n (characters of long
+    paragraphs), links (characters of link texts), elements and joined (length of all
+    paragraphs, two characters between them). Elements nest, so whatever a container holds is
+    the difference of running sums at its two ends: no container meets its paragraphs.
+    """
+    page = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("kind").isin(1, -1), F.col("kind").cast("int")).otherwise(0)
+    e = _exploded(pages).withColumn("depth", F.sum(step).over(page))
+    e = e.withColumn("level", F.when(F.col("kind") == -1, F.col("depth") + 1).when(F.col("kind") == 1, F.col("depth")))
+    hides = F.col("name").isin(*dropped)
+    if denied:
+        names = F.concat_ws(" ", _attribute("class"), _attribute("id"))
+        hides = hides | (~F.col("name").isin("html", "body", "main", "article") & names.rlike(denied))
+    e = e.withColumn("hides", (F.col("kind") == 1) & hides)
+    # Events of one level are an open one and its close one, in turn.
+    peers = Window.partitionBy("_row", "level").orderBy("i")
+    e = e.withColumn("hides", F.when(F.col("kind") == -1, F.lag("hides").over(peers)).otherwise(F.col("hides")))
+    inside = lambda test: F.sum(F.when(test, step).otherwise(0)).over(page)
+    e = e.withColumns({
+        "hidden": inside(F.col("hides")), "_p": inside(F.col("name") == "p"), "_a": inside(F.col("name") == "a"),
+        "number": F.max(F.when((F.col("kind") == 1) & (F.col("name") == "p"), F.col("i"))).over(page), "elements": F.sum(F.when(F.col("kind") > 0, 1).otherwise(0)).over(page),
+    })
+    shown, text = F.col("hidden") == 0, F.col("kind") == 0
+    container = F.col("name").isin(*CONTAINERS, "body") & F.col("kind").isin(1, -1)
+    opens_p = shown & (F.col("kind") == 1) & (F.col("name") == "p")
+    what = F.when(container, "container").when(opens_p | (shown & text & (F.col("_p") > 0)), "paragraph").when(shown & text, "other")
+    at = F.when(F.col("kind") == 1, F.col("i")).when(text & (F.col("_p") > 0), F.col("number")).otherwise(F.col("i"))
+    link = F.when(text & shown & (F.col("_a") > 0), F.length(collapse(F.col("value")))).otherwise(0)
+    own = e.withColumn("what", what).where("what is not null").withColumn("at", at).withColumn("link", link)
+    held = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text, F.struct("i", "value")))), lambda x: x["value"]), "")
+    firsts = [F.first(F.when(F.col("what") == "container", F.col(c)), ignorenulls=True).alias(c) for c in ("name", "kind", "level", "elements")]
+    b = own.groupBy("_row", "at", "what").agg(held.alias("raw"), F.sum("link").alias("link"), *firsts)
+    b = b.withColumn("text", F.when(F.col("what") == "paragraph", collapse(F.col("raw"))).otherwise(""))
+    size = F.length("text")
+    order = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda x: F.sum(x).over(order)
+    sums = F.struct(
+        upto(F.when(size >= LEAST_PARAGRAPH, size).otherwise(0)).alias("n"), upto(F.col("link")).alias("links"), F.col("elements").alias("elements"),
+        upto(F.when(size > 0, size + 2).otherwise(0)).alias("joined"), F.col("at").alias("end"),
+    )
+    b = b.withColumn("sums", sums)
+    after = F.lead("sums").over(Window.partitionBy("_row", "what", "level").orderBy("at"))
+    b = b.withColumn("after", after).where("what <> 'container' or kind = 1")
+    held_by = {c: F.when(F.col("what") == "container", F.col(f"after.{c}") - F.col(f"sums.{c}")) for c in ("n", "links", "elements", "joined")}
+    return b.withColumns(held_by | {"end": F.col("after.end")}).withColumn("joined", F.greatest(F.lit(0), F.col("joined") - 2)).drop("sums", "after", "kind", "level", "link")
+
+
+def _lines(b: DataFrame, best: Column, between: str, otherwise: bool) -> DataFrame:
+    """(_row, text): the paragraphs of the container ``best`` of each page, else all its text if ``otherwise``."""
+    b = b.withColumn("best", best)
+    taken = (F.col("what") == "paragraph") & (F.col("text") != "") & (F.col("at") > F.col("best.at")) & (F.col("at") < F.col("best.end"))
+    every = F.col("best").isNull() & (F.col("what") != "container")
+    joined = lambda test, c: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("at", F.col(c).alias("x"))))), lambda y: y["x"])
+    out = b.groupBy("_row").agg(F.max(F.col("best").isNotNull()).alias("found"), F.array_join(joined(taken, "text"), between).alias("chosen"), F.array_join(joined(every, "raw"), "").alias("raw"))
+    lines = F.filter(F.transform(F.split("raw", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), collapse), lambda x: x != "")
+    return out.select("_row", F.when(F.col("found"), F.col("chosen")).otherwise(F.array_join(lines, "\n") if otherwise else F.lit(None)).alias("text"))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """(_row, text) of scanned pages: paragraphs, a line each, of the container with most paragraph text and least links; else all text.
 
     A container's score is the length of its paragraphs of LEAST_PARAGRAPH characters or more,
-    less the share of link text. The first of equal scores wins.
+    less the share of link text. The first of equal scores wins. Pages without visible text have no row.
     """
-    b, texts = _blocks(html or "", DROPPED)
-    best, score = None, 0.0
-    for tag, inside, links, _ in b.containers:
-        if tag not in CONTAINERS:
-            continue
-        n = sum(len(texts[k]) for k in inside if len(texts[k]) >= LEAST_PARAGRAPH)
-        s = n * (1 - min(1.0, links / n)) if n else 0.0
-        if s > score:
-            best, score = inside, s
-    if best is None:
-        return "\n".join(x for x in (" ".join(line.split()) for line in "".join(b.all).splitlines()) if x)
-    return "\n".join(texts[k] for k in best if texts[k])
-
-
-def tight_text(html: str | None, denied: str = r"(?i)(sidebar|related|share|newsletter|comment|advert|promo|breadcrumb)") -> str | None:
-    """The other extract: an article of LEAST_TEXT characters, else the smallest container with nine tenths of the most text."""
-    b, texts = _blocks(html or "", DROPPED_B, re.compile(denied))
-    found = [(tag, "\n\n".join(texts[k] for k in inside if texts[k]), n) for tag, inside, _, n in b.containers]
-    first = next((t for tag, t, _ in found if tag == "article"), "")
-    if len(first) >= LEAST_TEXT:
-        return first
-    long = [(n, t) for tag, t, n in found if tag != "article" and len(t) >= LEAST_TEXT]
-    if not long:
-        return None
-    most = max(len(t) for _, t in long)
-    return min((x for x in long if len(x[1]) >= 0.9 * most), key=lambda x: x[0])[1]
-
-
-class _Head(HTMLParser):
-    """Metadata of a page: meta values, canonical link, JSON-LD scripts, marks of paid content."""
+    b = _blocks(pages, DROPPED)
+    score = F.col("n") - F.col("links")  # n * (1 - links / n), exact
+    ranked = F.when((F.col("what") == "container") & F.col("name").isin(*CONTAINERS) & (score > 0), F.struct(score.alias("score"), (-F.col("at")).alias("first"), "at", "end"))
+    return _lines(b, F.max(ranked).over(Window.partitionBy("_row")), "\n", True)
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.meta: dict[str, str] = {}
-        self.canonical = None
-        self.scripts: list[str] = []
-        self.inside = self.paid = False
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "meta" and (key := a.get("property") or a.get("name")) and a.get("content"):
-            self.meta.setdefault(key, a["content"])
-        if tag == "link" and "canonical" in a.get("rel", "").split() and self.canonical is None:
-            self.canonical = a.get("href")
-        self.inside = tag == "script" and a.get("type") == "application/ld+json"
-        if self.inside:
-            self.scripts.append("")
-        self.paid |= (
-            (a.get("itemprop") == "isAccessibleForFree" and a.get("content") == "false") or a.get("data-paywall") == "true"
-            or a.get("data-article-access") == "paid" or bool({"paywall", "subscription-required", "article-preview"} & set(a.get("class", "").split()))
-        )
+def tight_text(pages: DataFrame, denied: str = r"(?i)(sidebar|related|share|newsletter|comment|advert|promo|breadcrumb)") -> DataFrame:
+    """(_row, text), the other extract: the first article if of LEAST_TEXT characters, else the smallest container with nine tenths of the most text; else null."""
+    b = _blocks(pages, DROPPED_B, denied)
+    page = Window.partitionBy("_row")
+    article = F.col("name") == "article"
+    first = F.min(F.when(article, F.struct("at", "end", "joined"))).over(page)
+    b = b.withColumn("first", first).withColumn("long", ~article & (F.col("joined") >= LEAST_TEXT)).withColumn("most", F.max(F.when(F.col("long"), F.col("joined"))).over(page))
+    smallest = F.min(F.when(F.col("long") & (F.col("joined") >= 0.9 * F.col("most")), F.struct("elements", "at", "end"))).over(page)
+    best = F.when(F.col("first.joined") >= LEAST_TEXT, F.struct("first.at", "first.end")).otherwise(F.when(smallest.isNotNull(), F.struct(smallest["at"].alias("at"), smallest["end"].alias("end"))))
+    return _lines(b, best, "\n\n", False)
 
-    def handle_endtag(self, tag):
-        self.inside = False
 
-    def handle_data(self, data):
-        if self.inside:
-            self.scripts[-1] += data
-
-
-def _articles(x: object) -> Iterator[dict]:
-    """The article objects of a JSON-LD value, in order of appearance."""
-    if isinstance(x, list):
-        for y in x:
-            yield from _articles(y)
-    elif isinstance(x, dict):
-        types = x.get("@type")
-        if set(types if isinstance(types, list) else [types]) & set(ARTICLE_TYPES):
-            yield x
-        for key in ("@graph", "mainEntity"):
-            yield from _articles(x.get(key))
-
-
-def head(html: str | None) -> dict:
-    """Metadata of one page as a flat record; JSON-LD that doesn't parse is passed over."""
-    import json
-    from contextlib import suppress
-
-    h = _Head()
-    h.feed(html or "")
-    h.close()
-    data: dict = {}
-    for s in h.scripts:
-        with suppress(ValueError):
-            if data := next(_articles(json.loads(s)), {}):
-                break
-    text = lambda v: v if isinstance(v, str) else None
-    free = data.get("isAccessibleForFree")
-    author = data.get("author")
-    return {
-        "paywalled": free is False or (isinstance(free, str) and free.lower() == "false"), "marked_paid": h.paid, "og_type": h.meta.get("og:type"),
-        "canonical": h.canonical, "title": text(data.get("headline")) or h.meta.get("og:title"),
-        "author": (text(author.get("name")) if isinstance(author, dict) else None) or h.meta.get("author"),
-        "published": text(data.get("datePublished")) or h.meta.get("article:published_time"),
-        "modified": text(data.get("dateModified")) or h.meta.get("article:modified_time"),
-        "body": text(data.get("articleBody")), "original_source": text(data.get("isBasedOn")) or h.meta.get("citation_source"),
-    }
-
-
-HEAD = T.StructType(
-    [T.StructField(k, T.BooleanType()) for k in ("paywalled", "marked_paid")]
-    + [T.StructField(k, T.StringType()) for k in ("og_type", "canonical", "title", "author", "published", "modified", "body", "original_source")]
-)
-
-
-@F.pandas_udf(T.StringType())
-def main_text_udf(html: pd.Series) -> pd.Series:
-    return html.map(main_text)
-
-
-@F.pandas_udf(T.StringType())
-def tight_text_udf(html: pd.Series) -> pd.Series:
-    return html.map(tight_text)
-
-
-@F.pandas_udf(HEAD)
-def head_udf(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([head(x) for x in html], columns=HEAD.names)
+def _article_objects(scripts: DataFrame) -> DataFrame:
+    """(_row, v): the first article object of the scripts (_row, i, value) of each page, in order of appearance; an object comes before what it holds.
+
+    Values are walked level by level through arrays, ``@graph`` and ``mainEntity``; each level
+    is written, and the walk ends with the deepest one. Text that isn't JSON is passed over.
+    """
+    kind = lambda v: F.schema_of_variant(v)
+    front = scripts.select("_row", F.array(F.col("i")).alias("path"), F.try_parse_json("value").alias("v")).where("v is not null")
+    found = None
+    while True:
+        front = stored(front)
+        if front.isEmpty():
+            break
+        t = F.coalesce(F.try_variant_get("v", "$['@type']", "array<string>"), F.array(F.try_variant_get("v", "$['@type']", "string")))
+        own = front.where(F.arrays_overlap(t, F.array(*[F.lit(x) for x in ARTICLE_TYPES])) & kind(F.col("v")).startswith("OBJECT")).select("_row", "path", F.to_json("v").alias("text"))
+        found = own if found is None else found.unionByName(own)
+        items = F.when(kind(F.col("v")).startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
+        held = F.filter(F.array(F.try_variant_get("v", "$['@graph']", "variant"), F.try_variant_get("v", "$['mainEntity']", "variant")), lambda x: x.isNotNull())
+        below = F.when(items.isNotNull(), items).when(kind(F.col("v")).startswith("OBJECT"), held)
+        front = front.select("_row", "path", F.posexplode(below).alias("k", "v")).where("v is not null").select("_row", F.concat("path", F.array("k")).alias("path"), "v")
+    if found is None:
+        return scripts.select("_row", F.lit("{}").alias("text")).limit(0).select("_row", F.parse_json("text").alias("v"))
+    return found.groupBy("_row").agg(F.min_by("text", "path").alias("text")).select("_row", F.parse_json("text").alias("v"))
+
+
+def heads(pages: DataFrame) -> DataFrame:
+    """Metadata of scanned pages, a row for each with any event: _row, paywalled, marked_paid, og_type, canonical, title, author,
+    published, modified, body, original_source."""
+    e = _exploded(pages)
+    opens = F.col("kind") > 0
+    before = Window.partitionBy("_row").orderBy("i")
+    ld = F.lag(opens & (F.col("name") == "script") & (_attribute("type") == "application/ld+json")).over(before)
+    scripts = stored(e.withColumn("ld", ld).where("ld and kind = 0").select("_row", "i", "value"))
+    key = F.coalesce(F.nullif(_attribute("property"), F.lit("")), _attribute("name"))
+    content = F.nullif(_attribute("content"), F.lit(""))
+    is_meta = opens & (F.col("name") == "meta") & content.isNotNull()
+    meta = lambda k: F.min_by(content, F.when(is_meta & (key == k), F.col("i")))
+    rel = opens & (F.col("name") == "link") & F.array_contains(F.split(_attribute("rel"), r"\s+"), "canonical")
+    classes = F.split(_attribute("class"), r"\s+")
+    paid = opens & (
+        F.coalesce((_attribute("itemprop") == "isAccessibleForFree") & (_attribute("content") == "false"), F.lit(False)) | F.coalesce(_attribute("data-paywall") == "true", F.lit(False))
+        | F.coalesce(_attribute("data-article-access") == "paid", F.lit(False)) | F.coalesce(F.arrays_overlap(classes, F.array(*[F.lit(x) for x in PAID_CLASSES])), F.lit(False))
+    )
+    names = {"m_title": "og:title", "m_author": "author", "m_published": "article:published_time", "m_modified": "article:modified_time", "m_source": "citation_source", "og_type": "og:type"}
+    h = e.groupBy("_row").agg(*[meta(k).alias(n) for n, k in names.items()], F.min_by(_attribute("href"), F.when(rel, F.col("i"))).alias("canonical"), F.bool_or(paid).alias("marked_paid"))
+    h = h.join(_article_objects(scripts), "_row", "left")
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", F.try_variant_get("v", path, "string"))
+    one = lambda path, other: F.coalesce(F.nullif(text(path), F.lit("")), F.col(other))
+    free = F.coalesce(F.lower(F.try_variant_get("v", "$.isAccessibleForFree", "string")) == "false", F.lit(False))
+    return h.select(
+        "_row", free.alias("paywalled"), "marked_paid", "og_type", "canonical", one("$.headline", "m_title").alias("title"), one("$.author.name", "m_author").alias("author"),
+        one("$.datePublished", "m_published").alias("published"), one("$.dateModified", "m_modified").alias("modified"), text("$.articleBody").alias("body"), one("$.isBasedOn", "m_source").alias("original_source"),
+    )
 
 
 def decoded(content: Column) -> Column:
@@ -268,15 +280,18 @@ def articles(pages: DataFrame, url: str = "url", html: str = "html", snippet: st
     JSON-LD text stands in for a short visible text of a free page. A text below LEAST_TEXT is
     discarded as paywall or unusable; a snippet of that length then stands in, partial.
     """
-    from clarion.functions.text import collapse
-
     rest = [c for c in pages.columns if c != html]
-    p = pages.withColumn("_h", head_udf(F.col(html))).withColumn("_v", main_text_udf(F.col(html)))
+    read = scanned(pages, html)
+    h = heads(read)
+    h = h.select("_row", F.struct(*[c for c in h.columns if c != "_row"]).alias("_h"))
+    v = main_text(read).select("_row", F.col("text").alias("_v"))
+    p = read.drop("_events").join(h, "_row", "left").join(v, "_row", "left").withColumn("_v", F.coalesce("_v", F.lit("")))
+    none = F.coalesce(F.col("_h.paywalled"), F.lit(False))
     h = F.col("_h")
-    hidden = ~h.paywalled & (F.length("_v") < LEAST_TEXT) & (F.length(h.body) >= LEAST_TEXT)
+    hidden = ~none & (F.length("_v") < LEAST_TEXT) & (F.length(h.body) >= LEAST_TEXT)
     p = p.withColumn("_s", F.coalesce(hidden, F.lit(False)))
     lines = F.array_join(F.filter(F.transform(F.split(h.body, r"[\n\r]+"), collapse), lambda x: x != ""), "\n")
-    partial = h.paywalled | F.coalesce(h.og_type == "website", F.lit(False)) | h.marked_paid
+    partial = none | F.coalesce(h.og_type == "website", F.lit(False)) | F.coalesce(h.marked_paid, F.lit(False))
     p = p.withColumn("_t", F.when(F.col("_s"), lines).otherwise(F.col("_v"))).withColumn("_partial", partial)
     ok = F.length("_t") >= LEAST_TEXT
     other = F.col(snippet) if snippet else F.lit(None).cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clarion.functions import passages as rules, text as tx, urls
 from clarion.operators import chunking, claims as claim_ops, domains, pages, quota, retrieval
@@ -170,12 +170,59 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = inputs.read(spark, sf_dir, "pages").select("page_id", pages.main_text_udf("html").alias("text"), pages.tight_text_udf("html").alias("tight"))
-    return p.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.length("tight").alias("tight_chars"))
+    read = pages.scanned(inputs.read(spark, sf_dir, "pages").select("page_id", "html"))
+    p = read.select("_row", "page_id").join(pages.main_text(read), "_row", "left").join(pages.tight_text(read).withColumnRenamed("text", "tight"), "_row", "left")
+    text = F.coalesce("text", F.lit(""))
+    return p.select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"), F.length("tight").alias("tight_chars"))
+
+
+def _unescaped(x: str) -> str:
+    """Marks of the test pages as their characters, in SQL; the ampersand last."""
+    for mark, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{mark}', '{char}')"
+    return x
+
+
+# For pages whose only container with paragraphs is one article, and whose paragraphs hold inline elements alone, as the test pages'.
+_FLAT = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+_TEXT = _unescaped(r"regexp_replace(replace({x}, '<br>', ' '), '<[^>]*>', '', 'g')")
+_BARE = "html"
+for _pattern in (r"<!--.*?-->", "<script.*?</script>", "<style.*?</style>", "<nav.*?</nav>", "<footer.*?(?:</footer>|$)"):
+    _BARE = f"regexp_replace({_BARE}, '(?s){_pattern}', '', 'g')"
+MAIN_SQL = rf"""with p as (select page_id, {_TEXT.format(x=_BARE)} as every, string_split(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<p>')[2:] as ps from pages),
+q as (select page_id, every, list_filter(list_transform(ps, lambda x: {_FLAT.format(x=_TEXT.format(x="regexp_replace(x, '(?s)</p>.*', '')"))}), lambda x: x <> '') as ps from p),
+t as (select page_id, case when len(list_filter(ps, lambda x: length(x) >= {pages.LEAST_PARAGRAPH})) > 0 then array_to_string(ps, chr(10))
+    else array_to_string(list_filter(list_transform(regexp_split_to_array(every, '
+|[
+
+]'), lambda x: {_FLAT.format(x="x")}), lambda x: x <> ''), chr(10)) end as text,
+  length(array_to_string(ps, chr(10) || chr(10))) as tight from q)
+select page_id, length(text)::int as n_chars, md5(text) as text_md5, case when tight >= {pages.LEAST_TEXT} then tight end::int as tight_chars from t"""
 
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.articles(inputs.read(spark, sf_dir, "pages"))
+    """Pages with heads planted by number: paid ones, broken and nested JSON-LD, structured texts of empty pages, marks and metadata."""
+    k = F.col("page_id")
+    n = k.cast("string")
+    ld = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *[x if isinstance(x, Column) else F.lit(x) for x in parts], F.lit("</script>"))
+    body = F.repeat(F.concat(F.lit("palavra "), n, F.lit(" ")), 40)
+    head = (
+        F.when(k % 6 == 1, ld('{"@type": "NewsArticle", "headline": "H', n, '", "author": {"name": "Ana"}, "isAccessibleForFree": false, "datePublished": "2024-01-02"}'))
+        .when(k % 6 == 2, F.concat(ld("{broken"), ld('{"@graph": [{"@type": "WebPage", "headline": "w"}, {"@type": ["Article"], "headline": "G', n, '", "articleBody": "', body, '"}]}'), F.lit("<p>curto</p>")))
+        .when(k % 6 == 3, F.concat(ld('[[{"mainEntity": [{"@type": "ClaimReview", "headline": "C', n, '", "isBasedOn": "https://a.test/"}]}]]'), F.lit('<link rel="x canonical" href="https://g1.globo.com/c/'), n, F.lit('"><meta property="article:published_time" content="2024-03-04T05:06:07Z">')))
+        .when(k % 6 == 4, F.lit('<div class="x paywall"></div><meta property="og:type" content="website">')).when(k % 6 == 5, F.concat(ld('{"@type": "Person"}'), F.lit('<meta property="og:title" content="O'), n, F.lit('">'))).otherwise("")
+    )
+    own = inputs.read(spark, sf_dir, "pages").select("page_id", "url", F.when(k % 6 == 2, head).otherwise(F.concat(head, "html")).alias("html"))
+    return pages.articles(own).select("page_id", F.md5("text").alias("text_md5"), "provenance", "is_partial", "canonical_url", "page_title", "author", "published_at", "original_source", "discard_reason")
+
+
+ARTICLES_SQL = rf"""{MAIN_SQL.rsplit("select page_id, length(text)", 1)[0].rstrip()},
+a as (select page_id as k, k % 6 as c, url, case when c = 2 then trim(repeat('palavra ' || k || ' ', 40)) else text end as text, c in (1, 4) as part from t join pages using (page_id)),
+o as (select *, length(text) >= {pages.LEAST_TEXT} as ok, not starts_with(url, 'https://') as unsafe from a)
+select k as page_id, case when ok then md5(text) end as text_md5, case when ok and c = 2 then 'structuredData' when ok then 'articleBody' end as provenance, case when ok then part end as is_partial,
+  case when c = 3 then 'https://g1.globo.com/c/' || k end as canonical_url, case c when 1 then 'H' || k when 2 then 'G' || k when 3 then 'C' || k when 5 then 'O' || k end as page_title, case when c = 1 then 'Ana' end as author,
+  case when c = 1 then timestamp '2024-01-02' when c = 3 then timestamp '2024-03-04 05:06:07' end as published_at, case when c = 3 then 'https://a.test/' end as original_source,
+  case when unsafe then 'disallowedURL' when not ok and part then 'paywall' when not ok then 'unusable' end as discard_reason from o"""
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +245,7 @@ select k as page_id, 1::int as position, root || '/noticia/um-dois-tres-quatro-'
 SQL = {
     "url_canonical": URL_SQL, "allowlist_match": ALLOWLIST_SQL, "allowed_pages": ALLOWED_SQL, "domain_profiles": PROFILE_SQL, "claim_validity": VALIDITY_SQL,
     "sentence_stats": SENTENCE_SQL, "keyword_queries": KEYWORD_SQL, "doc_terms_df": TERM_SQL, "protected_terms": PROTECTED_SQL, "page_signals": SIGNAL_SQL,
-    "longest_per_source": LONGEST_SQL, "page_links": LINKS_SQL, "request_status": REQUEST_SQL,
+    "longest_per_source": LONGEST_SQL, "page_links": LINKS_SQL, "page_main_text": MAIN_SQL, "page_articles": ARTICLES_SQL, "request_status": REQUEST_SQL,
 }
 QUERIES = [
     url_canonical, allowlist_match, allowed_pages, domain_profiles, claim_validity, sentence_stats, keyword_queries, doc_terms_df, protected_terms,

@@ -211,12 +211,39 @@ PAGE = """<html><head><script type="application/ld+json">{"@graph": [{"@type": "
 <article><p>%s</p><p>Curto</p><aside><p>Anúncio que não deveria entrar aqui</p></aside></article></body>"""
 
 
-def test_main_text_prefers_paragraphs_over_links():
+def read_pages(spark, htmls):
+    """Main and tight text of each page."""
+    read = pages.scanned(spark.createDataFrame(list(enumerate(htmls)), "k int, html string"))
+    both = read.join(pages.main_text(read), "_row", "left").join(pages.tight_text(read).withColumnRenamed("text", "tight"), "_row", "left")
+    return [(r.text or "", r.tight) for r in both.orderBy("k").collect()]
+
+
+def test_main_text_prefers_paragraphs_over_links(spark):
     body = "Parágrafo com conteúdo suficiente para ser lido. " * 3
-    assert pages.main_text(PAGE % ("", "z" * 300, body)) == f"{body.strip()}\nCurto"
-    assert pages.main_text("<p>só texto") == "só texto" and pages.main_text(None) == ""
-    assert pages.main_text("<div><p>Um parágrafo aberto que segue sem fim<p>Outro parágrafo aberto que também segue</div>").count("\n") == 1
-    assert pages.tight_text(f"<body><div class=related><p>{body * 3}</p></div><section><div><p>{body * 3}</p></div></section></body>") == (body * 3).strip()
+    two = "<div><p>Um parágrafo aberto que segue sem fim<p>Outro parágrafo aberto que também segue</div>"
+    tight = f"<body><div class=related><p>{body * 3}</p></div><section><div><p>{body * 3}</p></div></section></body>"
+    # An unclosed navigation ends with what holds it; marks count as their characters; hidden texts inside a paragraph's container go.
+    odd = f"<body><header><nav><p>{body * 9}</header><main><p>{body}&amp; <b>x<i>y</b> z<div><p>{body}</p></main></section><p>nach dem Ende, auch lang genug"
+    got = read_pages(spark, [PAGE % ("", "z" * 300, body), "<p>só texto", None, two, tight, odd, "", "a<br>b\n\n c<script>x</script>"])
+    assert got[0][0] == f"{body.strip()}\nCurto"
+    assert got[1][0] == "só texto" and got[2] == got[6] == ("", None)
+    assert got[3][0].count("\n") == 1
+    assert got[4][1] == (body * 3).strip()
+    assert got[5][0] == f"{body.strip()} & xy z\n{body.strip()}"
+    assert got[7] == ("a b\nc", None)
+
+
+def test_structured_articles_are_walked_in_order(spark):
+    ld = lambda *xs: "".join(f'<script type="application/ld+json">{x}</script>' for x in xs)
+    deep = '{"a": 1, "mainEntity": [[{"@graph": [{"mainEntity": {"@type": "ClaimReview", "headline": "fundo"}}]}]]}'
+    cases = [
+        ld("{broken", '[{"@type": "Person", "headline": "p"}, {"@type": "Article", "headline": "a", "isAccessibleForFree": false}]'), ld(deep),
+        ld('{"@type": "WebPage", "@graph": [{"@type": "NewsArticle", "headline": 5, "author": {"name": "Ana"}}], "mainEntity": {"@type": "Article", "headline": "m"}}'),
+        ld('{"@type": ["X", "ReportageNewsArticle"], "headline": "fora", "@graph": [{"@type": "Article", "headline": "dentro"}]}'), ld('"Article"', "[]", "null") + '<meta name="og:title" content="m">', None,
+    ]
+    read = pages.scanned(spark.createDataFrame(list(enumerate(cases)), "k int, html string"))
+    got = {r.k: (r.title, r.author, r.paywalled) for r in read.join(pages.heads(read), "_row", "left").collect()}
+    assert got == {0: ("a", None, True), 1: ("fundo", None, False), 2: (None, "Ana", False), 3: ("fora", None, False), 4: ("m", None, False), 5: (None, None, None)}
 
 
 def test_articles_take_structured_text_only_of_free_pages(spark):
