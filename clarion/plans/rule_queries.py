@@ -254,6 +254,11 @@ def label_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.label_order(inputs.read(spark, sf_dir, "embeddings").select(z.alias("logits"), _pick(l, ("contradiction", "entailment", "neutral")).alias("expected")))
 
 
+PERMUTATION_SQL = """with p as (select label % 3 as l, case when label % 3 = 1 then 1 when label % 3 = 0 then 2 else 3 end as greatest_, ['contradiction', 'entailment', 'neutral'][label % 3 + 1] as expected from embeddings),
+n as (select unnest(['entailment', 'neutral', 'contradiction']) as x), o as (select [a.x, b.x, c.x] as names from n a, n b, n c where a.x <> b.x and b.x <> c.x and a.x <> c.x)
+select array_to_string(names, ',') as "order" from o where not exists (select 1 from p where names[greatest_] is distinct from expected)"""
+
+
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     return inputs.read(spark, sf_dir, "nation").select((n + 1).alias("epoch"), ((n * 7 % 11) / 16.0 + F.when(n % 2 == 0, 1e-14).otherwise(0.0)).alias("f1"), ((n * 5 % 13) / 8.0).alias("loss"))
@@ -276,6 +281,10 @@ def training_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.training_errors(e, evaluation.best_epoch(e).select((F.col("epoch") + 1).alias("epoch"), "f1", (F.col("loss") + 0.5).alias("loss")))
 
 
+AUDIT_SQL = f"""with {_EPOCHS_SQL}, b as (select epoch, f1, loss from e order by round(f1, 12) desc, loss, epoch limit 1), r as (select epoch + 1 as epoch, f1, loss + 0.5 as loss from b)
+select 'epoch' as problem from r, b where r.epoch <> b.epoch union all select 'f1' from r where abs(f1 - (select max(f1) from e)) > 1e-12 union all select 'loss' from r where abs(loss - (select min(loss) from e)) > 1e-12"""
+
+
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in batches of 16 of like length, in one part."""
     d = inputs.read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
@@ -402,7 +411,7 @@ def domain_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARITY_SQL = r"""with p as (select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as domain from pages)
-select k::int as part, (select count(distinct domain) from p where domain not in (select domain from p where page_id % 40 = k)) as only_left, 0::bigint as only_right from (values (0), (1)) t(k)"""
+select k::int as part, (select count(distinct domain) from p where domain not in (select domain from p where page_id % 40 = k)) as only_left, (select count(distinct domain) from p where page_id % 40 = k and domain not in (select domain from p)) as only_right from (values (0), (1)) t(k)"""
 
 def expansion_after_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that ask further searches, given what was read of their articles: every third was not readable."""
@@ -448,11 +457,11 @@ TAGGED_SQL = evidence_queries.QUALITY_SQL.replace("then 'tooShort' else 'kept' e
 
 SQL = {
     "expansion_after_reading": EXPAND_SQL, "session_deadlines": DEADLINE_SQL, "fetched_articles": FETCHED_SQL, "tagged_paragraphs": TAGGED_SQL, "policy_checks": POLICY_CHECK_SQL, "search_bodies": BODY_SQL, "error_codes": ERROR_SQL, "key_status": KEY_SQL, "host_families": FAMILY_SQL, "model_triage": TRIAGE_SQL, "quiz_answers": ANSWER_SQL,
-    "source_notes": NOTE_SQL, "error_retries": RETRY_SQL, "training_records": TRAINING_SQL, "missing_labels": "select unnest(['entailment', 'contradiction']) as label", "fixture_lines": FIXTURE_SQL,
+    "source_notes": NOTE_SQL, "error_retries": RETRY_SQL, "training_records": TRAINING_SQL, "missing_labels": f"select label from (select unnest(['entailment', 'neutral', 'contradiction']) as label) where label not in (select label from ({TRAINING_SQL}))", "fixture_lines": FIXTURE_SQL,
     "coverage_errors": COVERAGE_SQL, "sufficient_sets": "select doc_id, doc_id % 5 <> 0 and doc_id % 3 <> 1 as sufficient from labels", "unscheduled_hits": UNSCHEDULED_SQL,
     "label_probabilities": PROBABILITY_SQL, "negated_claims": NEGATED_SQL, "negation_coverage": NEGATION_SQL,
     "split_sizes": "select ['train', 'calibration', 'test'][doc_id % 3 + 1] as split, count(*) as n from documents group by 1", "split_fingerprints": FINGERPRINT_SQL, "release_gate": RELEASE_SQL,
-    "label_permutations": "select 'entailment,contradiction,neutral' as \"order\"", "best_epoch": EPOCH_SQL, "training_audit": "select unnest(['epoch', 'loss']) as problem", "length_batches": BATCH_SQL,
+    "label_permutations": PERMUTATION_SQL, "best_epoch": EPOCH_SQL, "training_audit": AUDIT_SQL, "length_batches": BATCH_SQL,
     "consecutive_turns": "select conv_id, turn, (row_number() over (partition by conv_id order by turn) - 1) // 3 as batch from conversations",
     "quiz_round": "select doc_id as fact_id from labels order by md5('7:' || doc_id), doc_id limit 10", "dated_texts": DATE_SQL,
     "encoded_pairs": ENCODED_SQL, "encoded_texts": SINGLE_SQL, "pooled_vectors": POOLED_SQL, "allowed_labels": ALLOWED_LABEL_SQL, "selected_policy": SELECTED_SQL,

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clarion.functions.lineage import shared_dir
+from clarion.functions.lineage import shared_dir, stored
 from clarion.operators import audits, claims as claim_ops, pages as page_ops
 from clarion.plans import inputs
 from clarion.sources import records, search, tsv
@@ -130,35 +130,47 @@ where kind = 'historical' and e.status = 'reviewed' and reviewers = 'a,b' and (v
 
 
 def policy_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policy that each of four files puts in force; the baseline where a file is not valid or absent."""
-    rows = []
-    for k, given in enumerate([{}, {"calibrated": False}, {"modelVersion": "other"}, None]):
-        path = None
-        if given is not None:
-            value = {"version": f"v{k}", "modelVersion": "m1", "temperature": 1.5, "minimumConfidence": 0.6, "singleSourceMinimumConfidence": 0.7, "calibrated": True, "calibrationDigest": "0" * 64} | given
-            path = _lines(spark.createDataFrame([(json.dumps(value),)], "value string"), "policy")
-        p = records.policy(spark, path, "m1")
-        rows.append((k, float(p["temperature"]), float(p["minimum"]), float(p["single"]), bool(p["calibrated"])))
-    return spark.createDataFrame(rows, "file int, temperature double, minimum double, single double, calibrated boolean")
+    """The policy that each of the suppliers' files, a line each, puts in force for a model; the baseline where it is not valid."""
+    k = F.col("s_suppkey")
+    given = inputs.read(spark, sf_dir, "supplier").select(
+        k.cast("string").alias("file"), F.concat(F.lit("v"), F.when(k % 13 > 0, k.cast("string")).otherwise("")).alias("version"), F.when(k % 3 == 0, "other").otherwise("m1").alias("modelVersion"),
+        (k % 11 * 2.5).alias("temperature"), (0.4 + k % 5 / 10).alias("minimumConfidence"), (0.4 + k % 7 / 10).alias("singleSourceMinimumConfidence"), (k % 4 > 0).alias("calibrated"),
+        F.when(k % 17 > 0, F.sha2("s_name", 256)).otherwise("short").alias("calibrationDigest"),
+    )
+    path = _path(spark, "policies")
+    records.write_lines(given, path)
+    p = F.col("in_force")
+    return records.policies(records.read_lines(spark, path, f"file string, {records.POLICY}"), "m1").select("file", *[p[c].alias(c) for c in ("temperature", "minimum", "single", "calibrated")])
 
 
-POLICY_FILE_SQL = "select range::int as file, case when range = 0 then 1.5 else 1.0 end::double as temperature, case when range = 0 then 0.6 else 0.5 end::double as minimum, case when range = 0 then 0.7 else 0.5 end::double as single, range = 0 as calibrated from range(4)"
+POLICY_FILE_SQL = """with p as (select s_suppkey as k, s_suppkey % 11 * 2.5::double as t, 0.4::double + s_suppkey % 5 / 10.0::double as m, 0.4::double + s_suppkey % 7 / 10.0::double as s from supplier),
+v as (select *, k % 3 <> 0 and k % 4 > 0 and k % 17 > 0 and t between 0.049 and 21 and m between 0.5 and 1 and s >= m and s <= 1 as ok from p)
+select cast(k as varchar) as file, case when ok then t else 1 end::double as temperature, case when ok then m else 0.5 end::double as minimum, case when ok then s else 0.5 end::double as single, ok as calibrated from v"""
 
 
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = records.label_order(spark, '{"2": "contradiction", "0": "ENTAILMENT", "1": "neutral"}')
-    return spark.createDataFrame(list(enumerate(labels)), "position int, label string")
+    """Labels in the order of their ids, from a configuration of each supplier: all six orders, letters of both cases, repeated and broken ones."""
+    k = F.col("s_suppkey")
+    names = F.array(*[F.array(*[F.lit(x) for x in p]) for p in _ORDERS])
+    own = F.element_at(names, (k % 6 + 1).cast("int"))
+    text = F.concat(F.lit('{"2": "'), own[2], F.lit('", "0": "'), F.upper(own[0]), F.lit('", "1": "'), F.when(k % 5 == 0, own[0]).otherwise(own[1]), F.when(k % 7 == 0, "").otherwise('"}'))
+    return inputs.read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(records.ordered_labels(text), ",").alias("labels"))
+
+
+_ORDERS = [("entailment", "neutral", "contradiction"), ("entailment", "contradiction", "neutral"), ("neutral", "entailment", "contradiction"), ("neutral", "contradiction", "entailment"), ("contradiction", "entailment", "neutral"), ("contradiction", "neutral", "entailment")]
+LABELS_SQL = f"select s_suppkey, case when s_suppkey % 5 > 0 and s_suppkey % 7 > 0 then {[','.join(p) for p in _ORDERS]!r}[s_suppkey % 6 + 1] end as labels from supplier"
 
 
 def frozen_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches for region names, answered from stored results: the names of nations; one was never stored."""
-    search.register(spark)
-    n = inputs.read(spark, sf_dir, "nation").join(inputs.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()  # 25 rows
-    corpus: dict[str, list] = {}
-    for r in n:
-        corpus.setdefault(r["r_name"], []).append({"title": r["n_name"], "url": f"https://example.org/{r['n_nationkey']}", "content": r["n_name"].lower(), "score": r["n_nationkey"] / 4})
-    options = {"client": "clarion.sources.frozen:search", "queries": json.dumps([*sorted(corpus), "NOWHERE"]), "parameters": json.dumps({"corpus": corpus})}
-    return spark.read.format("clarion_search").options(**options).load().select("query", "rank", "title", "url", "content", "score", "status")
+    n = inputs.read(spark, sf_dir, "nation").join(inputs.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    stored = n.select(
+        F.col("r_name").alias("query"), F.col("n_name").alias("title"), F.concat(F.lit("https://example.org/"), k.cast("string")).alias("url"), F.lower("n_name").alias("content"),
+        (k / 4).alias("score"), F.lit(None).cast("string").alias("published_date"), k.alias("position"),
+    )
+    asked = inputs.read(spark, sf_dir, "region").select(F.col("r_name").alias("query")).unionByName(spark.createDataFrame([("NOWHERE",)], "query string"))
+    return search.replayed(asked, stored).select("query", "rank", "title", "url", "content", "score", "status")
 
 
 FROZEN_SQL = """select r_name as query, (row_number() over (partition by r_name order by n_nationkey) - 1)::int as rank, n_name as title, 'https://example.org/' || n_nationkey as url, lower(n_name) as content,
@@ -166,15 +178,19 @@ FROZEN_SQL = """select r_name as query, (row_number() over (partition by r_name
 
 
 def paged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogs of three addresses, page by page, the last of them cut at two pages by the reader."""
-    search.register(spark)
-    options = {"client": "clarion.sources.frozen:count_pages", "starts": json.dumps(["a:0:3:4", "b:0:1:2", "c:0:9:5"]), "pages": "3"}
-    r = spark.read.format("clarion_paged").options(**options).load()
+    """Catalogs of all customers' addresses, page by page: two pages each, then what is left of them; some addresses are not there."""
+    k = F.col("c_custkey")
+    address = F.concat_ws(":", F.concat(F.lit("c"), k.cast("string")), F.lit("0"), (k % 5).cast("string"), (1 + k % 3).cast("string"))
+    client = "clarion.sources.frozen:count_pages"
+    first = stored(search.followed(inputs.read(spark, sf_dir, "customer").select(address.alias("start")), client, pages=2))
+    found = first.unionByName(search.followed(search.unfinished(first), client))
+    r = found.select("start", "page", F.explode("rows").alias("row"))
     return r.select("start", "page", F.get_json_object("row", "$.name").alias("name"), F.get_json_object("row", "$.n").cast("int").alias("n"))
 
 
-PAGED_SQL = """select start, page::int as page, substr(start, 1, 1) as name, (page * size + i)::int as n from (values ('a:0:3:4', 3, 4), ('b:0:1:2', 1, 2), ('c:0:9:5', 3, 5)) t(start, pages, size),
-  lateral (select unnest(range(pages)) as page), lateral (select unnest(range(size)) as i)"""
+PAGED_SQL = """with c as (select 'c' || c_custkey as name, c_custkey % 5 as pages, 1 + c_custkey % 3 as size from customer),
+p as (select *, unnest(range(pages)) as page from c), r as (select *, unnest(range(size)) as i from p)
+select name || ':0:' || pages || ':' || size as start, page::int as page, name, (page * size + i)::int as n from r"""
 
 
 def decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +300,7 @@ REPORT_ROW_SQL = r"""select '| ' || page_id || ' | a\|b ' || url || ' | ' || cas
 
 SQL = {
     "fact_rows": FACT_SQL, "question_rows": QUESTION_SQL, "quiz_candidates": CANDIDATE_SQL, "gold_lines": GOLD_SQL, "catalog_entries": ENTRY_SQL, "settled_claims": SETTLED_SQL,
-    "policy_in_force": POLICY_FILE_SQL, "model_labels": "select * from (values (0, 'entailment'), (1, 'neutral'), (2, 'contradiction')) t(position, label)", "frozen_search": FROZEN_SQL,
+    "policy_in_force": POLICY_FILE_SQL, "model_labels": LABELS_SQL, "frozen_search": FROZEN_SQL,
     "paged_rows": PAGED_SQL, "decoded_pages": DECODED_SQL, "saved_state": "select 'question' as name, max(doc_id) as doc_id from documents",
     "file_manifest": "select cast(doc_id as varchar) as path, case when doc_id % 11 = 0 then 'missing' else 'changed' end as problem from documents where doc_id % 11 = 0 or doc_id % 7 = 0",
     "stored_files": r"select sha256(r_name || chr(10)) as sha256, strlen(r_name) + 1 as length from region", "pair_rows": PAIR_SQL,

@@ -10,8 +10,10 @@ def search(query: str, parameters: dict) -> tuple[int, list[dict]]:
 
 
 def count_pages(address: str) -> tuple[int, list[dict], str | None]:
-    """Rows of an address ``name:page:pages:size``: ``size`` numbers a page, and the address of the next page."""
+    """Rows of an address ``name:page:pages:size``: ``size`` numbers a page, and the address of the next page; 404 beyond the pages."""
     name, page, pages, size = address.rsplit(":", 3)
     k, last, n = int(page), int(pages), int(size)
+    if k >= last:
+        return 404, [], None
     rows = [{"name": name, "n": k * n + i} for i in range(n)]
     return 200, rows, f"{name}:{k + 1}:{last}:{n}" if k + 1 < last else None

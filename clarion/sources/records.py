@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from clarion.operators.verdicts import BASELINE, policy_valid
@@ -63,24 +63,41 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("e.id is not null").select("e.id", F.col("position").cast("bigint").alias("position"), "e.claim", "e.entities", F.col("e.eventYear").alias("event_year"), "e.verdict", "e.url", "e.title", "e.excerpt", F.col("e.publishedAt").alias("published_at"), "e.status", F.col("e.reviewerIDs").alias("reviewer_ids"))
 
 
+#: What a policy sets.
+SET = ("version", "temperature", "minimum", "single", "calibrated")
+
+
+def policies(rows: DataFrame, model_version: str) -> DataFrame:
+    """``rows`` with the fields of POLICY as ``in_force``: each row's policy if it is valid for the model, else the baseline."""
+    given = rows.select(
+        *[c for c in rows.columns if c not in StructType.fromDDL(POLICY).names], "version", F.col("modelVersion").alias("model_version"), "temperature",
+        F.col("minimumConfidence").alias("minimum"), F.col("singleSourceMinimumConfidence").alias("single"), "calibrated", F.col("calibrationDigest").alias("digest"),
+    )
+    own = F.struct(*[F.col(k) for k in SET])
+    base = F.struct(*[F.lit(BASELINE[k]).cast(given.schema[k].dataType).alias(k) for k in SET])
+    return given.withColumn("in_force", F.when(policy_valid(given, model_version), own).otherwise(base)).drop(*SET, "model_version", "digest")
+
+
 def policy(spark: SparkSession, path: str | None, model_version: str) -> dict:
     """The policy of a JSON file if it is valid for the model, else the baseline. One row comes to the driver."""
     if path is None:
         return dict(BASELINE)
-    rows = spark.read.schema(POLICY).json(path, multiLine=True).select(
-        "version", F.col("modelVersion").alias("model_version"), "temperature", F.col("minimumConfidence").alias("minimum"),
-        F.col("singleSourceMinimumConfidence").alias("single"), "calibrated", F.col("calibrationDigest").alias("digest"),
-    )
-    found = rows.where(policy_valid(rows, model_version)).limit(1).collect()
-    return {k: found[0][k] for k in ("version", "temperature", "minimum", "single", "calibrated")} if found else dict(BASELINE)
+    found = policies(spark.read.schema(POLICY).json(path, multiLine=True), model_version).limit(1).collect()
+    return found[0]["in_force"].asDict() if found else dict(BASELINE)
+
+
+def ordered_labels(text: Column) -> Column:
+    """Labels in the order of their ids from ``{"0": "entailment", …}``; null unless they are the three, each once."""
+    pairs = F.array_sort(F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].try_cast("int").alias("k"), F.lower(e["value"]).alias("v"))))
+    labels = F.transform(pairs, lambda e: e["v"])
+    return F.when(F.array_sort(labels) == F.array(*[F.lit(x) for x in ("contradiction", "entailment", "neutral")]), labels)
 
 
 def label_order(spark: SparkSession, text: str) -> list[str]:
-    """Labels in the order of their ids from ``{"0": "entailment", …}``. Raises ValueError unless they are the three."""
-    row = spark.range(1).select(F.array_sort(F.transform(F.map_entries(F.from_json(F.lit(text), "map<string,string>")), lambda e: F.struct(e["key"].try_cast("int").alias("k"), F.lower(e["value"]).alias("v")))).alias("e")).first()
-    labels = [x["v"] for x in row["e"] or []]
-    if sorted(labels) != ["contradiction", "entailment", "neutral"]:
-        raise ValueError(f"not the three labels: {labels}")
+    """``ordered_labels`` of one text. Raises ValueError unless they are the three."""
+    labels = spark.range(1).select(ordered_labels(F.lit(text)).alias("v")).first()["v"]
+    if labels is None:
+        raise ValueError(f"not the three labels: {text}")
     return labels
 
 

@@ -14,7 +14,8 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HITS = "query string, rank int, title string, url string, content string, score double, published_date string, status int"
@@ -101,20 +102,69 @@ class PagedReader(DataSourceReader):
         return [Address(s) for s in self.starts]
 
     def read(self, partition) -> Iterator[tuple]:
-        """Rows of all pages of one start, following each page's next address; 404 is never tried again."""
-        ask = _client(self.client)
-        at, page = partition.start, 0
-        while at and (not self.pages or page < self.pages):
-            for attempt in range(self.retries):
-                status, rows, after = ask(at)
-                if status // 100 == 2 or status == 404:
-                    break
-                time.sleep(self.pause * 2**attempt)
-            if status // 100 != 2:
-                raise RuntimeError(f"{at}: status {status}")
+        """Rows of all pages of one start; an address that isn't there is an error."""
+        for page, status, rows, _ in _followed(_client(self.client), partition.start, self.pages, self.retries, self.pause):
+            if status == 404:
+                raise RuntimeError(f"{partition.start}: status {status}")
             for r in rows:
                 yield (partition.start, page, json.dumps(r, sort_keys=True))
-            at, page = after, page + 1
+
+
+def _followed(ask, at: str | None, pages: int, retries: int, pause: float) -> Iterator[tuple[int, int, list, str | None]]:
+    """(page, status, rows, next address) of ``at`` and what follows it, at most ``pages`` of them unless 0; 404 is never tried again and ends an address."""
+    page = 0
+    while at and (not pages or page < pages):
+        for attempt in range(retries):
+            status, rows, after = ask(at)
+            if status // 100 == 2 or status == 404:
+                break
+            time.sleep(pause * 2**attempt)
+        if status == 404:
+            rows, after = [], None
+        elif status // 100 != 2:
+            raise RuntimeError(f"{at}: status {status}")
+        yield page, status, rows, after
+        at, page = after, page + 1
+
+
+def followed(starts: DataFrame, client: str, pages: int = 0, retries: int = 3, pause: float = 1.0) -> DataFrame:
+    """(start, page, status, rows, next) of every page of a table of addresses, followed in tasks.
+
+    starts: start, and where a walk goes on also ``at``, the address to begin with, and
+    ``page``, its number. rows are JSON texts; next is the address after the page, null after
+    the last. Null addresses have no pages. With ``pages`` a walk stops after so many; ``unfinished`` has what is left.
+    """
+    again = "at" in starts.columns
+    own = starts.select("start", F.col("at" if again else "start").alias("at"), (F.col("page") if again else F.lit(0)).cast("int").alias("page"))
+    names = ["start", "page", "status", "rows", "next"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def walk(batches):
+        ask = _client(client)
+        for batch in batches:
+            for start, at, first in zip(*(c.to_pylist() for c in batch.columns)):
+                for page, status, rows, after in _followed(ask, at, pages, retries, pause):
+                    cells = [start, first + page, status, [json.dumps(r, sort_keys=True) for r in rows], after]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds)], names=names)
+
+    return own.mapInArrow(walk, "start string, page int, status int, rows array<string>, next string")
+
+
+def unfinished(found: DataFrame) -> DataFrame:
+    """(start, at, page): where walks that ``followed`` stopped go on."""
+    last = found.groupBy("start").agg(F.max_by(F.struct("next", "page"), "page").alias("x"))
+    return last.where("x.next is not null").select("start", F.col("x.next").alias("at"), (F.col("x.page") + 1).alias("page"))
+
+
+def replayed(queries: DataFrame, stored: DataFrame, order: str = "position") -> DataFrame:
+    """HITS of each distinct ``query`` of ``queries`` from stored results (query, title, url, content, score, published_date and an order).
+
+    The first MOST results of a query count. A query without stored results has status 404 and a row of nulls.
+    """
+    ranked = stored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order)) - 1).where(F.col("rank") < MOST)
+    columns = ["rank", "title", "url", "content", "score", "published_date"]
+    both = queries.select("query").distinct().join(ranked.select("query", *columns), "query", "left")
+    return both.select("query", *columns, F.when(F.col("rank").isNull(), 404).otherwise(200).alias("status"))
 
 
 def register(spark: SparkSession) -> None:

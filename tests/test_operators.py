@@ -501,3 +501,20 @@ def test_frozen_corpus_replay(spark):
     got = {r.claim_id: (r.verdict, r.error, r.sources) for r in results.collect()}
     assert got == {1: ("DIVERGENTE", None, 3), 2: ("NAO_ENCONTRADO", None, 0), 3: (None, "readingIncomplete", 0)}
     assert {r.url: r.duplicate_of for r in src.collect()} == {"https://bbc.com/a": None, "https://dw.com/b": None, "https://exame.com/c": "https://bbc.com/a"}
+
+
+def test_paged_walks_go_on_where_they_stopped(spark):
+    """Pages are followed in tasks from a table; 404 ends an address; the rest of a stopped walk is the same as one walk."""
+    from clarion.sources import search
+
+    starts = spark.createDataFrame([("a:0:5:2",), ("b:0:1:1",), ("gone:0:0:3",), (None,)], "start string")
+    client = "clarion.sources.frozen:count_pages"
+    whole = search.followed(starts, client)
+    first = search.followed(starts, client, pages=2)
+    rest = search.followed(search.unfinished(first), client, pages=2)
+    last = search.followed(search.unfinished(rest), client)
+    rows = lambda df: sorted((r.start, r.page, r.status, *r.rows) for r in df.collect())
+    assert rows(whole) == rows(first.unionByName(rest).unionByName(last))
+    assert [(r.start, r.status) for r in first.where("size(rows) = 0").collect()] == [("gone:0:0:3", 404)]
+    assert {r.page for r in whole.where("start like 'a%'").collect()} == set(range(5))
+    assert search.unfinished(last).count() == 0
