@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clarion.functions.scores import LABELS
+from clarion.operators.ranks import at_rank
 
 
 def pair_audit(pairs: DataFrame, premise: str = "sentence1", hypothesis: str = "sentence2", label: str = "gold_label", labels: tuple[str, ...] = LABELS) -> DataFrame:
@@ -33,15 +34,15 @@ def usable_domains(extracts: DataFrame, domain: str = "domain", usable: str = "u
 def run_stats(runs: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """(by…, n, least, mean, upper_median, most): of an even number the upper middle value.
 
-    The median is a rank, found by the discrete percentile just above one half, not by
-    collecting a group's values.
+    The median is a rank, found by histograms of each group (``ranks.at_rank``), not by
+    collecting or sorting its values.
     """
     n = runs.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"))
-    counted = runs.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v")
-    upto = counted.withColumn("upto", F.sum("c").over(w)).join(n.select(*by, "n"), by)
-    median = upto.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min("v").alias("upper_median"))
-    return n.join(median, by, "left").select(*by, "n", "least", "mean", "upper_median", "most")
+    median = at_rank(runs, by, value, F.floor(F.col("n") / 2), "upper_median")
+    median = median.withColumn("upper_median", F.col("upper_median").cast(runs.schema[value].dataType))
+    medians = median.toDF(*[f"_{c}" for c in by], "upper_median")
+    same = [n[c].eqNullSafe(medians[f"_{c}"]) for c in by]
+    return n.join(medians, same, "left").select(*by, "n", "least", "mean", "upper_median", "most")
 
 
 def gate_summary(lines: DataFrame, variant: str = "variant", stage: str = "stage") -> DataFrame:

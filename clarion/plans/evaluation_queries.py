@@ -129,6 +129,29 @@ EVIDENCE_SQL = r"""with t as (select doc_id, doc_id % 5 <> 0 and doc_id % 7 <> 0
 select doc_id, case when ok then 'e' || doc_id else '' end as ids, ok as sufficient from t"""
 
 
+def matched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold spans from all over the documents' texts against whole passages, each a table; some spans or addresses are changed, some of one word."""
+    d, k = inputs.read(spark, sf_dir, "documents"), F.col("doc_id")
+    page = F.concat(F.lit("example.org/"), "source", F.lit("/"), F.floor(k / 4).cast("string"))
+    n = F.greatest(F.lit(1), F.length("text"))
+    spans = d.select("doc_id", F.length("text").alias("n"), page.alias("page"), "text", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("j"))
+    text = F.substring(F.col("text"), 1 + (k * 37 + F.col("j") * 1009) % F.greatest(F.lit(1), F.col("n")), F.when(k % 11 == 0, 4).otherwise(40).cast("int"))
+    gold = spans.select(
+        F.concat_ws("-", "doc_id", "j").alias("span_id"), F.concat(F.lit("https://www."), F.when(k % 7 == 0, F.concat("page", F.lit("x"))).otherwise(F.col("page")), F.lit("/?a=1")).alias("url"),
+        F.when(k % 5 == 0, F.concat(text, F.lit(" ZZ"))).otherwise(F.replace(text, F.lit(" "), F.lit("  "))).alias("text"),
+    )
+    shown = d.where(n > 1).select(k.alias("passage_id"), F.concat(F.lit("https://"), page, F.lit("#top")).alias("url"), "text")
+    return evaluation.matched_spans(gold, shown)
+
+
+_LEVEL = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+SPAN_SQL = rf"""with s as (select doc_id, j, 'www.example.org/' || source || '/' || doc_id // 4 as page, substr(text, (1 + (doc_id * 37 + j * 1009) % greatest(1, length(text)))::bigint, case when doc_id % 11 = 0 then 4 else 40 end) as span
+  from documents, (select unnest(range(3)) as j)),
+g as (select doc_id || '-' || j as span_id, page, {_LEVEL.format("case when doc_id % 5 = 0 then span || ' ZZ' else replace(span, ' ', '  ') end")} as span from s where doc_id % 7 <> 0),
+p as (select doc_id as passage_id, 'www.example.org/' || source || '/' || doc_id // 4 as page, {_LEVEL.format("text")} as passage from documents where length(text) > 1)
+select span_id, passage_id from g join p using (page) where passage <> '' and contains(passage, span)"""
+
+
 def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.record_errors(inputs.records(spark, sf_dir)).select("id", F.coalesce("error", F.lit("")).alias("error"))
 
@@ -259,7 +282,7 @@ select day, question_id from d join q on n = ('0x' || substr(md5(cast(day as var
 
 SQL = {
     "daily_pick": DAILY_SQL, "confusion_matrix": CONFUSION_SQL, "evaluation_report": REPORT_SQL, "class_metrics": CLASS_SQL, "calibration_losses": LOSS_SQL, "calibration_temperature": TEMPERATURE_SQL,
-    "policy_grid": POLICY_SQL, "verified_evidence": EVIDENCE_SQL, "record_errors": RECORD_SQL, "split_leakage": LEAK_SQL, "split_components": COMPONENT_SQL, "split_packing": PACKING_SQL,
+    "policy_grid": POLICY_SQL, "verified_evidence": EVIDENCE_SQL, "matched_spans": SPAN_SQL, "record_errors": RECORD_SQL, "split_leakage": LEAK_SQL, "split_components": COMPONENT_SQL, "split_packing": PACKING_SQL,
     "threshold_sweep": SWEEP_SQL, "stable_families": STABLE_SQL, "audit_counts": AUDIT_SQL, "search_leak_audit": LEAKAUDIT_SQL,
     "usable_domains": "select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as domain, count(*) as urls, bool_or(length(html) > 3000) as usable from pages group by 1",
     "upper_median_stats": MEDIAN_SQL, "quiz_report": QUIZ_SQL,
@@ -267,5 +290,5 @@ SQL = {
 }
 QUERIES = [
     confusion_matrix, evaluation_report, class_metrics, calibration_losses, calibration_temperature, policy_grid, verified_evidence, record_errors, split_leakage,
-    split_components, split_packing, threshold_sweep, stable_families, audit_counts, search_leak_audit, usable_domains, upper_median_stats, quiz_report, quiz_counters, daily_pick,
+    matched_spans, split_components, split_packing, threshold_sweep, stable_families, audit_counts, search_leak_audit, usable_domains, upper_median_stats, quiz_report, quiz_counters, daily_pick,
 ]

@@ -518,3 +518,12 @@ def test_paged_walks_go_on_where_they_stopped(spark):
     assert [(r.start, r.status) for r in first.where("size(rows) = 0").collect()] == [("gone:0:0:3", 404)]
     assert {r.page for r in whole.where("start like 'a%'").collect()} == set(range(5))
     assert search.unfinished(last).count() == 0
+
+
+def test_spans_are_found_across_tables(spark):
+    gold = [("a", "https://www.a.com/x/", "The  quick brown\nfox"), ("b", "https://a.com/x", "quick brown"), ("c", "https://a.com/x", "ick brown fo"), ("d", "https://a.com/y", "the quick brown fox"),
+            ("e", "https://a.com/x", "the slow brown fox"), ("f", "https://a.com/x", "FOX"), ("g", None, "fox"), ("h", "https://a.com/x", None), ("i", "https://a.com/x", "")]
+    shown = [(1, "https://a.com/x#top", "Say: the quick  brown fox jumps"), (2, "https://a.com/x", "no animal, only quick brownies"), (3, "https://a.com/x", ""), (4, None, "fox"), (5, "https://a.com/x", None)]
+    got = evaluation.matched_spans(spark.createDataFrame(gold, "span_id string, url string, text string"), spark.createDataFrame(shown, "passage_id int, url string, text string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("b", 1), ("b", 2), ("c", 1), ("f", 1), ("i", 1), ("i", 2)]
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()

@@ -64,3 +64,24 @@ def test_small_keys_give_the_same(spark):
     rows = lambda d: sorted(map(tuple, d.collect()))
     for f in (retrieval.fused, retrieval.candidates):
         assert rows(f(scored, ["key"])) == rows(f(scored, ["key"], small=True))
+
+
+def test_exact_ranks_by_histograms(spark):
+    """Values at any rank, with ties, huge spreads, infinities, NaN and nulls; no task sorts a group."""
+    rng = random.Random(9)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "ties": [1.0] * 500 + [2.0] * 499, "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 308) for _ in range(400)], "plain": [rng.gauss(0, 1) for _ in range(701)],
+        "odd": [inf, -inf, nan, nan, 0.0, -0.5, 1e308, -1e308, 5e-324], "one": [3.0], None: [float(k) for k in range(10)], "none": [],
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in [*xs, None]]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    key = lambda x: (x != x, x)
+    for rank, at in ((F.floor(F.col("n") / 2), lambda n: n // 2), (F.lit(0), lambda n: 0), (F.col("n") - 1, lambda n: n - 1), (F.ceil(F.col("n") * 19 / 20) - 1, lambda n: -(-19 * n // 20) - 1)):
+        got = {r.g: repr(r.value) for r in ranks.at_rank(df, ["g"], "x", rank).collect()}
+        assert got == {g: repr(sorted(xs, key=key)[at(len(xs))]) for g, xs in groups.items() if xs}
+    whole = sorted((x for xs in groups.values() for x in xs), key=key)
+    (r,) = ranks.at_rank(df, [], "x", F.floor(F.col("n") / 3), "third").collect()
+    assert r.third == whole[len(whole) // 3]
+    assert ranks.at_rank(df.limit(0), ["g"], "x", F.lit(0)).count() == 0
