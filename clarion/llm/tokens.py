@@ -8,9 +8,9 @@ from functools import cache
 import numpy as np
 
 #: Pieces of text whose ids are remembered in a Python worker, at most; about 200 bytes each.
-REMEMBERED = 450_000
+REMEMBERED = 300_000
 #: Characters of text whose pieces are looked up at once, and of new pieces encoded in one call.
-SLICE, CALL = 4_000_000, 200_000
+SLICE, CALL = 1_000_000, 200_000
 #: Rows whose ids a task holds at once.
 ROWS = 2000
 
