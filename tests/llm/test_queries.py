@@ -12,4 +12,4 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
