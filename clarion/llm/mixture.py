@@ -38,6 +38,8 @@ UNIT = 256
 BROADCAST_ROWS = 300_000
 #: Windows whose places a task remembers.
 REMEMBERED = 4096
+#: Pieces of text whose ids a Python worker remembers; the scan holds nothing else of size.
+PIECES = 900_000
 
 
 class Rounds:
@@ -138,7 +140,7 @@ def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, source: str, sp
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
 
     def scan(batches):
-        encoder = tokens.encoder(path, split)
+        encoder = tokens.encoder(path, split, PIECES)
         # Two bytes an id where the vocabulary allows it: this table is what is written.
         narrow = max(end + 1, encoder.tokenizer.get_vocab_size()) <= 1 << 16
         part, before = TaskContext.get().partitionId(), {}

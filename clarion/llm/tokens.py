@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 
@@ -39,12 +41,13 @@ class Encoder:
     of a call are cut once.
     """
 
-    def __init__(self, path: str, pieces: str | None):
+    def __init__(self, path: str, pieces: str | None, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = re.compile(pieces) if pieces else None
         self.split = pieces
+        self.remembered = remembered or REMEMBERED
         self.known: dict[str, bytes] = {}
         self.separator = next((t for t in ("<|endoftext|>",) if self.tokenizer.token_to_id(t) is not None), None)
         self.mark = self.tokenizer.token_to_id(self.separator) if self.separator else None
@@ -97,7 +100,7 @@ class Encoder:
         get = known.__getitem__
         out = [p if isinstance(p, bytes) else b"".join(map(get, p)) for p in held]
         # The pieces met first are mostly the frequent ones: when full, later ones are forgotten again.
-        for x in new[max(0, REMEMBERED - len(known) + len(new)) :]:
+        for x in new[max(0, self.remembered - len(known) + len(new)) :]:
             del known[x]
         return out
 
@@ -118,21 +121,18 @@ class Encoder:
 
     def _remember(self, part: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = ids.tobytes()
-        self.known.update((p, raw[a:b]) for p, a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist(), strict=True))
+        cells = map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))
+        self.known.update(zip(part, cells, strict=True))
 
 
 def _calls(pieces: list[str]):
     """Runs of pieces with some CALL characters each."""
-    part: list[str] = []
-    size = 0
-    for x in pieces:
-        part.append(x)
-        size += len(x)
-        if size > CALL:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    ends = list(accumulate(map(len, pieces)))
+    start = 0
+    while start < len(pieces):
+        end = bisect_left(ends, (ends[start - 1] if start else 0) + CALL, start) + 1
+        yield pieces[start:end]
+        start = end
 
 
 def parts(batches):
@@ -143,9 +143,9 @@ def parts(batches):
 
 
 @cache
-def encoder(path: str, pieces: str | None) -> Encoder:
+def encoder(path: str, pieces: str | None, remembered: int | None = None) -> Encoder:
     """One encoder per Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores
-    return Encoder(path, pieces)
+    return Encoder(path, pieces, remembered)
