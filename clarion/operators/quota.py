@@ -77,53 +77,78 @@ def error_code(status: Column, header: Column | None = None) -> Column:
     return by_status if header is None else F.coalesce(header, by_status)
 
 
-def _fold(rows: pd.DataFrame, limits: dict[str, int], burst: int) -> pd.DataFrame:
-    """Accepted candidates of one month, in order, with the lane's count after each."""
-    used, minute, in_minute = dict.fromkeys(limits, 0), None, 0
-    out = []
-    for seq, lane, m in zip(rows["seq"], rows["lane"], rows["minute"]):
+#: What a month carries on: of each lane how many are accepted, of the month its last accepted minute and how many of that minute.
+STATE = "period string, lane string, used bigint, minute bigint, in_minute bigint"
+
+
+def _fold(rows: pd.DataFrame, state: pd.DataFrame, limits: dict[str, int], burst: int) -> tuple[list[tuple[int, int]], dict[str, int], int, int]:
+    """(place, lane's count) of the accepted candidates of one month, in order; then the month's counts, minute and count of that minute."""
+    used, minute, in_minute, out = dict.fromkeys(limits, 0), -1, 0, []
+    if len(state):
+        used.update((k, int(n)) for k, n in zip(state["lane"], state["used"]) if k in limits)
+        minute, in_minute = int(state["minute"].iloc[0]), int(state["in_minute"].iloc[0])
+    for k, (lane, m) in enumerate(zip(rows["lane"], rows["minute"])):
         if used[lane] < limits[lane] and (m != minute or in_minute < burst):
             in_minute = in_minute + 1 if m == minute else 1
-            minute = m
+            minute = int(m)
             used[lane] += 1
-            out.append((seq, used[lane]))
-    return pd.DataFrame(out, columns=["seq", "used"])
+            out.append((k, used[lane]))
+    return out, used, minute, in_minute
 
 
-def reserved(requests: DataFrame, limits: dict[str, int] | None = None, burst: int = BURST, ts: str = "ts", request_id: str = "request_id", lane: str = "lane") -> DataFrame:
-    """(request_id, period, minute, lane, accepted, reason): reason is quota_exceeded or rate_limited.
+def decided(
+    requests: DataFrame, state: DataFrame, limits: dict[str, int] | None = None, burst: int = BURST, ts: str = "ts", request_id: str = "request_id", lane: str = "lane", paths: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """What ``reserved`` gives for requests that come after those of ``state`` (columns of STATE), and the state after them.
 
-    Requests arrive in the order of (ts, request_id), which must be unique. Months are of
-    UTC, a minute is 60 seconds of the epoch. A lane that ``limits`` lacks accepts nothing.
-    At most the sum of the limits is accepted per month, and that is all that is joined back.
+    Of a batch too, only the first ``burst`` of a minute and lane can be accepted: those that
+    follow find the minute or the lane as full as the last of these did. ``paths`` gets the
+    written folders, for a caller that removes them.
     """
+    from clarion.functions.lineage import stored
+
     limits = limits or LIMITS
     own = requests.select(
         F.col(request_id).alias("request_id"), F.col(ts).alias("ts"), F.date_format(F.col(ts), "yyyy-MM").alias("period"),
         F.floor(F.unix_seconds(F.col(ts)) / 60).cast("bigint").alias("minute"), F.col(lane).alias("lane"), F.struct(F.col(ts).alias("ts"), F.col(request_id).alias("id")).alias("seq"),
     )
     first = F.row_number().over(Window.partitionBy("period", "minute", "lane").orderBy("seq"))
-    candidates = own.where(F.col("lane").isin(*limits)).withColumn("_n", first).where(F.col("_n") <= burst)
+    candidates = own.where(F.col("lane").isin(*limits) & F.col("ts").isNotNull()).withColumn("_n", first).where(F.col("_n") <= burst)
     # At most burst rows per minute and lane: a month is bounded whatever its traffic.
     candidates = candidates.select("period", "minute", "lane", "request_id", "ts")
     id_type = own.schema["request_id"].dataType.simpleString()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "request_id"], kind="stable").reset_index(drop=True)
-        rows["seq"] = rows.index
-        got = _fold(rows, limits, burst)
-        return rows.loc[got["seq"].to_numpy(dtype=int), ["request_id", "period", "lane", "ts"]].assign(used=got["used"].to_numpy())
-
-    accepted = candidates.groupBy("period").applyInPandas(fold, f"request_id {id_type}, period string, lane string, ts timestamp, used bigint")
-    from clarion.functions.lineage import stored
-
-    accepted = stored(accepted)
+        got, used, minute, in_minute = _fold(rows, before, limits, burst)
+        accepted = rows.loc[[k for k, _ in got], ["request_id", "lane", "ts"]].assign(used=[n for _, n in got], minute=None, in_minute=None)
+        after = pd.DataFrame({"request_id": None, "lane": list(used), "ts": pd.NaT, "used": list(used.values()), "minute": minute, "in_minute": in_minute})
+        out = pd.concat([accepted.astype(object), after.astype(object)], ignore_index=True).assign(period=key[0])
+        return out[["request_id", "period", "lane", "ts", "used", "minute", "in_minute"]]
+
+    folded = candidates.groupBy("period").cogroup(state.groupBy("period")).applyInPandas(fold, f"request_id {id_type}, period string, lane string, ts timestamp, used bigint, minute bigint, in_minute bigint")
+    folded = stored(folded, paths)
+    accepted, after = folded.where(F.col("minute").isNull()), folded.where(F.col("minute").isNotNull()).select("period", "lane", "used", "minute", "in_minute")
     full = F.coalesce(*[F.when(F.col("lane") == k, F.lit(n)) for k, n in limits.items()], F.lit(0))
+    # A lane's last accepted request, or none if it was full before these.
     ends = accepted.where(F.col("used") == full).select("period", "lane", F.struct("ts", F.col("request_id").alias("id")).alias("end"))
-    rows = own.join(accepted.select("request_id", F.lit(True).alias("_ok")), "request_id", "left").join(ends, ["period", "lane"], "left")
-    exhausted = (full == 0) | F.coalesce(F.col("seq") > F.col("end"), F.lit(False))
+    closed = state.where(F.col("used") >= full).select("period", "lane", F.lit(True).alias("_closed"))
+    rows = own.join(accepted.select("request_id", F.lit(True).alias("_ok")), "request_id", "left").join(ends, ["period", "lane"], "left").join(closed, ["period", "lane"], "left")
+    exhausted = (full == 0) | F.coalesce("_closed", F.lit(False)) | F.coalesce(F.col("seq") > F.col("end"), F.lit(False))
     ok = F.coalesce("_ok", F.lit(False))
-    return rows.select("request_id", "period", "minute", "lane", ok.alias("accepted"), F.when(ok, None).when(exhausted, "quota_exceeded").otherwise("rate_limited").alias("reason"))
+    reason = F.when(ok, None).when(exhausted, "quota_exceeded").otherwise("rate_limited").alias("reason")
+    return rows.select("request_id", "period", "minute", "lane", ok.alias("accepted"), reason), after
+
+
+def reserved(requests: DataFrame, limits: dict[str, int] | None = None, burst: int = BURST, ts: str = "ts", request_id: str = "request_id", lane: str = "lane") -> DataFrame:
+    """(request_id, period, minute, lane, accepted, reason): reason is quota_exceeded or rate_limited.
+
+    Requests arrive in the order of (ts, request_id), which must be unique. Months are of
+    UTC, a minute is 60 seconds of the epoch. A lane that ``limits`` lacks accepts nothing,
+    and a request without a time is not accepted.
+    At most the sum of the limits is accepted per month, and that is all that is joined back.
+    """
+    return decided(requests, requests.sparkSession.createDataFrame([], STATE), limits, burst, ts, request_id, lane)[0]
 
 
 def session_caps(calls: DataFrame, session: str, kind: str, order: list[Column], caps: dict[str, int] | None = None) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clarion.functions.lineage import shared_dir
 from clarion.functions.passages import rejection
 from clarion.functions.scores import cosine
 from clarion.functions.text import QUALIFIERS, token_estimate
 from clarion.operators import claims as claim_ops, duplicates, quota, ranks, retrieval, verdicts
 from clarion.plans import inputs, verification
+from clarion.streaming import quota as streaming_quota
 
 MINIMUM, SINGLE = 0.50, 0.65
 
@@ -305,6 +309,22 @@ f(period, k, request_id, lane, p, e, minute, n, reason) as (
 select request_id, period, lane, reason is null as accepted, reason from f where k > 0"""
 
 
+def streamed_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as a stream: they arrive as files in four stretches of time, and after each one the stream is started anew."""
+    path = f"{shared_dir(spark)}/quota-{uuid.uuid4().hex}"
+    own = inputs.requests(spark, sf_dir)
+    at = F.unix_micros("ts")
+    low, high = own.agg(F.min(at), F.max(at)).first()
+    if low is None:  # no requests: an empty stream
+        low = high = 0
+    for k in range(4):
+        stretch = F.coalesce(F.floor((at - low) * 4 / (high - low + 1)), F.lit(0))
+        own.where(stretch == k).write.mode("append").parquet(f"{path}/arrived")
+        arrived = spark.readStream.schema(own.schema).parquet(f"{path}/arrived")
+        streaming_quota.follow(arrived, path, {"production": 300, "evaluation": 40}, burst=3).awaitTermination()
+    return streaming_quota.decisions(spark, path).select("request_id", "period", "lane", "accepted", "reason")
+
+
 def session_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = inputs.read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", "search").otherwise("pair").alias("kind"), "event_id")
     return quota.session_caps(e, "user_id", "kind", [F.col("event_id")]).select("user_id", "kind", "event_id")
@@ -368,10 +388,11 @@ SQL = {
     "leader_dedup": LEADERS_SQL,
     "session_budget": SESSION_SQL,
     "quota_fold": QUOTA_SQL,
+    "streamed_quota": QUOTA_SQL,
     "paragraph_quality": QUALITY_SQL,
 }
 QUERIES = [
     verdict_rollup, contributing_sources, claim_diagnostics, softmax_best_label, article_label, claim_context, temporal_alignment, search_plan,
     origin_diversity_rank, bm25_benchmark_docs, cosine_top3, rrf_fusion, candidate_sampling, neighbour_expansion, expansion_trigger, keep_first_hits,
-    near_duplicates, near_duplicate_members, leader_dedup, quota_fold, session_budget, verify_claims, paragraph_quality,
+    near_duplicates, near_duplicate_members, leader_dedup, quota_fold, streamed_quota, session_budget, verify_claims, paragraph_quality,
 ]

@@ -1,4 +1,9 @@
-"""The quota as a stateful stream: per month two lane counters and the last accepted minute."""
+"""The quota as a stream: per month the lanes' counters and the last accepted minute.
+
+``follow`` decides micro-batches of any size: the bounded fold of the batch form goes on from
+a small table of months, and the rest of a micro-batch is joined to its outcome. ``reserved``
+is one stateful operator, for micro-batches whose months fit in memory.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from clarion.operators.quota import BURST, LIMITS, fold_batches
+from clarion.functions.lineage import remove
+from clarion.operators.quota import BURST, LIMITS, STATE, decided, fold_batches
 
 
 def reserved(requests: DataFrame, limits: dict[str, int] | None = None, burst: int = BURST) -> DataFrame:
@@ -33,3 +40,31 @@ def reserved(requests: DataFrame, limits: dict[str, int] | None = None, burst: i
         step, f"request_id {kind}, period string, lane string, minute bigint, accepted boolean, reason string",
         "production bigint, evaluation bigint, minute bigint, burst bigint", "append", GroupStateTimeout.NoTimeout,
     )
+
+
+def follow(requests: DataFrame, path: str, limits: dict[str, int] | None = None, burst: int = BURST) -> StreamingQuery:
+    """Decides what a stream of (request_id, ts, lane) has now; ``decisions`` reads them from ``path``.
+
+    ``path`` is a folder that driver and executors share. Within a micro-batch requests are
+    taken by (ts, request_id); micro-batches count as they arrive. Each writes its decisions
+    and the state after it to folders of its number, and reads the state of the one before:
+    one that is run again after a failure overwrites what it had written and decides the same.
+    Called again with the same ``path``, it goes on where it stopped.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(STATE).parquet(f"{path}/state/{n - 1}") if n else spark.createDataFrame([], STATE)
+        written: list[str] = []
+        out, after = decided(batch, before, limits, burst, paths=written)
+        out.write.mode("overwrite").parquet(f"{path}/decisions/batch={n}")
+        after.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/{n}")
+        for old in [*written, *([f"{path}/state/{n - 2}"] if n > 1 else [])]:
+            remove(spark, old)
+
+    return requests.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def decisions(spark, path: str) -> DataFrame:
+    """(request_id, period, minute, lane, accepted, reason, batch) of all requests so far."""
+    return spark.read.parquet(f"{path}/decisions")
