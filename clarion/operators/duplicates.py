@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clarion.functions.lineage import stored
+from clarion.functions.lineage import remove, stored
 from clarion.functions.text import jaccard, names, protected, shingles, terms
+from clarion.operators.graph import connected_components
 
 LEAST = 0.85
+#: Texts and shingles of a piece, comparisons of classes that go without blocks, and columns of a product at once.
+ROWS, MASS, FEW, COLUMNS = 256, 1 << 19, 16, 4096
 #: Articles of one claim that are ever read.
 ARTICLES = 8
 
@@ -26,11 +31,25 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = own.withColumn("same", F.sha2(F.array_join("words", " "), 256))
     first = own.groupBy("same").agg(F.min("doc_id").alias("representative"))
     membership = own.select("doc_id", "same").join(first, "same").select("doc_id", "representative")
-    kept = own.join(first, (own.same == first.same) & (own.doc_id == first.representative), "left_semi").dropDuplicates(["doc_id"])
+    kept = own.join(first, (own.same == first.same) & (own.doc_id == first.representative), "left_semi")
+    # An id that repeats with different texts stands for one of them, always the same.
+    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct("text", "words"), "same").alias("r")).select("doc_id", "r.*")
     distinct = kept.select(F.col("doc_id").alias("representative"), guards(F.col("text"), F.col("words")).alias("guard"), F.array_distinct(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("shingles"))
     return membership, distinct
 
 
+def prefixes(distinct: DataFrame, least: float) -> DataFrame:
+    """(representative, guard, n, prefix): of n shingles the rarest n - ceil(least * n) + 1, without those that no other text of the guard has."""
+    each = distinct.select("representative", "guard", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    seen = each.groupBy("guard", "s").agg(F.count("*").alias("f"))
+    # An element that one text alone has joins nothing.
+    ordered = each.join(seen.where("f > 1"), ["guard", "s"])
+    ordered = ordered.groupBy("representative", "guard", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("common"))
+    single = F.col("n") - F.size("common")  # they come first in the order
+    room = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1 - single
+    return ordered.where(room > 0).select("representative", "guard", "n", F.transform(F.slice("common", F.lit(1), F.greatest(room, F.lit(0))), lambda c: c["s"]).alias("prefix"))
+
+
 def near_pairs(distinct: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, similarity) with a < b of distinct texts with equal guards and a Jaccard of ``least`` or more.
 
@@ -40,15 +59,7 @@ def near_pairs(distinct: DataFrame, least: float = LEAST) -> DataFrame:
     sets. ``distinct`` is written once, as it is read three times.
     """
     distinct = stored(distinct)
-    each = distinct.select("representative", "guard", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    seen = each.groupBy("guard", "s").agg(F.count("*").alias("f"))
-    # An element that one text alone has joins nothing.
-    ordered = each.join(seen.where("f > 1"), ["guard", "s"])
-    ordered = ordered.groupBy("representative", "guard", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("common"))
-    single = F.col("n") - F.size("common")  # they come first in the order
-    room = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1 - single
-    prefix = ordered.where(room > 0).select("representative", "guard", "n", F.explode(F.slice("common", 1, room)).alias("c"))
-    prefix = prefix.select("representative", "guard", "n", F.col("c.s").alias("s"))
+    prefix = prefixes(distinct, least).select("representative", "guard", "n", F.explode("prefix").alias("s"))
     a, b = prefix.alias("a"), prefix.alias("b")
     sizes = (F.col("a.n") >= F.col("b.n") * F.lit(least) - 1e-9) & (F.col("b.n") >= F.col("a.n") * F.lit(least) - 1e-9)
     on = (F.col("a.guard") == F.col("b.guard")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.representative") < F.col("b.representative")) & sizes
@@ -64,6 +75,104 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return membership, near_pairs(distinct, least)
 
 
+def _met(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Of one block: each text's links across it and the least text of its component in it. Intersections are counted by products of 0/1 matrices."""
+    rows = rows.sort_values("representative", ignore_index=True)
+    n = rows["shingles"].map(len).to_numpy()
+    left, right = (np.flatnonzero(rows["side"].isin(sides).to_numpy()) for sides in (("left", "both"), ("right", "both")))
+    at = np.repeat(np.arange(len(rows)), n)
+    ids, column, seen = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True, return_counts=True)
+    kept = seen[column] > 1
+    column = (np.cumsum(seen > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    at, column = at[kept][order], column[order]
+    shared = np.zeros((len(left), len(right)))
+    for low in range(0, int((seen > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(rows), COLUMNS), np.float32)
+        has[at[a:b], column[a:b] - low] = 1
+        shared += has[left] @ has[right].T
+    with np.errstate(invalid="ignore"):
+        near = shared / (n[left][:, None] + n[right][None, :] - shared) >= least
+    near &= left[:, None] != right[None, :]
+    links = np.zeros(len(rows), np.int64)
+    np.add.at(links, left, near.sum(1))
+    if len(left) + len(right) == len(rows):  # two pieces: each link was seen from the left only
+        np.add.at(links, right, near.sum(0))
+    root = np.arange(len(rows))
+    while True:
+        over, under = (np.where(m, root[i], len(rows)).min(1, initial=len(rows)) for m, i in ((near, right[None, :]), (near.T, left[None, :])))
+        new = root.copy()
+        np.minimum.at(new, left, over)
+        np.minimum.at(new, right, under)
+        if (new == root).all():
+            break
+        root = new
+    out = pd.DataFrame({"representative": rows["representative"], "links": links, "parent": rows["representative"].to_numpy()[root]})
+    return out[links > 0]
+
+
+def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """(doc_id, representative, family, links), a row for each document: the texts it equals, the least id that links reach, and to how many different texts it links.
+
+    The links are those of ``near_pairs``, but none is written. Texts whose prefixes hold the
+    same shingles are a class, and classes meet where their prefixes share one, once, so a text
+    goes to each class it may link to instead of to each of its shingles. Small classes are compared
+    pair by pair. Larger ones meet in blocks of two pieces, bounded in texts and in shingles, each a
+    task's group that gives counts and a forest. Counts combine before the shuffle.
+    Null texts are empty ones; texts without words are one representative without links. Rows that repeat an
+    id stay rows of their own; where their texts differ and the id is least of both, it stands for the one with
+    the least digest. Rows without an id give none, other columns don't count, and empty tables give no rows.
+    """
+    spark, paths, done = docs.sparkSession, [], []
+    membership, distinct = representatives(docs.where(F.col(doc_id).isNotNull()), doc_id, text)
+    membership, distinct = stored(membership), stored(distinct, paths)
+    name = F.sha2(F.concat_ws(",", "guard", F.array_join(F.col("prefix").cast("array<string>"), ",")), 256)
+    own = stored(prefixes(distinct, least).select(name.alias("class"), "representative", "guard", "n", "prefix"), paths)
+    classes = own.groupBy("class").agg(F.first("guard").alias("guard"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"), F.sum("n").alias("mass"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    pieces = F.ceil(F.greatest(F.col("rows") / ROWS, F.col("mass") / MASS)).cast("int")
+    classes = stored(classes.withColumn("pieces", pieces), paths)
+    keys = classes.withColumn("s", F.explode("prefix")).drop("prefix", "mass")
+    a, b = keys.alias("a"), keys.alias("b")
+    sizes = (F.col("a.hi") >= F.col("b.lo") * F.lit(least) - 1e-9) & (F.col("b.hi") >= F.col("a.lo") * F.lit(least) - 1e-9)
+    across = a.join(b, (F.col("a.guard") == F.col("b.guard")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.class") < F.col("b.class")) & sizes)
+    across = across.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("class", "rows", "pieces")]).distinct()
+    within = classes.where("rows > 1").select(*[F.col(c).alias(f"{x}_{c}") for x in "ab" for c in ("class", "rows", "pieces")])
+    met = stored(across.unionByName(within), paths)
+    number = F.pmod(F.xxhash64("representative"), F.col("pieces")).cast("int")
+    members = stored(own.join(distinct.select("representative", "shingles"), "representative").join(classes.select("class", "pieces"), "class").select("class", number.alias("piece"), "representative", "shingles"), paths)
+    few = F.col("a_rows") * F.col("b_rows") <= FEW
+
+    # Few: pairs are made and judged where the classes' rows meet.
+    x, y = (members.select(*[F.col(c).alias(f"{k}_{c}") for c in ("class", "representative", "shingles")]) for k in "ab")
+    pairs = met.where(few).select("a_class", "b_class").join(x, "a_class").join(y, "b_class")
+    pairs = pairs.where((F.col("a_class") != F.col("b_class")) | (F.col("a_representative") < F.col("b_representative")))
+    pairs = pairs.where(jaccard(F.col("a_shingles"), F.col("b_shingles")) >= least)
+    both = lambda x, y: F.struct(F.col(x).alias("representative"), F.lit(1).cast("bigint").alias("links"), F.col(y).alias("parent"))
+    ends = F.explode(F.array(both("a_representative", "b_representative"), both("b_representative", "a_representative")))
+    small = pairs.select(ends.alias("x")).select("x.*")
+
+    # Many: a block for each two pieces of the classes.
+    block = ["a_class", "a_piece", "b_class", "b_piece"]
+    blocks = met.where(~few).select("a_class", "b_class", "b_pieces", F.explode(F.sequence(F.lit(0), F.col("a_pieces") - 1)).alias("a_piece"))
+    blocks = blocks.select("a_class", "b_class", "a_piece", F.explode(F.sequence(F.lit(0), F.col("b_pieces") - 1)).alias("b_piece"))
+    blocks = blocks.where("a_class != b_class or a_piece <= b_piece")
+    same = (F.col("a_class") == F.col("b_class")) & (F.col("a_piece") == F.col("b_piece"))
+    sides = blocks.select(*block, F.col("a_class").alias("class"), F.col("a_piece").alias("piece"), F.when(same, "both").otherwise("left").alias("side"))
+    sides = sides.unionByName(blocks.where(~same).select(*block, F.col("b_class").alias("class"), F.col("b_piece").alias("piece"), F.lit("right").alias("side")))
+    rows = sides.join(members, ["class", "piece"]).drop("class", "piece")
+    kind = f"representative {distinct.schema['representative'].dataType.simpleString()}, links bigint, parent {distinct.schema['representative'].dataType.simpleString()}"
+    large = rows.groupBy(*block).applyInPandas(lambda g: _met(g, least), kind)
+
+    found = stored(small.unionByName(large), done)
+    links = stored(found.groupBy("representative").agg(F.sum("links").alias("links")))
+    component = connected_components(found, "representative", "parent").withColumnsRenamed({"id": "representative", "component": "family"})
+    for path in [*paths, *done]:
+        remove(spark, path)
+    out = membership.join(component, "representative", "left").join(links, "representative", "left")
+    return out.select("doc_id", "representative", F.coalesce("family", "representative").alias("family"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def leaders(articles: DataFrame, claim_id: str = "claim_id", rank: str = "rank", url: str = "url", text: str = "text", partial: str = "is_partial", limit: int = ARTICLES, usable: str | None = None) -> DataFrame:
     """(claim_id, rank, url, leader_url): whose evidence each article reuses; null for leaders.
 

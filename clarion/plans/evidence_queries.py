@@ -251,6 +251,28 @@ def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.representatives(_republished(spark, sf_dir))[0]
 
 
+def _reprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and families of 2,000 texts: for every thousand documents two benchmark items in small letters, with a word of each document's own before or after."""
+    d = inputs.read(spark, sf_dir, "documents").select("doc_id", "text")
+    plain = F.regexp_replace(F.lower("text"), "[0-9]", "")
+    items = inputs.read(spark, sf_dir, "benchmark").select("item_id", plain.alias("item"))
+    n = F.broadcast(items.agg(F.count("*").alias("_items")))
+    thousand = F.floor(F.col("doc_id") / 1000).cast("bigint")
+    base = d.select(thousand.alias("k")).distinct().crossJoin(n)
+    first, second = items.toDF("i", "x"), items.toDF("j", "y")
+    base = base.join(first, F.col("k") % F.col("_items") == F.col("i")).join(second, (F.col("k") + 1) % F.col("_items") == F.col("j"))
+    word = F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")
+    own = d.withColumn("k", thousand).join(base.select("k", F.concat_ws(" ", "x", "y").alias("base")), "k")
+    before = own.select((-1 - 2 * F.col("doc_id")).alias("doc_id"), F.concat(F.lit("v"), word, F.lit(" "), "base").alias("text"))
+    after = own.select((-2 - 2 * F.col("doc_id")).alias("doc_id"), F.concat("base", F.lit(" w"), word).alias("text"))
+    return d.unionByName(before).unionByName(after)
+
+
+def near_duplicate_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and planted reprint: its representative, its family and its number of links."""
+    return duplicates.families(_reprinted(spark, sf_dir))
+
+
 _NAMES = r"list_sort(list_distinct(list_transform(regexp_extract_all({0}, '(?:^|[^\p{{L}}\p{{N}}_])\p{{Lu}}[\p{{L}}\p{{N}}]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}_]', ''))))"
 _QUALIFIERS = repr(list(QUALIFIERS))
 _PROTECTED = f"""list_sort(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains({_QUALIFIERS}, w[i]) then w[i]
@@ -263,6 +285,20 @@ r as (select * from t qualify row_number() over (partition by w order by doc_id)
 g as (select doc_id, {_PROTECTED} as p, {_NAMES.format("text")} as n, {_SHINGLES} as s from r),
 c as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.s, b.s)) as x, len(a.s) + len(b.s) as y from g a join g b on a.p = b.p and a.n = b.n and a.doc_id < b.doc_id)
 select a, b, round(x / (y - x), 6) as similarity from c where x / (y - x) >= 0.85"""
+_REPRINTED = """items as (select item_id, regexp_replace(lower(text), '[0-9]', '', 'g') as item from benchmark), m as (select count(*) as n from benchmark),
+o as (select doc_id, x.item || ' ' || y.item as base, translate(doc_id::varchar, '0123456789', 'abcdefghij') as word from documents, m, items x, items y
+  where x.item_id = doc_id // 1000 % n and y.item_id = (doc_id // 1000 + 1) % n),
+docs as (select doc_id, text from documents union all select -1 - 2 * doc_id, 'v' || word || ' ' || base from o union all select -2 - 2 * doc_id, base || ' w' || word from o)"""
+#: Labels go along the links until each text has the least of its family; 12 steps are more than the families' widths.
+FAMILIES_SQL = f"""with recursive {_REPRINTED}, t as (select doc_id, text, {_TERMS.format("text")} as w from docs),
+v as (select doc_id, min(doc_id) over (partition by w) as representative from t),
+g as materialized (select doc_id, {_PROTECTED} as p, {_NAMES.format("text")} as n, list_transform({_SHINGLES}, lambda x: hash(x)) as s from t where doc_id in (select representative from v)),
+c as materialized (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.s, b.s)) as x, len(a.s) + len(b.s) as y from g a join g b on a.p = b.p and a.n = b.n and a.doc_id < b.doc_id),
+e as materialized (select a, b from c where x / (y - x) >= 0.85 union all select b, a from c where x / (y - x) >= 0.85),
+l(id, family, step) as (select doc_id, doc_id, 0 from g union all
+  select id, min(family), step + 1 from (select e.b as id, l.family, l.step from l join e on l.id = e.a where l.step < 12 union all select id, family, step from l where step < 12) group by id, step),
+k as (select a as id, count(*) as links from e group by a)
+select v.doc_id, v.representative, l.family, coalesce(k.links, 0)::bigint as links from v join l on l.id = v.representative and l.step = 12 left join k on k.id = v.representative"""
 MEMBERS_SQL = f"with {_REPUBLISHED}, t as (select doc_id, {_TERMS.format('text')} as w from docs) select doc_id, min(doc_id) over (partition by w) as representative from t"
 
 
@@ -385,6 +421,7 @@ SQL = {
     "keep_first_hits": FIRST_SQL,
     "near_duplicates": DUPLICATES_SQL,
     "near_duplicate_members": MEMBERS_SQL,
+    "near_duplicate_families": FAMILIES_SQL,
     "leader_dedup": LEADERS_SQL,
     "session_budget": SESSION_SQL,
     "quota_fold": QUOTA_SQL,
@@ -394,5 +431,5 @@ SQL = {
 QUERIES = [
     verdict_rollup, contributing_sources, claim_diagnostics, softmax_best_label, article_label, claim_context, temporal_alignment, search_plan,
     origin_diversity_rank, bm25_benchmark_docs, cosine_top3, rrf_fusion, candidate_sampling, neighbour_expansion, expansion_trigger, keep_first_hits,
-    near_duplicates, near_duplicate_members, leader_dedup, quota_fold, streamed_quota, session_budget, verify_claims, paragraph_quality,
+    near_duplicates, near_duplicate_members, near_duplicate_families, leader_dedup, quota_fold, streamed_quota, session_budget, verify_claims, paragraph_quality,
 ]

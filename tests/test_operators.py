@@ -142,6 +142,54 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
 
 
+def _brute_families(texts):
+    """(representative, family, links) of each id by all pairs, for texts of lower-case words without numbers or qualifiers."""
+    first = {}
+    for i, t in sorted(texts.items()):
+        first.setdefault(tuple(t.split()), i)
+    sets = {}
+    for w, i in first.items():
+        sets[i] = {w[k : k + 5] for k in range(len(w) - 4)} if len(w) >= 5 else set(w)
+    near = {a: {b for b in sets if b != a and sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])} for a in sets}
+    family = {a: a for a in sets}
+    for _ in sets:
+        family = {a: min([family[a], *[family[b] for b in near[a]]]) for a in sets}
+    return {i: (r := first[tuple(t.split())], family[r], len(near[r])) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("rows, mass, few, columns", [(256, 1 << 19, 16, 4096), (3, 1 << 19, 0, 7), (256, 90, 4, 64), (256, 1 << 19, 10**9, 4096)])
+def test_families_are_those_of_all_pairs(spark, monkeypatch, rows, mass, few, columns):
+    """In blocks of any size, pair by pair, and both."""
+    for name, value in zip(("ROWS", "MASS", "FEW", "COLUMNS"), (rows, mass, few, columns)):
+        monkeypatch.setattr(duplicates, name, value)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfg") for _ in range(4))
+    texts = {}
+    for size, copies in ((40, 14), (60, 9), (7, 6), (3, 4), (200, 5)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.choice([0, -1, rng.randrange(size)])] = word()
+            base = words if rng.random() < 0.4 else base  # chains, so that families are no cliques
+            texts[len(texts)] = " ".join(words)
+    texts |= {len(texts) + k: t for k, t in enumerate(["", " ", texts[0], texts[20], "x"])}
+    df = spark.createDataFrame([*[(i, t, 1) for i, t in texts.items()], (1000, None, 2)], "doc_id int, text string, links int")
+    got = {r.doc_id: (r.representative, r.family, r.links) for r in duplicates.families(df).collect()}
+    want = _brute_families(texts | {1000: ""})
+    assert got == want
+    assert max(k for _, _, k in want.values()) > 3 and any(f != r for r, f, _ in want.values())
+
+
+def test_families_of_repeated_ids_and_of_nothing(spark):
+    body = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    df = spark.createDataFrame([("a", body), ("a", body), ("a", "outro"), ("b", body + " fim"), (None, body)], "doc_id string, text string")
+    got = sorted((r.doc_id, r.representative, r.family, r.links) for r in duplicates.families(df).collect())
+    assert [r[:2] for r in got] == [("a", "a")] * 3 + [("b", "b")]
+    assert len(set(got)) == 2 and got == sorted((r.doc_id, r.representative, r.family, r.links) for r in duplicates.families(df).collect())
+    assert duplicates.families(df.where("false")).count() == 0
+
+
 def test_leaders_are_no_closure_and_follow_only_usable_ones(spark):
     body = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     rows = [
