@@ -12,7 +12,7 @@ from clarion.operators.graph import connected_components
 
 LEAST = 0.85
 #: Texts and shingles of a piece, comparisons of classes that go without blocks, and columns of a product at once.
-ROWS, MASS, FEW, COLUMNS = 256, 1 << 19, 16, 4096
+ROWS, MASS, FEW, COLUMNS = 1024, 1 << 19, 16, 4096
 #: Articles of one claim that are ever read.
 ARTICLES = 8
 
@@ -22,38 +22,48 @@ def guards(text: Column, words: Column) -> Column:
     return F.sha2(F.to_json(F.struct(protected(words).alias("p"), names(text).alias("n"))), 256)
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(membership, distinct texts): texts of equal term sequences are one, named after its least id.
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(membership, linkable texts): texts of equal term sequences are one, named after its least id.
 
-    membership: (doc_id, representative). distinct: (representative, guard, shingles), the shingles as 64-bit hashes.
+    membership: (doc_id, representative). linkable: (representative, guard, shingles) of the texts
+    whose guard another one has too, the shingles as 64-bit hashes. Ids and digests are written once; only
+    texts that can link are read again and cut into shingles.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("words", terms(F.col("text")))
-    own = own.withColumn("same", F.sha2(F.array_join("words", " "), 256))
-    first = own.groupBy("same").agg(F.min("doc_id").alias("representative"))
-    membership = own.select("doc_id", "same").join(first, "same").select("doc_id", "representative")
-    kept = own.join(first, (own.same == first.same) & (own.doc_id == first.representative), "left_semi")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    digest = lambda words: F.unhex(F.sha2(F.array_join(words, " "), 256))
+    worded = own.withColumn("words", terms(F.col("text")))
+    named = stored(worded.select("doc_id", digest(F.col("words")).alias("same"), F.unhex(guards(F.col("text"), F.col("words"))).alias("guard")), paths)
+    first = named.groupBy("same").agg(F.min("doc_id").alias("representative"))
+    membership = named.select("doc_id", "same").join(first, "same").select("doc_id", "representative")
     # An id that repeats with different texts stands for one of them, always the same.
-    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct("text", "words"), "same").alias("r")).select("doc_id", "r.*")
-    distinct = kept.select(F.col("doc_id").alias("representative"), guards(F.col("text"), F.col("words")).alias("guard"), F.array_distinct(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("shingles"))
-    return membership, distinct
+    kept = named.join(first, (named.same == first.same) & (named.doc_id == first.representative), "left_semi").groupBy("doc_id").agg(F.min(F.struct("same", "guard")).alias("r")).select("doc_id", "r.*")
+    shared = kept.groupBy("guard").agg(F.count("*").alias("texts")).where("texts > 1").select("guard")
+    live = kept.join(shared, "guard").select(F.col("doc_id").alias("representative"), F.col("same").alias("same_"), "guard")
+    found = own.join(live, own.doc_id == live.representative).withColumn("words", terms(F.col("text"))).where(digest(F.col("words")) == F.col("same_"))
+    hashed = F.array_distinct(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s)))
+    return membership, found.select("representative", "guard", hashed.alias("shingles")).dropDuplicates(["representative"])
 
 
 def prefixes(distinct: DataFrame, least: float) -> DataFrame:
-    """(representative, guard, n, prefix): of n shingles the rarest n - ceil(least * n) + 1, without those that no other text of the guard has."""
-    each = distinct.select("representative", "guard", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    seen = each.groupBy("guard", "s").agg(F.count("*").alias("f"))
+    """(representative, guard, n, prefix): of n shingles the rarest n - ceil(least * n) + 1, without those that no other text of the guard has.
+
+    A shingle is a hash of it and the guard here. Hashes that fall together only let more texts meet.
+    """
+    each = distinct.select("representative", F.size("shingles").alias("n"), F.explode(F.transform("shingles", lambda s: F.xxhash64("guard", s))).alias("s"))
+    seen = each.groupBy("s").agg(F.count("*").alias("f"))
     # An element that one text alone has joins nothing.
-    ordered = each.join(seen.where("f > 1"), ["guard", "s"])
-    ordered = ordered.groupBy("representative", "guard", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("common"))
+    ordered = each.join(seen.where("f > 1"), "s")
+    ordered = ordered.groupBy("representative", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("common"))
     single = F.col("n") - F.size("common")  # they come first in the order
     room = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1 - single
-    return ordered.where(room > 0).select("representative", "guard", "n", F.transform(F.slice("common", F.lit(1), F.greatest(room, F.lit(0))), lambda c: c["s"]).alias("prefix"))
+    first = F.transform(F.slice("common", F.lit(1), F.greatest(room, F.lit(0))), lambda c: c["s"])
+    return ordered.where(room > 0).select("representative", "n", first.alias("prefix")).join(distinct.select("representative", "guard"), "representative")
 
 
 def near_pairs(distinct: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, similarity) with a < b of distinct texts with equal guards and a Jaccard of ``least`` or more.
 
-    Guards block the join. Within a block, sets of n elements at ``least`` must share one of
+    Guards block the join, and texts whose guard no other has were never cut. Within a block, sets of n elements at ``least`` must share one of
     their first n - ceil(least * n) + 1 elements in any common order; rarest first, so that
     phrases that many texts share join nothing. Candidates are then verified on their whole
     sets. ``distinct`` is written once, as it is read three times.
@@ -125,9 +135,9 @@ def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     the least digest. Rows without an id give none, other columns don't count, and empty tables give no rows.
     """
     spark, paths, done = docs.sparkSession, [], []
-    membership, distinct = representatives(docs.where(F.col(doc_id).isNotNull()), doc_id, text)
+    membership, distinct = representatives(docs.where(F.col(doc_id).isNotNull()), doc_id, text, paths)
     membership, distinct = stored(membership), stored(distinct, paths)
-    name = F.sha2(F.concat_ws(",", "guard", F.array_join(F.col("prefix").cast("array<string>"), ",")), 256)
+    name = F.sha2(F.concat_ws(",", F.hex("guard"), F.array_join(F.col("prefix").cast("array<string>"), ",")), 256)
     own = stored(prefixes(distinct, least).select(name.alias("class"), "representative", "guard", "n", "prefix"), paths)
     classes = own.groupBy("class").agg(F.first("guard").alias("guard"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"), F.sum("n").alias("mass"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     pieces = F.ceil(F.greatest(F.col("rows") / ROWS, F.col("mass") / MASS)).cast("int")
@@ -139,7 +149,7 @@ def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     across = across.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("class", "rows", "pieces")]).distinct()
     within = classes.where("rows > 1").select(*[F.col(c).alias(f"{x}_{c}") for x in "ab" for c in ("class", "rows", "pieces")])
     met = stored(across.unionByName(within), paths)
-    number = F.pmod(F.xxhash64("representative"), F.col("pieces")).cast("int")
+    number = F.pmod(F.xxhash64("representative"), F.col("pieces").cast("bigint")).cast("int")
     members = stored(own.join(distinct.select("representative", "shingles"), "representative").join(classes.select("class", "pieces"), "class").select("class", number.alias("piece"), "representative", "shingles"), paths)
     few = F.col("a_rows") * F.col("b_rows") <= FEW
 
