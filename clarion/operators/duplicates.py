@@ -125,7 +125,7 @@ def _met(rows: pd.DataFrame, least: float) -> pd.DataFrame:
 def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, representative, family, links), a row for each document: the texts it equals, the least id that links reach, and to how many different texts it links.
 
-    The links are those of ``near_pairs``, but none is written. Texts whose prefixes hold the
+    The links are those of ``near_pairs``; only those between small classes are written one by one. Texts whose prefixes hold the
     same shingles are a class, and classes meet where their prefixes share one, once, so a text
     goes to each class it may link to instead of to each of its shingles. Small classes are compared
     pair by pair. Larger ones meet in blocks of two pieces, bounded in texts and in shingles, each a
