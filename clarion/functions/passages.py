@@ -39,7 +39,7 @@ BLOCK_MARKERS = (
     "unusual traffic", "captcha", "verify you are a human", "are you a robot", "automated queries", "anomaly", "blocked",
     "access denied", "rate limit",
 )
-FIXTURE_MARKS = r"(?iu)^(Por|Foto|Leia também|Compartilhe|Publicado em)\b"
+FIXTURE_MARKS = r"(?i)^(Por|Foto|Leia tamb[éÉ]m|Compartilhe|Publicado em)"
 NO_ARTICLE = (
     r"(?i)(/tag/|/tags/|/busca|/search|/login|/assine|/assinatura|/newsletter|/video/|/videos/|/podcast|/ao-vivo|/live|#|"
     r"javascript:|/sobre|/politica-de-privacidade|/termos|/contato|mailto:|\.pdf$|\.jpg$|\.png$)"
@@ -90,9 +90,14 @@ def rejection(passage: Column, has_verb: Column | None = None) -> Column:
     return F.coalesce(let(collapse(passage), lambda t: let(fold(t), lambda f: why(t, f))), F.when(~verb, "noVerb"))
 
 
-def short_or_marked(line: Column) -> Column:
-    """The plainer rule of fixtures: short lines, and lines that begin like navigation."""
-    return (F.length(line) < LEAST_CHARACTERS) | line.rlike(FIXTURE_MARKS)
+def short_or_marked(line: Column, ascii_words: bool = False) -> Column:
+    """The plainer rule of fixtures: short lines, and lines that begin like navigation.
+
+    A mark is a word of its own. ``ascii_words`` counts only ASCII letters, digits and the
+    underscore as parts of words, as RE2 does: "Porñ" then begins with the word "Por".
+    """
+    end = r"(?![A-Za-z0-9_])" if ascii_words else r"(?![\p{L}\p{M}\p{N}_])"
+    return (F.length(line) < LEAST_CHARACTERS) | line.rlike(FIXTURE_MARKS + end)
 
 
 def blocked(status: Column, body: Column) -> Column:
