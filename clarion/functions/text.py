@@ -73,7 +73,7 @@ def token_estimate(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed non-empty sentences; a mark followed by white space ends one."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")  # not F.trim itself: it would take an index as what to trim
 
 
 def truncate(text: Column, limit: int) -> Column:

@@ -111,3 +111,21 @@ def test_a_reviewed_entry_settles_its_claim(spark):
     got = {r.claim_id: (r.verdict, r.error, r.found, r.sources) for r in results.collect()}
     assert set(got) == {1, 2} and got[1] == ("CONTRADITO", None, 0, 0) and got[2][2] == 1
     assert {r.claim_id for r in sources.collect()} == {2}
+
+
+def test_marks_of_fixtures_end_where_ascii_words_end(spark, tmp_path):
+    long = " mentegaque de doll los adoboja asdora elasciónas"
+    texts = ["Porñosaras" + long + "\nPor" + long + "\nPorta" + long, "POR!" + long + "\nleia TAMBÉM" + long + "\ncurta\n", "Por_" + long, "Foto\u0301" + long, "Publıcado em" + long, "", None]
+    spark.createDataFrame(list(enumerate(texts, 101)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = same(spark, str(tmp_path), duck, "fixture_lines")
+    assert (101, 0, True) in got and (101, 2, False) in got
+
+
+def test_sentences_keep_what_is_not_a_space_at_their_ends(spark, tmp_path):
+    texts = ["0 graus às 10. 1 não é 11? 2222222! 3", "  dois espaços .   fim  ", "0", "Um. Um. 1 e 1.\t", ""]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(spark, str(tmp_path), duck, "sentence_stats")
