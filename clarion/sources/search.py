@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HITS = "query string, rank int, title string, url string, content string, score double, published_date string, status int"
 #: Results of one search at most, and statuses that are tried once more.
 MOST = 20
+#: Tasks a core that walk through addresses; pages, and characters of their rows, that a walk hands on at once.
+WALKS, SENT, LONG = 4, 1000, 1 << 20
 
 
 def _client(name: str):
@@ -133,19 +135,31 @@ def followed(starts: DataFrame, client: str, pages: int = 0, retries: int = 3, p
     starts: start, and where a walk goes on also ``at``, the address to begin with, and
     ``page``, its number. rows are JSON texts; next is the address after the page, null after
     the last. Null addresses have no pages. With ``pages`` a walk stops after so many; ``unfinished`` has what is left.
+    Addresses are dealt anew to WALKS tasks a core, as a small table lies in one file or one
+    partition; pages are handed on SENT at a time, or fewer where their rows are long.
     """
     again = "at" in starts.columns
     own = starts.select("start", F.col("at" if again else "start").alias("at"), (F.col("page") if again else F.lit(0)).cast("int").alias("page"))
+    own = own.repartition(WALKS * starts.sparkSession.sparkContext.defaultParallelism)
     names = ["start", "page", "status", "rows", "next"]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
 
+    def sent(cells):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*cells), kinds)], names=names)
+
     def walk(batches):
-        ask = _client(client)
+        ask, held, size = _client(client), [], 0
         for batch in batches:
             for start, at, first in zip(*(c.to_pylist() for c in batch.columns)):
                 for page, status, rows, after in _followed(ask, at, pages, retries, pause):
-                    cells = [start, first + page, status, [json.dumps(r, sort_keys=True) for r in rows], after]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds)], names=names)
+                    texts = [json.dumps(r, sort_keys=True) for r in rows]
+                    held.append((start, first + page, status, texts, after))
+                    size += sum(map(len, texts))
+                    if len(held) >= SENT or size >= LONG:
+                        yield sent(held)
+                        held, size = [], 0
+        if held:
+            yield sent(held)
 
     return own.mapInArrow(walk, "start string, page int, status int, rows array<string>, next string")
 
