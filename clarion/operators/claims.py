@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clarion.functions.text import fold, sentences, truncate
+from clarion.functions.text import fold, let, sentences, truncate
 from clarion.functions.urls import search_domains
 
 ZONE = "America/Sao_Paulo"
@@ -61,14 +61,17 @@ def _day(at: Column, days: int = 0) -> Column:
 def context(text: Column, reference: Column) -> Column:
     """(kind, start, end, attributed) of a claim made at ``reference``; the first rule that holds decides.
 
-    A date that doesn't exist counts as its year.
+    A date that doesn't exist counts as its year. The text is folded once and searched once for each pattern.
     """
-    lower = fold(text)
-    day = F.when(lower.contains("ontem"), _day(reference, -1)).otherwise(_day(reference))
     part = lambda k: F.nullif(F.regexp_extract(text, DATE, k), F.lit("")).cast("int")
-    date = F.try_make_timestamp(part(3), part(2), part(1), F.lit(0), F.lit(0), F.lit(0))
+    date = F.when(text.rlike(DATE), F.try_make_timestamp(part(3), part(2), part(1), F.lit(0), F.lit(0), F.lit(0)))
     year = F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")).cast("int")
-    begin = F.try_make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    found = F.struct(fold(text).alias("lower"), date.alias("date"), F.try_make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("begin"))
+    return let(found, lambda x: _context(x["lower"], x["date"], x["begin"], reference))
+
+
+def _context(lower: Column, date: Column, begin: Column, reference: Column) -> Column:
+    day = F.when(lower.contains("ontem"), _day(reference, -1)).otherwise(_day(reference))
     utc = lambda local: F.to_utc_timestamp(local, ZONE)
 
     def window(kind: str, start: Column, end: Column) -> Column:
@@ -108,23 +111,26 @@ def alignment(kind: Column, start: Column, end: Column, published: Column, text:
 def planned(text: Column, kind: Column, start: Column, reference: Column) -> Column:
     """The searches of a claim: an array of (kind, text), texts distinct and not empty, the first of equal ones kept."""
     day = F.concat(F.lit("em "), F.date_format(F.from_utc_timestamp(start, ZONE), "yyyy-MM-dd"))
-    whole = F.when(start.isNull(), text).otherwise(F.regexp_replace(text, F.lit(r"(?iu)\b(hoje|ontem)\b"), F.coalesce(day, F.lit(""))))
-    primary = truncate(whole, QUERY)
-    suffix = F.right(whole, F.lit(QUERY))
-    rest = F.when(suffix.contains(" "), F.regexp_replace(suffix, r"^[^ ]* ", "")).otherwise(suffix)
+    named = F.when(start.isNull(), text).otherwise(F.regexp_replace(text, F.lit(r"(?iu)\b(hoje|ontem)\b"), F.coalesce(day, F.lit(""))))
     today = F.date_format(F.from_utc_timestamp(reference, ZONE), "yyyy-MM-dd")
-    contextual = (
-        F.when(F.length(whole) > QUERY, rest)
-        .when(kind == "current", F.concat(truncate(whole, 175), F.lit(" "), today))
-        .otherwise(primary)
-    )
-    made = F.array(
-        F.struct(F.lit("descriptive").alias("kind"), primary.alias("text")),
-        F.struct(F.lit("contextual").alias("kind"), truncate(contextual, QUERY).alias("text")),
-        F.struct(F.lit("factCheck").alias("kind"), F.concat(truncate(whole, 188), F.lit(" checagem")).alias("text")),
-    )
-    texts = F.transform(made, lambda q: q.text)
-    return F.filter(made, lambda q, i: (q.text != "") & (F.array_position(texts, q.text) == i + 1))
+
+    def made(whole: Column) -> Column:
+        primary = truncate(whole, QUERY)
+        suffix = F.right(whole, F.lit(QUERY))
+        rest = F.when(suffix.contains(" "), F.regexp_replace(suffix, r"^[^ ]* ", "")).otherwise(suffix)
+        contextual = (
+            F.when(F.length(whole) > QUERY, rest)
+            .when(kind == "current", F.concat(truncate(whole, 175), F.lit(" "), today))
+            .otherwise(primary)
+        )
+        return F.array(
+            F.struct(F.lit("descriptive").alias("kind"), primary.alias("text")),
+            F.struct(F.lit("contextual").alias("kind"), truncate(contextual, QUERY).alias("text")),
+            F.struct(F.lit("factCheck").alias("kind"), F.concat(truncate(whole, 188), F.lit(" checagem")).alias("text")),
+        )
+
+    own = lambda q: let(F.transform(q, lambda x: x["text"]), lambda t: F.filter(q, lambda x, i: (x["text"] != "") & (F.array_position(t, x["text"]) == i + 1)))
+    return let(let(named, made), own)
 
 
 def negated(text: Column, verb: Column) -> Column:
@@ -141,7 +147,7 @@ def negated(text: Column, verb: Column) -> Column:
 
 
 def query_plan(claims: DataFrame, claim_id: str = "claim_id", text: str = "text", reference: str = "reference_ts") -> DataFrame:
-    """(claim_id, ordinal, kind, text, domains): the searches of each claim. All narrow: no shuffle."""
+    """(claim_id, ordinal, kind, text, domains): the searches of each claim. Each text is worked on once; all narrow, no shuffle."""
     c = claims.select(F.col(claim_id).alias("claim_id"), F.col(text).alias("text"), F.col(reference).alias("reference_ts"))
     c = c.withColumn("context", context(F.col("text"), F.col("reference_ts")))
     rows = c.select("claim_id", F.posexplode(planned(F.col("text"), F.col("context.kind"), F.col("context.start"), F.col("reference_ts"))).alias("ordinal", "q"))
