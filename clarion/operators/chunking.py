@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clarion.functions.lineage import extended
 from clarion.functions.passages import structural
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Characters whose passages a worker holds at once, but for one text.
+HELD = 1 << 20
 
 
 def estimate(text: str) -> int:
@@ -108,27 +111,37 @@ def chunked(docs: DataFrame, text: str = "text", budget: int = 512, tokens: Call
 
     ``budgets`` names a column with a budget per row; ``tokens`` is called in tasks.
     """
-    rest = [c for c in docs.columns if c != text]
-
-    @F.pandas_udf("array<string>")
-    def cut(parts: pd.Series, budget_: pd.Series) -> pd.Series:
-        return pd.Series([passages(list(p), max(1, int(b)), tokens) if p is not None else [] for p, b in zip(parts, budget_)])
-
     limit = F.col(budgets) if budgets else F.lit(budget)
-    made = docs.select(*rest, cut(paragraphs(F.col(text)), limit.cast("int")).alias("_p"))
-    return made.select(*rest, F.posexplode("_p").alias("ix", into))
+    cut = lambda p, b: passages(p, max(1, b), tokens)
+    made = _cut(docs, text, paragraphs(F.col(text)), limit.cast("int"), cut)
+    return made.select(*[c for c in docs.columns if c != text], F.posexplode("_p").alias("ix", into))
+
+
+def _cuts(batches, names: list[str], cut: Callable[[list[str], int], list[str]]):
+    """Batches of paragraphs, budget and other columns with the passages of HELD characters at a time."""
+    for batch in batches:
+        found, at, size = [], 0, 0
+        for k, (p, b) in enumerate(zip(batch.column(0), batch.column(1))):
+            p = p.as_py() or []
+            found.append(cut(p, b.as_py()))
+            size += sum(map(len, p))
+            if size >= HELD or k + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(found)).columns[2:], pa.array(found, pa.list_(pa.string()))], names=[*names, "_p"])
+                found, at, size = [], k + 1, 0
+
+
+def _cut(docs: DataFrame, text: str, parts: Column, limit: Column, cut: Callable[[list[str], int], list[str]]) -> DataFrame:
+    """``docs`` without ``text``, with the passages ``_p`` of its ``parts``; a worker makes those of HELD characters at a time."""
+    rest = [c for c in docs.columns if c != text]
+    own = docs.select(parts.alias("_parts"), limit.alias("_limit"), *rest)
+    return own.mapInArrow(lambda batches: _cuts(batches, rest, cut), extended(own.select(*rest).schema, "_p array<string>"))
 
 
 def windows(docs: DataFrame, text: str, claim_tokens: str, first: int = 126, model: int = 509, tokens: Callable[[str], int] = estimate) -> DataFrame:
     """Passages of ``first`` tokens, cut again to what the claim leaves of ``model``, unfit ones out; ``ix`` counts what is left."""
     from clarion.functions.passages import rejection
 
-    rest = [c for c in docs.columns if c != text]
-
-    @F.pandas_udf("array<string>")
-    def cut(parts: pd.Series, room: pd.Series) -> pd.Series:
-        return pd.Series([[y for x in passages(list(p), first, tokens) for y in passages([x], max(1, int(r)), tokens)] if p is not None else [] for p, r in zip(parts, room)])
-
-    made = docs.withColumn("_p", cut(paragraphs(F.col(text)), (F.lit(model) - F.col(claim_tokens)).cast("int")))
+    cut = lambda p, room: [y for x in passages(p, first, tokens) for y in passages([x], max(1, room), tokens)]
+    made = _cut(docs, text, paragraphs(F.col(text)), (F.lit(model) - F.col(claim_tokens)).cast("int"), cut)
     kept = made.withColumn("_p", F.filter("_p", lambda x: rejection(x).isNull()))
-    return kept.select(*rest, F.posexplode("_p").alias("ix", "text"))
+    return kept.select(*[c for c in docs.columns if c != text], F.posexplode("_p").alias("ix", "text"))
