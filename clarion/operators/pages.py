@@ -27,6 +27,10 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 ARTICLE_TYPES = ("NewsArticle", "Article", "ReportageNewsArticle", "ClaimReview")
 PAID_CLASSES = ("paywall", "subscription-required", "article-preview")
 LEAST_PARAGRAPH, LEAST_TEXT, MOST_BYTES = 25, 200, 3 << 20
+#: Characters of pages whose events a worker holds at once, but for one page.
+SCANNED = 1 << 20
+#: Events of a partition, on average, while pages are worked on.
+EVENTS = 100_000
 
 
 class _Tags(HTMLParser):
@@ -72,26 +76,32 @@ class _Tags(HTMLParser):
 _EVENTS = pa.list_(pa.struct([("kind", pa.int8()), ("name", pa.string()), ("attrs", pa.string()), ("value", pa.string())]))
 
 
+def _scans(batches, names: list[str]):
+    """Batches of html and other columns with the events of SCANNED characters at a time."""
+    for batch in batches:
+        found = []
+        at = size = 0
+        for k, text in enumerate(batch.column(0)):
+            text = text.as_py() or ""
+            tags = _Tags()
+            tags.feed(text)
+            tags.close()
+            tags._close(None)
+            found.append(tags.events)
+            size += len(text)
+            if size >= SCANNED or k + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(found)).columns[1:], pa.array(found, _EVENTS)], names=[*names, "_events"])
+                at, found, size = k + 1, [], 0
+
+
 def scanned(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with a number ``_row`` and the page's ``_events``, written: each page is read once.
 
-    Null and empty pages have no events.
+    Null and empty pages have no events. What a worker holds at once is an Arrow batch of pages and the events of SCANNED characters.
     """
     rest = [c for c in pages.columns if c != html]
     own = pages.select(html, *rest, F.monotonically_increasing_id().alias("_row"))
-
-    def scan(batches):
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                tags = _Tags()
-                tags.feed(text or "")
-                tags.close()
-                tags._close(None)
-                found.append(tags.events)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, _EVENTS)], names=[*rest, "_row", "_events"])
-
-    return stored(own.mapInArrow(scan, extended(own.drop(html).schema, "_events array<struct<kind:tinyint,name:string,attrs:string,value:string>>")))
+    return stored(own.mapInArrow(lambda batches: _scans(batches, [*rest, "_row"]), extended(own.drop(html).schema, "_events array<struct<kind:tinyint,name:string,attrs:string,value:string>>")))
 
 
 def _attribute(name: str) -> Column:
@@ -99,8 +109,10 @@ def _attribute(name: str) -> Column:
 
 
 def _exploded(pages: DataFrame) -> DataFrame:
-    """An event a row, all of a page in one partition from here on."""
-    return pages.select("_row", F.posexplode("_events").alias("i", "e")).select("_row", "i", "e.*").repartition("_row")
+    """An event a row, all of a page in one partition from here on; with more events there are more partitions, not larger ones."""
+    n = pages.agg(F.sum(F.size(F.col("_events.kind")))).first()[0] or 0
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, -(-n // EVENTS))
+    return pages.select("_row", F.posexplode("_events").alias("i", "e")).select("_row", "i", "e.*").repartition(parts, "_row")
 
 
 def _blocks(pages: DataFrame, dropped: frozenset[str], denied: str | None = None) -> DataFrame:
