@@ -43,27 +43,29 @@ def matched_spans(gold: DataFrame, passages: DataFrame) -> DataFrame:
 
     Case and runs of white space don't count, nor do addresses' variants. The inner words of
     a span are whole words of whatever holds it, so a span and its passages meet by the
-    canonical URL and the inner word that the fewest passages of that URL have; texts are
-    joined to the pairs that met and compared whole. Spans of one or two words have no inner
+    canonical URL and the inner word that the fewest passages of that URL have, as one 64-bit
+    hash, so that a passage's words are shuffled as numbers; addresses and texts are
+    joined to the pairs that met and compared whole, and hashes that fall together only let more pairs meet. Spans of one or two words have no inner
     word and meet all passages of their URL. Null texts and addresses match nothing, empty passages neither.
     """
     norm = F.lower(collapse(F.col("text")))
     g = gold.select("span_id", canonical_offline(F.col("url")).alias("page"), norm.alias("span")).where("page is not null and span is not null")
     p = passages.select("passage_id", canonical_offline(F.col("url")).alias("page"), norm.alias("passage")).where("page is not null and passage <> ''")
-    g, p = stored(g), stored(p)
+    g, p = stored(g.withColumn("g", F.monotonically_increasing_id())), stored(p.withColumn("p", F.monotonically_increasing_id()))
     words = F.split("span", " ")
-    inner = g.select("span_id", "page", F.explode_outer(F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)))).alias("word"))
-    asked = inner.where("word is not null").select("page", "word").distinct()
-    held = p.select("passage_id", "page", F.explode(F.array_distinct(F.split("passage", " "))).alias("word")).join(asked, ["page", "word"], "left_semi")
+    keyed = lambda a: F.transform(F.array_distinct(a), lambda w: F.xxhash64("page", w))
+    inner = g.select("g", F.explode_outer(keyed(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)))).alias("word"))
+    asked = inner.where("word is not null").select("word").distinct()
+    held = p.select("p", F.explode(keyed(F.split("passage", " "))).alias("word")).join(asked, "word", "left_semi")
     held = stored(held)
-    counts = held.groupBy("page", "word").agg(F.count("*").alias("c"))
+    counts = held.groupBy("word").agg(F.count("*").alias("c"))
     # A word that no passage of the page has is the rarest: such a span meets nothing.
-    key = inner.join(counts, ["page", "word"], "left").groupBy("span_id", "page").agg(F.min(F.when(F.col("word").isNotNull(), F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))).alias("key"))
-    by_word = key.where("key.c > 0").select("span_id", "page", F.col("key.word").alias("word")).join(held, ["page", "word"]).select("span_id", "passage_id")
-    by_page = key.where("key is null").select("span_id", "page").join(p.select("passage_id", "page"), "page").select("span_id", "passage_id")
+    key = inner.join(counts, "word", "left").groupBy("g").agg(F.min(F.when(F.col("word").isNotNull(), F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))).alias("key"))
+    by_word = key.where("key.c > 0").select("g", F.col("key.word").alias("word")).join(held, "word").select("g", "p")
+    by_page = g.join(key.where("key is null").select("g"), "g", "left_semi").select("g", "page").join(p.select("p", "page"), "page").select("g", "p")
     met = by_word.unionByName(by_page)
-    both = met.join(g.select("span_id", "span"), "span_id").join(p.select("passage_id", "passage"), "passage_id")
-    return both.where(F.contains("passage", "span")).select("span_id", "passage_id").distinct()
+    both = met.join(g, "g").join(p.withColumnRenamed("page", "shown"), "p")
+    return both.where((F.col("page") == F.col("shown")) & F.contains("passage", "span")).select("span_id", "passage_id").distinct()
 
 
 def sufficient(sets: Column, ids: Column) -> Column:

@@ -1,8 +1,9 @@
 """How work is dealt and how often it is done: what larger tables depend on."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from clarion.operators import claims
+from clarion.operators import chunking, claims, evaluation, pages
 from clarion.sources import search
 
 
@@ -24,3 +25,29 @@ def test_a_claim_is_folded_once_for_its_searches(spark):
     got = {(r.claim_id, r.kind): r.text for r in made.collect()}
     assert got[0, "descriptive"] == "em 2024-02-01 o preço subiu" and got[3, "contextual"] == "agora preside 2024-02-01" and (4, "contextual") in got
     assert {k for k, _ in got} == {0, 1, 2, 3, 4, 5}
+
+
+def test_words_of_passages_meet_as_numbers_and_ids_may_repeat(spark):
+    gold = [("a", "https://x.org/1", "one two three"), ("a", "https://x.org/2", "four five six"), ("a", "https://x.org/1", "seven eight nine")]
+    shown = [(1, "https://x.org/1", "zero one two three"), (1, "https://x.org/2", "four five six"), (2, "https://x.org/1", "six seven eight nine"), (3, "https://x.org/2", "one two three")]
+    got = evaluation.matched_spans(spark.createDataFrame(gold, "span_id string, url string, text string"), spark.createDataFrame(shown, "passage_id int, url string, text string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 2)]
+    assert "word#" in plan(got) and got.select("span_id").where("span_id = 'a'").count() == 2
+
+
+def test_scans_and_passages_are_handed_on_in_bounded_batches():
+    html = pa.array(["<p>" + "a" * 300_000] * 10 + [None, ""])
+    ids = pa.array(range(12))
+    made = list(pages._scans([pa.RecordBatch.from_arrays([html, ids], names=["html", "id"])], ["id"]))
+    assert [b.num_rows for b in made] == [4, 4, 4] and [i for b in made for i in b["id"].to_pylist()] == list(range(12))
+    parts = pa.array([["Uma frase. " * 30_000]] * 5 + [None, []])
+    batch = pa.RecordBatch.from_arrays([parts, pa.array([512] * 7), pa.array(range(7))], names=["_parts", "_limit", "id"])
+    cut = list(chunking._cuts([batch], ["id"], lambda p, b: chunking.passages(p, b)))
+    assert [b.num_rows for b in cut] == [4, 3] and [i for b in cut for i in b["id"].to_pylist()] == list(range(7))
+    assert [len(x) > 1 for b in cut for x in b["_p"].to_pylist()] == [True] * 5 + [False] * 2
+
+
+def test_more_events_are_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pages, "EVENTS", 100)
+    read = pages.scanned(spark.range(50).select("id", F.repeat(F.lit("<p>a</p>"), 20).alias("html")))
+    assert pages._exploded(read).rdd.getNumPartitions() == 30
