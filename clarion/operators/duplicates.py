@@ -183,26 +183,38 @@ def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     return out.select("doc_id", "representative", F.coalesce("family", "representative").alias("family"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def leaders(articles: DataFrame, claim_id: str = "claim_id", rank: str = "rank", url: str = "url", text: str = "text", partial: str = "is_partial", limit: int = ARTICLES, usable: str | None = None) -> DataFrame:
+def leaders(articles: DataFrame, claim_id: str = "claim_id", rank: str = "rank", url: str = "url", text: str = "text", partial: str = "is_partial", limit: int = ARTICLES, usable: str | DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
     """(claim_id, rank, url, leader_url): whose evidence each article reuses; null for leaders.
 
     Articles are visited complete ones first, then by rank; one that has a leader's canonical
     URL or is a near duplicate of it follows the first such leader. It is a greedy pass, no
     transitive closure, over at most ``limit`` articles a claim, folded within one array.
-    Where ``usable`` is given, an article without it leads no other.
+    Where ``usable`` is given, a column or a table (claim_id, rank) of those that are, an article without it leads no other. Digests go through the
+    shuffle; only texts whose guard another text of their claim has are read again and cut
+    into shingles, which are kept as 64-bit hashes.
     """
     from clarion.functions.urls import canonical_online
 
     words = terms(F.col(text))
+    named = [F.col(claim_id).alias("claim_id"), F.col(rank).alias("rank"), F.col(url).alias("url")]
     own = articles.select(
-        F.col(claim_id).alias("claim_id"), F.col(rank).alias("rank"), F.col(url).alias("url"), F.col(partial).alias("partial"), canonical_online(F.col(url)).alias("canonical"),
-        F.sha2(F.array_join(words, " "), 256).alias("same"), guards(F.col(text), words).alias("guard"), shingles(words).alias("shingles"),
-        (F.col(usable) if usable else F.lit(True)).alias("usable"),
+        *named, F.col(partial).alias("partial"), canonical_online(F.col(url)).alias("canonical"),
+        F.unhex(F.sha2(F.array_join(words, " "), 256)).alias("same"), F.unhex(guards(F.col(text), words)).alias("guard"), (F.col(usable) if isinstance(usable, str) else F.lit(True)).alias("usable"),
     )
+    if isinstance(usable, DataFrame):
+        own = own.drop("usable").join(usable.select("claim_id", "rank").distinct().withColumn("usable", F.lit(True)), ["claim_id", "rank"], "left").na.fill(False, ["usable"])
     own = own.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy("rank", "url"))).where(F.col("_n") <= limit)
+    peers = Window.partitionBy("claim_id", "guard")
+    own = stored(own.withColumn("_contested", F.min("same").over(peers) != F.max("same").over(peers)), paths)
+    asked = own.where("_contested").select("claim_id", "rank", "url", "same")
+    cut = articles.select(*named, F.col(text).alias("_text")).join(asked, ["claim_id", "rank", "url"]).withColumn("_words", terms(F.col("_text")))
+    cut = cut.where(F.unhex(F.sha2(F.array_join("_words", " "), 256)) == F.col("same"))
+    hashed = F.array_distinct(F.transform(shingles(F.col("_words")), lambda x: F.xxhash64(x)))
+    cut = cut.select("claim_id", "rank", "url", "same", hashed.alias("shingles")).dropDuplicates(["claim_id", "rank", "url", "same"])
+    own = own.join(cut, ["claim_id", "rank", "url", "same"], "left")
     fields = ["partial", "rank", "url", "canonical", "same", "guard", "shingles", "usable"]
     lists = own.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
-    kind = "array<struct<rank:{r},url:string,leader:string,canonical:string,same:string,guard:string,shingles:array<string>,usable:boolean>>".format(r=own.schema["rank"].dataType.simpleString())
+    kind = "array<struct<rank:{r},url:string,leader:string,canonical:string,same:binary,guard:binary,shingles:array<bigint>,usable:boolean>>".format(r=own.schema["rank"].dataType.simpleString())
 
     def follows(x: Column, y: Column) -> Column:
         near = (x["guard"] == y["guard"]) & (F.coalesce(jaccard(x["shingles"], y["shingles"]), F.lit(0.0)) >= LEAST)
