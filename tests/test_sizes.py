@@ -3,7 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from clarion.operators import chunking, claims, evaluation, pages
+from clarion.functions.text import terms
+from clarion.operators import chunking, claims, duplicates, evaluation, pages, retrieval
 from clarion.sources import search
 
 
@@ -51,3 +52,27 @@ def test_more_events_are_more_partitions(spark, monkeypatch):
     monkeypatch.setattr(pages, "EVENTS", 100)
     read = pages.scanned(spark.range(50).select("id", F.repeat(F.lit("<p>a</p>"), 20).alias("html")))
     assert pages._exploded(read).rdd.getNumPartitions() == 30
+
+
+def test_leaders_keep_digests_and_cut_only_contested_texts(spark):
+    words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    rows = [(1, k, f"https://x.org/{k}", t, False) for k, t in enumerate([words, words + " fim", words, "nada disso"])]
+    paths = []
+    led = duplicates.leaders(spark.createDataFrame(rows, "claim_id int, rank int, url string, text string, is_partial boolean"), paths=paths)
+    kept = spark.read.parquet(paths[0])
+    assert not {"text", "shingles"} & set(kept.columns) and {r.rank: r._contested for r in kept.collect()}[3]
+    assert {r.rank: r.leader_url for r in led.collect()} == {0: None, 1: "https://x.org/0", 2: "https://x.org/0", 3: None}
+
+
+def test_scores_of_a_groups_own_query_are_those_of_bm25(spark):
+    docs = spark.createDataFrame([("a", 1, "o gato e o rato"), ("a", 2, "o cão"), ("a", 3, None), ("b", 1, "gato gato 1,5")], "g string, d int, t string")
+    q = spark.createDataFrame([("a", 0, "gato o"), ("b", 0, "gato 1,5")], "g string, q int, t string")
+    whole = {(r.g, r.d): r.score for r in retrieval.bm25(docs, q, ["g"], "d", "t", "q", "t").collect()}
+    asked = docs.join(q.select("g", F.array_distinct(terms(F.col("t"))).alias("asked")), "g").select("g", "d", retrieval.matched(F.col("t"), F.col("asked")).alias("m")).select("g", "d", "m.*")
+    assert {(r.g, r.d): r.score for r in retrieval.bm25_of_own(asked, ["g"], ["d"]).collect()} == whole and len(whole) == 3
+
+
+def test_documents_scores_add_up_where_their_terms_lie(spark):
+    docs = spark.createDataFrame([(k, "gato rato " * (k % 3) + "cão") for k in range(50)], "d int, t string")
+    got = retrieval.bm25(docs, spark.createDataFrame([(7, "gato"), (8, "cão rato")], "q int, t string"), [], "d", "t", "q", "t")
+    assert len(got.collect()) == 33 + 50 and "hashpartitioning(_q" not in got._jdf.queryExecution().executedPlan().toString()
