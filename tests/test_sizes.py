@@ -54,6 +54,24 @@ def test_more_events_are_more_partitions(spark, monkeypatch):
     assert pages._exploded(read).rdd.getNumPartitions() == 30
 
 
+def test_texts_that_link_alike_are_compared_once(spark, monkeypatch):
+    """300 texts of three bases with a word of their own each: as many kinds as bases, not as texts."""
+    word = lambda k: "".join(chr(98 + int(d)) for d in str(k))
+    base = [" ".join(f"b{word(k)}x{word(j)}" for j in range(60)) for k in range(3)]
+    texts = [f"v{word(k)} {base[k % 3]}" if k % 2 else f"{base[k % 3]} w{word(k)}" for k in range(300)]
+    sizes, stored = [], duplicates.stored
+
+    def counted(df, *paths, **options):
+        made = stored(df, *paths, **options)
+        if "common" in made.columns and "piece" in made.columns:
+            sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(duplicates, "stored", counted)
+    got = {r.doc_id: (r.family, r.links) for r in duplicates.families(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == {k: (k % 3, 99) for k in range(300)} and sizes == [3]
+
+
 def test_leaders_keep_digests_and_cut_only_contested_texts(spark):
     words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
     rows = [(1, k, f"https://x.org/{k}", t, False) for k, t in enumerate([words, words + " fim", words, "nada disso"])]
