@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # What a term and a name are, where a sentence ends.
 TERM = r"[\p{L}\p{N}]+(?:[.,]\d+)?"
-NAME = r"(?U)\b\p{Lu}[\p{L}\p{N}]+\b"
+NAME = r"(?U)(?=\p{Lu})\b\p{Lu}[\p{L}\p{N}]+\b"  # a capital is looked for first: the test for a word's edge costs more
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 # Words that searches leave out, and words that change what a sentence claims.
@@ -39,7 +39,7 @@ ACCENTS = _accents()
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics; letters that don't decompose (such as the German sharp s) stay."""
-    return F.translate(F.lower(text), *ACCENTS)
+    return let(text, lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(F.lower(t), *ACCENTS)))  # ASCII needs no table
 
 
 def folded_text(text: str) -> str:

@@ -72,6 +72,20 @@ def test_texts_that_link_alike_are_compared_once(spark, monkeypatch):
     assert got == {k: (k % 3, 99) for k in range(300)} and sizes == [3]
 
 
+def test_texts_of_rare_guards_are_compared_without_counting_shingles(spark):
+    words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100))
+    rows = [(k, f"Nome{chr(97 + k // 2)} {words} {'fim' if k % 2 else 'termo'}") for k in range(40)]
+    _, distinct = duplicates.representatives(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {r.texts for r in distinct.collect()} == {2}
+    assert {(r.a, r.b) for r in duplicates.near_pairs(distinct).collect()} == {(2 * k, 2 * k + 1) for k in range(20)}
+    assert duplicates.prefixes(distinct.where(F.col("texts") > duplicates.TEXTS), 0.85).count() == 0
+
+
+def test_a_text_is_folded_once_when_it_is_cut(spark):
+    _, distinct = duplicates.representatives(spark.createDataFrame([(1, "um dois"), (2, "um dois tres")], "doc_id int, text string"))
+    assert plan(distinct).count("translate(") == 1
+
+
 def test_leaders_keep_digests_and_cut_only_contested_texts(spark):
     words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
     rows = [(1, k, f"https://x.org/{k}", t, False) for k, t in enumerate([words, words + " fim", words, "nada disso"])]
