@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -59,7 +61,8 @@ def names(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    runs = ("  ", "\t", "\n", "\x0b", "\f", "\r")  # where there is none, nothing is to be replaced
+    return let(text, lambda t: F.trim(F.when(reduce(or_, [t.contains(x) for x in runs]), F.regexp_replace(t, r"\s+", " ")).otherwise(t)))
 
 
 def word_count(text: Column) -> Column:

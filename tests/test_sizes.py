@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from clarion.functions import passages as rules
 from clarion.functions.text import terms
 from clarion.operators import chunking, claims, duplicates, evaluation, pages, retrieval
 from clarion.sources import search
@@ -86,6 +87,21 @@ def test_a_text_is_folded_once_when_it_is_cut(spark):
     assert plan(distinct).count("translate(") == 1
 
 
+def test_passage_rules_look_before_they_replace(spark):
+    """Plain searches decide whether a pattern is needed; what is left is what all patterns leave."""
+    tail = " e o governo anunciou ontem que a obra da ponte nova ficou pronta"
+    texts = ["Por Ana da Silva* 10/05/2023 às 7h30 -" + tail, "Por  Ana" + tail + " Foto: Rui", "Porta 1/2 8h5 9:3 :" + tail, "Publicado\tem 10:20 | Atualizado" + tail, "LEIA MAIS:" + tail, "Última newsletter" + tail, "a b c " + "x" * 40, "a b c d " + "x" * 40, " \x0b; ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    plain = F.col("t")
+    for pattern in rules.CHROME:
+        plain = F.regexp_replace(plain, pattern, " ")
+    plain = F.btrim(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(rules.EDGES))
+    got = df.select("id", rules.without_chrome(F.col("t")).alias("a"), plain.alias("b"), rules.rejection(F.col("t")).alias("why"))
+    assert all(r.a == r.b for r in got.collect())
+    assert {r.id: r.why for r in got.collect()} == {0: None, 1: None, 2: None, 3: "pageTitle", 4: "navigation", 5: "navigation", 6: "tooShort", 7: None, 8: "tooShort", 9: "tooShort", 10: None}
+    assert "RLIKE navegue" not in plan(got) and plan(got.select("why")).count("Contains(") + plan(got.select("why")).count("contains(") > 14
+
+
 def test_leaders_keep_digests_and_cut_only_contested_texts(spark):
     words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
     rows = [(1, k, f"https://x.org/{k}", t, False) for k, t in enumerate([words, words + " fim", words, "nada disso"])]
