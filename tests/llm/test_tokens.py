@@ -164,3 +164,7 @@ def test_fitted_patterns_place_most_pieces():
             used[n] += repeats * k
     assert (used == counts).all()
     assert sum(r for r, _ in made) <= -(-int(lengths.sum()) // 4096) + 1
+
+
+def test_token_files_remember_more_pieces_than_other_encoders():
+    assert tokenfiles.REMEMBERED > tokens.REMEMBERED and tokenfiles.LAYOUT["parquet.compression.codec.zstd.level"] == "1"
