@@ -69,9 +69,8 @@ def navigation(text: Column) -> Column:
 
 
 def structural(paragraph: Column) -> Column:
-    """Whether a paragraph is a page title or navigation, before passages are cut."""
-    text = collapse(paragraph)
-    return page_title(text) | navigation(text)
+    """Whether a paragraph is a page title or navigation, before passages are cut. It is folded once, not once a phrase."""
+    return let(collapse(paragraph), lambda t: let(fold(t), lambda f: _title(t, f) | _phrases(f)))
 
 
 def without_chrome(text: Column) -> Column:

@@ -137,11 +137,16 @@ def _cut(docs: DataFrame, text: str, parts: Column, limit: Column, cut: Callable
     return own.mapInArrow(lambda batches: _cuts(batches, rest, cut), extended(own.select(*rest).schema, "_p array<string>"))
 
 
-def windows(docs: DataFrame, text: str, claim_tokens: str, first: int = 126, model: int = 509, tokens: Callable[[str], int] = estimate) -> DataFrame:
-    """Passages of ``first`` tokens, cut again to what the claim leaves of ``model``, unfit ones out; ``ix`` counts what is left."""
+def window_lists(docs: DataFrame, text: str, claim_tokens: str, first: int = 126, model: int = 509, tokens: Callable[[str], int] = estimate) -> tuple[DataFrame, Column]:
+    """``docs`` without ``text``, and of each row the list of its passages of ``first`` tokens, cut again to what the claim leaves of ``model``, unfit ones out."""
     from clarion.functions.passages import rejection
 
     cut = lambda p, room: [y for x in passages(p, first, tokens) for y in passages([x], max(1, room), tokens)]
     made = _cut(docs, text, paragraphs(F.col(text)), (F.lit(model) - F.col(claim_tokens)).cast("int"), cut)
-    kept = made.withColumn("_p", F.filter("_p", lambda x: rejection(x).isNull()))
-    return kept.select(*[c for c in docs.columns if c != text], F.posexplode("_p").alias("ix", "text"))
+    return made, F.filter("_p", lambda x: rejection(x).isNull())
+
+
+def windows(docs: DataFrame, text: str, claim_tokens: str, first: int = 126, model: int = 509, tokens: Callable[[str], int] = estimate) -> DataFrame:
+    """The passages of ``window_lists``, a row each; ``ix`` counts what is left."""
+    made, kept = window_lists(docs, text, claim_tokens, first, model, tokens)
+    return made.select(*[c for c in docs.columns if c != text], F.posexplode(kept).alias("ix", "text"))  # of a column, Spark would judge all passages once more to leave out empty lists

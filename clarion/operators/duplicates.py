@@ -230,22 +230,22 @@ def leaders(articles: DataFrame, claim_id: str = "claim_id", rank: str = "rank",
     """
     from clarion.functions.urls import canonical_online
 
-    words = terms(F.col(text))
+    digest = lambda words: F.unhex(F.sha2(F.array_join(words, " "), 256))
     named = [F.col(claim_id).alias("claim_id"), F.col(rank).alias("rank"), F.col(url).alias("url")]
-    own = articles.select(
-        *named, F.col(partial).alias("partial"), canonical_online(F.col(url)).alias("canonical"),
-        F.unhex(F.sha2(F.array_join(words, " "), 256)).alias("same"), F.unhex(guards(F.col(text), words)).alias("guard"), (F.col(usable) if isinstance(usable, str) else F.lit(True)).alias("usable"),
-    )
+    made = let(terms(F.col(text)), lambda w: F.struct(digest(w).alias("same"), F.unhex(guards(F.col(text), w)).alias("guard")))
+    own = articles.select(*named, F.col(partial).alias("partial"), canonical_online(F.col(url)).alias("canonical"), made.alias("_made"), (F.col(usable) if isinstance(usable, str) else F.lit(True)).alias("usable"))
+    own = own.select("claim_id", "rank", "url", "partial", "canonical", "_made.same", "_made.guard", "usable")
     if isinstance(usable, DataFrame):
         own = own.drop("usable").join(usable.select("claim_id", "rank").distinct().withColumn("usable", F.lit(True)), ["claim_id", "rank"], "left").na.fill(False, ["usable"])
     own = own.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy("rank", "url"))).where(F.col("_n") <= limit)
     peers = Window.partitionBy("claim_id", "guard")
     own = stored(own.withColumn("_contested", F.min("same").over(peers) != F.max("same").over(peers)), paths)
     asked = own.where("_contested").select("claim_id", "rank", "url", "same")
-    cut = articles.select(*named, F.col(text).alias("_text")).join(asked, ["claim_id", "rank", "url"]).withColumn("_words", terms(F.col("_text")))
-    cut = cut.where(F.unhex(F.sha2(F.array_join("_words", " "), 256)) == F.col("same"))
-    hashed = F.array_distinct(F.transform(shingles(F.col("_words")), lambda x: F.xxhash64(x)))
-    cut = cut.select("claim_id", "rank", "url", "same", hashed.alias("shingles")).dropDuplicates(["claim_id", "rank", "url", "same"])
+    # A filter by the digest would become a key of the join and fold every text, so what is cut says whether it is the text.
+    hashed = lambda words: F.array_distinct(F.transform(shingles(words), lambda x: F.xxhash64(x)))
+    made = let(terms(F.col("_text")), lambda w: F.when(digest(w) == F.col("same"), hashed(w)))
+    cut = articles.select(*named, F.col(text).alias("_text")).join(asked, ["claim_id", "rank", "url"]).select("claim_id", "rank", "url", "same", made.alias("shingles"))
+    cut = cut.groupBy("claim_id", "rank", "url", "same").agg(F.max("shingles").alias("shingles"))
     own = own.join(cut, ["claim_id", "rank", "url", "same"], "left")
     fields = ["partial", "rank", "url", "canonical", "same", "guard", "shingles", "usable"]
     lists = own.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))

@@ -4,8 +4,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clarion.functions import passages as rules
-from clarion.functions.text import terms
+from clarion.functions.scores import cosine, length
+from clarion.functions.text import terms, token_estimate as chunk_tokens
 from clarion.operators import chunking, claims, duplicates, evaluation, pages, retrieval
+from clarion.plans.verification import hashed_embedding
 from clarion.sources import search
 
 
@@ -124,3 +126,68 @@ def test_documents_scores_add_up_where_their_terms_lie(spark):
     docs = spark.createDataFrame([(k, "gato rato " * (k % 3) + "cão") for k in range(50)], "d int, t string")
     got = retrieval.bm25(docs, spark.createDataFrame([(7, "gato"), (8, "cão rato")], "q int, t string"), [], "d", "t", "q", "t")
     assert len(got.collect()) == 33 + 50 and "hashpartitioning(_q" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paragraphs_and_passages_are_folded_once_each(spark):
+    made = chunking.windows(spark.createDataFrame([(1, "Leia Também\nUma frase inteira com palavras que bastam, e mais uma. " * 3, 9)], "id int, text string, n int"), "text", "n")
+    assert plan(made).count("translate(") == 2 and [(r.ix, r.text[:3]) for r in made.collect()][0] == (0, "Uma")
+
+
+def listed(df, *names):
+    """The rows of each key as lists in order of ix."""
+    return df.groupBy("k").agg(*[F.array_sort(F.collect_list(F.struct("ix", n))).getField(n).alias(n) for n in names])
+
+
+def test_passages_in_a_list_are_scored_and_chosen_like_rows(spark):
+    words = "gato rato cão pão 1,5 casa".split()
+    rows = [(k, i, " ".join(words[(i * 7 + j * j + k) % 6] for j in range((i * 5 + k) % 9))) for k, n in enumerate((1, 30, 49, 200)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "k int, ix int, text string")
+    q = spark.createDataFrame([(0, 0, "rato"), (1, 0, "gato 1,5 nada"), (2, 0, "casa cão"), (3, 0, None)], "k int, q int, t string")
+    whole = {(r.k, r.ix): r.score for r in retrieval.bm25(docs, q, ["k"], "ix", "text", "q", "t").collect()}
+    own = listed(docs, "text").join(q.select("k", F.coalesce(F.array_distinct(terms(F.col("t"))), F.array().cast("array<string>")).alias("asked")), "k")
+    own = own.select("k", retrieval.scores_of_own(F.col("text"), F.col("asked")).alias("s")).withColumn("c", retrieval.candidates_of_own(F.col("s")))
+    got = own.select("k", F.posexplode(F.arrays_zip("s", "c")).alias("ix", "x")).select("k", "ix", "x.s", "x.c").collect()
+    assert {(r.k, r.ix): r.s for r in got if r.s > 0} == whole and len(got) == len(rows)
+    flat = spark.createDataFrame([(r.k, r.ix, r.s) for r in got], "k int, ix int, lexical double")
+    assert {(r.k, r.ix) for r in retrieval.candidates(flat, ["k"]).collect()} == {(r.k, r.ix) for r in got if r.c} and not all(r.c for r in got)
+
+
+def test_passages_in_a_list_grow_like_rows(spark):
+    texts = {0: ["a b", "c d", "a b", "e " * 40, "a b", ""], 1: ["só esta"], 2: ["x y z", "x y z", "w"]}
+    rows = [(k, i, t) for k, all_ in texts.items() for i, t in enumerate(all_)]
+    windows = spark.createDataFrame(rows, "k int, ix int, text string")
+    chosen = spark.createDataFrame([(0, 4, 1, 0.5), (0, 2, 2, 0.4), (0, 3, 3, 0.3), (1, 0, 1, 0.9), (2, 1, 2, 0.2), (2, 2, 1, 0.1)], "k int, ix int, position int, similarity double")
+    for room in (2, 4, 7, 100):
+        grown = retrieval.expanded(windows, chosen.join(windows, ["k", "ix"]), ["k"], F.lit(room), chunk_tokens)
+        want = {(r.k, r.position, r.similarity, r.expanded) for r in grown.collect()}
+        own = listed(windows, "text").join(chosen.groupBy("k").agg(F.collect_list(F.struct("position", "ix", "similarity")).alias("c")), "k")
+        got = own.select("k", F.explode(retrieval.expanded_of_own(F.col("text"), F.col("c"), F.lit(room), chunk_tokens)).alias("x")).select("k", "x.*").collect()
+        assert {(r.k, r.position, r.similarity, r.expanded) for r in got} == want and len(got) == len(want)
+
+
+def test_only_contested_texts_are_folded_again(spark):
+    """The digest of a text is no key of the join, where each text would have to be folded for it."""
+    rows = [(1, k, f"https://x.org/{k}", f"nada disso {k}", False) for k in range(3)]
+    led = duplicates.leaders(spark.createDataFrame(rows, "claim_id int, rank int, url string, text string, is_partial boolean"))
+    joins = [x for x in plan(led).splitlines() if "Join" in x]
+    assert joins and not any("sha2" in x for x in joins)
+
+
+def test_words_are_counted_once_embedded_as_before(spark):
+    import zlib
+
+    import numpy as np
+
+    texts = ["", "um dois dois", "É o  gato\te o RATO " * 9, None, "0"]
+    for r in hashed_embedding(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        v = np.zeros(64, np.float32)
+        for w in (r.text or "").lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h >> 31 else -1
+        assert r.vector == (v / (np.linalg.norm(v) or 1)).tolist()
+
+
+def test_given_lengths_give_the_same_cosine(spark):
+    df = spark.createDataFrame([([1.0, 2.5, 3.0], [0.1, 0.2, 0.7]), ([0.0], [1.0]), ([], []), ([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
+    rows = df.select(cosine(F.col("a"), F.col("b")).alias("x"), cosine(F.col("a"), F.col("b"), length(F.col("a")), length(F.col("b"))).alias("y")).collect()
+    assert [r.x for r in rows] == [r.y for r in rows] and rows[0].x > 0
