@@ -85,17 +85,24 @@ def without_chrome(text: Column) -> Column:
     return let(text, lambda t: out(t, 0))
 
 
+def reason(text: Column, folded: Column) -> Column:
+    """Why a collapsed passage is no evidence by its text and what it folds to, the first rule that holds; null keeps it.
+
+    Each step's text is computed once, and the patterns run only over what is long enough. Words are parted by
+    one space each by then, so there are too few where no space follows the last that is allowed.
+    """
+    few = lambda b: (F.length(b) < LEAST_CHARACTERS) | (F.substring_index(b, " ", LEAST_WORDS - 1) == b)
+    too_short = (F.length(text) < LEAST_CHARACTERS) | let(without_chrome(text), few)
+    return F.when(_title(text, folded), "pageTitle").when(_phrases(folded), "navigation").when(too_short, "tooShort")
+
+
 def rejection(passage: Column, has_verb: Column | None = None) -> Column:
     """Why a passage is no evidence, the first rule that holds; null keeps it.
 
     ``has_verb`` is a nullable boolean of a tagger; unknown (the default) rejects nothing.
-    Each step's text is computed once, and the patterns run only over what is long enough. Words are parted by
-    one space each by then, so there are too few where no space follows the last that is allowed.
     """
     verb = F.lit(None).cast("boolean") if has_verb is None else has_verb
-    too_short = lambda t: (F.length(t) < LEAST_CHARACTERS) | let(without_chrome(t), lambda b: (F.length(b) < LEAST_CHARACTERS) | (F.substring_index(b, " ", LEAST_WORDS - 1) == b))
-    why = lambda t, f: F.when(_title(t, f), "pageTitle").when(_phrases(f), "navigation").when(too_short(t), "tooShort")
-    return F.coalesce(let(collapse(passage), lambda t: let(fold(t), lambda f: why(t, f))), F.when(~verb, "noVerb"))
+    return F.coalesce(let(collapse(passage), lambda t: let(fold(t), lambda f: reason(t, f))), F.when(~verb, "noVerb"))
 
 
 def short_or_marked(line: Column, ascii_words: bool = False) -> Column:

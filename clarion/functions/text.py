@@ -51,7 +51,12 @@ def folded_text(text: str) -> str:
 
 def terms(text: Column) -> Column:
     """Folded words and numbers; a decimal part stays with its number."""
-    return F.regexp_extract_all(fold(text), F.lit(TERM), F.lit(0))
+    return folded_terms(fold(text))
+
+
+def folded_terms(folded: Column) -> Column:
+    """The terms of what ``fold`` has made of a text. White space collapsed before makes no other terms."""
+    return F.regexp_extract_all(folded, F.lit(TERM), F.lit(0))
 
 
 def names(text: Column) -> Column:

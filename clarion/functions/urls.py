@@ -6,6 +6,8 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
+from clarion.functions.text import let
+
 # The allowed domains, the fact-check domains, display names.
 ALLOWLIST = (
     "g1.globo.com", "oglobo.globo.com", "folha.uol.com.br", "estadao.com.br", "cnnbrasil.com.br", "veja.abril.com.br",
@@ -28,7 +30,7 @@ def part(url: Column, name: str) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without trailing dots; null where there is none."""
-    return F.nullif(F.regexp_replace(F.lower(part(url, "HOST")), r"\.+$", ""), F.lit(""))
+    return let(F.regexp_replace(F.lower(part(url, "HOST")), r"\.+$", ""), lambda h: F.when(h != "", h))
 
 
 def canonical_host(value: Column) -> Column:
@@ -38,8 +40,8 @@ def canonical_host(value: Column) -> Column:
 
 def suffixes(value: Column) -> Column:
     """All domain suffixes of a host, longest first: ``a.b.c``, ``b.c``, ``c``."""
-    labels = F.split(value, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return let(F.split(value, r"\."), each)
 
 
 def canonical_online(url: Column) -> Column:
@@ -84,7 +86,10 @@ def same_family(a: Column, b: Column) -> Column:
 
 def profile(domain: Column) -> Column:
     """(name, kind, editorial_origin, specialties) of a domain."""
-    clean = F.replace(domain, F.lit("www."), F.lit(""))
+    return let(F.replace(domain, F.lit("www."), F.lit("")), _profile)
+
+
+def _profile(clean: Column) -> Column:
     named = F.create_map(*[F.lit(x) for x in chain.from_iterable(NAMES.items())])
     primary = clean.endswith("gov.br") | clean.endswith("leg.br") | clean.endswith("jus.br") | (clean == "who.int")
     return F.struct(
@@ -111,7 +116,7 @@ def matched_domain(value: Column, entries: tuple[str, ...] = ALLOWLIST) -> Colum
         known.setdefault(e.lower().rstrip(".").removeprefix("www."), e)
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
     found = F.filter(suffixes(canonical_host(value)), lambda s: F.map_contains_key(table, s))
-    return F.try_element_at(table, F.try_element_at(found, F.lit(1)))
+    return let(F.try_element_at(found, F.lit(1)), lambda s: F.try_element_at(table, s))
 
 
 def allowed(url: Column, entries: tuple[str, ...] = ALLOWLIST) -> Column:

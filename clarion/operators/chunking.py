@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clarion.functions.lineage import extended
 from clarion.functions.passages import structural
+from clarion.functions.text import collapse, fold, let
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_END = re.compile(r"[.!?]\s+")
 #: Characters whose passages a worker holds at once, but for one text.
 HELD = 1 << 20
 
@@ -22,48 +23,41 @@ def estimate(text: str) -> int:
 
 
 def _sentences(text: str) -> list[str]:
-    return [s for s in (p.strip() for p in _SENTENCE.split(text)) if s]
+    """Stripped non-empty sentences; a mark followed by white space ends one. Looking for the mark costs less than looking behind each space."""
+    cuts = [(m.start() + 1, m.end()) for m in _END.finditer(text)]
+    parts = [text[a:b].strip() for a, b in zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(text)])] if cuts else [text.strip()]
+    return [s for s in parts if s]
 
 
-class _Piece:
-    """Units joined by spaces and whether one more fits; the default estimate is kept as running counts."""
-
-    def __init__(self, budget: int, tokens: Callable[[str], int]):
-        self.budget, self.tokens, self.running = budget, tokens, tokens is estimate
-
-    def start(self, units: list[str]) -> None:
-        self.units = units
-        if self.running:
-            self.chars, self.words = sum(map(len, units)) + max(0, len(units) - 1), sum(len(u.split()) for u in units)
-
-    def fits(self, unit: str) -> bool:
-        if not self.running:
-            return self.tokens(" ".join([*self.units, unit])) <= self.budget
-        return max(-(-(self.chars + 1 + len(unit)) // 3), self.words + len(unit.split())) <= self.budget
-
-    def add(self, unit: str) -> None:
-        self.units.append(unit)
-        if self.running:
-            self.chars += 1 + len(unit)
-            self.words += len(unit.split())
+def _fits(budget: int, tokens: Callable[[str], int]) -> Callable[[str], bool]:
+    """Whether a text is within the budget; of the default estimate, words are only counted where there can be too many."""
+    if tokens is not estimate:
+        return lambda t: tokens(t) <= budget
+    return lambda t: len(t) <= 3 * budget and (len(t) < 2 * budget or len(t.split()) <= budget)
 
 
 def _filled(units: list[str], budget: int, tokens: Callable[[str], int], overlap: bool) -> list[str]:
-    """Units gathered greedily while they fit; with ``overlap`` a piece begins with the last unit of the one before if both fit."""
+    """Units gathered greedily while they fit; with ``overlap`` a piece begins with the last unit of the one before if both fit. The default estimate is kept as running counts."""
     pieces: list[str] = []
-    piece = _Piece(budget, tokens)
-    piece.start([])
+    held: list[str] = []
+    plain, most = tokens is estimate, 3 * budget
+    chars = words = c = w = 0
     for unit in units:
-        if piece.units and piece.fits(unit):
-            piece.add(unit)
-            continue
-        if piece.units:
-            pieces.append(" ".join(piece.units))
-            last = piece.units[-1]
-            piece.start([last, unit] if overlap and tokens(f"{last} {unit}") <= budget else [unit])
-        else:
-            piece.start([unit])
-    return [*pieces, " ".join(piece.units)] if piece.units else pieces
+        before = c, w
+        if plain:
+            c, w = len(unit), len(unit.split())
+        if held:
+            if (chars + 1 + c <= most and words + w <= budget) if plain else tokens(" ".join([*held, unit])) <= budget:
+                held.append(unit)
+                chars, words = chars + 1 + c, words + w
+                continue
+            pieces.append(" ".join(held))
+            last = held[-1]
+            if overlap and ((before[0] + 1 + c <= most and before[1] + w <= budget) if plain else tokens(f"{last} {unit}") <= budget):
+                held, chars, words = [last, unit], before[0] + 1 + c, before[1] + w
+                continue
+        held, chars, words = [unit], c, w
+    return [*pieces, " ".join(held)] if held else pieces
 
 
 def _halves(word: str, fits: Callable[[str], bool]) -> Iterator[str]:
@@ -77,27 +71,27 @@ def _halves(word: str, fits: Callable[[str], bool]) -> Iterator[str]:
 
 
 def _words(text: str, budget: int, tokens: Callable[[str], int]) -> list[str]:
-    fits = lambda t: tokens(t) <= budget
+    fits = _fits(budget, tokens)
     return _filled([u for w in text.split() for u in ([w] if fits(w) else _halves(w, fits))], budget, tokens, overlap=False)
 
 
 def passages(paragraphs: list[str], budget: int, tokens: Callable[[str], int] = estimate) -> list[str]:
     """Passages of at most ``budget`` tokens. Each paragraph begins with the last sentence of what came before."""
-    fits = lambda t: tokens(t) <= budget
+    fits = _fits(budget, tokens)
     out: list[str] = []
-    overlap = ""
+    before = ""  # the passage whose last sentence comes first
     for p in paragraphs:
-        body = f"{overlap} {p}" if overlap else p
-        found = _sentences(body)
+        overlap = _sentences(before)[-1:] if before else []
+        body = f"{overlap[0]} {p}" if overlap else p
         if fits(body):
             made = [body]
-        elif len(found) > 1:
+        elif len(found := _sentences(body)) > 1:
             made = _filled([u for s in found for u in ([s] if fits(s) else _words(s, budget, tokens))], budget, tokens, overlap=True)
         else:
             made = _words(body, budget, tokens)
         if made:
             out += made
-            overlap = (_sentences(made[-1]) or [""])[-1]
+            before = made[-1]
     return out
 
 
@@ -138,15 +132,20 @@ def _cut(docs: DataFrame, text: str, parts: Column, limit: Column, cut: Callable
 
 
 def window_lists(docs: DataFrame, text: str, claim_tokens: str, first: int = 126, model: int = 509, tokens: Callable[[str], int] = estimate) -> tuple[DataFrame, Column]:
-    """``docs`` without ``text``, and of each row the list of its passages of ``first`` tokens, cut again to what the claim leaves of ``model``, unfit ones out."""
-    from clarion.functions.passages import rejection
+    """``docs`` without ``text``, and of each row the list of its passages of ``first`` tokens, cut again to what the claim leaves of ``model``, unfit ones out: (text, folded)."""
+    from clarion.functions.passages import reason
+
+    def cut(p: list[str], room: int) -> list[str]:
+        room = max(1, room)
+        fits = _fits(room, tokens)
+        return [y for x in passages(p, first, tokens) for y in ([x] if fits(x) else passages([x], room, tokens))]
 
-    cut = lambda p, room: [y for x in passages(p, first, tokens) for y in passages([x], max(1, room), tokens)]
     made = _cut(docs, text, paragraphs(F.col(text)), (F.lit(model) - F.col(claim_tokens)).cast("int"), cut)
-    return made, F.filter("_p", lambda x: rejection(x).isNull())
+    judged = lambda x: let(collapse(x), lambda t: let(fold(t), lambda f: F.struct(x.alias("text"), f.alias("folded"), reason(t, f).isNull().alias("kept"))))
+    return made, F.filter(F.transform("_p", judged), lambda x: x["kept"])
 
 
 def windows(docs: DataFrame, text: str, claim_tokens: str, first: int = 126, model: int = 509, tokens: Callable[[str], int] = estimate) -> DataFrame:
     """The passages of ``window_lists``, a row each; ``ix`` counts what is left."""
     made, kept = window_lists(docs, text, claim_tokens, first, model, tokens)
-    return made.select(*[c for c in docs.columns if c != text], F.posexplode(kept).alias("ix", "text"))  # of a column, Spark would judge all passages once more to leave out empty lists
+    return made.select(*[c for c in docs.columns if c != text], F.posexplode(kept).alias("ix", "_x")).select(*[c for c in docs.columns if c != text], "ix", "_x.text")  # of a column, Spark would judge all passages once more to leave out empty lists

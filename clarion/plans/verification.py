@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,24 +23,18 @@ from clarion.operators import chunking, claims as claim_ops, duplicates, retriev
 Provider = Callable[[DataFrame], DataFrame]
 #: Articles read and pairs inferred per claim.
 READ, PAIRS = 8, 24
-
-
-@lru_cache(1 << 18)
-def _place(word: str) -> int:
-    """Where a word counts: its component, and 64 more where it counts against it."""
-    h = zlib.crc32(word.encode())
-    return h % 64 + (0 if h >> 31 else 64)
+#: Tasks a core, or more where more partitions are set, that cut articles: the longest step by far, which files of a shuffle would deal to few tasks.
+TASKS = 4
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _hashed(texts: pd.Series) -> pd.Series:
-    """A stand-in for an embedding model: signed hashed counts of words, of unit length."""
-    out = []
-    for t in texts:
-        n = np.bincount([_place(w) for w in (t or "").lower().split()], minlength=128) if t else np.zeros(128)
-        v = (n[:64] - n[64:]).astype(np.float32)
-        out.append(v / (np.linalg.norm(v) or 1))
-    return pd.Series(out)
+    """A stand-in for an embedding model: signed hashed counts of words, of unit length. The words of a batch are counted together."""
+    words = [(t or "").lower().split() for t in texts]
+    h = np.fromiter((zlib.crc32(w.encode()) for ws in words for w in ws), np.int64)
+    row = np.repeat(np.arange(len(words)), np.array([len(ws) for ws in words], np.int64))
+    n = np.bincount(row * 128 + h % 64 + 64 * (h >> 31), minlength=128 * len(words)).reshape(len(words), 2, 64)
+    return pd.Series([v / (np.linalg.norm(v) or 1) for v in (n[:, 1] - n[:, 0]).astype(np.float32)])
 
 
 def hashed_embedding(df: DataFrame) -> DataFrame:
@@ -84,8 +77,10 @@ def verify(claims: DataFrame, hits: DataFrame, articles: DataFrame, infer: Provi
 
     # An article's passages stay one list in one row, where they are scored, ranked and grown; their texts are shuffled to be embedded once and to meet what was chosen.
     passage, article = ["claim_id", "rank", "ix"], ["claim_id", "rank"]
-    made, kept = chunking.window_lists(read.select(*article, "text", "claim_tokens", "asked"), "text", "claim_tokens")
-    scores = let(kept, lambda p: F.struct(p.alias("passages"), F.transform(p, lambda x: F.unhex(F.sha2(x, 256))).alias("digests"), retrieval.scores_of_own(p, F.col("asked")).alias("lexical")))
+    dealt = read.select(*article, "text", "claim_tokens", "asked").repartition(max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *article)
+    made, kept = chunking.window_lists(dealt, "text", "claim_tokens")
+    digests = lambda p: F.transform(p, lambda x: F.unhex(F.sha2(x["text"], 256)))
+    scores = let(kept, lambda p: F.struct(p["text"].alias("passages"), digests(p).alias("digests"), retrieval.scores_of_own(p["folded"], F.col("asked")).alias("lexical")))
     cut = made.select(*article, "claim_tokens", scores.alias("s")).select(*article, "claim_tokens", "s.*")
     cut = stored(cut.withColumn("candidate", retrieval.candidates_of_own(F.col("lexical"))), paths)
     listed = lambda *names: cut.select(*article, F.explode(F.filter(F.arrays_zip("candidate", F.transform("candidate", lambda _, i: i).alias("ix"), *names), lambda x: x["candidate"])).alias("x")).select(*article, "x.*")
@@ -122,8 +117,9 @@ def verify(claims: DataFrame, hits: DataFrame, articles: DataFrame, infer: Provi
     facts = read.select("claim_id", "rank", "url", "provenance", "is_partial", "published_at", "original_source")
     leaders_ = labels.join(evidence, ["claim_id", "rank"]).join(facts.drop("url"), ["claim_id", "rank"]).join(known.select("claim_id", "context"), "claim_id")
     aligned = claim_ops.alignment(F.col("context.kind"), F.col("context.start"), F.col("context.end"), F.col("published_at"), F.concat_ws(" ", "said", "excerpt"))
-    domain = F.coalesce(matched_domain(host(F.col("url"))), host(F.col("url")), F.lit(""))
-    origin = F.coalesce(canonical_online(F.col("original_source")), profile(F.when(domain == "gov.br", host(F.col("url"))).otherwise(domain)).editorial_origin)
+    domain = let(host(F.col("url")), lambda h: F.coalesce(matched_domain(h), h, F.lit("")))
+    own_origin = let(host(F.col("url")), lambda h: let(F.coalesce(matched_domain(h), h, F.lit("")), lambda d: profile(F.when(d == "gov.br", h).otherwise(d)).editorial_origin))
+    origin = F.coalesce(canonical_online(F.col("original_source")), own_origin)
     leaders_ = leaders_.withColumns({"temporal_alignment": aligned, "domain": domain, "origin": origin}).withColumn("duplicate_of", F.lit(None).cast("string"))
     columns = ["claim_id", "rank", "url", "domain", "label", "confidence", "similarity", "excerpt", "stance", "evidence", "provenance", "is_partial", "temporal_alignment", "origin", "duplicate_of"]
     leaders_ = leaders_.select(*columns)

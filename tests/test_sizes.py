@@ -1,12 +1,15 @@
 """How work is dealt and how often it is done: what larger tables depend on."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from clarion.functions import passages as rules
+from clarion.functions import passages as rules, urls
 from clarion.functions.scores import cosine, length
-from clarion.functions.text import terms, token_estimate as chunk_tokens
+from clarion.functions.text import fold, terms, token_estimate as chunk_tokens
 from clarion.operators import chunking, claims, duplicates, evaluation, pages, retrieval
+from clarion.plans import verification
 from clarion.plans.verification import hashed_embedding
 from clarion.sources import search
 
@@ -145,7 +148,7 @@ def test_passages_in_a_list_are_scored_and_chosen_like_rows(spark):
     q = spark.createDataFrame([(0, 0, "rato"), (1, 0, "gato 1,5 nada"), (2, 0, "casa cão"), (3, 0, None)], "k int, q int, t string")
     whole = {(r.k, r.ix): r.score for r in retrieval.bm25(docs, q, ["k"], "ix", "text", "q", "t").collect()}
     own = listed(docs, "text").join(q.select("k", F.coalesce(F.array_distinct(terms(F.col("t"))), F.array().cast("array<string>")).alias("asked")), "k")
-    own = own.select("k", retrieval.scores_of_own(F.col("text"), F.col("asked")).alias("s")).withColumn("c", retrieval.candidates_of_own(F.col("s")))
+    own = own.select("k", retrieval.scores_of_own(F.transform("text", fold), F.col("asked")).alias("s")).withColumn("c", retrieval.candidates_of_own(F.col("s")))
     got = own.select("k", F.posexplode(F.arrays_zip("s", "c")).alias("ix", "x")).select("k", "ix", "x.s", "x.c").collect()
     assert {(r.k, r.ix): r.s for r in got if r.s > 0} == whole and len(got) == len(rows)
     flat = spark.createDataFrame([(r.k, r.ix, r.s) for r in got], "k int, ix int, lexical double")
@@ -191,3 +194,42 @@ def test_given_lengths_give_the_same_cosine(spark):
     df = spark.createDataFrame([([1.0, 2.5, 3.0], [0.1, 0.2, 0.7]), ([0.0], [1.0]), ([], []), ([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
     rows = df.select(cosine(F.col("a"), F.col("b")).alias("x"), cosine(F.col("a"), F.col("b"), length(F.col("a")), length(F.col("b"))).alias("y")).collect()
     assert [r.x for r in rows] == [r.y for r in rows] and rows[0].x > 0
+
+
+def test_a_host_is_parsed_once_for_all_its_suffixes(spark):
+    made = spark.createDataFrame([("https://www.g1.globo.com./x",), ("https://saude.gov.br",), ("http://globo.com",), ("no url",), (None,)], "u string").select(urls.matched_domain(urls.host(F.col("u"))).alias("d"), urls.profile(urls.host(F.col("u"))).alias("p"))
+    assert len(re.findall(r"\bu#", plan(made.select("d")).splitlines()[0])) == 1
+    assert [(r.d, r.p.editorial_origin) for r in made.collect()] == [("g1.globo.com", "grupo-globo"), ("gov.br", "saude.gov.br"), (None, "grupo-globo"), (None, None), (None, None)]
+
+
+def test_sentences_end_where_they_did_and_passages_that_fit_are_not_cut_again():
+    behind = re.compile(r"(?<=[.!?])\s+")
+    for text in ("", "  Um. Dois?! Três", "a.b c .  d !\te", ". . x", "fim. ", "a. b"):
+        assert chunking._sentences(text) == [s for s in (p.strip() for p in behind.split(text)) if s]
+    asked = []
+
+    def tokens(text):
+        asked.append(text)
+        return len(text.split())
+
+    for budget in (1, 2, 5, 9):
+        for text in ("um dois. três quatro cinco seis. sete", "a b c d e f g h", "x" * 40, ""):
+            assert chunking.passages([text] * 3, budget, chunking.estimate) == chunking.passages([text] * 3, budget, lambda t: chunking.estimate(t))
+    assert chunking.passages(["um dois três."], 9, tokens) == ["um dois três."] and asked == ["um dois três."]
+
+
+def test_articles_of_one_partition_are_cut_in_many_tasks(spark, monkeypatch):
+    seen, lists = [], chunking.window_lists
+
+    def watched(docs, *rest, **more):
+        seen.append(docs.rdd.getNumPartitions())
+        return lists(docs, *rest, **more)
+
+    monkeypatch.setattr(chunking, "window_lists", watched)
+    claim = spark.createDataFrame([(1, "O hospital foi aberto")], "claim_id long, text string").withColumn("reference_ts", F.lit("2024-02-01 12:00:00").cast("timestamp"))
+    hits = spark.range(40, numPartitions=1).select(F.lit(1).cast("long").alias("claim_id"), F.col("id").alias("ix"), F.concat(F.lit("https://bbc.com/"), F.col("id").cast("string")).alias("url"), F.lit("o hospital").alias("title"), F.lit("da cidade").alias("content"), F.lit(0.5).alias("score"))
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("published_at", "timestamp"), ("original_source", "string"))]
+    articles = hits.select("url", F.lit("O hospital da cidade foi aberto ao público nesta semana. ").alias("text"), F.lit("articleBody").alias("provenance"), F.lit(False).alias("is_partial"), *none)
+    results, _ = verification.verify(claim, hits, articles, lambda p: p.withColumn("logits", F.array(F.lit(5.0), F.lit(0.0), F.lit(0.0))))
+    assert [(r.found, r.read, r.verdict) for r in results.collect()] == [(40, 8, "CONFIRMADO")]
+    assert seen == [verification.TASKS * spark.sparkContext.defaultParallelism]
