@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ TASKS = 4
 def _hashed(texts: pd.Series) -> pd.Series:
     """A stand-in for an embedding model: signed hashed counts of words, of unit length. The words of a batch are counted together."""
     words = [(t or "").lower().split() for t in texts]
-    h = np.fromiter((zlib.crc32(w.encode()) for ws in words for w in ws), np.int64)
+    h = np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(words))), np.int64)
     row = np.repeat(np.arange(len(words)), np.array([len(ws) for ws in words], np.int64))
     n = np.bincount(row * 128 + h % 64 + 64 * (h >> 31), minlength=128 * len(words)).reshape(len(words), 2, 64)
     return pd.Series([v / (np.linalg.norm(v) or 1) for v in (n[:, 1] - n[:, 0]).astype(np.float32)])
