@@ -85,7 +85,7 @@ def verify(claims: DataFrame, hits: DataFrame, articles: DataFrame, infer: Provi
     cut = made.select(*article, "claim_tokens", scores.alias("s")).select(*article, "claim_tokens", "s.*")
     cut = stored(cut.withColumn("candidate", retrieval.candidates_of_own(F.col("lexical"))), paths)
     listed = lambda *names: cut.select(*article, F.explode(F.filter(F.arrays_zip("candidate", F.transform("candidate", lambda _, i: i).alias("ix"), *names), lambda x: x["candidate"])).alias("x")).select(*article, "x.*")
-    texts = listed("digests", "passages").select(F.col("digests").alias("digest"), F.col("passages").alias("text")).repartition("digest").dropDuplicates(["digest"])
+    texts = listed("digests", "passages").select(F.col("digests").alias("digest"), F.col("passages").alias("text")).dropDuplicates(["digest"])
     vectors = stored(embed(texts).select("digest", "vector", length(F.col("vector")).alias("length")), paths)
     asked = embedded(known.select("claim_id", "claim"), embed, "claim", "claim_vector").select("claim_id", "claim_vector", length(F.col("claim_vector")).alias("claim_length"))
     both = listed("digests", "lexical").withColumnRenamed("digests", "digest")
